@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.bpe import bpe_encode
 from quillon.llm.lines import dedup_lines
+from quillon.llm.tokenfiles import token_output
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +47,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as sequence files and read back."""
+    return token_output(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by the word vocabulary."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_encode(docs, _tokenizer("word_bpe_49k.json"), texts_too=False).drop("text")
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_token_output": op2_token_output,
+    "op3_bpe": op3_bpe,
+}
 
 ORACLES = {"op1_line_dedup": _LINES_SQL}
