@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import bpe_encode
+from quillon.llm.jaccard import shingle_components
 from quillon.llm.lines import dedup_lines
 from quillon.llm.tokenfiles import token_output
 
@@ -58,10 +59,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, _tokenizer("word_bpe_49k.json"), texts_too=False).drop("text")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85."""
+    return shingle_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
     "op3_bpe": op3_bpe,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
 }
 
 ORACLES = {"op1_line_dedup": _LINES_SQL}
