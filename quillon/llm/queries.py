@@ -9,6 +9,7 @@ from quillon.llm.bpe import bpe_encode
 from quillon.llm.jaccard import shingle_components
 from quillon.llm.lines import dedup_lines
 from quillon.llm.tokenfiles import token_output
+from quillon.llm.vectors import embedding_links
 
 
 def _tokenizer(name: str) -> str:
@@ -64,11 +65,17 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 or more, and their components."""
+    return embedding_links(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_embedding_dedup": op5_embedding_dedup,
 }
 
 ORACLES = {"op1_line_dedup": _LINES_SQL}
