@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm import language, toxicity
 from quillon.llm.bpe import bpe_encode
 from quillon.llm.jaccard import shingle_components
 from quillon.llm.lines import dedup_lines
+from quillon.llm.sampling import fold
 from quillon.llm.tokenfiles import token_output
 from quillon.llm.vectors import embedding_links
 
@@ -70,12 +72,30 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs, folds=4, held=2)
+    found = language.identify(docs.select("doc_id", "text"), model).drop("text")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), folds=5, held=0)
+    found = toxicity.score_toxicity(docs, model).drop("text")
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
     "op3_bpe": op3_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLES = {"op1_line_dedup": _LINES_SQL}
