@@ -1,17 +1,75 @@
-"""The corpus pipeline: five stages from raw documents to encoded, mixed ones."""
+"""The corpus pipeline: raw documents to a clean, mixed and encoded corpus.
+
+Each stage takes all documents that the one before it kept and returns
+documents with the same columns, but for the last, which adds the encoding.
+Null and empty texts leave with the first stage, as they have no language;
+every stage's operator says what it does with ties, repeats and long texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import language
+from quillon.llm.bpe import bpe_encode
+from quillon.llm.common import Stored
+from quillon.llm.jaccard import shingle_components
+from quillon.llm.lines import dedup_lines
+from quillon.llm.mixing import mix
+
+#: Target weights by domain (the first four letters of a source) and language; what isn't named weighs 1.
+WEIGHTS = {"domain": {}, "language": {"en": 2.0}, "source": {}}
+#: The mix's budget as a share of the words it is given; a document is taken up to MAX_EPOCHS times.
+BUDGET_SHARE, MAX_EPOCHS, SEED = 0.9, 2, 17
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification; documents that it rejects go."""
+    model = language.train(docs)
+    return language.identify(docs, model).filter("NOT rejected").select(*docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup; a document that is left without text stays, with an empty one."""
+    out = dedup_lines(docs, min_docs=10, min_chars=1).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five words at 0.8; the least doc_id of each group stays."""
+    groups = shingle_components(docs, words=5, num=80, den=100)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Hierarchical budgeting; a document taken twice is two rows."""
+    taken = mix(docs, F.substring("source", 1, 4), BUDGET_SHARE, WEIGHTS, MAX_EPOCHS, SEED)
+    return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("mix_epochs")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encoding and decoding of the word vocabulary."""
+    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", keep_known_languages),
+    ("lines", drop_common_lines),
+    ("near_duplicates", keep_one_of_each_group),
+    ("mix", mix_sources),
+    ("encode", encode),
+]
 
+#: The first stage is a fitted model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
+    """All stages over the table ``documents``, each one's result written as Parquet and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = Stored(stage(spark, docs, sf_dir), f"stage-{name}").read()
     return docs

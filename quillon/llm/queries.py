@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm import language, toxicity
 from quillon.llm.bpe import bpe_encode
+from quillon.llm.imatch import edited_fingerprints
 from quillon.llm.jaccard import shingle_components
 from quillon.llm.lines import dedup_lines
+from quillon.llm.mixing import mix
 from quillon.llm.sampling import fold
 from quillon.llm.tokenfiles import token_output
 from quillon.llm.vectors import embedding_links
@@ -88,6 +90,85 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+#: Target weights of the mix; what isn't named weighs 1.
+MIX_WEIGHTS = {"domain": {"src1": 2.0, "src0": 1.5}, "language": {"en": 2.0}, "source": {}}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes from each domain, language and source, and how often.
+
+    A domain is the first four letters of a source; the budget is four fifths of all words, in two epochs at most.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    taken = mix(docs, F.substring("source", 1, 4), 0.8, MIX_WEIGHTS, max_epochs=2, seed=17)
+    return taken.select("doc_id", "lang", "source", F.col("mix_tokens").alias("n_words"), F.col("mix_epochs").alias("epochs"), F.col("mix_target").alias("leaf_target"))
+
+
+def _split_sql(parent: str, level: str, source: str, out: str) -> str:
+    """One level of water filling: {source} has the parent's budget, supply and weight."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    keep = f"{parent}, {level}" if parent else level
+    return f"""
+{out}_r AS (
+    SELECT *, CASE WHEN weight > 0 THEN supply / weight END AS ratio FROM {source}),
+{out}_t AS (
+    SELECT *, coalesce(sum(CASE WHEN weight > 0 THEN supply END)
+                OVER ({by} ORDER BY ratio ASC NULLS LAST, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS taken,
+           sum(weight) OVER ({by} ORDER BY ratio ASC NULLS LAST, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+    FROM {out}_r),
+{out}_l AS (
+    SELECT *, CASE WHEN weight > 0 AND supply > weight * greatest(budget - taken, 0.0) / rest THEN (budget - taken) / rest END AS own
+    FROM {out}_t),
+{out}_w AS (
+    SELECT *, first_value(own IGNORE NULLS) OVER ({by} ORDER BY ratio ASC NULLS LAST, {level}
+                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS water
+    FROM {out}_l),
+{out} AS (
+    SELECT {keep}, CASE WHEN weight <= 0 THEN 0.0 ELSE least(supply::DOUBLE, coalesce(water * weight, supply::DOUBLE)) END AS budget
+    FROM {out}_w)"""
+
+
+_MIX_SQL = (
+    r"""
+WITH docs AS (
+    SELECT doc_id, lang, source, substr(coalesce(source, ''), 1, 4) AS d, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+           len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n FROM documents),
+leaves AS (SELECT d, l, s, sum(n)::BIGINT AS tokens, sum(n)::BIGINT * 2 AS supply FROM docs GROUP BY d, l, s),
+top AS (SELECT least(floor((SELECT sum(tokens) FROM leaves) * 0.8)::DOUBLE, sum(supply)::DOUBLE) AS budget FROM leaves),
+in_d AS (
+    SELECT d, sum(supply)::BIGINT AS supply, CASE d WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src0' THEN 1.5 ELSE 1.0 END AS weight, (SELECT budget FROM top) AS budget
+    FROM leaves GROUP BY d),"""
+    + _split_sql("", "d", "in_d", "of_d")
+    + r""",
+in_l AS (
+    SELECT x.d, x.l, x.supply, CASE x.l WHEN 'en' THEN 2.0::DOUBLE ELSE 1.0 END AS weight, of_d.budget
+    FROM (SELECT d, l, sum(supply)::BIGINT AS supply FROM leaves GROUP BY d, l) x JOIN of_d ON x.d = of_d.d),"""
+    + _split_sql("d", "l", "in_l", "of_l")
+    + r""",
+in_s AS (
+    SELECT x.d, x.l, x.s, x.supply, 1.0::DOUBLE AS weight, of_l.budget FROM leaves x JOIN of_l ON x.d = of_l.d AND x.l = of_l.l),"""
+    + _split_sql("d, l", "s", "in_s", "of_s")
+    + r""",
+plan AS (
+    SELECT v.d, v.l, v.s, v.tokens, floor(of_s.budget)::BIGINT AS target,
+           CASE WHEN v.tokens > 0 THEN least(floor(of_s.budget)::BIGINT // v.tokens, 2) ELSE 0 END AS whole
+    FROM leaves v JOIN of_s ON v.d = of_s.d AND v.l = of_s.l AND v.s = of_s.s),
+placed AS (
+    SELECT docs.*, target, whole, target - whole * tokens AS remains, md5(concat_ws('|', '17', whole, doc_id)) AS ord
+    FROM docs JOIN plan ON docs.d = plan.d AND docs.l = plan.l AND docs.s = plan.s),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s ORDER BY ord) AS upto FROM placed)
+SELECT doc_id, lang, source, n AS n_words, (whole + CASE WHEN upto <= remains AND remains > 0 THEN 1 ELSE 0 END)::INTEGER AS epochs, target AS leaf_target
+FROM summed WHERE whole + CASE WHEN upto <= remains AND remains > 0 THEN 1 ELSE 0 END > 0
+"""
+)
+
+
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and how it compares with its edited text's and the next document's."""
+    return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
@@ -96,6 +177,8 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
+    "op10_imatch": op10_imatch,
 }
 
-ORACLES = {"op1_line_dedup": _LINES_SQL}
+ORACLES = {"op1_line_dedup": _LINES_SQL, "op8_mixing": _MIX_SQL}
