@@ -9,6 +9,7 @@ from quillon.llm import language, toxicity
 from quillon.llm.bpe import bpe_encode
 from quillon.llm.imatch import edited_fingerprints
 from quillon.llm.jaccard import shingle_components
+from quillon.llm.katz import score_documents
 from quillon.llm.lines import dedup_lines
 from quillon.llm.mixing import mix
 from quillon.llm.sampling import fold
@@ -164,6 +165,11 @@ FROM summed WHERE whole + CASE WHEN upto <= remains AND remains > 0 THEN 1 ELSE
 )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a Katz bigram model, beside an add-one unigram base."""
+    return score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), folds=7, held=2)
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, and how it compares with its edited text's and the next document's."""
     return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -178,6 +184,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_imatch": op10_imatch,
 }
 
