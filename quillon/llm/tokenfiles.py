@@ -2,8 +2,8 @@
 
 The ids of all documents, each with an end id, form one stream in ascending
 doc_id order. It is dealt out to shards by ranges of doc_id; each shard is one
-Arrow IPC file whose columns ``ids`` and ``mask`` are fixed-size lists of
-``length`` entries, so sequence i of a file lies at a computed place and is read
+Arrow IPC file whose columns ``ids`` (in the smallest type that holds the
+vocabulary) and ``mask`` (bits) are fixed-size lists of ``length`` entries, so sequence i of a file lies at a computed place and is read
 from the memory map without copying. The last sequence of a shard is padded with
 zeros, and its mask says so.
 
@@ -16,13 +16,14 @@ follow each other by text; null doc_ids come first; an empty table gives no file
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,16 @@ BATCH_SEQUENCES = 512
 CACHED_CHUNKS = 400_000
 
 _S = r"\t\n\x0b\x0c\r " + WIDE_SPACE
-_CHUNK = regex.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Letters before a plain sign, other signs and digits before a letter, and whatever is left of a run.
+_PIECE = re.compile(rf" ?[{_L}]++(?=[\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[^{_S}{_L}']+(?=[{_L}{_S}]|\Z)| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_SPACED = re.compile(rf" [{_L}]+\Z")
+
+
+def id_type(vocabulary: int) -> np.dtype:
+    """The smallest unsigned type that holds every id."""
+    return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
 class ChunkedEncoder:
@@ -45,32 +55,56 @@ class ChunkedEncoder:
 
     A chunk is a run without white space and the one space before it, or a run
     of white space. Byte-level pre-tokens never reach over a chunk's end, so the
-    ids of a text are those of its chunks, one after another. Texts that hold one
-    of the added tokens go to the tokenizer whole.
+    ids of a text are those of its chunks, one after another. A new chunk is cut
+    into pieces where pre-tokens end in any context, and new pieces of letters
+    after a space go to the tokenizer as one text, told apart by its word numbers.
+    Texts that hold one of the added tokens go to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.type = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.known_pieces: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known_pieces) > CACHED_CHUNKS:
+            self.known_pieces.clear()
+        pieces = self.known_pieces
+        cut = {c: _PIECE.findall(c) for c in chunks}
+        new = {p for found in cut.values() for p in found if p not in pieces}
+        spaced = [p for p in new if _SPACED.match(p)]
+        if spaced:
+            found = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
+            ids, words = np.array(found.ids, dtype=self.type), np.array(found.word_ids)
+            starts = np.searchsorted(words, np.arange(len(spaced) + 1)) * self.type.itemsize
+            raw = ids.tobytes()
+            pieces.update(zip(spaced, (raw[i:j] for i, j in itertools.pairwise(starts.tolist())), strict=True))
+        other = list(new.difference(spaced))
+        pieces.update(zip(other, self._ids(other), strict=True))
+        self.known.update((c, b"".join([pieces[p] for p in found])) for c, found in cut.items())
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian ids of ``type``."""
         if any(t in text for t in self.added):
             return self._ids([text])[0]
-        chunks = _CHUNK.findall(text)
-        new = list({c for c in chunks if c not in self.known})
+        chunks = text.split(" ")
+        if "" in chunks:
+            chunks = _CHUNK.findall(text)
+        else:  # one space between runs: each but the first begins with it
+            chunks = [chunks[0], *map(" ".__add__, chunks[1:])]
+        if len(self.known) > CACHED_CHUNKS:
+            self.known.clear()
+        new = {c for c in chunks if c not in self.known}
         if new:
-            if len(self.known) > CACHED_CHUNKS:
-                self.known.clear()
-                new = list(set(chunks))
-            self.known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.known.__getitem__, chunks))
+            self._learn(new)
+        return b"".join([self.known[c] for c in chunks])
 
 
 _ENCODERS: dict[str, ChunkedEncoder] = {}
@@ -86,15 +120,16 @@ def encoder(path: str) -> ChunkedEncoder:
     return _ENCODERS[path]
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), nullable=False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), length))])
+def sequence_schema(length: int, ids: np.dtype) -> pa.Schema:
+    """Ids of the given type, and one bit of mask each."""
+    return pa.schema([(name, pa.list_(pa.field("item", kind, nullable=False), length)) for name, kind in (("ids", pa.from_numpy_dtype(ids)), ("mask", pa.bool_()))])
 
 
 class SequenceWriter:
     """Writes one shard; ``add`` takes ids as bytes and gives their place in it."""
 
-    def __init__(self, fs: pafs.FileSystem, path: str, length: int):
-        self.fs, self.path, self.length, self.schema = fs, path, length, sequence_schema(length)
+    def __init__(self, fs: pafs.FileSystem, path: str, length: int, ids: np.dtype):
+        self.fs, self.path, self.length, self.type, self.schema = fs, path, length, ids, sequence_schema(length, ids)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.temporary = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
         self.sink = fs.open_output_stream(self.temporary)
@@ -103,15 +138,15 @@ class SequenceWriter:
 
     def add(self, ids: bytes) -> int:
         at = self.n
-        self.n += len(ids) // 4
+        self.n += len(ids) // self.type.itemsize
         self.waiting.append(ids)
         self.held += len(ids)
-        if self.held >= 4 * self.length * BATCH_SEQUENCES:
+        if self.held >= self.type.itemsize * self.length * BATCH_SEQUENCES:
             self._flush(False)
         return at
 
     def _flush(self, last: bool) -> None:
-        flat = np.frombuffer(b"".join(self.waiting), dtype="<u4")
+        flat = np.frombuffer(b"".join(self.waiting), dtype=self.type)
         unit = self.length * BATCH_SEQUENCES
         full = len(flat) // unit * unit
         for i in range(0, full, unit):
@@ -120,10 +155,10 @@ class SequenceWriter:
         if last and len(rest):
             self._write(rest, -(-len(rest) // self.length) * self.length)
             rest = rest[:0]
-        self.waiting, self.held = [rest.tobytes()], 4 * len(rest)
+        self.waiting, self.held = [rest.tobytes()], rest.nbytes
 
     def _write(self, ids: np.ndarray, room: int) -> None:
-        padded, mask = np.zeros(room, np.uint32), np.zeros(room, np.uint8)
+        padded, mask = np.zeros(room, self.type), np.zeros(room, bool)
         padded[: len(ids)], mask[: len(ids)] = ids, 1
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), type=f.type) for v, f in zip((padded, mask), self.schema, strict=True)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
@@ -153,7 +188,8 @@ class SequenceFile:
         """Ids and mask of sequence ``i``."""
         batch = self.reader.get_batch(i // BATCH_SEQUENCES)
         at = i % BATCH_SEQUENCES * self.length
-        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[at : at + self.length] for c in ("ids", "mask"))
+        ids, mask = (batch.column(c).values[at : at + self.length] for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Views of the ids from ``start`` on, ``n`` in all."""
@@ -176,15 +212,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         fs, root = filesystem(folder)
-        end, writer, coder = np.array([end_id], "<u4").tobytes(), None, encoder(tokenizer_path)
+        coder, writer = encoder(tokenizer_path), None
+        end = np.array([end_id], coder.type).tobytes()
         for batch in batches:
             if writer is None:
-                writer = SequenceWriter(fs, f"{root}/{_name(shard)}", length)
+                writer = SequenceWriter(fs, f"{root}/{_name(shard)}", length, coder.type)
             at, n = [], []
             for text in batch["text"].to_pylist():
                 ids = coder.encode(text or "") + end
                 at.append(writer.add(ids))
-                n.append(len(ids) // 4)
+                n.append(len(ids) // coder.type.itemsize)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "shard": pa.array([shard] * len(n), pa.int32()), "at": pa.array(at, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
         if writer:
             writer.close()
@@ -214,7 +251,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         for at, n in zip(table["at"].to_pylist(), table["n_tokens"].to_pylist(), strict=True):
             crc = 0
             for piece in file.pieces(at, n):
-                crc = zlib.crc32(piece, crc)
+                crc = zlib.crc32(piece.astype("<u4"), crc)
             crcs.append(crc)
         start = pa.array(table["at"].to_numpy() + offsets[shard], pa.int64())
         return pa.table({"doc_id": table["doc_id"], "start": start, "n_tokens": table["n_tokens"], "ids_crc32": pa.array(crcs, pa.int64())})
