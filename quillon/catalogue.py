@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.operators import scoring  # noqa: F401
+from quillon.registry import ORACLES, QUERIES  # noqa: F401
