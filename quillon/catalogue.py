@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillon.operators import filters, graph, rules, scoring  # noqa: F401
+from quillon.operators import costs, evalstats, filters, graph, joins, judging, profiles, rules, scoring, windows  # noqa: F401
 from quillon.registry import ORACLES, QUERIES  # noqa: F401

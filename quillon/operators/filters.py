@@ -158,12 +158,12 @@ def search_findings(rows: DataFrame, needle: str, verdicts, severities, limit: i
 @query("flt_search_findings", "checks findings", """
 WITH hit AS (SELECT f.run, f.check_id, c.severity, f.verdict, p.p_name AS title, CASE c.severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS r
     FROM findings f JOIN checks c ON f.check_id = c.check_id JOIN part p ON p.p_partkey = c.check_id
-    WHERE f.verdict IN ('fail', 'partial') AND c.severity IN ('critical', 'high') AND contains(lower(p.p_name), 'part'))
+    WHERE f.verdict IN ('fail', 'partial') AND c.severity IN ('critical', 'high') AND contains(lower(p.p_name), 'ring'))
 SELECT run, check_id, severity, verdict, title, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY r DESC, check_id, run LIMIT 25""")
 def flt_search_findings(spark, sf_dir):
     titles = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("check_id"), F.col("p_name").alias("title"))
     rows = V.findings(spark, sf_dir).join(V.checks(spark, sf_dir), "check_id").join(titles, "check_id").select("run", "check_id", "severity", "verdict", "title")
-    return search_findings(rows, "Part", ("fail", "partial"), ("critical", "high"), 25)
+    return search_findings(rows, "Ring", ("fail", "partial"), ("critical", "high"), 25)
 
 
 def path_allowed(path: Column) -> Column:
