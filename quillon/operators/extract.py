@@ -1,0 +1,275 @@
+"""Fact extraction: regular-expression extractors stay on the JVM, real parsers run over Arrow batches."""
+
+from __future__ import annotations
+
+import ast
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import exprs as E
+from quillon.plans import views as V
+from quillon.registry import query
+
+# Step classes in the order in which they are tried.
+STEP_CLASSES = {"deploy": r"deploy|release|publish|kubectl|terraform apply", "test": r"pytest|\btest|jest|coverage", "lint": r"lint|ruff|eslint|flake8|black|mypy", "build": r"build|compile|docker|install"}
+
+
+def classify_step(command: Column) -> Column:
+    """deploy before test before lint before build, else other."""
+    out = F.lit("other")
+    for name, pattern in reversed(STEP_CLASSES.items()):
+        out = F.when(F.lower(command).rlike(pattern), name).otherwise(out)
+    return out
+
+
+_COMMANDS = ["pytest -q", "ruff check .", "docker build .", "kubectl apply -f x", "echo hi", "npm run lint && npm test", "make build", "terraform apply"]
+
+
+@query("fn_classify_step", "", """SELECT id, CASE WHEN regexp_matches(lower(c), 'deploy|release|publish|kubectl|terraform apply') THEN 'deploy' WHEN regexp_matches(lower(c), 'pytest|\\btest|jest|coverage') THEN 'test'
+WHEN regexp_matches(lower(c), 'lint|ruff|eslint|flake8|black|mypy') THEN 'lint' WHEN regexp_matches(lower(c), 'build|compile|docker|install') THEN 'build' ELSE 'other' END AS step
+FROM (SELECT p_partkey AS id, p_name || ' ' || list_extract(['pytest -q', 'ruff check .', 'docker build .', 'kubectl apply -f x', 'echo hi', 'npm run lint && npm test', 'make build', 'terraform apply'], (p_partkey % 8 + 1)::INTEGER) AS c FROM part)""")
+def fn_classify_step(spark, sf_dir):
+    command = F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), classify_step(command).alias("step"))
+
+
+def doc_type(path: Column) -> Column:
+    """The first of six path patterns that matches."""
+    kinds = (("architecture", r"(?i)architecture|/adr/"), ("readme", r"(?i)(^|/)readme[^/]*$"), ("changelog", r"(?i)(^|/)changelog[^/]*$"), ("api", r"(?i)(openapi|swagger)\.(json|ya?ml)$"), ("tests", r"^tests/.*\.md$"), ("docs", r"\.md$"))
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(kinds):
+        out = F.when(path.rlike(pattern), name).otherwise(out)
+    return out
+
+
+@query("fact_doc_type", "files", r"SELECT path, CASE WHEN regexp_matches(path, '^tests/.*\.md$') THEN 'tests' ELSE 'docs' END AS doc_type FROM files WHERE path LIKE '%.md'")
+def fact_doc_type(spark, sf_dir):
+    return V.files(spark, sf_dir).select("path", doc_type(F.col("path")).alias("doc_type")).filter("doc_type IS NOT NULL")
+
+
+# What lines that address a language model look like.
+INJECTIONS = {"override": r"(?i)ignore (all|any|the) (previous|above)", "role": r"(?i)you are now|act as (an?|the) ", "prompt": r"(?i)system prompt", "grade": r"(?i)(score|grade|rate) (this|it) (as )?(pass|10)", "tags": r"(?i)</?(system|assistant)>"}
+
+
+def injections(lines: DataFrame, signatures: dict[str, str], per_file: int = 5, total: int = 50) -> DataFrame:
+    """(path, line_no, signatures): at most five a file and fifty in all, in path order."""
+    head = F.substring("line", 1, 2000)
+    found = F.array_compact(F.array(*(F.when(head.rlike(p), F.lit(n)) for n, p in signatures.items())))
+    hits = lines.select("path", "line_no", F.array_join(found, "+").alias("signatures")).filter("signatures <> ''")
+    first = hits.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).filter(F.col("rn") <= per_file)
+    return first.drop("rn").orderBy("path", "line_no").limit(total)
+
+
+@query("fact_injection", "lines", """SELECT path, line_no, signatures FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rn FROM (
+SELECT path, line_no, concat_ws('+', CASE WHEN regexp_matches(substr(line, 1, 2000), 'MIT|Apache') THEN 'license' END, CASE WHEN regexp_matches(substr(line, 1, 2000), '(?i)\\bthe the\\b') THEN 'echo' END) AS signatures FROM lines) WHERE signatures <> '') WHERE rn <= 5 ORDER BY path, line_no LIMIT 50""")
+def fact_injection(spark, sf_dir):
+    """The signatures of the test tables, which hold no injections."""
+    return injections(V.lines(spark, sf_dir), {"license": "MIT|Apache", "echo": r"(?i)\bthe the\b"})
+
+
+def js_imports(files: DataFrame) -> DataFrame:
+    """(path, target) of import and require statements, one an edge."""
+    found = F.array_union(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:import|export)\s[^'\"\n]*['\"]([^'\"\n]+)['\"]"), 1), F.regexp_extract_all("text", F.lit(r"require\(\s*['\"]([^'\"\n]+)['\"]\s*\)"), 1))
+    return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
+
+
+
+
+@query("fact_js_imports", "files", r"""WITH f AS (SELECT path, doc_id FROM files WHERE ext = '.ts') SELECT path, './x' || doc_id AS target FROM f UNION ALL SELECT path, '../lib/y' FROM f UNION ALL SELECT path, 'pkg' || doc_id % 3 FROM f""")
+def fact_js_imports(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    text = F.concat(F.lit('import a from "./x'), i, F.lit("\";\nconst b = require('../lib/y');\nimport \"./x"), i, F.lit('";\nimport {c} from "pkg'), (F.col("doc_id") % 3).cast("string"), F.lit('"'))
+    return js_imports(V.files(spark, sf_dir).filter("ext = '.ts'").select("path", text.alias("text")))
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """(path, method, route) of router calls and mappings."""
+    calls = F.regexp_extract_all("text", F.lit(r"(?i)\b(?:app|router)\.((?:get|post|put|patch|delete)\(\s*['\"][^'\"\n]+)['\"]"), 1)
+    maps = F.transform(F.regexp_extract_all("text", F.lit(r"(@(?:Get|Post|Put|Patch|Delete)Mapping\(\s*\"[^\"\n]+)\""), 1), lambda x: F.regexp_replace(x, "@|Mapping", ""))
+    one = F.explode(F.concat(calls, maps)).alias("x")
+    return files.select("path", one).select("path", F.upper(F.regexp_extract("x", r"^(\w+)\(", 1)).alias("method"), F.regexp_extract("x", r"['\"](.+)$", 1).alias("route"))
+
+
+@query("fact_routes_regex", "files", """SELECT path, 'GET' AS method, '/items/' || doc_id AS route FROM files WHERE ext = '.ts' UNION ALL SELECT path, 'POST', '/items' FROM files WHERE ext = '.ts' UNION ALL SELECT path, 'DELETE', '/j' || doc_id FROM files WHERE ext = '.java'""")
+def fact_routes_regex(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    text = F.when(F.col("ext") == ".ts", F.concat(F.lit("app.get('/items/"), i, F.lit("', f)\nrouter.post(\"/items\", g)"))).otherwise(F.concat(F.lit('@DeleteMapping("/j'), i, F.lit('")')))
+    return routes(V.files(spark, sf_dir).filter("ext IN ('.ts', '.java')").select("path", text.alias("text")))
+
+
+@query("fact_test_counts", "lines", """SELECT path, count(*) FILTER (WHERE regexp_matches(line, '\\bthe\\b')) AS tests, sum(len(regexp_extract_all(line, '\\bof\\b')))::BIGINT AS asserts, min(CASE WHEN regexp_matches(line, '\\bthe\\b') THEN line_no END) AS first_line FROM lines WHERE path LIKE 'tests/%' GROUP BY path""")
+def fact_test_counts(spark, sf_dir):
+    return test_counts(V.lines(spark, sf_dir).filter("path LIKE 'tests/%'"), r"\bthe\b", r"\bof\b")
+
+
+def test_counts(lines: DataFrame, test: str, check: str) -> DataFrame:
+    """(path, tests, asserts, first_line) by the patterns of a test framework."""
+    is_test = F.col("line").rlike(test)
+    return lines.groupBy("path").agg(F.count_if(is_test).alias("tests"), F.sum(F.regexp_count("line", F.lit(check))).alias("asserts"), F.min(F.when(is_test, F.col("line_no"))).alias("first_line"))
+
+
+test_counts.__test__ = False
+
+
+@query("fact_log_calls", "lines", """SELECT path, line_no, CASE WHEN regexp_matches(line, '(?i)\\btoken = ') THEN 'log_call' ELSE 'print_call' END AS kind FROM lines WHERE regexp_matches(line, '(?i)\\btoken = ') OR regexp_matches(line, 'MIT|Apache')""")
+def fact_log_calls(spark, sf_dir):
+    return calls(V.lines(spark, sf_dir), r"(?i)\btoken = ", r"MIT|Apache")
+
+
+def calls(lines: DataFrame, log: str, debug: str) -> DataFrame:
+    """(path, line_no, kind) of log calls and of debug prints."""
+    kind = F.when(F.col("line").rlike(log), "log_call").when(F.col("line").rlike(debug), "print_call")
+    return lines.select("path", "line_no", kind.alias("kind")).filter("kind IS NOT NULL")
+
+
+def file_metrics(lines: DataFrame, public: str, comment: str) -> DataFrame:
+    """(path, loc, public, documented): public definitions, and those whose last non-blank line before is a comment."""
+    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.trim("line") != "", F.col("line")), ignorenulls=True).over(order)
+    marked = lines.withColumn("pub", F.col("line").rlike(public)).withColumn("doc", F.coalesce(before.rlike(comment), F.lit(False)))
+    return marked.groupBy("path").agg(F.count_if(F.trim("line") != "").alias("loc"), F.count_if("pub").alias("public"), F.count_if(F.col("pub") & F.col("doc")).alias("documented"))
+
+
+@query("fact_file_metrics", "lines", """WITH p AS (SELECT *, last_value(CASE WHEN trim(line) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lines)
+SELECT path, count(*) FILTER (WHERE trim(line) <> '') AS loc, count(*) FILTER (WHERE regexp_matches(line, '^T')) AS public, count(*) FILTER (WHERE regexp_matches(line, '^T') AND coalesce(regexp_matches(before, '^[A-M]'), false)) AS documented FROM p GROUP BY path""")
+def fact_file_metrics(spark, sf_dir):
+    return file_metrics(V.lines(spark, sf_dir), "^T", "^[A-M]")
+
+
+def dockerfiles(files: DataFrame) -> DataFrame:
+    """(path, stages, user, healthcheck, bases): the last stage's user and health check; bases are neither aliases nor scratch."""
+    text = F.regexp_replace(F.regexp_replace("text", r"\\\r?\n", " "), r"(?m)^\s*#.*\n?", "")
+    rows = files.select("path", F.posexplode(E.split_lines(text))).withColumn("word", F.upper(F.regexp_extract("col", r"^\s*(\w+)", 1))).withColumn("rest", F.regexp_extract("col", r"^\s*\w+\s+(.*)$", 1))
+    order = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    staged = rows.withColumn("stage", F.count_if(F.col("word") == "FROM").over(order))
+    base, alias = F.regexp_extract("rest", r"^(?:--\S+\s+)*(\S+)", 1), F.lower(F.regexp_extract("rest", r"(?i)\sas\s+(\S+)", 1))
+    each = staged.groupBy("path", "stage").agg(
+        F.max(F.when(F.col("word") == "USER", F.struct("pos", "rest")))["rest"].alias("user"), F.coalesce(F.bool_or((F.col("word") == "HEALTHCHECK") & (F.upper("rest") != "NONE")), F.lit(False)).alias("healthcheck"),
+        F.max(F.when(F.col("word") == "FROM", base)).alias("base"), F.max(F.when(F.col("word") == "FROM", alias)).alias("alias"),
+    ).filter("stage > 0")
+    out = each.groupBy("path").agg(F.max("stage").alias("stages"), F.max(F.struct("stage", "user", "healthcheck")).alias("x"), F.array_sort(F.collect_set("base")).alias("b"), F.collect_set("alias").alias("a"))
+    bases = F.filter("b", lambda v: ~F.array_contains("a", F.lower(v)) & (v != "scratch"))
+    return out.select("path", "stages", F.col("x.user").alias("user"), F.col("x.healthcheck").alias("healthcheck"), F.array_join(bases, ",").alias("bases"))
+
+
+@query("fact_dockerfile", "files", """SELECT path, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS stages, CASE WHEN doc_id % 3 = 0 THEN 'app' END AS "user", doc_id % 5 = 0 AS healthcheck,
+CASE WHEN doc_id % 2 = 0 THEN 'node:' || doc_id % 7 || ',python:3' ELSE 'python:3' END AS bases FROM files WHERE ext = '.go'""")
+def fact_dockerfile(spark, sf_dir):
+    i = F.col("doc_id")
+    first = F.when(i % 2 == 0, F.concat(F.lit("FROM node:"), (i % 7).cast("string"), F.lit(" AS build\nUSER root\n# note\nHEALTHCHECK CMD x\nFROM --platform=linux python:3\nCOPY --from=build a b\n"))).otherwise(F.lit("FROM python:3\nRUN a && \\\n  USER fake\n"))
+    text = F.concat(first, F.when(i % 3 == 0, F.lit("USER app\n")).otherwise(F.lit("")), F.when(i % 5 == 0, F.lit("HEALTHCHECK CMD curl x\n")).otherwise(F.lit("HEALTHCHECK NONE\n")))
+    return dockerfiles(V.files(spark, sf_dir).filter("ext = '.go'").select("path", text.alias("text")))
+
+
+def requirements(files: DataFrame) -> DataFrame:
+    """(path, name, version, pinned) of requirement lines; extras and markers are cut off."""
+    rows = files.select("path", F.explode(E.split_lines(F.col("text"))).alias("x")).withColumn("x", F.trim(F.regexp_replace("x", r"(\s+#|;).*$|^#.*$", "")))
+    one = rows.filter(~F.col("x").rlike("^(-|$)"))
+    return one.select("path", F.lower(F.regexp_extract("x", r"^([A-Za-z0-9._-]+)", 1)).alias("name"), F.regexp_extract("x", r"==\s*([^\s,]+)", 1).alias("version"), F.col("x").rlike(r"==\s*[^\s,*]+$").alias("pinned"))
+
+
+@query("fact_requirements", "files", """SELECT path, 'flask' AS name, '2.' || doc_id AS version, true AS pinned FROM files WHERE ext = '.py' UNION ALL SELECT path, 'requests', '', false FROM files WHERE ext = '.py'""")
+def fact_requirements(spark, sf_dir):
+    text = F.concat(F.lit("# top\nFlask[async]==2."), F.col("doc_id").cast("string"), F.lit("  # web\n-r base.txt\nrequests>=2 ; python_version > '3'\n"))
+    return requirements(V.files(spark, sf_dir).filter("ext = '.py'").select("path", text.alias("text")))
+
+
+OSV_SCHEMA = "results array<struct<source struct<path string>, packages array<struct<package struct<name string, version string>, vulnerabilities array<struct<id string, database_specific struct<severity string>>>, groups array<struct<ids array<string>, max_severity string>>>>>>"
+
+
+def osv_severities(raw: DataFrame) -> DataFrame:
+    """(name, group, severity) of captured scanner JSON: buckets of the score at 9, 7, 4 and above 0, else the best label, else medium."""
+    p = raw.select(F.explode(F.from_json("json", OSV_SCHEMA)["results"]).alias("r")).select(F.explode("r.packages").alias("p"))
+    g = p.select(F.col("p.package.name").alias("name"), F.col("p.vulnerabilities").alias("v"), F.explode("p.groups").alias("g"))
+    score = F.expr("try_cast(g.max_severity AS DOUBLE)")
+    labels = F.transform(F.filter("v", lambda x: F.array_contains("g.ids", x["id"])), lambda x: E.severity_rank(F.when(F.lower(x["database_specific"]["severity"]) == "moderate", "medium").otherwise(F.lower(x["database_specific"]["severity"]))))
+    best = F.array_max(labels)
+    severity = F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").when(best >= 0, F.element_at(F.array(*map(F.lit, E.SEVERITIES)), best + 1)).otherwise("medium")
+    return g.select("name", F.element_at("g.ids", 1).alias("group"), severity.alias("severity"))
+
+
+@query("fact_osv_severity", "", """SELECT p_name AS name, 'G-' || p_partkey AS "group", CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size / 5.0 >= 9 THEN 'critical' WHEN p_size / 5.0 >= 7 THEN 'high' WHEN p_size / 5.0 >= 4 THEN 'medium' WHEN p_size > 0 THEN 'low' ELSE 'medium' END WHEN p_size % 3 = 1 THEN 'medium' ELSE 'high' END AS severity FROM part""")
+def fact_osv_severity(spark, sf_dir):
+    size = F.col("p_size")
+    ident = F.concat(F.lit("G-"), F.col("p_partkey").cast("string"))
+    label = F.when(size % 3 == 1, "MODERATE").when(size % 3 == 2, "HIGH")
+    vuln = F.struct(ident.alias("id"), F.struct(label.alias("severity")).alias("database_specific"))
+    group = F.struct(F.array(ident).alias("ids"), F.when(size % 3 == 0, (size / 5.0).cast("string")).otherwise("").alias("max_severity"))
+    package = F.struct(F.struct(F.col("p_name").alias("name"), F.lit("1").alias("version")).alias("package"), F.array(vuln).alias("vulnerabilities"), F.array(group).alias("groups"))
+    body = F.struct(F.array(F.struct(F.struct(F.lit("a").alias("path")).alias("source"), F.array(package).alias("packages"))).alias("results"))
+    return osv_severities(V.table(spark, sf_dir, "part").select(F.to_json(body).alias("json")))
+
+
+@query("fact_secret_spans", "lines", """SELECT path, line_no, strpos(line, 'token = ') AS start_col, strpos(line, 'token = ') + length(regexp_extract(line, 'token = "[0-9a-f]{40}"')) AS stop_col FROM lines WHERE regexp_matches(line, 'token = "[0-9a-f]{40}"') AND path NOT LIKE 'build/%'""")
+def fact_secret_spans(spark, sf_dir):
+    """Spans of secrets in files of the snapshot."""
+    secret = F.regexp_extract("line", 'token = "[0-9a-f]{40}"', 0)
+    rows = V.lines(spark, sf_dir).filter(F.col("line").rlike('token = "[0-9a-f]{40}"'))
+    start = F.instr("line", "token = ")
+    kept = V.files(spark, sf_dir).filter(~F.col("path").startswith("build/")).select("path")
+    return rows.select("path", "line_no", start.alias("start_col"), (start + F.length(secret)).alias("stop_col")).join(kept, "path", "left_semi")
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """(path, target, level) of Python import statements, by the parser; files that don't parse give no rows."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, text in zip(frame["path"], frame["text"], strict=True):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError):
+                    continue
+                found = set()
+                for node in ast.walk(tree):
+                    if isinstance(node, ast.Import):
+                        found |= {(alias.name, 0) for alias in node.names}
+                    elif isinstance(node, ast.ImportFrom):
+                        found.add((node.module or "", node.level))
+                out += [(path, target, level) for target, level in sorted(found)]
+            yield pd.DataFrame(out, columns=["path", "target", "level"])
+
+    return files.select("path", "text").mapInPandas(parse, "path string, target string, level int")
+
+
+_SECRETS = ((r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0, "private-key"), (r"\bAKIA[0-9A-Z]{16}\b", 0, "aws-key"), (r"\bgh[pousr]_[A-Za-z0-9]{36}\b", 0, "github-token"), (r"(?i)\b(?:token|secret|password|api_key)\s*[=:]\s*[\"']([^\"'\s]{12,})[\"']", 1, "generic-secret"))
+
+
+def entropy(value: str) -> float:
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+
+
+def redact_text(text: str, floor: float = 3.0) -> str:
+    """Known secrets by pattern, in order; generic ones only above an entropy. Line breaks stay."""
+    for pattern, group, name in _SECRETS:
+
+        def cover(m: re.Match, group: int = group, name: str = name) -> str:
+            secret = m.group(group)
+            if group and entropy(secret) < floor:
+                return m.group(0)
+            cover_ = f"[REDACTED:{name}]" + "\n" * secret.count("\n")
+            return m.group(0).replace(secret, cover_)
+
+        text = re.sub(pattern, cover, text)
+    return text
+
+
+def redact(rows: DataFrame, column: str = "text") -> DataFrame:
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else redact_text(t))
+
+    return rows.withColumn(column, cover(column))
+
+
+@query("redact_documents", "", """SELECT doc_id, sha256(regexp_replace(text, '(token = ")[0-9a-f]{40}(")', '\\1[REDACTED:generic-secret]\\2', 'g')) AS text_sha256 FROM documents""")
+def redact_documents(spark, sf_dir):
+    return redact(V.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
