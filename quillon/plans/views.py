@@ -37,10 +37,17 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, check_id, verdict, status, path_no, start_line), one for each run and check.
 
-    The least row of a group is a plain aggregate: no sort, and partial sums before the shuffle.
+    The least row of a group is the minimum of one packed number, which keeps the
+    aggregation hashed and in generated code; rows compare by order, line, verdict
+    and status.
     """
-    first = _judged(spark, sf_dir).groupBy("run", "check_id").agg(F.min(F.struct("l_orderkey", "l_linenumber", "verdict", "status")).alias("x"))
-    return first.select("run", "check_id", "x.verdict", "x.status", (F.col("x.l_orderkey") % 50).cast("int").alias("path_no"), (F.col("x.l_orderkey") % 97 + 1).cast("int").alias("start_line"))
+    verdicts = sorted(E.VERDICTS)
+    code = E.choose(F.col("verdict"), {v: k for k, v in enumerate(verdicts)})
+    packed = F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 100 + code * 10 + F.when(F.col("status") == "verified", 1).otherwise(0)
+    first = _judged(spark, sf_dir).groupBy("run", "check_id").agg(F.min(packed).alias("x"))
+    order = F.expr("x div 100000")
+    verdict = E.choose(F.expr("x div 10 % 10"), dict(enumerate(verdicts)))
+    return first.select("run", "check_id", verdict.alias("verdict"), F.when(F.col("x") % 10 == 1, "verified").otherwise("unverified").alias("status"), (order % 50).cast("int").alias("path_no"), (order % 97 + 1).cast("int").alias("start_line"))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
