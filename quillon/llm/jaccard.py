@@ -11,8 +11,8 @@ exactly, as sorted arrays.
 
 A tile yields no more pairs than it has members: a spanning forest of its
 surviving pairs. A pair of the forest that fails the exact test is excluded, and
-its tiles are searched again between the components found so far, until no
-forest has a failing pair. Then every linked pair lies within one component, so
+its tiles are searched again between the components found so far, for eight
+times as many forests, until no forest has a failing pair. Then every linked pair lies within one component, so
 no link between different sets is lost, without any cap on tiles or partners.
 
 Edge cases: null or empty texts and texts without words have no shingles, no
@@ -64,37 +64,47 @@ def shingle_set(text: str, words: int) -> np.ndarray:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
     k = min(words, len(h))
-    total = np.zeros(len(h) - k + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(h[j : len(h) - k + 1 + j], j)
-    return np.unique(mixed(total, 100 + k))
+    n = len(h) - k + 1
+    total = h[:n].copy()
+    for j in range(1, k):  # integer arrays wrap around
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += h[j : n + j]
+    total = mixed(total, k)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def set_id(shingles: np.ndarray) -> int:
     """A signed 64-bit name of the set."""
     with np.errstate(over="ignore"):
-        return int((mixed(shingles, 200).sum(dtype=np.uint64) ^ np.uint64(len(shingles))).astype(np.int64))
+        total = shingles.sum(dtype=np.uint64, keepdims=True)
+    return int(mixed(total, len(shingles)).view(np.int64)[0])
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity bitmap of at least as many bits as shingles, a power of two."""
-    width = max(64, 1 << (len(shingles) - 1).bit_length())
+    """Parity bitmap of a power of two of bits, at least four to a shingle."""
+    width = max(64, 1 << (4 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 class Bands:
     """The size bands for a threshold num/den, and the parts of each band."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.edges = num, den, [1]
+        self.num, self.den, self.edges, self._cuts = num, den, [1], {}
 
     def _grow(self, size: int) -> None:
         while self.edges[-1] <= size or len(self.edges) < 3:
             low = self.edges[-1]
             self.edges.append(max(low + 1, (low - 1) * self.den // self.num + 1))
 
+    def cuts(self, k: int) -> np.ndarray:
+        """The bounds between ``k`` equal parts of the hash space."""
+        if k not in self._cuts:
+            self._cuts[k] = np.array([-(-(i << 64) // k) for i in range(1, k)], np.uint64)
+        return self._cuts[k]
+
     def of(self, size: int) -> list[tuple[int, int]]:
         """(band, parts) of the one or two bands in which a set of this size meets others."""
         self._grow(size)
@@ -112,18 +122,20 @@ class Bands:
 
 
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """One 64-bit signature for each band and part in which the set can match."""
+    """One 64-bit signature for each band and part in which the set can match.
+
+    Parts are ranges of the sorted shingles, so their sums are differences of one running sum.
+    """
     out = []
-    with np.errstate(over="ignore"):
-        values = mixed(shingles, 300)
-        for band, k in bands.of(len(shingles)):
-            at = (mixed(shingles, 400) % np.uint64(k)).astype(np.int64)
-            sums, filled = np.zeros(k, np.uint64), np.bincount(at, minlength=k) > 0
-            np.add.at(sums, at, values)
-            if k - filled.sum() > SPARE_PARTS:
-                filled[:] = True
-            part = np.flatnonzero(filled)
-            out.append(mixed(sums[part] + np.uint64(band + 1) * np.uint64(0xD6E8FEB86659FD93) + part.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 500))
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)))
+    for band, k in bands.of(len(shingles)):
+        at = np.concatenate(([0], np.searchsorted(shingles, bands.cuts(k)), [len(shingles)]))
+        filled = at[1:] > at[:-1]
+        if k - filled.sum() > SPARE_PARTS:
+            filled[:] = True
+        part = np.flatnonzero(filled)
+        sums = running[at[part + 1]] - running[at[part]]
+        out.append(mixed(sums + part.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 500 + band))
     return np.concatenate(out)
 
 
@@ -228,8 +240,8 @@ def _forest(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], labels: np.
     return edges
 
 
-def _candidates(tiles: DataFrame, sets: DataFrame, num: int, den: int, labels: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
-    """(tile, a, b): the forests of all tiles."""
+def _candidates(tiles: DataFrame, sets: DataFrame, num: int, den: int, labels: DataFrame | None = None, failed: DataFrame | None = None, forests: int = 1) -> DataFrame:
+    """(tile, a, b): ``forests`` forests of each tile without a pair in common."""
     members = tiles.join(sets, "set_id")
     members = members.join(labels, members.set_id == labels.node, "left").withColumn("label", F.coalesce("component", "set_id")) if labels else members.withColumn("label", F.col("set_id"))
     rows = members.select("tile", F.lit(1).alias("kind"), "set_id", F.col("label"), F.col("n_shingles").alias("n"), "bitmap")
@@ -250,9 +262,13 @@ def _candidates(tiles: DataFrame, sets: DataFrame, num: int, den: int, labels: D
                 if len(set(labels[k:j].tolist())) < 2:
                     continue
                 bad = set(zip(names[i:k].tolist(), labels[i:k].tolist(), strict=True))
-                for x, y in _forest(names[k:j], n[k:j], maps[k:j], labels[k:j], bad, num, den):
-                    a, b = int(names[k + x]), int(names[k + y])
-                    found.append((int(tile[i]), min(a, b), max(a, b)))
+                for _ in range(forests):
+                    edges = _forest(names[k:j], n[k:j], maps[k:j], labels[k:j], bad, num, den)
+                    pairs = [tuple(sorted((int(names[k + x]), int(names[k + y])))) for x, y in edges]
+                    found += [(int(tile[i]), a, b) for a, b in pairs]
+                    bad.update(pairs)
+                    if not pairs:
+                        break
             columns = zip(*found, strict=True) if found else ([], [], [])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
 
@@ -321,7 +337,7 @@ def shingle_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     found = Stored(_candidates(tiles, plain, num, den), "shingle-pairs").read()
     wanted = found.select(F.col("a").alias("set_id")).union(found.select("b")).distinct().join(sets.select("set_id", "doc_id"), "set_id")
     arrays = Stored(_arrays(docs, wanted, words).dropDuplicates(["set_id"]), "shingle-arrays").read()
-    links, failed, labels = [], [], None
+    links, failed, labels, forests = [], [], None, 1
     while True:
         tested = Stored(_verified(found.select("a", "b").distinct(), arrays, num, den), "shingle-tested").read()
         links.append(tested.filter("linked").select("a", "b"))
@@ -337,7 +353,8 @@ def shingle_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         for more in failed[1:]:
             known = known.unionByName(more)
         again = tiles.join(wrong.select("tile").distinct(), "tile", "left_semi")
-        found = Stored(_candidates(again, plain, num, den, labels, known.join(wrong.select("tile").distinct(), "tile", "left_semi")), "shingle-pairs").read()
+        forests *= 8
+        found = Stored(_candidates(again, plain, num, den, labels, known.join(wrong.select("tile").distinct(), "tile", "left_semi"), forests), "shingle-pairs").read()
     named = sets.join(labels, sets.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "label").select("set_id", "component_id")
