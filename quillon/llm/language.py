@@ -42,11 +42,15 @@ SEGMENT, SEGMENTS, EPOCHS, RATE, BATCH = 30, 4, 4, 0.5, 32
 CACHED_WORDS = 300_000
 UNKNOWN = "und"
 
-_WORDS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def normal(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(unicodedata.normalize("NFC", text).lower())
+    return _WORDS.findall(normal(text))
 
 
 def subwords(word: str) -> np.ndarray:
@@ -75,31 +79,29 @@ class LanguageModel:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.labels) + 1))
 
-    def _row(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            at = self.known[word] = len(self.known)
-            if at == len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            grams = subwords(word)
+    def _learn(self, chunks: set[str]) -> None:
+        """Keep the share of each run without white space: its words' logits and number of subwords."""
+        while len(self.known) + len(chunks) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        for chunk in chunks:
+            at = self.known[chunk] = len(self.known)
+            grams = np.concatenate([subwords(w) for w in found]) if (found := _WORDS.findall(chunk)) else np.zeros(0, np.int64)
             self.rows[at, :-1], self.rows[at, -1] = self.table[grams].sum(axis=0), len(grams)
-        return at
 
     def logits(self, text: str) -> np.ndarray | None:
         """None without a letter."""
-        found = words(text)
-        if not found or not self.labels:
+        chunks = normal(text).split()
+        if not self.labels:
             return None
         total = np.zeros(self.rows.shape[1])
-        for i in range(0, len(found), 10_000):
-            part = found[i : i + 10_000]
-            if len(self.known) + len(part) > CACHED_WORDS:
+        for i in range(0, len(chunks), 50_000):
+            part = chunks[i : i + 50_000]
+            if len(self.known) > CACHED_WORDS:
                 self.known.clear()
-            at = [self._row(w) for w in part]
-            total += self.rows[at].sum(axis=0)
-        return total[:-1] / total[-1] + self.bias
+            if new := {c for c in part if c not in self.known}:
+                self._learn(new)
+            total += self.rows[[self.known[c] for c in part]].sum(axis=0)
+        return total[:-1] / total[-1] + self.bias if total[-1] else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether it is rejected."""
