@@ -35,14 +35,14 @@ SHARD_BYTES = 32 << 20
 #: Sequences in one record batch of a file.
 BATCH_SEQUENCES = 512
 #: Chunks whose ids a Python worker keeps.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 900_000
+CACHED_PIECES = 400_000
 
 _S = r"\t\n\x0b\x0c\r " + WIDE_SPACE
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Letters before a plain sign, other signs and digits before a letter, and whatever is left of a run.
 _PIECE = re.compile(rf" ?[{_L}]++(?=[\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[^{_S}{_L}']+(?=[{_L}{_S}]|\Z)| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_SPACED = re.compile(rf" [{_L}]+\Z")
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -57,7 +57,7 @@ class ChunkedEncoder:
     of white space. Byte-level pre-tokens never reach over a chunk's end, so the
     ids of a text are those of its chunks, one after another. A new chunk is cut
     into pieces where pre-tokens end in any context, and new pieces of letters
-    after a space go to the tokenizer as one text, told apart by its word numbers.
+    after a space go to the tokenizer as one text, told apart by their bytes.
     Texts that hold one of the added tokens go to it whole.
     """
 
@@ -67,6 +67,9 @@ class ChunkedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(names.values()) + 1, np.int64)  # a byte-level token has a letter for each byte
+        self.widths[list(names.values())] = list(map(len, names))
         self.known: dict[str, bytes] = {}
         self.known_pieces: dict[str, bytes] = {}
 
@@ -74,18 +77,19 @@ class ChunkedEncoder:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known_pieces) > CACHED_CHUNKS:
+        if len(self.known_pieces) > CACHED_PIECES:
             self.known_pieces.clear()
         pieces = self.known_pieces
-        cut = {c: _PIECE.findall(c) for c in chunks}
+        cut = {c: [c] if c[:1] == " " and c[1:].isalpha() else _PIECE.findall(c) for c in chunks}
         new = {p for found in cut.values() for p in found if p not in pieces}
-        spaced = [p for p in new if _SPACED.match(p)]
+        spaced = [p for p in new if p[:1] == " " and p[1:].isalpha()]
         if spaced:
-            found = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            ids, words = np.array(found.ids, dtype=self.type), np.array(found.word_ids)
-            starts = np.searchsorted(words, np.arange(len(spaced) + 1)) * self.type.itemsize
+            found = self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype=self.type)
+            ends = np.cumsum([len(p.encode()) for p in spaced])
+            cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.type.itemsize
             raw = ids.tobytes()
-            pieces.update(zip(spaced, (raw[i:j] for i, j in itertools.pairwise(starts.tolist())), strict=True))
+            pieces.update(zip(spaced, (raw[i:j] for i, j in itertools.pairwise([0, *cuts.tolist()])), strict=True))
         other = list(new.difference(spaced))
         pieces.update(zip(other, self._ids(other), strict=True))
         self.known.update((c, b"".join([pieces[p] for p in found])) for c, found in cut.items())
