@@ -56,7 +56,8 @@ def prefix_join(names: DataFrame, prefixes: DataFrame, ends: str = r"[./-]") ->
 @query("join_prefix_detect", "files", """SELECT path AS name, prefix FROM files JOIN (VALUES ('src/src1'), ('SRC/src2/en'), ('tests'), ('vendor/src3')) p(prefix)
 ON lower(path) = lower(prefix) OR starts_with(lower(path), lower(prefix) || '/') OR starts_with(lower(path), lower(prefix) || '.') OR starts_with(lower(path), lower(prefix) || '-')""")
 def join_prefix_detect(spark, sf_dir):
-    prefixes = spark.createDataFrame([("src/src1",), ("SRC/src2/en",), ("tests",), ("vendor/src3",)], "prefix string")
+    names = ("src/src1", "SRC/src2/en", "tests", "vendor/src3")
+    prefixes = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("prefix"))
     return prefix_join(V.files(spark, sf_dir).select(F.col("path").alias("name")), F.broadcast(prefixes)).select("name", "prefix")
 
 
