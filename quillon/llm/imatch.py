@@ -28,6 +28,7 @@ from quillon.llm.common import Stored, parts
 #: The band: shares of all documents that a term must be in, and may be in at the most.
 LEAST_SHARE, MOST_SHARE = 0.01, 0.2
 SUBSETS = 64
+_NONE, _NO_ID = "------", -(1 << 63)
 #: Ids of one range when finding the next document.
 RANGE_IDS = 100_000
 
@@ -69,17 +70,18 @@ def band_terms(name: str, lexicon_ids: list[int]) -> Column:
 
 
 def fingerprint(hashes: Column, text: Column) -> Column:
-    """One string of the subsets' hashes; without any, of the whole text."""
-    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(h, F.lit("-"))), "")
+    """One string of the subsets' hashes, six letters each; without any, of the whole text."""
+    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(h, F.lit(_NONE))), "")
     return F.when(F.exists(hashes, lambda h: h.isNotNull()), joined).otherwise(F.concat(F.lit("text:"), F.sha2(text, 256)))
 
 
-def likeness(a: Column, b: Column, fa: Column, fb: Column) -> Column:
-    """Share of agreeing subsets among those in which either has a term."""
-    both = F.arrays_zip(a.alias("x"), b.alias("y"))
-    some = F.size(F.filter(both, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    same = F.size(F.filter(both, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False))))
-    return F.when(fa == fb, 1.0).when(some == 0, 0.0).otherwise(same / some).cast("double")
+def likeness(a: Column, b: Column) -> Column:
+    """Share of agreeing subsets among those in which either of two fingerprints has a term."""
+    part = lambda f, i: F.substring(f, i * len(_NONE) + 1, F.lit(len(_NONE)))
+    numbers = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+    some = F.size(F.filter(numbers, lambda i: (part(a, i) != _NONE) | (part(b, i) != _NONE)))
+    same = F.size(F.filter(numbers, lambda i: (part(a, i) == part(b, i)) & (part(a, i) != _NONE)))
+    return F.when(a == b, 1.0).when(a.startswith("text:") | b.startswith("text:"), 0.0).otherwise(same / some).cast("double")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -107,30 +109,29 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
 
 
 def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """Every document's fingerprint beside those of its edited text and of the next document."""
+    """Every document's fingerprint beside those of its edited text and of the next document.
+
+    Texts move once, by id, with their fingerprints (both sides of the join read the
+    one exchange); what the next document lends to the edit moves once more.
+    """
     terms = lexicon(docs, least, most)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select("doc_id", text.alias("text"))
-    following = next_ids(plain.select("doc_id").distinct())
-    sized = plain.select("doc_id", (F.length("text") / 2).cast("long").alias("half")).groupBy("doc_id").agg(F.max("half").alias("half")).join(following, "doc_id", "left")
-    sized = Stored(sized.select(F.col("doc_id").alias("for_id"), "half", F.coalesce("next_id", "doc_id").alias("next_id")), "next-documents").read()
-
-    mine = plain.repartition("doc_id")
-    hashed = mine.withColumn("hashes", subset_hashes(band_terms("text", terms)))
-    one = hashed.groupBy("doc_id").agg(F.min(F.struct("text", "hashes")).alias("least")) if _repeats(plain) else hashed.select("doc_id", F.struct("text", "hashes").alias("least"))
-    heads = one.join(sized, F.col("doc_id").eqNullSafe(F.col("next_id"))).select("for_id", F.substring(F.col("least.text"), F.lit(1), F.col("half").cast("int")).alias("head"), F.col("least.hashes").alias("next_hashes"), F.when(F.exists("least.hashes", lambda h: h.isNotNull()), F.lit(None)).otherwise(F.sha2(F.col("least.text"), 256)).alias("next_whole"))
-    both = hashed.join(heads, F.col("doc_id").eqNullSafe(F.col("for_id")))
+    # a null id is the last one, under a number of its own: joins by plain equality keep the partitioning
+    plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    following = next_ids(plain.select(F.col("key").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "key")
+    halves = plain.groupBy("key").agg(F.max((F.length("text") / 2).cast("int")).alias("half"))
+    lends = Stored(halves.join(following, "key").select(F.col("key").alias("for_key"), "half", "next_id"), "next-documents").read()
+
+    hashed = plain.withColumn("hashes", subset_hashes(band_terms("text", terms))).withColumn("fingerprint", fingerprint(F.col("hashes"), F.col("text"))).drop("hashes").repartition("key")
+    least_text = hashed.groupBy("key").agg(F.min(F.struct("text", "fingerprint")).alias("x")).select("key", "x.text", "x.fingerprint") if _repeats(plain) else hashed.select("key", "text", "fingerprint")
+    heads = least_text.join(lends, F.col("key") == F.col("next_id")).select("for_key", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("fingerprint").alias("next_print"))
+    both = hashed.join(heads, F.col("key") == F.col("for_key"))
     n_chars = F.length("text").cast("long")
-    half = (n_chars / 2).cast("long")
-    both = both.withColumn("n_chars", n_chars).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n_chars - half).cast("int")), F.substring(F.col("head"), F.lit(1), half.cast("int"))))
-    both = both.withColumn("edited_hashes", subset_hashes(band_terms("edited", terms)))
-    both = both.withColumn("fingerprint", fingerprint(F.col("hashes"), F.col("text"))).withColumn("edited_fingerprint", fingerprint(F.col("edited_hashes"), F.col("edited")))
-    next_print = F.when(F.col("next_whole").isNull(), F.array_join(F.transform("next_hashes", lambda h: F.coalesce(h, F.lit("-"))), "")).otherwise(F.concat(F.lit("text:"), F.col("next_whole")))
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-                       likeness(F.col("hashes"), F.col("edited_hashes"), F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("hashes"), F.col("next_hashes"), F.col("fingerprint"), next_print).alias("near_next"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    n, distinct = docs.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
+    half = (n_chars / 2).cast("int")
+    both = both.withColumn("n_chars", n_chars).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n_chars - half).cast("int")), F.substring("head", F.lit(1), half)))
+    both = both.withColumn("edited_hashes", subset_hashes(band_terms("edited", terms))).withColumn("edited_fingerprint", fingerprint(F.col("edited_hashes"), F.col("edited")))
+    return both.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
+
+
+def _repeats(plain: DataFrame) -> bool:
+    n, distinct = plain.agg(F.count("*"), F.count_distinct("key")).first()
     return n != distinct
