@@ -39,7 +39,7 @@ SAMPLE_DOCUMENTS = 4000
 REJECT = 0.001
 BUCKETS, DIMS, GRAMS = 1 << 15, 16, (2, 3, 4)
 SEGMENT, SEGMENTS, EPOCHS, RATE, BATCH = 30, 4, 4, 0.5, 32
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 UNKNOWN = "und"
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")

@@ -44,7 +44,7 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine tu te
 DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
 NEAR, STEMS = 5, (4, 5)
 TREES, DEPTH, RATE, BINS, LEAST = 60, 3, 0.15, 32, 8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 
 _EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _LETTERS = regex.compile(r"\p{L}")
