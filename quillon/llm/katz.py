@@ -8,7 +8,7 @@ mass that the discounts of h's followers leave to the words that don't follow h,
 so each context sums to one. A context whose followers were all seen more often
 than ``K`` times reserves 1 / (c(h) + 1).
 
-Layout. Documents become token blocks (one for each Arrow batch) with a
+Layout. Documents become token blocks of a few megabytes with a
 vocabulary of their own. Word tables are partitioned by word hash; every block
 asks them for the counts of its distinct words and gets them back in the order
 asked. Bigram tables are partitioned by context, each block sending a distinct
@@ -33,7 +33,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,9 @@ from quillon.llm.sampling import fold
 #: Counts up to this one are discounted.
 K = 5
 #: Text bytes for one partition of the tables.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 32 << 20
+#: Text bytes of one block, unless a single text is longer.
+BLOCK_BYTES = 10 << 20
 CACHED_WORDS = 500_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
 END, START = xxhash.xxh3_64_intdigest(b"\nend"), xxhash.xxh3_64_intdigest(b"\nstart")
@@ -71,6 +75,14 @@ def word_hashes(text: str) -> np.ndarray:
     return out
 
 
+def _pack(value: object) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, 5))
+
+
+def _unpack(data: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """d_r for r = 0..K+1 from the counts of counts n_0..n_{K+1}: Katz's, or half a count where those are not in (0, 1)."""
     n = counts.astype(float)
@@ -104,27 +116,38 @@ class Unigrams:
 
 
 def _blocks(docs: DataFrame, held_out) -> DataFrame:
+    def block(name: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [word_hashes(t or "") for t in batch["text"].to_pylist()]
+        vocabulary, local, counts = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        local = rank[local]
+        row = {"block": [name], "doc_ids": [batch["doc_id"].to_pylist()], "held": [batch["held_out"].to_numpy(zero_copy_only=False).tobytes()]}
+        row |= {"sizes": [np.array(list(map(len, texts)), np.uint32).tobytes()], "vocabulary": [vocabulary[order].tobytes()], "low": [_pack((local & np.uint32(0xFFFF)).astype(np.uint16))], "high": [_pack(small(local >> np.uint32(16)))]}
+        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("held", "sizes", "vocabulary", "low", "high"))]))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [word_hashes(t or "") for t in batch["text"].to_pylist()]
-            flat = np.concatenate(texts)
-            vocabulary, local, counts = np.unique(flat, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            local = rank[local]
-            row = {"block": [(part << 32) + k], "doc_ids": [batch["doc_id"].to_pylist()], "held": [batch["held_out"].to_numpy(zero_copy_only=False).tobytes()]}
-            row |= {"sizes": [np.array(list(map(len, texts)), np.uint32).tobytes()], "vocabulary": [vocabulary[order].tobytes()], "low": [(local & np.uint32(0xFFFF)).astype(np.uint16).tobytes()], "high": [(local >> np.uint32(16)).astype(np.uint8 if len(order) < 1 << 24 else np.uint16).tobytes()]}
-            k += 1
-            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("held", "sizes", "vocabulary", "low", "high"))]))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                past = int(ends[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, past + BLOCK_BYTES, side="right")))
+                yield block((part << 32) + k, batch.slice(at, end - at))
+                at, k = end, k + 1
 
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     return rows.mapInArrow(pack, "block long, doc_ids array<bigint>, held binary, sizes binary, vocabulary binary, low binary, high binary")
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """``x`` in the smallest type of unsigned integers that holds it."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
 class Block:
     """A row of the block table."""
 
@@ -133,8 +156,8 @@ class Block:
         self.held = np.frombuffer(row["held"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        low, high = row["low"], row["high"]
-        self.tokens = np.frombuffer(low, np.uint16).astype(np.int64) + (np.frombuffer(high, np.uint8 if 2 * len(high) == len(low) else np.uint16).astype(np.int64) << 16)
+        self.tokens = _unpack(row["high"]).astype(np.int64) << 16
+        self.tokens += _unpack(row["low"])
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
@@ -143,7 +166,7 @@ _SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.b
 
 
 def _rows(rows: list[tuple[int, int, object]]) -> pa.RecordBatch:
-    columns = zip(*((s, b, pickle.dumps(x, 5)) for s, b, x in rows), strict=True) if rows else ([], [], [])
+    columns = zip(*((s, b, _pack(x)) for s, b, x in rows), strict=True) if rows else ([], [], [])
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -156,7 +179,7 @@ def _asked(blocks: DataFrame, shards: int) -> DataFrame:
                 b = Block(row)
                 counts = np.bincount(b.tokens[~b.held[b.doc]], minlength=len(b.vocabulary)).astype(np.uint32)
                 shard = (b.vocabulary % np.uint64(shards)).astype(np.int64)
-                yield _rows([(s, b.id, (b.vocabulary[shard == s], counts[shard == s])) for s in np.unique(shard).tolist()])
+                yield _rows([(s, b.id, (b.vocabulary[shard == s], small(counts[shard == s]))) for s in np.unique(shard).tolist()])
 
     return blocks.mapInArrow(ask, _TABLE)
 
@@ -166,12 +189,12 @@ def _words(asked: DataFrame) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        got = [pickle.loads(x) for x in table["data"].to_pylist()]
+        got = [_unpack(x) for x in table["data"].to_pylist()]
         words, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([g[1] for g in got]), len(words)).astype(np.uint32 if len(got) < 1 << 10 else np.uint64)
         out, start = [(shard, -1, (words[counts > 0], counts[counts > 0]))], 0
         for block, g in zip(table["block"].to_pylist(), got, strict=True):
-            out.append((shard, block, counts[at[start : start + len(g[0])]]))
+            out.append((shard, block, small(counts[at[start : start + len(g[0])]])))
             start += len(g[0])
         return pa.Table.from_batches([_rows(out)])
 
@@ -183,7 +206,7 @@ def _unigrams(words: DataFrame) -> Unigrams:
         n, tokens = np.zeros(K + 2, np.int64), 0
         for batch in batches:
             for data in batch["data"].to_pylist():
-                counts = pickle.loads(data)[1]
+                counts = _unpack(data)[1]
                 n += np.bincount(np.minimum(counts, K + 2).astype(np.int64), minlength=K + 3)[: K + 2]
                 n[0] += len(counts)
                 tokens += int(counts.sum())
@@ -210,7 +233,7 @@ def _bigrams(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, shards: in
         shard = (b.vocabulary % np.uint64(shards)).astype(np.int64)
         count = np.zeros(v + 1, np.int64)
         for row in answers.to_pylist():
-            count[:-1][shard == row["shard"]] = pickle.loads(row["data"])
+            count[:-1][shard == row["shard"]] = _unpack(row["data"])
         count[v] = start_count
         n_docs = len(b.sizes)
         c = count[b.tokens]
@@ -222,11 +245,14 @@ def _bigrams(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, shards: in
         context[np.concatenate(([0], np.cumsum(b.sizes)[:-1]))] = v
         hashes = np.append(b.vocabulary, np.uint64(START))
         pair = context * (v + 1) + b.tokens
+        del context, c
         order = np.argsort(pair, kind="stable")
         pair, doc = pair[order], b.doc[order].astype(np.uint16 if n_docs <= 1 << 16 else np.uint32)
+        b.tokens = b.doc = order = None
         first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        n = np.diff(np.append(first, len(pair)))
+        n = np.diff(np.append(first, len(doc)))
         h, w = pair[first] // (v + 1), pair[first] % (v + 1)
+        del pair
         pieces = np.ceil(count / share).astype(np.int64)
         piece = np.where(pieces[h] > 1, (mixed(b.vocabulary, 9)[w] % np.maximum(pieces, 1)[h].astype(np.uint64)).astype(np.int64), 0)
         owner = ((mixed(hashes, 8)[h] + piece.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
@@ -239,10 +265,9 @@ def _bigrams(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, shards: in
                 continue
             hs, h_at = np.unique(h[mine], return_inverse=True)
             ws, w_at = np.unique(w[mine], return_inverse=True)
-            small = lambda x: x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
             each = n[mine]
             at = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
-            out.append((s, b.id, (hashes[hs], count[hs], pieces[hs] > 1, small(np.bincount(h_at, minlength=len(hs))), b.vocabulary[ws], small(count[ws]), small(w_at), small(each), doc[at], b.held)))
+            out.append((s, b.id, (hashes[hs], small(count[hs]), pieces[hs] > 1, small(np.bincount(h_at, minlength=len(hs))), b.vocabulary[ws], small(count[ws]), small(w_at), small(each), doc[at], b.held)))
         return pa.Table.from_batches([_rows(out)])
 
     return blocks.groupBy("block").cogroup(words.filter("block >= 0").groupBy("block")).applyInArrow(deal, _TABLE)
@@ -254,7 +279,7 @@ def _counted(bigrams: DataFrame, unigrams: Unigrams) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         blocks, packed, plain = [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
-            x = pickle.loads(data)
+            x = _unpack(data)
             if x[0] is None:
                 plain.append((block, x))
             else:
@@ -272,7 +297,7 @@ def _counted(bigrams: DataFrame, unigrams: Unigrams) -> DataFrame:
             at += len(x[0])
             ends = np.cumsum(x[7].astype(np.int64))
             seen = np.concatenate(([0], np.cumsum(~x[9][x[8]])))
-            trained.append(seen[ends] - seen[ends - x[7]])
+            trained.append(seen[ends] - seen[ends - x[7].astype(np.int64)])
             h_pair.append(h.astype(np.int32))
             keys.append(mixed(contexts[h] + mixed(x[4], 5)[x[6]], 6))
         sizes = list(map(len, keys))
@@ -347,7 +372,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
         kind, name, at, value = [], [], [], []
         for batch in batches:
             for data in batch["data"].to_pylist():
-                n_r, contexts, _, _ = pickle.loads(data)
+                n_r, contexts, _, _ = _unpack(data)
                 kind += [0] * len(n_r)
                 name += range(len(n_r))
                 at += [0] * len(n_r)
@@ -375,7 +400,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["data"].to_pylist():
-                _, contexts, out, plain = pickle.loads(data)
+                _, contexts, out, plain = _unpack(data)
                 rows = [(0, block, x) for block, x in plain]
                 if contexts is not None:
                     hashes, c_h, hot, bare, followers, followed = contexts
@@ -395,7 +420,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     train_tokens = unigrams.tokens
 
     def add(table: pa.Table) -> pa.Table:
-        got = [pickle.loads(x) for x in table.sort_by("shard")["data"].to_pylist()]
+        got = [_unpack(x) for x in table.sort_by("shard")["data"].to_pylist()]
         _, doc_ids, is_held, sizes, known, base = next(x for x in got if x[0] is None)
         score = np.zeros(len(sizes))
         for x in got:
