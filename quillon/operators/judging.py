@@ -111,7 +111,7 @@ def ver_mechanical(spark, sf_dir):
     talk = V.table(spark, sf_dir, "conversations")
     files = talk.groupBy(F.col("conv_id").alias("path")).agg(F.count("*").alias("n_lines"))
     seen = talk.filter("(conv_id + turn) % 9 <> 0").select(F.lit(1).alias("session"), F.col("conv_id").alias("path"), (F.col("turn") + 1).alias("line"))
-    o = V.table(spark, sf_dir, "orders").filter("o_orderkey < 4000")
+    o = V.table(spark, sf_dir, "orders")
     start = F.col("o_orderkey") % 4
     cites = o.select(F.lit(1).alias("session"), F.col("o_orderkey").alias("result"), (F.col("o_custkey") % 150).alias("path"), start.alias("start"), (start + F.col("o_custkey") % 3).alias("end"))
     return mechanical(cites, files, seen)
