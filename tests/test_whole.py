@@ -38,3 +38,30 @@ def test_flt_applies_when_takes_all_pairs(spark, tmp_path):
     sf = _tables(spark, tmp_path, orders=("o_orderkey long", [(k,) for k in keys]), part=("p_partkey long, p_brand string, p_size int, p_type string", part))
     want = [(k, c) for k in keys for c in ids if (c % 2 or k % 2 == 0) and (c % 3 or k % 3 == 0 or k % 5 == 0) and (c % 7 or k % 5)]
     assert _rows("flt_applies_when", spark, sf) == sorted(want)
+
+
+def _findings(lines):
+    """The findings view over (orderkey, linenumber, partkey, suppkey, flag, status): (run, check) to (verdict, path, start)."""
+    verdicts = {"AF": "pass", "NO": "pass", "AO": "partial", "NF": "fail", "RF": "not_applicable"}
+    return {(s % 5, p): (verdicts.get(f + t, "unknown"), k % 50, k % 97 + 1) for k, _, p, s, f, t in sorted(lines, reverse=True)}
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"
+
+
+def _lines(n):
+    return [(i * 37 % 500, i % 7 + 1, i * 11 % 60 + 1, i * 3 % 23, "NAR"[i * i % 3], "FO"[i % 5 % 2]) for i in range(n)]
+
+
+def _lineitem(n):
+    return (LINES + ", l_quantity double", [(*x, 1.0) for x in _lines(n)])
+
+
+def test_join_semi_unconfirmed_takes_all_touches(spark, tmp_path):
+    orders = [(k, "P" if k % 3 else "F") for k in [7, 8, 200, 203, 211, 333, 448, 1214, 1219, 149_999]]
+    sf = _tables(spark, tmp_path, lineitem=_lineitem(400), orders=("o_orderkey long, o_orderstatus string", orders))
+    touched = {k % 50 for k, s in orders if s == "P"}
+    failed = {key: path for key, (v, path, _) in _findings(_lines(400)).items() if v == "fail"}
+    want = sorted(key for key, path in failed.items() if path not in touched)
+    assert 0 < len(want) < len(failed)
+    assert _rows("join_semi_unconfirmed", spark, sf) == want
