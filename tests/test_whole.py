@@ -65,3 +65,20 @@ def test_join_semi_unconfirmed_takes_all_touches(spark, tmp_path):
     want = sorted(key for key, path in failed.items() if path not in touched)
     assert 0 < len(want) < len(failed)
     assert _rows("join_semi_unconfirmed", spark, sf) == want
+
+
+def test_join_range_overlap_and_eval_recall_take_all_rows(spark, tmp_path):
+    orders = [(k, k * 13 % 400) for k in [*range(1, 90), 1003, 1021, 149_999]] * 2
+    part = [(i,) for i in range(1, 61)]
+    sf = _tables(spark, tmp_path, lineitem=_lineitem(400), part=("p_partkey long", part), orders=("o_orderkey long, o_custkey long", orders))
+    ranges = [(k % 50, c % 97 + 1, c % 97 + 1 + k % 30) for k, c in orders]
+    found = _findings(_lines(400))
+    n = {key: sum(p == path and s <= start + 10 and start <= e for p, s, e in ranges) for key, (_, path, start) in found.items()}
+    assert _rows("join_range_overlap", spark, sf) == sorted((*key, k) for key, k in n.items() if k)
+    want = []
+    for run in range(5):
+        hit = {i for (i,) in part if (v := found.get((run, i))) and (v[0] == "fail" or i % 2 and v[0] == "partial")}
+        share = lambda k: (k * 20000 + len(part)) // (2 * len(part))
+        want.append((run, len(part), share(len(hit)), share(sum(n[run, i] > 0 for i in hit))))
+    assert any(0 < w[3] < w[2] for w in want)
+    assert _rows("eval_recall", spark, sf) == want
