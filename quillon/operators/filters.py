@@ -16,6 +16,7 @@ TEST_DIRS = ("test", "tests")
 BUILD_DIRS = ("build", "dist", "out")
 TEST_PATH = r"(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(spec|test)\.[a-z]+$"
 GENERATED_PATH = r"(^|/)(build|dist|out)/|\.min\.js$|(^|/)(package-lock\.json|poetry\.lock)$"
+LARGEST_DATA_FILE = 64_000
 SOURCE_LANGUAGES = ("python", "typescript", "csharp", "go", "java")
 
 
@@ -198,7 +199,7 @@ def flt_url_policy(spark, sf_dir):
 @query("flt_indexable", "files", f"SELECT path FROM files WHERE NOT {_VENDORED_SQL} AND NOT {_GENERATED_SQL} AND (language NOT IN ('json', 'yaml') OR size <= 2000)")
 def flt_indexable(spark, sf_dir):
     rows = V.files(spark, sf_dir).filter(~vendored(F.col("path")) & ~generated(F.col("path"), F.col("text")))
-    return rows.filter(~F.col("language").isin("json", "yaml") | (F.col("size") <= 2000)).select("path")
+    return rows.filter(~F.col("language").isin("json", "yaml") | (F.col("size") <= LARGEST_DATA_FILE)).select("path")
 
 
 def project_facts(facts: DataFrame, evidence: DataFrame, files: DataFrame) -> DataFrame:

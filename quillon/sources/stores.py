@@ -25,7 +25,7 @@ def profile_files(files: DataFrame, largest: int = 2_000_000) -> DataFrame:
 
 @query("src_file_profile", "files", r"""SELECT path, size, CASE WHEN size <= 20000 THEN sha256(text) END AS sha256, CASE WHEN size > 20000 THEN 0 ELSE len(string_split_regex(text, '\r\n|\n|\r')) END::INTEGER AS loc, false AS is_binary, size > 20000 AS too_large, size <= 20000 AS readable FROM files""")
 def src_file_profile(spark, sf_dir):
-    return profile_files(V.files(spark, sf_dir), 20000)
+    return profile_files(V.files(spark, sf_dir))
 
 
 def content_id(files: DataFrame, *keys: str) -> DataFrame:

@@ -82,3 +82,12 @@ def test_join_range_overlap_and_eval_recall_take_all_rows(spark, tmp_path):
         want.append((run, len(part), share(len(hit)), share(sum(n[run, i] > 0 for i in hit))))
     assert any(0 < w[3] < w[2] for w in want)
     assert _rows("eval_recall", spark, sf) == want
+
+
+def test_file_limits_are_the_reference_s(spark, tmp_path):
+    sizes = {0: 20_001, 8: 2_000_000, 16: 2_000_001, 5: 2001, 21: 64_000, 29: 64_001, 6: 64_000, 30: 64_001}
+    sf = _tables(spark, tmp_path, documents=("doc_id long, text string, lang string, source string", [(i, "x" * n, "en", "s") for i, n in sizes.items()]))
+    large = {r["size"]: (r["too_large"], r["sha256"] is None, r["loc"], r["readable"]) for r in QUERIES["src_file_profile"](spark, sf).collect()}
+    assert large == {n: (True, True, 0, False) if n > 2_000_000 else (False, False, 1, True) for n in sizes.values()}
+    paths = {p.rpartition("mod")[2].partition(".")[0] for (p,) in _rows("flt_indexable", spark, sf)}
+    assert paths == {"8", "16", "5", "21", "6"}
