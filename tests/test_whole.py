@@ -91,3 +91,24 @@ def test_file_limits_are_the_reference_s(spark, tmp_path):
     assert large == {n: (True, True, 0, False) if n > 2_000_000 else (False, False, 1, True) for n in sizes.values()}
     paths = {p.rpartition("mod")[2].partition(".")[0] for (p,) in _rows("flt_indexable", spark, sf)}
     assert paths == {"8", "16", "5", "21", "6"}
+
+
+def test_rule_max_severity_takes_all_checks(spark, tmp_path):
+    size = {i: (50, 4, 1, 2, 3)[i % 5] if i % 6 == 0 or i % 4 == 1 else (2, 3)[i % 2] for i in range(1, 61)}
+    part = [(i, f"b{i % 4}", s, "t") for i, s in size.items()]
+    sf = _tables(spark, tmp_path, lineitem=_lineitem(400), part=("p_partkey long, p_brand string, p_size int, p_type string", part))
+    rank = lambda s: 4 if s == 50 else (3, 2, 1, 0)[s % 4]
+    worst, worst_cut = {}, {}
+    for (run, i), (v, _, _) in _findings(_lines(400)).items():
+        r, key = rank(size[i]) if v == "fail" and i % 9 else -1, (run, f"b{i % 4}")
+        worst[key] = max(worst.get(key, -1), r)
+        if i % 6 and i % 4 != 1:
+            worst_cut[key] = max(worst_cut.get(key, -1), r)
+    assert worst != worst_cut
+    assert _rows("rule_max_severity", spark, sf) == sorted((*key, "fail" if r >= 3 else "partial" if r == 2 else "pass") for key, r in worst.items())
+
+
+def test_graph_scc_takes_all_orders(spark, tmp_path):
+    orders = [(k, c, s, p) for k, c, s, p in [(1, 14, "F", "1-URGENT"), (2, 47, "F", "1-URGENT"), (13, 9, "F", "1-URGENT"), (3, 21, "O", "1-URGENT"), (5, 3, "F", "2-HIGH")]]
+    sf = _tables(spark, tmp_path, orders=("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", orders))
+    assert _rows("graph_scc", spark, sf) == [(7, 7), (14, 7)]  # 14 -> 7 -> 14; 9 -> 11 and what is not F and urgent closes no cycle
