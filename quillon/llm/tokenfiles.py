@@ -40,9 +40,11 @@ CACHED_PIECES = 400_000
 
 _S = r"\t\n\x0b\x0c\r " + WIDE_SPACE
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: ASCII but for letters, spaces and ', and blocks of other signs without a letter or space; letters of any script are left out, as a pre-token may go on after them.
+_SIGN = r"\x00-\x08\x0e-\x1f!-&(-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2064\u20a0-\u20c0\u2190-\u2bff\u3001-\u3003\u3008-\u301f\uff01-\uff20"
 _CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Letters before a plain sign, other signs and digits before a letter, and whatever is left of a run.
-_PIECE = re.compile(rf" ?[{_L}]++(?=[\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[^{_S}{_L}']+(?=[{_L}{_S}]|\Z)| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Letters before a plain sign, signs and digits before a letter, and whatever is left of a run.
+_PIECE = re.compile(rf" ?[{_L}]++(?=[\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[{_SIGN}]+(?=[{_L}{_S}]|\Z)| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 def id_type(vocabulary: int) -> np.dtype:
