@@ -11,27 +11,46 @@ byte alphabet and the end-of-word suffix. Added tokens in a text are tokens of
 their own. Decoding joins the tokens' strings by a space, as the file names no
 decoder.
 
-Edge cases: null or empty text gives no ids; runs of letters of any length are
-words and are encoded whole; white space of any kind separates and is dropped.
+A word of more than ``SHORT`` parts keeps its parts in a linked list instead and
+takes the merges of one rank at a time, from the left; the result is the same,
+in about linear time, so a run of a million letters is a word like any other.
+
+Memory: a text is encoded in sections that end at white space, a worker's caches
+are bounded by bytes, and a batch of results is given on for every
+``GROUP_IDS`` ids; only the ids and the decoded form of a single text are ever
+held whole.
+
+Edge cases: null or empty text gives no ids and an empty decoded text; runs of
+letters of any length are words and are encoded whole; white space of any kind
+separates and is dropped; repeated rows and null doc_ids are rows like any
+other; an empty table stays empty; columns of the documents that are named like
+a new one are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.common import WIDE_SPACE, bounded_batches
+from quillon.llm.common import WIDE_SPACE, BoundedCache, bounded_batches, sections
 
 _NONE = 1 << 60
-#: Chunks whose encoding a Python worker keeps.
-CACHED_CHUNKS = 300_000
+#: Parts of a word above which the rank array gives way to a linked list.
+SHORT = 64
+#: Bytes that a Python worker's caches of chunks and of words may hold.
+CHUNK_BYTES, WORD_BYTES = 48 << 20, 24 << 20
+#: Ids of one batch of results, unless a single text has more.
+GROUP_IDS = 1 << 18
 _SPACES = regex.compile(f"[\t\n\x0b\x0c\r {WIDE_SPACE}]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
@@ -62,21 +81,26 @@ class WordBPE:
         self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(merges)}
         self.merged = [self.vocab[a + b] for a, b in merges]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in (self.vocab | self.added).items()}
+        names = {i: t for t, i in (self.vocab | self.added).items()}
+        self.type = np.dtype("<u2") if max(names) < 1 << 16 else np.dtype("<u4")
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        self.decimals = pa.array(range(len(self.names)), pa.int32()).cast(pa.string())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        added = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
+        self.cut = regex.compile(f"({added})") if added else None
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.final = [self.vocab.get(c + self.suffix) for c in alphabet]
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.known_words: dict[str, list[int]] = {}
+        self.known, self.known_words = BoundedCache(CHUNK_BYTES), BoundedCache(WORD_BYTES)
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one word, by the contiguous rank array."""
+        """Ids of one word, by the contiguous rank array, or by linked parts if there are many."""
         raw = word.encode()
         ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         parts = [i for i in ids if i is not None]
+        if len(parts) > SHORT:
+            return self._merge_linked(parts)
         rank, merged = self.ranks.get, self.merged
         ranks = [rank(pair, _NONE) for pair in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) != _NONE:
@@ -89,19 +113,67 @@ class WordBPE:
                 ranks[at - 1] = rank((parts[at - 1], parts[at]), _NONE)
         return parts
 
-    def _word(self, word: str) -> list[int]:
+    def _merge_linked(self, parts: list[int]) -> list[int]:
+        """The same merges in the same order: the least rank first, and of one rank the leftmost pair."""
+        rank, merged, n = self.ranks.get, self.merged, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[int, list[int]] = {}  # of each rank; a place whose pair has changed since is passed over
+        now = [rank(pair, _NONE) for pair in zip(parts, parts[1:], strict=False)] + [_NONE]
+        for at, r in enumerate(now):
+            if r != _NONE:
+                places.setdefault(r, []).append(at)
+        heap = list(places)
+        heapq.heapify(heap)
+
+        def put(at: int) -> int:
+            """Note the rank of the pair that begins at ``at``."""
+            follower = after[at]
+            r = now[at] = rank((parts[at], parts[follower]), _NONE) if follower < n else _NONE
+            if r != _NONE:
+                if r in places:
+                    places[r].append(at)
+                else:
+                    places[r] = [at]
+                    heapq.heappush(heap, r)
+            return r
+
+        while heap:
+            least = heapq.heappop(heap)
+            turn = sorted(places.pop(least))
+            new = merged[least]
+            for k, at in enumerate(turn):
+                if now[at] != least:
+                    continue
+                gone = after[at]
+                parts[at] = new
+                now[gone] = _NONE
+                follower = after[at] = after[gone]
+                if follower < n:
+                    before[follower] = at
+                lowest = put(at)
+                if before[at] >= 0:
+                    lowest = min(lowest, put(before[at]))
+                if lowest <= least:  # it comes first: what is left of this turn waits
+                    rest = turn[k + 1 :]
+                    if least in places:
+                        places[least] += rest
+                    elif rest:
+                        places[least] = rest
+                        heapq.heappush(heap, least)
+                    break
+        out, at = [], 0
+        while at < n:
+            out.append(parts[at])
+            at = after[at]
+        return out
+
+    def _word(self, word: str) -> bytes:
         ids = self.known_words.get(word)
         if ids is None:
-            if len(self.known_words) > CACHED_CHUNKS:
-                self.known_words.clear()
-            ids = self.known_words[word] = self.encode_word(word)
+            ids = np.array(self.encode_word(word), self.type).tobytes()
+            self.known_words.put(word, ids)
         return ids
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, ids and decoded tokens of a run without white space."""
-        ids = [i for word in self.words.findall(chunk) for i in self._word(word)]
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
-
     @staticmethod
     def normalized(text: str) -> str:
         if text.isascii():
@@ -116,32 +188,40 @@ class WordBPE:
             return [c for c in _SPACES.split(text) if c]
         return text.split()
 
-    def _parts(self, text: str) -> list[tuple[int, str, str]]:
+    def _section(self, text: str) -> bytes:
         if self.cut and any(a in text for a in self.added):
-            out = []
-            for piece in self.cut.split(text):
-                out += [(1, str(self.added[piece]), piece)] if piece in self.added else self._parts(piece)
-            return out
-        chunks = self.chunks(text)
-        new = {c for c in chunks if c not in self.known}
-        if new and len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-            new = set(chunks)
-        for chunk in new:
-            self.known[chunk] = self._chunk(chunk)
-        return [self.known[c] for c in chunks]
-
-    def encode_text(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the decimal ids joined by a space, the decoded text."""
-        parts = [p for p in self._parts(text) if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            pieces = self.cut.split(text)
+            added = self.added
+            return b"".join([np.array([added[p]], self.type).tobytes() if p in added else self._section(p) for p in pieces])
+        chunks, known = self.chunks(text), self.known
+        known.trim()
+        for chunk in {c for c in chunks if c not in known}:
+            known.put(chunk, b"".join([self._word(w) for w in self.words.findall(chunk)]))
+            self.known_words.trim()
+        return b"".join([known[c] for c in chunks])
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The text's ids as little-endian integers of ``type``."""
+        return b"".join([self._section(s) for s in sections(text)])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_text(text)[1].split()]
+        return np.frombuffer(self.encode_bytes(text), self.type).tolist()
+
+    def _joined(self, strings: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), strings.take(pa.array(ids)))
+        return pc.binary_join(lists, " ")
+
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """For each run of ids between two offsets the tokens' strings, joined by a space."""
+        return self._joined(self.names, ids, offsets)
+
+    def numbers(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """For each run of ids between two offsets the decimal ids, joined by a space."""
+        return self._joined(self.decimals, ids, offsets)
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens' strings joined by a space; unknown ids are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        """The tokens' strings joined by a space."""
+        return self.decoded(np.array(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 _CODERS: dict[str, WordBPE] = {}
@@ -154,32 +234,55 @@ def coder(path: str) -> WordBPE:
     return _CODERS[path]
 
 
+def _digests(strings: pa.Array) -> pa.Array:
+    """SHA-256 in hex of each string, read from the array's own buffer."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int32)[: len(strings) + 1].tolist()
+    view = memoryview(data) if data else b""
+    return pa.array([hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(at, at[1:], strict=False)], pa.string())
+
+
 def bpe_encode(docs: DataFrame, tokenizer_path: str, texts_too: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids and decoded, or with their SHA-256 instead if not ``texts_too``.
 
     No shuffle: every document is encoded where it is read.
     """
     bounded_batches(docs.sparkSession)
-    new = {"n_tokens": T.LongType()} | ({"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()} if texts_too else {"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()})
+    new = {"n_tokens": T.LongType()}
+    if texts_too:
+        new |= {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    else:
+        new |= {"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     docs = docs.drop(*new)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in new.items())])
 
+    def grouped(bpe: WordBPE, batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+        """Rows in order: where each group begins, and its rows' ids."""
+        first, found, held = 0, [], 0
+        for at, text in enumerate(batch["text"]):
+            found.append(bpe.encode_bytes(text.as_py() or ""))
+            held += len(found[-1])
+            if held >= GROUP_IDS * bpe.type.itemsize:
+                yield first, found
+                first, found, held = at + 1, [], 0
+        if found:
+            yield first, found
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer_path)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch["text"].to_pylist():
-                k, numbers, plain = bpe.encode_text(text or "")
-                n.append(k)
+            for first, found in grouped(bpe, batch):
+                sizes = np.array(list(map(len, found)), np.int64) // bpe.type.itemsize
+                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                ids = np.frombuffer(b"".join(found), bpe.type)
+                columns = [pa.array(sizes, pa.int64())]
                 if texts_too:
-                    ids.append(list(map(int, numbers.split())))
-                    decoded.append(plain)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))))
+                    columns.append(bpe.decoded(ids, offsets))
                 else:
-                    ids.append(hashlib.sha256(numbers.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(plain.encode()).hexdigest())
-            table = pa.Table.from_batches([batch])
-            for (name, _), values, kind in zip(new.items(), (n, ids, decoded), (pa.int64(), pa.list_(pa.int32()) if texts_too else pa.string(), pa.string()), strict=True):
-                table = table.append_column(name, pa.array(values, kind))
-            yield from table.to_batches()
+                    columns.append(_digests(bpe.numbers(ids, offsets)))
+                    columns.append(_digests(bpe.decoded(ids, offsets)))
+                rows = batch.slice(first, len(found))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *new])
 
     return docs.mapInArrow(encode, schema)

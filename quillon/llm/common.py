@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -99,6 +102,43 @@ def parts(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+#: Letters of one section of a long text.
+SECTION = 1 << 18
+_SPACE = re.compile(f"[\\t-\\r {WIDE_SPACE}]")
+
+
+def sections(text: str) -> Iterator[str]:
+    """The text in parts of about ``SECTION`` letters; each but the first begins with white space."""
+    at = 0
+    while len(text) - at > SECTION:
+        space = _SPACE.search(text, at + SECTION)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
+
+
+class BoundedCache(dict):
+    """A dict for strings and bytes that ``trim`` empties once its entries hold more than ``most`` bytes."""
+
+    #: What an entry takes besides its key and value.
+    ENTRY = 110
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def put(self, key: str | bytes, value: str | bytes | tuple) -> None:
+        self[key] = value
+        self.held += getsizeof(key) + getsizeof(value) + self.ENTRY
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a shared-folder URI, usable on executors."""
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -93,23 +95,66 @@ def test_encoders_equal_the_library(texts, name):
         ids = t.encode(s, add_special_tokens=False).ids
         if name.startswith("word"):
             assert own.encode(s) == ids, s
-            assert own.encode_text(s)[2] == t.decode(ids, skip_special_tokens=False), s
+            assert own.decode(ids) == t.decode(ids, skip_special_tokens=False), s
         else:
             assert np.frombuffer(own.encode(s), own.type).tolist() == ids, s
 
 
-def test_bpe_operator(docs, nothing):
+def test_bpe_operator(docs, nothing, monkeypatch):
+    """Every row against the library, with sections, groups and caches of a few letters."""
+    from tokenizers import Tokenizer
+
     path = P.path("word_bpe_49k.json")
-    plain = {r["doc_id"]: r for r in bpe_encode(docs, path).collect()}
-    digests = {r["doc_id"]: r for r in bpe_encode(docs, path, texts_too=False).collect()}
-    assert len(plain) == len(digests)
-    for i, r in plain.items():
-        assert r["n_tokens"] == len(r["ids"]) == digests[i]["n_tokens"]
-        assert digests[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
-        assert digests[i]["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    t = Tokenizer.from_file(path)
+    rows = docs.collect()
+    want = []
+    for r in rows:
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], ids, t.decode(ids, skip_special_tokens=False)))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = bpe_encode(docs, path)
+    assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert set(docs.columns) - {"n_tokens"} <= set(got.columns) and dict(got.dtypes)["n_tokens"] == "bigint"
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    hashed = [(i, len(ids), digest(" ".join(map(str, ids))), digest(plain)) for i, ids, plain in want]
+    got = bpe_encode(docs, path, texts_too=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(hashed, key=key)
     assert bpe_encode(nothing, path).count() == 0
 
 
+def test_long_words_are_merged_as_short_ones():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), WordBPE(path)
+    rng = random.Random(5)
+    for n in (2, 30, 65, 700, 20_000):
+        for letters in ("ab", "etaoinshrdlu", "eéstàüß", "日本語x"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            ids = t.encode(word, add_special_tokens=False).ids
+            assert own.encode(word) == ids
+            parts = [own.inner[b] for b in word.encode()[:-1]] + [own.final[word.encode()[-1]]]
+            assert len(own.words.findall(own.normalized(word))) > 1 or own._merge_linked([p for p in parts if p is not None]) == ids
+    start = time.monotonic()
+    own.encode("".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)))
+    assert time.monotonic() - start < 20  # about one second on an idle machine; hours if quadratic
+
+
+def test_sections_and_caches_do_not_change_ids(texts, monkeypatch):
+    import quillon.llm.bpe as bpe_module
+    from quillon.llm import common
+
+    path = P.path("word_bpe_49k.json")
+    whole = WordBPE(path)
+    want = [whole.encode(t or "") for t in texts]
+    monkeypatch.setattr(common, "SECTION", 16)
+    monkeypatch.setattr(bpe_module, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(bpe_module, "WORD_BYTES", 500)
+    small = WordBPE(path)
+    assert [small.encode(t or "") for t in texts] == want
+    assert list("".join(common.sections(t or "")) for t in texts) == [t or "" for t in texts]
+
+
 def brute_components(rows, k, num):
     sets = {}
     for i, t in rows:
@@ -149,6 +194,31 @@ def test_jaccard_join(spark, docs, k, num):
     assert got == want
 
 
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Cells smaller than the groups: 400 near copies of one text, of two more, and chains about the threshold."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    rng = random.Random(11)
+    rows = []
+    for group, (n, edits) in enumerate([(400, 3), (60, 9), (60, 14)]):
+        base = [f"g{group}w{rng.randrange(900)}" for _ in range(150)]
+        for _ in range(n):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randrange(edits + 1)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rows += [" ".join(f"v{rng.randrange(10**5)}" for _ in range(80)) for _ in range(50)]
+    every = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.shingle_components(every, 4, 85).collect()}
+    assert got == brute_components(list(enumerate(rows)), 4, 85)
+
+
+def test_jaccard_null_ids(spark):
+    """Null ids are rows like any other, and name a component only if it has no other id."""
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "one two three four five"), (None, ""), (None, None), (3, "a b"), (3, "x y z")]
+    got = jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(None, 3, 7), (None, 3, 7), (7, 3, 7), (None, 2, None), (None, 0, None), (None, 0, None), (3, 1, 3), (3, 1, 3)], key=str)
+
+
 def test_jaccard_empty(nothing):
     assert jaccard.shingle_components(nothing).count() == 0
 
