@@ -10,49 +10,66 @@ shingle that only one set has. Pairs that survive the bound are intersected
 exactly, as sorted arrays.
 
 A tile yields no more pairs than it has members: a spanning forest of its
-surviving pairs. A pair of the forest that fails the exact test is excluded, and
-its tiles are searched again between the components found so far, for eight
-times as many forests, until no forest has a failing pair. Then every linked pair lies within one component, so
-no link between different sets is lost, without any cap on tiles or partners.
+surviving pairs, the surest pairs first. Where a pair of a forest fails the
+exact test and its two sets are not linked by other ways either, its tile is
+searched once more between the components found so far, now with the sets
+themselves at hand, so that only pairs that pass the exact test join components.
+Then every surviving pair of the tile lies within one component, or fails the
+exact test; no link between different sets is lost, without any cap on tiles or
+partners.
+
+No task holds a whole tile that is large: a tile of more than ``CELL`` loads (a
+set of up to ``LOAD`` shingles is one) is searched in cells of about that many,
+dealt by hash, and then, if it still holds several components, in pairs of cells
+of which each holds one component or the small ones; two cells of the same single
+component are not compared. A tile of copies of one text is one component after
+the first round and costs no more.
 
 Edge cases: null or empty texts and texts without words have no shingles, no
 links and a component of their own; with fewer words than a shingle has the
 whole sequence is one shingle; rows with equal doc_id share the least component;
-null doc_ids are kept and never name a component; further columns are left alone.
+null doc_ids are kept and never name a component, but for their own; texts of
+any length are read whole; an empty table gives no rows; further columns are
+left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Stored, bounded_batches, parts, text_bytes
+from quillon.llm.common import BoundedCache, Stored, bounded_batches
 from quillon.llm.components import connected_components
 from quillon.llm.mphf import mixed
 
-#: Text bytes whose signatures one shard holds.
-SHARD_BYTES = 24 << 20
+#: Loads of one cell of a large tile, and shingles of one load.
+CELL, LOAD = 1024, 4096
 #: Parts beyond what linked sets can differ in; a set with more empty parts than these matches on empty ones too.
 SPARE_PARTS = 3
 #: Rows of one block of bitmaps.
 BLOCK = 4096
-#: Word hashes that a Python worker keeps.
-CACHED_WORDS = 500_000
+#: Bytes that a Python worker's cache of word hashes may hold.
+WORD_BYTES = 64 << 20
+#: Words of a text that are looked up at a time.
+RUN = 1 << 16
 
 
-class _WordHashes(dict):
+class _WordHashes(BoundedCache):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        self.put(word, value)
         return value
 
 
-_WORDS = _WordHashes()
+_WORDS = _WordHashes(WORD_BYTES)
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -60,9 +77,10 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     tokens = text.encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > CACHED_WORDS:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.empty(len(tokens), np.uint64)
+    for at in range(0, len(tokens), RUN):
+        _WORDS.trim()
+        h[at : at + RUN] = np.fromiter(map(_WORDS.__getitem__, tokens[at : at + RUN]), np.uint64)
     k = min(words, len(h))
     n = len(h) - k + 1
     total = h[:n].copy()
@@ -81,9 +99,9 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mixed(total, len(shingles)).view(np.int64)[0])
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity bitmap of a power of two of bits, at least four to a shingle."""
-    width = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, each: int = 4) -> bytes:
+    """Parity bitmap of a power of two of bits, at least ``each`` to a shingle."""
+    width = max(64, 1 << (each * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -140,75 +158,61 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bitmap) of every document; the last two null without shingles."""
+    """(doc_id, text_key, n_shingles, set_id, bitmap) of every document; the last two null without shingles."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t or "", words) for t in batch["text"].to_pylist()]
+            sizes, names, maps = [], [], []
+            for text in batch["text"]:
+                s = shingle_set(text.as_py() or "", words)
+                sizes.append(len(s))
+                names.append(set_id(s) if len(s) else None)
+                maps.append(bitmap(s) if len(s) else None)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"],
-                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "set_id": pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                "bitmap": pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                "doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": pa.array(sizes, pa.int64()),
+                "set_id": pa.array(names, pa.int64()), "bitmap": pa.array(maps, pa.binary()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, set_id long, bitmap binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, set_id long, bitmap binary")
 
 
 def _tiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(tile, set_id): the tiles of at least two sets; tiles with the same members are one."""
-    shards = parts(text_bytes(docs), SHARD_BYTES, 8)
+    """(tile, load, set_id, own): the tiles of at least two sets; tiles with the same members are one. ``load`` sums up ``own``.
+
+    A worker sends a set's signatures once, however many copies it reads.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, seen = Bands(num, den), BoundedCache(WORD_BYTES)
         for batch in batches:
-            sigs, names, seen = [], [], set()
-            for text in batch["text"].to_pylist():
-                s = shingle_set(text or "", words)
+            sigs, names, loads = [], [], []
+            seen.trim()
+            for text in batch["text"]:
+                s = shingle_set(text.as_py() or "", words)
                 if len(s) and (name := set_id(s)) not in seen:
-                    seen.add(name)
+                    seen.put(name, 0)
                     sigs.append(signatures(s, bands))
                     names.append(np.full(len(sigs[-1]), name, np.int64))
-            if not sigs:
-                continue
-            pairs = np.empty(sum(map(len, sigs)), np.dtype([("sig", "<u8"), ("set", "<i8")]))
-            pairs["sig"], pairs["set"] = np.concatenate(sigs), np.concatenate(names)
-            shard = (pairs["sig"] % np.uint64(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            shard, pairs = shard[order], pairs[order]
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            owners = shard[np.concatenate(([0], cuts))]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(owners, pa.int32()), "pairs": pa.array([x.tobytes() for x in np.split(pairs, cuts)], pa.binary())})
-
-    out = pa.schema([("tile", pa.int64()), ("set_id", pa.int64())])
-
-    def group(table: pa.Table) -> pa.Table:
-        pairs = np.concatenate([np.frombuffer(b, np.dtype([("sig", "<u8"), ("set", "<i8")])) for b in table["pairs"].to_pylist()])
-        sig, sets = pairs["sig"], pairs["set"]
-        order = np.lexsort((sets, sig))
-        sig, sets = sig[order], sets[order]
-        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])))
-        sig, sets = sig[fresh], sets[fresh]
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        size = np.diff(np.concatenate((start, [len(sig)])))
-        with np.errstate(over="ignore"):
-            tile = mixed(np.add.reduceat(mixed(sets.view(np.uint64), 600), start) + size.astype(np.uint64), 601)
-        first = np.zeros(len(start), bool)
-        first[np.unique(tile, return_index=True)[1]] = True
-        take = np.repeat(first & (size > 1), size)
-        return pa.Table.from_arrays([pa.array(np.repeat(tile, size)[take].view(np.int64)), pa.array(sets[take])], schema=out)
-
-    entries = docs.select("text").mapInArrow(emit, "shard int, pairs binary")
-    return entries.groupBy("shard").applyInArrow(group, "tile long, set_id long").distinct()
-
-
-def _forest(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, failed: set, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of indexes: a spanning forest of the pairs that survive the bound, between members of different labels."""
-    order = np.argsort(sizes, kind="stable")
-    width = min(map(len, maps))
-    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint8).reshape(-1, width), axis=0) for i in order]).view(np.uint64)
-    n, names, labels = sizes[order], names[order], labels[order]
-    open_, edges = np.ones(len(n), bool), []
+                    loads.append(np.full(len(sigs[-1]), -(-len(s) // LOAD), np.int32))
+            if sigs:
+                yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sigs).view(np.int64), "set_id": np.concatenate(names), "own": np.concatenate(loads)})
+
+    entries = docs.select("text").mapInArrow(emit, "sig long, set_id long, own int").repartition("sig").distinct()
+    same = Window.partitionBy("sig")
+    held = entries.withColumn("size", F.count("*").over(same)).filter("size > 1")
+    # the parity of well mixed hashes stands for the members
+    named = held.withColumn("tile", F.xxhash64("size", F.bit_xor(F.xxhash64(F.lit(600), "set_id")).over(same)))
+    return named.select("tile", F.sum("own").over(same).alias("load"), "set_id", "own").distinct()
+
+
+def _closest(n: np.ndarray, rows: np.ndarray, labels: np.ndarray, num: int, den: int, sure: bool = False, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of indexes: a spanning forest of the pairs that survive the bound, between members of different labels.
+
+    Members are in rising order of size ``n``, ``rows`` are their bitmaps. If ``sure``, only pairs that most
+    likely pass the exact test; with ``sets``, only those that do pass it.
+    """
+    open_, edges, width = np.ones(len(n), bool), [], 64 * rows.shape[1]
     by_label: dict[int, list[int]] = {}
     for i, label in enumerate(labels.tolist()):
         by_label.setdefault(label, []).append(i)
@@ -231,62 +235,150 @@ def _forest(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], labels: np.
                     continue
                 both = n[v] + n[u]
                 apart = np.bitwise_count(rows[v] ^ rows[u]).sum(axis=1, dtype=np.int64)
+                if sure:  # as many shingles apart as make that many bits differ, and twice the error of that
+                    apart = np.log1p(-np.minimum(2 * apart / width, 0.99)) / math.log1p(-2 / width)
+                    apart += 2 * apart / math.sqrt(2 * width)
                 for w in v[(den + num) * (both - apart) >= 2 * num * both].tolist():
-                    if open_[w] and (min(names[u], names[w]), max(names[u], names[w])) not in failed:
-                        edges.append((order[u], order[w]))
+                    if open_[w] and (sets is None or linked(sets[u], sets[w], num, den)):
+                        edges.append((u, w))
                         same = by_label[int(labels[w])]
                         open_[same] = False
                         queue += same
     return edges
 
 
-def _candidates(tiles: DataFrame, sets: DataFrame, num: int, den: int, labels: DataFrame | None = None, failed: DataFrame | None = None, forests: int = 1) -> DataFrame:
-    """(tile, a, b): ``forests`` forests of each tile without a pair in common."""
-    members = tiles.join(sets, "set_id")
-    members = members.join(labels, members.set_id == labels.node, "left").withColumn("label", F.coalesce("component", "set_id")) if labels else members.withColumn("label", F.col("set_id"))
-    rows = members.select("tile", F.lit(1).alias("kind"), "set_id", F.col("label"), F.col("n_shingles").alias("n"), "bitmap")
-    if failed:
-        rows = rows.unionByName(failed.select("tile", F.lit(0).alias("kind"), F.col("a").alias("set_id"), F.col("b").alias("label"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("bitmap")))
-    out = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """The exact test, on sorted arrays."""
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return den * common >= num * (len(merged) - common)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            tile, kind, names, labels, n = (table[c].to_numpy() for c in ("tile", "kind", "set_id", "label", "n"))
-            maps = table["bitmap"].to_pylist()
-            start = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))) if len(tile) else []
-            found = []
-            for i, j in zip(start, [*start[1:], len(tile)], strict=True):
-                k = i + int(np.searchsorted(kind[i:j], 1))
-                if len(set(labels[k:j].tolist())) < 2:
-                    continue
-                bad = set(zip(names[i:k].tolist(), labels[i:k].tolist(), strict=True))
-                for _ in range(forests):
-                    edges = _forest(names[k:j], n[k:j], maps[k:j], labels[k:j], bad, num, den)
-                    pairs = [tuple(sorted((int(names[k + x]), int(names[k + y])))) for x, y in edges]
-                    found += [(int(tile[i]), a, b) for a, b in pairs]
-                    bad.update(pairs)
-                    if not pairs:
-                        break
-            columns = zip(*found, strict=True) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
 
+def _folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the narrowest one's width, a row each."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0) for m in maps]).view(np.uint64)
+
+
+def _forest(sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of indexes: a spanning forest of the surviving pairs between members of different labels, of sure pairs as far as they go."""
+    order = np.argsort(sizes, kind="stable")
+    rows = _folded([maps[i] for i in order])
+    n, labels = sizes[order], labels[order]
+    edges = _closest(n, rows, labels, num, den, sure=True)
+    up = {label: label for label in labels.tolist()}
+
+    def root(label: int) -> int:
+        while up[label] != label:
+            up[label] = label = up[up[label]]
+        return label
+
+    for u, w in edges:
+        up[root(int(labels[u]))] = root(int(labels[w]))
+    labels = np.array([root(label) for label in labels.tolist()], np.int64)
+    if (labels != labels[0]).any():
+        edges += _closest(n, rows, labels, num, den)
+    return [(order[u], order[w]) for u, w in edges]
+
+
+def _exact_forest(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of indexes: a spanning forest of the links between members of different labels."""
+    sizes = np.array(list(map(len, sets)))
+    order = np.argsort(sizes, kind="stable")
+    sets = [sets[i] for i in order]
+    rows = _folded([bitmap(s, 32) for s in sets])
+    return [(order[u], order[w]) for u, w in _closest(sizes[order], rows, labels[order], num, den, sets=sets)]
+
+
+def _labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``cells`` with each set's component so far."""
+    if labels is None:
+        return cells.withColumn("label", F.col("set_id"))
+    of = labels.select(F.col("node").alias("set_id"), "component")
+    return cells.join(of, "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component")
+
+
+def _searched(members: DataFrame, forest: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(cell, a, b): ``forest`` of each cell that holds several labels, for rows (cell, set_id, label, ...); it gives pairs of row numbers."""
+    out = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        cell, names, labels = (table[c].to_numpy() for c in ("cell", "set_id", "label"))
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else []
+        found = []
+        for i, j in zip(start, [*start[1:], len(cell)], strict=True):
+            if (labels[i:j] != labels[i]).any():
+                pairs = (sorted((int(names[i + x]), int(names[i + y]))) for x, y in forest(table.slice(i, j - i)))
+                found += [(int(cell[i]), a, b) for a, b in pairs]
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # at most a cell and a batch
         for batch in batches:
             waiting.append(batch)
-            tile = batch["tile"].to_numpy()
-            if len(tile) and tile[0] != tile[-1] or len(waiting) > 64:
+            cell = batch["cell"].to_numpy()
+            if len(cell) and cell[0] != cell[-1]:
                 table = pa.Table.from_batches(waiting).combine_chunks()
-                tile = table["tile"].to_numpy()
-                cut = int(np.searchsorted(tile, tile[-1]))
-                if cut:
-                    yield done(table.slice(0, cut))
+                cut = int(np.searchsorted(table["cell"].to_numpy(), cell[-1]))
+                yield done(table.slice(0, cut))
                 waiting = table.slice(cut).to_batches()
         if waiting:
             yield done(pa.Table.from_batches(waiting).combine_chunks())
 
-    dealt = rows.repartition("tile").sortWithinPartitions("tile", "kind")
-    return dealt.mapInArrow(search, "tile long, a long, b long")
+    return members.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "cell long, a long, b long")
+
+
+def _candidates(cells: DataFrame, sets: DataFrame, num: int, den: int, labels: DataFrame | None) -> DataFrame:
+    """(cell, a, b): a forest of each cell, of pairs that survive the bound."""
+
+    def forest(cell: pa.Table) -> list[tuple[int, int]]:
+        return _forest(cell["n_shingles"].to_numpy(), cell["bitmap"].to_pylist(), cell["label"].to_numpy(), num, den)
+
+    members = _labelled(cells.select("cell", "set_id"), labels).join(sets.select("set_id", "n_shingles", "bitmap"), "set_id")
+    return _searched(members, forest)
+
+
+def _exact_links(cells: DataFrame, arrays: DataFrame, num: int, den: int, labels: DataFrame) -> DataFrame:
+    """(a, b): a forest of the links of each cell between the labels it holds."""
+
+    def forest(cell: pa.Table) -> list[tuple[int, int]]:
+        return _exact_forest([np.frombuffer(x.as_buffer(), np.uint64) for x in cell["shingles"]], cell["label"].to_numpy(), num, den)
+
+    members = _labelled(cells.select("cell", "set_id"), labels).join(arrays, "set_id")
+    return _searched(members, forest).select("a", "b").distinct()
+
+
+def _blocks(of: Column, load: Column) -> Column:
+    """A number below load / CELL, by a hash of ``of``."""
+    return F.pmod(F.xxhash64(F.lit(601), of), F.ceil(load / CELL))
+
+
+def _first_cells(tiles: DataFrame) -> DataFrame:
+    """(cell, set_id): each small tile, and large ones in parts by hash."""
+    part = F.when(F.col("load") > CELL, F.xxhash64("tile", _blocks(F.col("set_id"), F.col("load")))).otherwise(F.col("tile"))
+    return tiles.select(part.alias("cell"), "set_id")
+
+
+def _cross_cells(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, set_id): pairs of parts of the large tiles that still hold several components.
+
+    A component that would fill a part has parts of its own; the others share parts.
+    """
+    members = Stored(_labelled(tiles.filter(F.col("load") > CELL), labels), "shingle-large").read()
+    counts = members.groupBy("tile", "label").agg(F.sum("own").alias("n"))
+    open_ = counts.groupBy("tile").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= CELL // 2, F.col("n"))).alias("mixed")).filter("labels > 1")
+    own = counts.join(open_, "tile").select("tile", "label", "n", "mixed")
+    dealt = members.join(own, ["tile", "label"]).withColumn("pure", F.when(F.col("n") > CELL // 2, F.col("label")))
+    dealt = dealt.withColumn("block", F.when(F.col("pure").isNull(), F.xxhash64(F.lit(0), _blocks(F.col("set_id"), F.col("mixed")))).otherwise(F.xxhash64(F.lit(1), "pure", _blocks(F.col("set_id"), F.col("n")))))
+    dealt = Stored(dealt.select("tile", "block", "pure", "set_id"), "shingle-blocks").read()
+    blocks = dealt.groupBy("tile", "block").agg(F.first("pure").alias("pure"))
+    other = blocks.select(F.col("tile").alias("of"), F.col("block").alias("with"), F.col("pure").alias("with_pure"))
+    pairs = blocks.join(other, (F.col("tile") == F.col("of")) & (F.col("block") <= F.col("with")) & ~F.coalesce(F.col("pure") == F.col("with_pure"), F.lit(False)))
+    pairs = pairs.withColumn("cell", F.xxhash64("tile", "block", "with"))
+    sides = pairs.select("tile", "block", "cell").unionByName(pairs.select("tile", F.col("with").alias("block"), "cell")).distinct()
+    return dealt.join(sides, ["tile", "block"]).select("cell", "set_id")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
@@ -294,14 +386,8 @@ def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFr
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                merged = np.concatenate((x, y))
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                linked.append(den * common >= num * (len(merged) - common))
-            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(linked, pa.bool_())})
+            passed = [linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in xy), num, den) for xy in zip(batch["x"], batch["y"], strict=True)]
+            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(passed, pa.bool_())})
 
     one = arrays.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     two = arrays.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
@@ -309,53 +395,81 @@ def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFr
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, shingles) for the documents that stand for the wanted sets."""
+    """(set_id, shingles) of the wanted sets (set_id, doc_id, text_key), from one document each."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t or "", words) for t in batch["text"].to_pylist()]
-            named = [(name, s.tobytes()) for name, s in zip(batch["set_id"].to_pylist(), sets, strict=True) if len(s) and set_id(s) == name]
-            names, raw = zip(*named, strict=True) if named else ((), ())
+            names, raw = [], []
+            for name, text in zip(batch["set_id"].to_pylist(), batch["text"], strict=True):
+                s = shingle_set(text.as_py() or "", words)
+                if len(s) and set_id(s) == name:
+                    names.append(name)
+                    raw.append(s.tobytes())
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(names, pa.int64()), "shingles": pa.array(raw, pa.binary())})
 
-    wanted = wanted.withColumnRenamed("doc_id", "wanted_id")
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    return found.select("set_id", "text").mapInArrow(take, "set_id long, shingles binary")
+    # by the text's hash first, so that a null doc_id, or one that repeats, is no hot key
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    match = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    found = keyed.join(wanted.select("set_id", F.col("doc_id").alias("wanted_id"), F.col("text_key").alias("wanted_key")), match)
+    return found.select("set_id", "text").mapInArrow(take, "set_id long, shingles binary").dropDuplicates(["set_id"])
 
 
-def shingle_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def shingle_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, text_key, n_shingles, shingle_group) of every row of ``docs``: linked rows share a group, null without shingles.
 
     Two documents link when den * (size of the intersection) >= num * (size of
-    the union) of their sets of ``words``-word shingles.
+    the union) of their sets of ``words``-word shingles; ``text_key`` is xxhash64 of the text.
     """
     bounded_batches(docs.sparkSession)
     described = Stored(_documents(docs, words), "shingle-documents").read()
-    sets = Stored(described.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap")), "shingle-sets").read()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    grouped = described.filter("set_id is not null").groupBy("set_id").agg(least, F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
+    sets = Stored(grouped.select("set_id", "least.doc_id", "least.text_key", "n_shingles", "bitmap"), "shingle-sets").read()
     tiles = Stored(_tiles(docs, words, num, den), "shingle-tiles").read()
-    plain = sets.select("set_id", "n_shingles", "bitmap")
-    found = Stored(_candidates(tiles, plain, num, den), "shingle-pairs").read()
-    wanted = found.select(F.col("a").alias("set_id")).union(found.select("b")).distinct().join(sets.select("set_id", "doc_id"), "set_id")
-    arrays = Stored(_arrays(docs, wanted, words).dropDuplicates(["set_id"]), "shingle-arrays").read()
-    links, failed, labels, forests = [], [], None, 1
-    while True:
-        tested = Stored(_verified(found.select("a", "b").distinct(), arrays, num, den), "shingle-tested").read()
+    links, labels, arrays = [], None, []
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """The arrays of the wanted sets, and of those fetched before."""
+        if arrays:
+            wanted = wanted.join(_union(arrays).select("set_id"), "set_id", "left_anti")
+        arrays.append(Stored(_arrays(docs, wanted.join(sets.select("set_id", "doc_id", "text_key"), "set_id"), words), "shingle-arrays").read())
+        return _union(arrays)
+
+    def resolve(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The components so far and those of all links within cells."""
+        found = Stored(_candidates(cells, sets, num, den, labels), "shingle-pairs").read()
+        at_hand = fetch(found.select(F.col("a").alias("set_id")).union(found.select("b")).distinct())
+        tested = Stored(_verified(found.select("a", "b").distinct(), at_hand, num, den), "shingle-tested").read()
         links.append(tested.filter("linked").select("a", "b"))
-        wrong = Stored(found.join(tested.filter("not linked"), ["a", "b"]).select("tile", "a", "b"), "shingle-failed").read()
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = Stored(connected_components(every), "shingle-components").read()
-        if wrong.isEmpty():
-            break
-        failed.append(wrong)
-        known = failed[0]
-        for more in failed[1:]:
-            known = known.unionByName(more)
-        again = tiles.join(wrong.select("tile").distinct(), "tile", "left_semi")
-        forests *= 8
-        found = Stored(_candidates(again, plain, num, den, labels, known.join(wrong.select("tile").distinct(), "tile", "left_semi"), forests), "shingle-pairs").read()
-    named = sets.join(labels, sets.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "label").select("set_id", "component_id")
-    return described.drop("bitmap").join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        labels = Stored(connected_components(_union(links)), "shingle-components").read()
+        open_ = tested.filter("not linked").select("a", "b")
+        open_ = open_.join(labels.toDF("a", "of_a"), "a", "left").join(labels.toDF("b", "of_b"), "b", "left")
+        open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        again = Stored(found.join(open_, ["a", "b"]).select("cell").distinct(), "shingle-open").read()
+        if again.isEmpty():
+            return labels
+        members = Stored(cells.join(again, "cell", "left_semi"), "shingle-again").read()
+        links.append(Stored(_exact_links(members, fetch(members.select("set_id").distinct()), num, den, labels), "shingle-links").read())
+        return Stored(connected_components(_union(links)), "shingle-components").read()
+
+    labels = resolve(_first_cells(tiles), labels)
+    if not tiles.filter(F.col("load") > CELL).isEmpty():
+        cross = Stored(_cross_cells(tiles, labels), "shingle-cells").read()
+        if not cross.isEmpty():
+            labels = resolve(cross, labels)
+    by_set = labels.select(F.col("node").alias("set_id"), "component")
+    return described.drop("bitmap").join(by_set, "set_id", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "set_id").alias("shingle_group"))
+
+
+def shingle_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; see ``shingle_groups`` for links.
+
+    ``component_id`` is the least doc_id of the document's group; without shingles, its own.
+    """
+    rows = Stored(shingle_groups(docs, words, num, den), "shingle-groups").read()
+    least = rows.filter("shingle_group is not null").groupBy("shingle_group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "shingle_group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
