@@ -2,19 +2,27 @@
 
 Vectors are rotated onto the principal axes of the whole table and tiled along
 the first one. Two tiles are compared only if their intervals on that axis come
-closer than linked vectors can lie apart. Within a pair of tiles the leading
-dimensions are multiplied first; the product of the suffix norms bounds what the
-remaining dimensions can add, and a pair stops as soon as it cannot reach the
-threshold. Survivors get their cosine from the original components in double
-precision.
-
-Each pair of tiles returns counts of links and a star for each of its own
-components, so its rows are no more than its vectors. Equal vectors are one
+closer than linked vectors can lie apart. Within a pair of tiles, block by block,
+the leading dimensions are multiplied first; the product of the suffix norms
+bounds what the remaining dimensions can add, and a pair stops as soon as it
+cannot reach the threshold. Survivors get their cosine from the original
+components in double precision.
+
+A block leaves counts of links and a star for each of its own components, so
+neither memory nor rows grow with the number of links. Equal vectors are one
 vector with a weight, so a group of copies of any size costs as much as one.
+Vectors with equal first coordinates spread over all tiles that may hold them.
+A tile travels once to each tile near it, in the narrowest type that holds it;
+where vectors fill all directions evenly, nearly all tiles are near each other,
+and the comparisons, as in any exact method, grow with the square of the vectors.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are kept; a shorter vector counts as filled up
-with zeros; rows with equal vec_id are vectors of their own.
+with zeros; rows with equal vec_id are vectors of their own, which share the
+component that has their least vec_id; rows with a null vec_id are vectors like
+any other, but never name a component: one of null ids alone has a null
+component_id and is kept; an empty table stays empty; further columns are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +38,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Stored, bounded_batches, parts
 from quillon.llm.components import connected_components
 
-#: Vectors of one tile.
-TILE = 2048
-#: Leading dimensions after which the bound is tested.
-STEPS = (8, 16, 32)
+#: Vectors of one tile, and of one block of a tile.
+TILE, BLOCK = 16_384, 1024
+#: Shares of the dimensions after which the bound is tested.
+STEPS = (0.25, 0.5)
+#: Pairs whose cosines are computed at a time.
+PAIRS = 1 << 16
 #: What rounding may take off a bound.
 SLACK = 1e-9
 
@@ -51,24 +61,43 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+class Side:
+    """Vectors ready for comparing: units, their rotation, and the norms of what lies beyond each step."""
+
+    def __init__(self, x: np.ndarray, axes: np.ndarray):
+        self.units = unit(x)
+        self.turned = self.units @ axes
+        dims = x.shape[1]
+        self.steps = [*sorted({max(1, int(dims * s)) for s in STEPS} - {dims}), dims]
+        squares = (self.turned * self.turned)[:, ::-1].cumsum(axis=1)[:, ::-1]
+        self.rest = [np.sqrt(np.maximum(squares[:, s], 0)) if s < dims else np.zeros(len(x)) for s in self.steps]
+
+    def __len__(self) -> int:
+        return len(self.units)
+
+    def block(self, at: int) -> Side:
+        out = object.__new__(Side)
+        cut = slice(at, at + BLOCK)
+        out.units, out.turned, out.steps, out.rest = self.units[cut], self.turned[cut], self.steps, [r[cut] for r in self.rest]
+        return out
+
+
+def linked_pairs(a: Side, b: Side, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the pairs of rows whose cosine is at least ``least``."""
-    ua, ub = unit(a), unit(b)
-    ra, rb = ua @ axes, ub @ axes
-    dims = ra.shape[1]
-    steps = [s for s in STEPS if s < dims] + [dims]
-    rest_a, rest_b = (np.sqrt(np.maximum((r * r)[:, ::-1].cumsum(axis=1)[:, ::-1], 0)) for r in (ra, rb))
-    first = steps[0]
-    part = ra[:, :first] @ rb[:, :first].T
-    bound = part + np.outer(rest_a[:, first], rest_b[:, first]) if first < dims else part
-    i, j = np.nonzero(bound >= least - SLACK)
-    part = part[i, j]
-    for low, high in zip(steps, steps[1:], strict=False):
-        part = part + np.einsum("ij,ij->i", ra[i, low:high], rb[j, low:high])
-        open_ = part + (rest_a[i, high] * rest_b[j, high] if high < dims else 0) >= least - SLACK
-        i, j, part = i[open_], j[open_], part[open_]
-    sure = np.einsum("ij,ij->i", ua[i], ub[j]) >= least
-    return i[sure], j[sure]
+    first = a.steps[0]
+    part = a.turned[:, :first] @ b.turned[:, :first].T
+    left, right = np.nonzero(part + np.outer(a.rest[0], b.rest[0]) >= least - SLACK)
+    out = []
+    for at in range(0, len(left), PAIRS):
+        i, j = left[at : at + PAIRS], right[at : at + PAIRS]
+        sums = part[i, j]
+        for k, (low, high) in enumerate(zip(a.steps, a.steps[1:], strict=False), 1):
+            sums = sums + np.einsum("ij,ij->i", a.turned[i, low:high], b.turned[j, low:high])
+            open_ = sums + a.rest[k][i] * b.rest[k][j] >= least - SLACK
+            i, j, sums = i[open_], j[open_], sums[open_]
+        sure = np.einsum("ij,ij->i", a.units[i], b.units[j]) >= least
+        out.append((i[sure], j[sure]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (left, right)
 
 
 def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -101,14 +130,50 @@ def _axes(distinct: DataFrame, dims: int) -> np.ndarray:
     return np.linalg.eigh(total.reshape(dims, dims))[1][:, ::-1].copy()
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """The components up to the last that isn't zero, in single precision if that holds them exactly; the last byte tells."""
+    x = np.trim_zeros(x + 0.0, "b")
+    with np.errstate(over="ignore"):
+        narrow = x.astype(np.float32)
+    return narrow.tobytes() + b"4" if (narrow.astype(np.float64) == x).all() else x.tobytes() + b"8"
+
+
 def _matrix(raw: list[bytes], dims: int) -> np.ndarray:
     out = np.zeros((len(raw), dims))
     for k, value in enumerate(raw):
-        row = np.frombuffer(value, np.float64)
+        row = np.frombuffer(value, np.float32 if value[-1:] == b"4" else np.float64, (len(value) - 1) // int(value[-1:]))
         out[k, : len(row)] = row
     return out
 
 
+def _compare(left: Side, weight_left: np.ndarray, right: Side, weight_right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows of both sides, and the least row of each one's component; one side given twice is compared with itself."""
+    same, n, m = left is right, len(left), len(right)
+    shift = 0 if same else n
+    links = np.zeros(n + (0 if same else m))
+    edges = []
+    for r in range(0, n, BLOCK):
+        one = left.block(r)
+        for s in range(r if same else 0, m, BLOCK):
+            x, y = linked_pairs(one, right.block(s), least)
+            if same and r == s:
+                x, y = x[x < y], y[x < y]
+            if not len(x):
+                continue
+            links[r : r + len(one)] += np.bincount(x, weight_right[y + s], len(one))
+            width = min(BLOCK, m - s)
+            links[shift + s : shift + s + width] += np.bincount(y, weight_left[x + r], width)
+            at = np.concatenate((np.arange(len(one)) + r, np.arange(width) + s + shift))
+            if same and r == s:
+                star = _stars(len(one), x, y)
+            else:
+                star = _stars(len(at), x, y + len(one))
+            moved = np.flatnonzero(star != np.arange(len(star)))
+            edges.append((at[moved], at[star[moved]]))
+    i, j = (np.concatenate(e) for e in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64),) * 2
+    return links.astype(np.int64), _stars(len(links), i, j)
+
+
 def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -116,47 +181,53 @@ def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = []
+            raw, sizes = [], []
             for value in batch["embedding"].to_pylist():
                 x = _usable(value)
-                raw.append(None if x is None else np.trim_zeros(x + 0.0, "b").tobytes())
-            keys = [None if r is None else xxhash.xxh3_128_digest(r) for r in raw]
-            yield pa.RecordBatch.from_pydict({"vec_id": batch["vec_id"], "key": pa.array(keys, pa.binary()), "raw": pa.array(raw, pa.binary())})
-
-    named = Stored(vectors.select("vec_id", "embedding").mapInArrow(name, "vec_id long, key binary, raw binary"), "vectors").read()
-    distinct = Stored(named.filter("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.max("raw").alias("raw")), "distinct-vectors").read()
-    n, longest = distinct.agg(F.count("*"), F.max(F.length("raw"))).first()
-    ids = named.select("vec_id", "key")
+                raw.append(None if x is None else _bytes(x))
+                sizes.append(None if x is None else len(x))
+            # a vector's node is 64 bits of its hash
+            nodes = [None if r is None else xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw]
+            yield pa.RecordBatch.from_pydict({"vec_id": batch["vec_id"], "node": pa.array(nodes, pa.int64()), "raw": pa.array(raw, pa.binary()), "dims": pa.array(sizes, pa.int32())})
+
+    named = Stored(vectors.select("vec_id", "embedding").mapInArrow(name, "vec_id long, node long, raw binary, dims int"), "vectors").read()
+    grouped = named.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.max("raw").alias("raw"), F.max("dims").alias("dims"))
+    distinct = Stored(grouped, "distinct-vectors").read()
+    n, dims = distinct.agg(F.count("*"), F.max("dims")).first()
+    ids = named.select("vec_id", "node")
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = longest // 8
     axes = _axes(distinct, dims)
 
     def first_axis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch["raw"].to_pylist(), dims)
             at = unit(x) @ axes[:, 0] if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "weight": batch["weight"], "raw": batch["raw"], "x": pa.array(at, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"node": batch["node"], "weight": batch["weight"], "raw": batch["raw"], "x": pa.array(at, pa.float64())})
 
-    placed = Stored(distinct.select("id", "weight", "raw").mapInArrow(first_axis, "id long, weight long, raw binary, x double"), "placed-vectors").read()
+    placed = Stored(distinct.select("node", "weight", "raw").mapInArrow(first_axis, "node long, weight long, raw binary, x double"), "placed-vectors").read()
     tiles = parts(n, TILE)
-    cuts = sorted(set(placed.agg(F.percentile_approx("x", [k / tiles for k in range(1, tiles)], 10 * tiles)).first()[0])) if tiles > 1 else []
+    cuts = np.array(placed.agg(F.percentile_approx("x", [k / tiles for k in range(1, tiles)], 10 * tiles)).first()[0] if tiles > 1 else [])
     reach = float(np.sqrt(2 - 2 * least)) + SLACK
-    low, high = [-np.inf, *cuts], [*cuts, np.inf]
-    near = [[j for j in range(i, len(low)) if low[j] - high[i] <= reach] for i in range(len(low))]
+
+    def near(t: int) -> np.ndarray:
+        """The tiles that hold vectors within reach of tile ``t``'s."""
+        low, high = np.concatenate(([-np.inf], cuts)), np.concatenate((cuts, [np.inf]))
+        return np.flatnonzero((low - high[t] <= reach) & (low[t] - high <= reach))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["x"].to_numpy()
-            tile = np.searchsorted(cuts, x, side="right") if cuts else np.zeros(len(x), np.int64)
+            x, node = batch["x"].to_numpy(), batch["node"].to_numpy()
+            first, last = (np.searchsorted(cuts, x, side=side) for side in ("left", "right"))
+            tile = first + (node % (last - first + 1) if len(cuts) else 0)  # several tiles begin or end at a frequent coordinate
             for t in np.unique(tile).tolist():
-                mine = batch.filter(pa.array(tile == t)).select(["id", "weight", "raw"])
+                mine = batch.filter(pa.array(tile == t)).select(["node", "weight", "raw"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, mine.schema) as out:
                     out.write_batch(mine)
                 data = sink.getvalue().to_pybytes()
-                both = [(t, j) for j in near[t]] + [(i, t) for i in range(t) if t in near[i]]
-                yield pa.RecordBatch.from_pydict({"i": pa.array([p[0] for p in both], pa.int32()), "j": pa.array([p[1] for p in both], pa.int32()), "tile": pa.array([t] * len(both), pa.int32()), "data": pa.array([data] * len(both), pa.binary())})
+                for u in near(t).tolist():
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([min(t, u)], pa.int32()), "j": pa.array([max(t, u)], pa.int32()), "tile": pa.array([t], pa.int32()), "data": pa.array([data], pa.binary())})
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -168,37 +239,26 @@ def embedding_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
             if not blocks:
                 return None
             tile = pa.concat_tables(blocks)
-            return tile["id"].to_numpy(), tile["weight"].to_numpy(), _matrix(tile["raw"].to_pylist(), dims)
+            return tile["node"].to_numpy(), tile["weight"].to_numpy(), Side(_matrix(tile["raw"].to_pylist(), dims), axes)
 
-        one, two = load(i), load(j)
+        one = load(i)
+        two = one if i == j else load(j)
         if not (one and two):
             return out.empty_table()
-        id_a, weight_a, a = one
-        id_b, weight_b, b = two
-        left, right = [], []
-        for r in range(0, len(a), TILE):
-            for s in range(0, len(b), TILE):
-                x, y = linked_pairs(a[r : r + TILE], b[s : s + TILE], axes, least)
-                left.append(x + r)
-                right.append(y + s)
-        x, y = np.concatenate(left), np.concatenate(right)
-        if i == j:
-            x, y = x[x < y], y[x < y]
-            ids = id_a
-            links = np.bincount(x, weight_a[y], len(a)) + np.bincount(y, weight_a[x], len(a))
-        else:
-            ids = np.concatenate((id_a, id_b))
-            links = np.concatenate((np.bincount(x, weight_b[y], len(a)), np.bincount(y, weight_a[x], len(b))))
-            y = y + len(a)
-        star = _stars(len(ids), x, y)
+        nodes = one[0] if i == j else np.concatenate((one[0], two[0]))
+        links, star = _compare(one[2], one[1], two[2], two[1], least)
         has = links > 0
-        return pa.Table.from_arrays([pa.array(v) for v in (ids[has], ids[star][has], links[has].astype(np.int64))], schema=out)
+        return pa.Table.from_arrays([pa.array(v) for v in (nodes[has], nodes[star][has], links[has])], schema=out)
 
     packed = placed.mapInArrow(pack, "i int, j int, tile int, data binary")
     found = Stored(packed.groupBy("i", "j").applyInArrow(compare, "a long, b long, n long"), "vector-links").read()
-    links = found.groupBy("a").agg(F.sum("n").alias("n"))
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     groups = connected_components(found.select("a", "b"))
-    by_key = distinct.select("key", "id", "weight").join(links, F.col("id") == links.a, "left").join(groups, F.col("id") == groups.node, "left")
-    by_key = by_key.select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    whole = ids.join(by_key, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return whole.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    whole = distinct.select("node", "id", "weight").join(links, "node", "left").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    whole = Stored(whole.select("node", "id", "group", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "vector-groups").read()
+    least_ids = whole.groupBy("group").agg(F.min("id").alias("component_id"))
+    by_node = whole.join(least_ids, "group").select("node", "n_links", "component_id")
+    rows = ids.join(by_node, "node", "left")
+    alone = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), alone.alias("component_id"))
+    return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
