@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from sys import getsizeof
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What an Arrow batch on its way to a Python worker may hold.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 10_000
 
 #: Unicode White_Space beyond what ASCII has, for exact splitting.
@@ -29,11 +31,14 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a folder of our own, which is then set for the session.
+    The session's ``spark.checkpoint.dir``. Only where that is unset and all runs
+    on this machine (a local master) a folder of our own, which is then set for the
+    session; on a cluster each executor would write to a disk of its own.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/quillon-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -65,13 +70,13 @@ def _remove_all() -> None:
 
 
 class Stored:
-    """A table written to the shared folder, which any executor can read again."""
+    """A table written to the shared folder, by ``apart`` in folders of their own, which any executor can read again."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, apart: str | None = None):
         self.spark = df.sparkSession
         self.path = new_folder(self.spark, name)
         self.schema = df.schema
-        df.write.parquet(self.path)
+        (df.write.partitionBy(apart) if apart else df.write).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -80,14 +85,21 @@ class Stored:
         remove(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; cuts the lineage."""
-    return Stored(df, name).read()
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer as long as a column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that long texts don't add up."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+    """Bound the Arrow batches by bytes, so that long texts don't add up, and let a finished query's shuffle files go."""
+    for key, value in (
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+        ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
+    ):
         if spark.conf.get(key, None) != str(value):
             spark.conf.set(key, str(value))
 
@@ -139,6 +151,20 @@ class BoundedCache(dict):
             self.held = 0
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system; the worker lives on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a shared-folder URI, usable on executors."""
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")

@@ -12,7 +12,7 @@ from quillon.llm.jaccard import shingle_components
 from quillon.llm.katz import score_documents
 from quillon.llm.lines import dedup_lines
 from quillon.llm.mixing import mix
-from quillon.llm.sampling import fold
+from quillon.llm.sampling import in_fold
 from quillon.llm.tokenfiles import token_output
 from quillon.llm.vectors import embedding_links
 
@@ -80,7 +80,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, folds=4, held=2)
     found = language.identify(docs.select("doc_id", "text"), model).drop("text")
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), folds=5, held=0)
     found = toxicity.score_toxicity(docs, model).drop("text")
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 #: Target weights of the mix; what isn't named weighs 1.

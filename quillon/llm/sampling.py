@@ -18,8 +18,13 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(folds)
 
 
+def in_fold(column: str, folds: int, held: int) -> Column:
+    """Whether the id is in the fold ``held``; a null id is in none."""
+    return F.coalesce(fold(column, folds) == F.lit(held), F.lit(False))
+
+
 def sample(rows: DataFrame, column: str, most: int, total: int, seed: int) -> DataFrame:
-    """About ``most`` of the ``total`` rows (all, if there are no more), chosen by a hash of the id."""
+    """About ``most`` of the ``total`` rows (all, if there are no more), chosen by a hash of the id; equal ids go together."""
     if total <= most:
         return rows
     return rows.filter(hashed(column, seed) < int(_SPAN * most / total))
