@@ -1,20 +1,29 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features: densities of lexicon words, of words that look like them once signs
-and digits are read as letters, and of second-person words; how often a lexicon
-word stands near a second-person word; rates of capitals, signs and obfuscated
-words; length. The lexicon is a short fixed list, and the words and word
-beginnings that labelled toxic documents hold far more often than others.
-
-The fit runs on the driver, on at most about ``SAMPLE_TOXIC`` toxic and
-``SAMPLE_CLEAN`` other labelled training documents, in three folds: one learns
-the lexicon, one grows the trees, one calibrates, so none sees its own answers.
+Features: densities of lexicon words, of words that begin like them, of words
+that read like them once signs and digits are taken for letters, and of
+second-person words; how often a lexicon word stands near a second-person word;
+rates of capitals, signs and obfuscated words; length. The lexicon is learned:
+words, and word beginnings, that labelled toxic documents hold so much more often
+than others that chance doesn't explain it for any of the words counted.
+
+Training reads at most about ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other
+labelled training documents, each of them whole. It is cross-fitted in ``PARTS``
+parts: a document's features come from a lexicon learned without its part, the
+margins that are calibrated from trees grown without its part. The lexicon and
+the trees that are kept are those of all parts. Words are counted and features
+computed on the executors; the driver gets the lexicon and a row of features for
+each sampled document.
+
 Every word of every text is read when scoring.
 
 Edge cases: null and empty texts have features of zero and a score like any
 other text; without both labels in the training rows the score is the share of
-toxic ones (0 without rows); labels that are null are left out; further columns
-play no part.
+toxic ones (0 without rows); labels that are neither 0 nor 1 are left out; of
+repeated labels of a document the toxic one holds; repeated documents are rows of
+their own, when training too; a null doc_id has no label and is not in the
+held-out fold; equal scores stay equal; an empty table stays empty; columns named
+score or predicted are replaced, all other columns play no part and pass through.
 """
 
 from __future__ import annotations
@@ -23,99 +32,118 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import bounded_batches
-from quillon.llm.sampling import fold, sample
+from quillon.llm.common import BoundedCache, Stored, bounded_batches, sections
+from quillon.llm.sampling import fold, hashed, sample
 
-#: The bounds on the labelled documents that are fitted on the driver.
+#: The bounds on the labelled documents that are fitted.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
-#: Common English insults.
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine tu te toi ton ta tes vous votre vos tú ti usted su tus".split())
 #: Signs and digits read as letters.
 DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None})
-NEAR, STEMS = 5, (4, 5)
+NEAR, STEMS, PARTS = 5, (4, 5), 5
+#: Documents that must hold a lexicon word, how many times as often toxic ones must hold it, and what its G statistic must exceed beside twice the log of the words tested.
+LEAST_DOCS, TIMES, MARGIN = 3, 5.0, 3.0
 TREES, DEPTH, RATE, BINS, LEAST = 60, 3, 0.15, 32, 8
-CACHED_WORDS = 800_000
+#: Bytes that a Python worker's cache of words may hold.
+WORD_BYTES = 48 << 20
 
 _EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
-_LETTERS = regex.compile(r"\p{L}")
 _MIXED = regex.compile(r"\p{L}[0-9@$!*._-]+\p{L}")
-_FLAGS = ("insult", "learned", "stem", "second", "capitals", "mixed", "disguised")
-FEATURES = ("insult rate", "learned rate", "stem rate", "second-person rate", "all-capitals rate", "mixed rate", "disguised rate", "near rate", "insults", "learned", "stems", "disguised", "capital share", "sign share", "exclamation share", "log words")
+_FLAGS = ("learned", "stem", "second", "capitals", "mixed", "disguised")
+FEATURES = (
+    "learned rate", "stem rate", "second-person rate", "all-capitals rate", "mixed rate", "disguised rate", "near rate",
+    "learned", "stems", "disguised", "capital share", "sign share", "exclamation share", "log words",
+)
 
 
 def plain(word: str) -> str:
     return _EDGES.sub("", word).lower()
 
 
+def opened(word: str, bare: str) -> str:
+    """``bare`` with signs and digits read as letters, if letters stand on both sides of some."""
+    return bare.translate(DISGUISES) if _MIXED.search(word) else bare
+
+
 def stems(word: str) -> set[str]:
     """The beginnings of a longer word."""
     return {word[:n] for n in STEMS if len(word) > n}
 
 
+@cache
+def _classes() -> np.ndarray:
+    """For each code point: 1 upper case, 2 neither letter, digit nor space, 4 white space."""
+    letters = map(chr, range(0x110000))
+    return np.array([c.isupper() | (not c.isalnum() and not c.isspace()) << 1 | c.isspace() << 2 for c in letters], np.uint8)
+
+
 @dataclass
 class Lexicon:
     words: frozenset = frozenset()
     stems: frozenset = frozenset()
-    known: dict = field(default_factory=dict, repr=False)
-
-    def code(self, word: str) -> int:
-        """Flags in the low byte, then counts of capitals, signs, exclamation marks and characters, 12 bits each."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            bare = plain(word)
-            open_ = bare.translate(DISGUISES) if _MIXED.search(word) else bare
-            capitals = sum(map(str.isupper, word))
-            flags = (bare in INSULTS, bare in self.words, not self.stems.isdisjoint(stems(bare)), bare in SECOND_PERSON, capitals > 1 and capitals == len(_LETTERS.findall(word)), open_ != bare, open_ != bare and (open_ in INSULTS or open_ in self.words))
-            signs = sum(not c.isalnum() for c in word)
-            found = sum(f << i for i, f in enumerate(flags))
-            for i, n in enumerate((capitals, signs, word.count("!"), len(word))):
-                found |= min(n, 4095) << 8 + 12 * i
-            self.known[word] = found
-        return found
+    known: BoundedCache = field(default_factory=lambda: BoundedCache(WORD_BYTES), repr=False)
+
+    def _flags(self, word: str) -> int:
+        bare = plain(word)
+        open_ = opened(word, bare)
+        letters = [c for c in word if c.isalpha()]
+        flags = (bare in self.words, not self.stems.isdisjoint(stems(bare)), bare in SECOND_PERSON, len(letters) > 1 and all(map(str.isupper, letters)), open_ != bare, open_ != bare and open_ in self.words)
+        return sum(f << i for i, f in enumerate(flags))
+
+    def codes(self, text: str) -> np.ndarray:
+        """The flags of every word."""
+        out = []
+        for part in sections(text):
+            tokens, known = part.split(), self.known
+            known.trim()
+            for word in {t for t in tokens if t not in known}:
+                known.put(word, self._flags(word))
+            out.append(np.fromiter(map(known.__getitem__, tokens), np.uint8, len(tokens)))
+        return np.concatenate(out)
 
     def features(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").split()
-        n = len(tokens)
+        codes = self.codes(text or "")
+        n = len(codes)
         if not n:
             return np.zeros(len(FEATURES))
-        codes = np.array([self.code(w) for w in tokens], np.int64)
-        flag = codes[None, :] >> np.arange(len(_FLAGS))[:, None] & 1
-        counts = flag.sum(axis=1)
-        capitals, signs, marks, chars = (int((codes >> 8 + 12 * i & 4095).sum()) for i in range(4))
-        hit, second = flag[0] | flag[1] | flag[2] | flag[6], np.flatnonzero(flag[3])
+        flag = codes[None, :] >> np.arange(len(_FLAGS), dtype=np.uint8)[:, None] & 1
+        counts = flag.sum(axis=1, dtype=np.int64)
+        capitals, signs, marks, chars = 0, 0, 0, 0
+        for part in sections(text):
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            kinds = np.bincount(_classes()[points], minlength=8)
+            capitals, signs, marks = capitals + kinds[1], signs + kinds[2], marks + part.count("!")
+            chars += len(points) - kinds[4]
+        hit, second = flag[0] | flag[1] | flag[5], np.flatnonzero(flag[2])
         near = 0
         if len(second) and hit.any():
             at = np.flatnonzero(hit)
             k = np.searchsorted(second, at)
             gap = np.minimum(np.abs(at - second[np.minimum(k, len(second) - 1)]), np.abs(at - second[np.maximum(k - 1, 0)]))
             near = int((gap <= NEAR).sum())
-        return np.array([*(counts / n), near / n, *np.log1p(counts[[0, 1, 2, 6]]), capitals / chars, signs / chars, marks / chars, math.log1p(n)])
+        chars = max(1, chars)
+        return np.array([*(counts / n), near / n, *np.log1p(counts[[0, 1, 5]]), capitals / chars, signs / chars, marks / chars, math.log1p(n)])
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 2.0) -> Lexicon:
-    """Words and stems that stand in toxic documents far more often than chance."""
-    seen = {1: (Counter(), Counter()), 0: (Counter(), Counter())}
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        found = {plain(w) for w in (text or "").split()} - {""}
-        seen[y][0].update(found)
-        seen[y][1].update({s for w in found for s in stems(w)})
-    n = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
-    kept = []
-    for k in (0, 1):
-        kept.append(frozenset(w for w, c in seen[1][k].items() if c >= least and math.log((c + 0.5) / n[1]) - math.log((seen[0][k][w] + 0.5) / n[0]) > odds))
-    return Lexicon(*kept)
+def lexical(text: str) -> tuple[set[str], set[str]]:
+    """The distinct words of a text, as they are and opened, and their stems."""
+    words: set[str] = set()
+    for part in sections(text):
+        for word in set(part.split()):
+            bare = plain(word)
+            words |= {bare, opened(word, bare)}
+    words.discard("")
+    return words, {s for w in words for s in stems(w)}
 
 
 class BoostedTrees:
@@ -203,32 +231,87 @@ class ToxicityModel:
         return np.interp(self.trees.margin(x), self.xs, self.ps)
 
 
-def fit(texts: list[str], toxic: list[int], weights: list[float], seed: int = 11) -> ToxicityModel:
-    y, w = np.array(toxic, np.int64), np.array(weights, np.float64)
-    part = np.random.default_rng(seed).integers(0, 5, len(y))
-    lexical, grown, held = part < 2, (part == 2) | (part == 3), part == 4
-    if any(len(set(y[m].tolist())) < 2 for m in (lexical, grown, held)):
-        share = float((w * y).sum() / w.sum()) if len(y) else 0.0
-        return ToxicityModel(Lexicon(), None, np.zeros(1), np.array([share]))
-    lexicon = learn_lexicon([t for t, m in zip(texts, lexical, strict=True) if m], y[lexical])
-    x = np.stack([lexicon.features(t) for t in texts])
-    trees = BoostedTrees(x[grown], y[grown], w[grown])
-    return ToxicityModel(lexicon, trees, *isotonic(trees.margin(x[held]), y[held], w[held]))
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """From (text, toxic, part): a lexicon without each part, and the last one of all of them.
+
+    A word's documents are counted by part; the table that reaches the driver
+    holds only the words that some lexicon takes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, toxic, part in zip(batch["text"], batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True):
+                for kind, found in enumerate(lexical(text.as_py() or "")):
+                    seen.update((kind, w, part, toxic) for w in found)
+            columns = list(zip(*seen, strict=True)) if seen else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, list(seen.values())), (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["kind", "word", "part", "toxic", "n"])
+
+    sizes = {(r["part"], r["toxic"]): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
+    counted = rows.select("text", "toxic", "part").mapInArrow(count, "kind int, word string, part int, toxic int, n long")
+    with_part = [F.sum(F.when((F.col("part") == p) & (F.col("toxic") == y), F.col("n")).otherwise(0)).alias(f"n{y}_{p}") for p in range(PARTS) for y in (0, 1)]
+    words = counted.groupBy("kind", "word").agg(*with_part).filter(sum(F.col(f"n1_{p}") for p in range(PARTS)) >= LEAST_DOCS)
+    tested = words.select("kind", "word", *(F.col(f"n{y}_{p}") for y in (0, 1) for p in range(PARTS)), F.count("*").over(Window.partitionBy("kind")).alias("tests"))
+    takes = []
+    for left_out in (*range(PARTS), -1):
+        parts = [p for p in range(PARTS) if p != left_out]
+        n = {y: sum(sizes.get((p, y), 0) for p in parts) for y in (0, 1)}
+        a, b = (sum(F.col(f"n{y}_{p}") for p in parts) for y in (1, 0))
+        takes.append(((a >= LEAST_DOCS) & _telling(a, b, n[1], n[0], F.col("tests"))).alias(f"take{left_out}"))
+    found = tested.select("kind", "word", *takes)
+    kept = found.filter(" or ".join(f"`{c}`" for c in found.columns[2:])).collect()
+    return [Lexicon(*(frozenset(r["word"] for r in kept if r["kind"] == kind and r[f"take{left_out}"]) for kind in (0, 1))) for left_out in (*range(PARTS), -1)]
+
+
+def _telling(a: Column, b: Column, toxic: int, clean: int, tests: Column) -> Column:
+    """Whether a of the toxic and b of the clean documents is far more of the toxic ones than chance explains (G statistic)."""
+    if not (toxic and clean):
+        return F.lit(False)
+    share = (a + b) / F.lit(toxic + clean)
+
+    def term(n: Column, of: int, p: Column) -> Column:
+        return F.when(n > 0, n * F.log(n / (of * p))).otherwise(0.0)
+
+    g = 2 * (term(a, toxic, share) + term(b, clean, share) + term(toxic - a, toxic, 1 - share) + term(clean - b, clean, 1 - share))
+    return (a / F.lit(toxic) > TIMES * b / F.lit(clean)) & (g > 2 * F.log(tests.cast("double")) + MARGIN)
+
+
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, part: np.ndarray) -> tuple[BoostedTrees, np.ndarray, np.ndarray]:
+    """Trees of all rows, and a calibration from margins of trees that didn't see the row's part."""
+    margins = np.zeros(len(y))
+    for p in np.unique(part):
+        mine = part == p
+        margins[mine] = BoostedTrees(x[~mine], y[~mine], w[~mine]).margin(x[mine]) if (~mine).any() else 0
+    return BoostedTrees(x, y, w), *isotonic(margins, y, w)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, seed: int = 11) -> ToxicityModel:
     """Fit on labelled documents for which crc32(doc_id as text) mod ``folds`` is not ``held``."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~fold("doc_id", folds).eqNullSafe(F.lit(held))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    bounded_batches(docs.sparkSession)
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~fold("doc_id", folds).eqNullSafe(F.lit(held))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rows = []
-    for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        total = counts.get(toxic, 0)
-        # about `most` ids at the most, so this side of the join may be broadcast
-        chosen = F.broadcast(sample(known.filter(F.col("toxic") == toxic), "doc_id", most, total, seed))
-        got = docs.select("doc_id", "text").join(chosen, "doc_id").collect()
-        rows += [(r["doc_id"], r["text"] or "", toxic, max(1.0, total / most)) for r in got]
-    rows.sort()
-    return fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], seed)
+    chosen = [sample(known.filter(F.col("toxic") == toxic), "doc_id", most, counts.get(toxic, 0), seed).withColumn("weight", F.lit(max(1.0, counts.get(toxic, 0) / most))) for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    # about SAMPLE_TOXIC + SAMPLE_CLEAN ids at the most, so this side of the join may be broadcast
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = Stored(picked.withColumn("part", (hashed("doc_id", seed + 1) % PARTS).cast("int")), "toxicity-rows").read()
+    lexicons = learn_lexicons(rows)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch["part"].to_pylist()
+            own = []
+            for text, p in zip(batch["text"], parts, strict=True):
+                own.append(lexicons[p].features(text.as_py()).tolist())
+            columns = {"toxic": batch["toxic"], "weight": batch["weight"], "part": batch["part"], "doc_id": batch["doc_id"]}
+            yield pa.RecordBatch.from_pydict(columns | {"x": pa.array(own, pa.list_(pa.float64()))})
+
+    got = rows.mapInArrow(describe, "toxic int, weight double, part int, doc_id long, x array<double>").collect()
+    if len({r["toxic"] for r in got}) < 2:
+        share = sum(r["weight"] * r["toxic"] for r in got) / sum(r["weight"] for r in got) if got else 0.0
+        return ToxicityModel(Lexicon(), None, np.zeros(1), np.array([share]))
+    got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
+    x, y, w, part = (np.array([r[c] for r in got]) for c in ("x", "toxic", "weight", "part"))
+    return ToxicityModel(lexicons[-1], *fit(x, y, w, part))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -242,7 +325,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.clip(shared.value.scores(batch["text"].to_pylist()), 0, 1)
-            out = pa.Table.from_batches([batch]).append_column("score", pa.array(s, pa.float64())).append_column("predicted", pa.array((s >= 0.5).astype(np.int32), pa.int32()))
-            yield from out.to_batches()
+            new = [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(score, schema)
