@@ -17,7 +17,8 @@ Edge cases: null or empty texts have no tokens and come along in every epoch
 that is taken whole or reached; null domains, languages or sources are a value of
 their own (an empty string); rows with equal doc_id are taken or left together;
 weights that are missing are 1, of zero nothing is taken; an empty table stays
-empty; further columns pass through.
+empty; columns named mix_tokens, mix_epochs or mix_target are replaced, all
+others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Stored, parts
+from quillon.llm.common import Stored, fresh, parts
 
 LEVELS = ("domain", "language", "source")
 #: Rows of one range of a leaf's order.
@@ -83,8 +84,10 @@ def mix(docs: DataFrame, domain: Column, budget_share: float, weights: Mapping[s
 
     The budget is ``budget_share`` times the words of all ``docs``.
     """
-    names = {level: f"mix_{level}" for level in LEVELS}
-    given = [c for c in docs.columns if c not in _OWN]
+    docs = docs.drop(*_OWN)
+    names = {level: fresh(docs, f"mix_{level}") for level in LEVELS}
+    names = {level: f"{name}_" if fresh(docs, f"{name}_of") != f"{name}_of" else name for level, name in names.items()}
+    given = docs.columns
     keyed = docs.select(*given, F.coalesce(domain, F.lit("")).alias(names["domain"]), F.coalesce(F.col(language), F.lit("")).alias(names["language"]), F.coalesce(F.col(source), F.lit("")).alias(names["source"]), n_words(F.col("text")).alias("mix_tokens"))
     leaf = list(names.values())
     # the light columns alone: the order and its sums never move a text
@@ -108,9 +111,9 @@ def mix(docs: DataFrame, domain: Column, budget_share: float, weights: Mapping[s
     within = Window.partitionBy(*leaf, "range").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("upto", F.sum("mix_tokens").over(within)).join(offsets, [*leaf, "range"])
     epochs = F.col("whole") + F.when((F.col("upto") + F.col("offset") <= F.col("left")) & (F.col("left") > 0), 1).otherwise(0)
-    chosen = summed.select(F.col("doc_id").alias("mix_id"), *leaf, epochs.cast("int").alias("mix_epochs"), F.col("target").alias("mix_target")).filter("mix_epochs > 0").distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("mix_id"))
+    chosen_id = fresh(docs, "mix_id")
+    chosen = summed.select(F.col("doc_id").alias(chosen_id), *(F.col(c).alias(f"{c}_of") for c in leaf), epochs.cast("int").alias("mix_epochs"), F.col("target").alias("mix_target")).filter("mix_epochs > 0").distinct()
+    match = F.col("doc_id").eqNullSafe(F.col(chosen_id))
     for name in leaf:
-        match = match & (keyed[name] == chosen[name])
-    taken = keyed.join(chosen, match)
-    return taken.select(*given, F.col("mix_tokens"), F.col("mix_epochs"), F.col("mix_target"))
+        match = match & (F.col(name) == F.col(f"{name}_of"))
+    return keyed.join(chosen, match).select(*given, "mix_tokens", "mix_epochs", "mix_target")
