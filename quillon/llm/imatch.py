@@ -2,18 +2,24 @@
 
 Terms whose document frequency lies in a band (by inverse document frequency)
 make up the lexicon. A document's distinct lexicon terms are sorted, and for
-each of several randomised subsets of the lexicon those in it are hashed; the
-hashes together are the fingerprint. Two fingerprints are alike by the share of
-subsets, of those in which either has a term, whose hashes agree.
+each of several randomised subsets of the lexicon, which overlap and are of
+different sizes, those in it are hashed to 64 bits; the hashes together are the
+fingerprint. Two fingerprints are alike by the share of subsets, of those in
+which either has a term, whose hashes agree: large subsets agree only in close
+copies, small ones also where much of a text has changed.
 
-The band bounds the lexicon, whatever the input: no more than (mean distinct
-terms of a document) / (least share of documents) terms can lie in it.
+The lexicon is one row with a sorted array, which is broadcast. The band bounds
+it, whatever the input: no more than (mean distinct terms of a document) / (least
+share of documents) terms can lie in it.
 
 Edge cases: null texts count as empty; a text without a lexicon term has the
 hash of the whole text as its fingerprint, and is alike (1) only to equal texts;
-rows with equal doc_id share the next document, which is the least text of the
-next id; with a single id, the next document is the document itself; null
-doc_ids come last.
+texts of any length are read whole; rows with equal doc_id share the next
+document, which is the least text of the next id; with a single id, the next
+document is the document itself; null doc_ids are one id, the last one, whose
+rows are spread by their texts; every number is an id like any other; an empty
+table stays empty; ``fingerprints`` replaces a column named fingerprint, all other
+columns pass through; ``edited_fingerprints`` reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -23,26 +29,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Stored, parts
+from quillon.llm.common import Stored, fresh, parts
 
 #: The band: shares of all documents that a term must be in, and may be in at the most.
 LEAST_SHARE, MOST_SHARE = 0.01, 0.2
-SUBSETS = 64
-_NONE, _NO_ID = "------", -(1 << 63)
+#: How many subsets there are that keep one term in so many.
+RATES = {2: 4, 4: 4, 8: 4, 16: 4, 32: 8, 64: 8}
+SUBSETS = sum(RATES.values())
+#: Parts that the rows of a null doc_id are spread over.
+SPREAD = 64
 #: Ids of one range when finding the next document.
 RANGE_IDS = 100_000
+_NONE = "-" * 16
 
 
-def _term_ids(name: str) -> str:
+def _primes(n: int) -> list[int]:
+    """The first ``n`` primes above 10000."""
+    out, k = [], 10_000
+    while len(out) < n:
+        k += 1
+        if all(k % d for d in range(2, int(k**0.5) + 1)):
+            out.append(k)
+    return out
+
+
+def subsets() -> list[tuple[int, int]]:
+    """(modulus, bound): a term is in the subset if its hash modulo the modulus is below the bound."""
+    rates = [rate for rate, n in RATES.items() for _ in range(n)]
+    return [(prime, prime // rate) for prime, rate in zip(_primes(SUBSETS), rates, strict=True)]
+
+
+def _terms(name: str) -> str:
     """SQL: distinct 64-bit hashes of the words in the text column ``name``, A-Z lower-cased."""
     return rf"array_distinct(transform(filter(split(lower({name}), r'[^\p{{L}}\p{{N}}]+'), w -> w != ''), w -> xxhash64(w)))"
 
 
-def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> list[int]:
-    """The hashes of all terms whose share of documents lies in the band, over all documents."""
-    counted = docs.select(F.explode(F.expr(_term_ids("text"))).alias("term")).groupBy("term").count()
+def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
+    """One row (lexicon): the sorted hashes of all terms whose share of documents lies in the band, over all documents."""
     n = docs.count()
-    return sorted(r["term"] for r in counted.filter((F.col("count") >= max(2, least * n)) & (F.col("count") <= most * n)).select("term").collect())
+    counted = docs.select(F.explode(F.expr(_terms("text"))).alias("term")).groupBy("term").count()
+    band = counted.filter((F.col("count") >= max(2, least * n)) & (F.col("count") <= most * n))
+    return band.agg(F.array_sort(F.collect_list("term")).alias("lexicon"))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -51,61 +78,67 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def subset_hashes(terms: Column) -> Column:
-    """For each subset the hash of its sorted terms, null without any; the subsets are random parts of the lexicon."""
+    """For each subset the hash of its sorted terms, null without any."""
+    kinds = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(b).cast("long").alias("b")) for m, b in subsets()))
 
-    def all_subsets(known: Column) -> Column:
-        def one(i: Column) -> Column:
-            mine = F.filter(known, lambda t: F.pmod(t, F.lit(SUBSETS)) == i)
-            return _bound(mine, lambda m: F.when(F.size(m) > 0, F.substring(F.hex(F.xxhash64(m)), -6, 6)))
+    def one(known: Column, kind: Column) -> Column:
+        mine = F.filter(known, lambda t: F.pmod(t, kind["m"]) < kind["b"])
+        return _bound(mine, lambda m: F.when(F.size(m) > 0, F.xxhash64(m)))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    return _bound(terms, lambda known: F.transform(kinds, lambda kind: one(known, kind)))
 
-    return _bound(terms, all_subsets)
 
+def _printed(docs: DataFrame, text: str, terms: DataFrame, out: str) -> DataFrame:
+    """``docs`` with ``out``: the hashes of the text column's subsets, and the text's SHA-256 if it has no lexicon term."""
+    name = fresh(docs, "imatch_terms")
+    known = docs.crossJoin(F.broadcast(terms.withColumnRenamed("lexicon", name)))  # a single row
+    known = known.withColumn(name, F.array_sort(F.array_intersect(F.expr(_terms(f"`{text}`")), F.col(name))))
+    value = F.struct(subset_hashes(F.col(name)).alias("hashes"), F.when(F.size(name) == 0, F.sha2(F.col(text), 256)).alias("bare"))
+    return known.withColumn(out, value).drop(name)
 
-def band_terms(name: str, lexicon_ids: list[int]) -> Column:
-    """The distinct lexicon terms of the text column ``name``, sorted; the lexicon is a hash set in the expression."""
-    known = ", ".join(f"{i}L" if i > -(1 << 63) else "cast('-9223372036854775808' AS bigint)" for i in lexicon_ids) or "CAST(NULL AS bigint)"
-    return F.expr(f"array_sort(filter({_term_ids(name)}, t -> coalesce(t IN ({known}), false)))")
 
-
-def fingerprint(hashes: Column, text: Column) -> Column:
-    """One string of the subsets' hashes, six letters each; without any, of the whole text."""
-    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(h, F.lit(_NONE))), "")
-    return F.when(F.exists(hashes, lambda h: h.isNotNull()), joined).otherwise(F.concat(F.lit("text:"), F.sha2(text, 256)))
+def as_text(of: Column) -> Column:
+    """The fingerprint as a string: the subsets' hashes, sixteen letters each; without any term, the whole text's hash."""
+    joined = F.array_join(F.transform(of["hashes"], lambda h: F.coalesce(F.lpad(F.hex(h), 16, "0"), F.lit(_NONE))), "")
+    return F.when(of["bare"].isNull(), joined).otherwise(F.concat(F.lit("text:"), of["bare"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing subsets among those in which either of two fingerprints has a term."""
-    part = lambda f, i: F.substring(f, i * len(_NONE) + 1, F.lit(len(_NONE)))
-    numbers = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
-    some = F.size(F.filter(numbers, lambda i: (part(a, i) != _NONE) | (part(b, i) != _NONE)))
-    same = F.size(F.filter(numbers, lambda i: (part(a, i) == part(b, i)) & (part(a, i) != _NONE)))
-    return F.when(a == b, 1.0).when(a.startswith("text:") | b.startswith("text:"), 0.0).otherwise(same / some).cast("double")
+    """Share of agreeing subsets among those in which either of two fingerprints has a term; terms that no subset holds leave equal ones alike."""
+    both = F.arrays_zip(a["hashes"].alias("x"), b["hashes"].alias("y"))
+    some = F.size(F.filter(both, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
+    same = F.size(F.filter(both, lambda p: p["x"] == p["y"]))
+    bare = a["bare"].isNotNull() | b["bare"].isNotNull()
+    return F.when(bare, F.coalesce(a["bare"] == b["bare"], F.lit(False)).cast("double")).when(some == 0, 1.0).otherwise(same / some).cast("double")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id) in descending order, the last followed by the first; ids are distinct.
+    """(none, id, next_none, next_id) in descending order, a null id (``none``) last, the last followed by the first; ids are distinct.
 
     Ids are dealt into ranges and looked up within each; only each range's
     highest id crosses over.
     """
     n = ids.count()
-    dealt = ids.repartitionByRange(parts(n, RANGE_IDS, 8), F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id())
+    order = [F.col("none").asc(), F.col("id").desc()]
+    dealt = ids.repartitionByRange(parts(n, RANGE_IDS, 8), *order).withColumn("part", F.spark_partition_id())
     dealt = Stored(dealt, "ranges").read()
-    heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head"))
-    order = Window.partitionBy(F.lit(0)).orderBy("part")
-    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    following = heads.select("part", F.coalesce(F.lead("head").over(order), first).alias("after"))
-    inside = F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last()))
-    return dealt.withColumn("inside", inside).join(F.broadcast(following), "part").select("doc_id", F.coalesce("inside", "after").alias("next_id"))
+    # a range's first id is the least by these: not none, and the highest
+    heads = dealt.groupBy("part").agg(F.max(F.struct((~F.col("none")).alias("some"), "id")).alias("head"))
+    ordered = Window.partitionBy(F.lit(0)).orderBy("part")  # a row for each range
+    first = F.first("head").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = heads.select("part", F.coalesce(F.lead("head").over(ordered), first).alias("after"))
+    inside = F.lead(F.struct((~F.col("none")).alias("some"), "id")).over(Window.partitionBy("part").orderBy(*order))
+    found = dealt.withColumn("inside", inside).join(following, "part").withColumn("then", F.coalesce("inside", "after"))
+    return found.select("none", "id", (~F.col("then.some")).alias("next_none"), F.col("then.id").alias("next_id"))
 
 
 def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """``docs`` with fingerprint, a string; equal texts have equal ones."""
-    terms = lexicon(docs, least, most)
-    hashed = docs.withColumn("imatch_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("imatch_hashes", subset_hashes(band_terms("imatch_text", terms)))
-    return hashed.withColumn("fingerprint", fingerprint(F.col("imatch_hashes"), F.col("imatch_text"))).drop("imatch_text", "imatch_hashes")
+    docs = docs.drop("fingerprint")
+    terms = Stored(lexicon(docs, least, most), "lexicon").read()
+    text, value = fresh(docs, "imatch_text"), fresh(docs, "imatch_print")
+    printed = _printed(docs.withColumn(text, F.coalesce(F.col("text"), F.lit(""))), text, terms, value)
+    return printed.withColumn("fingerprint", as_text(F.col(value))).drop(text, value)
 
 
 def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -114,24 +147,36 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     Texts move once, by id, with their fingerprints (both sides of the join read the
     one exchange); what the next document lends to the edit moves once more.
     """
-    terms = lexicon(docs, least, most)
-    # a null id is the last one, under a number of its own: joins by plain equality keep the partitioning
-    plain = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    following = next_ids(plain.select(F.col("key").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "key")
-    halves = plain.groupBy("key").agg(F.max((F.length("text") / 2).cast("int")).alias("half"))
-    lends = Stored(halves.join(following, "key").select(F.col("key").alias("for_key"), "half", "next_id"), "next-documents").read()
-
-    hashed = plain.withColumn("hashes", subset_hashes(band_terms("text", terms))).withColumn("fingerprint", fingerprint(F.col("hashes"), F.col("text"))).drop("hashes").repartition("key")
-    least_text = hashed.groupBy("key").agg(F.min(F.struct("text", "fingerprint")).alias("x")).select("key", "x.text", "x.fingerprint") if _repeats(plain) else hashed.select("key", "text", "fingerprint")
-    heads = least_text.join(lends, F.col("key") == F.col("next_id")).select("for_key", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("fingerprint").alias("next_print"))
-    both = hashed.join(heads, F.col("key") == F.col("for_key"))
+    terms = Stored(lexicon(docs, least, most), "lexicon").read()
+    text = F.coalesce("text", F.lit(""))
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(SPREAD))).otherwise(0).cast("int")
+    plain = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), spread.alias("spread"), text.alias("text"))
+    ids = plain.groupBy("none", "id").agg(F.max((F.length("text") / 2).cast("int")).alias("half"), F.count("*").alias("rows"))
+    ids = Stored(ids, "ids").read()
+    following = next_ids(ids.select("none", "id"))
+    lends = ids.join(following, ["none", "id"]).select(F.col("none").alias("for_none"), F.col("id").alias("for_id"), "half", "next_none", "next_id")
+    lends = Stored(lends, "next-documents").read()
+
+    hashed = _printed(plain, "text", terms, "print").repartition("none", "id", "spread")
+    least_text = hashed.select("none", "id", "text", "print")
+    if not ids.filter("rows > 1").isEmpty():
+        least_text = least_text.groupBy("none", "id").agg(F.min(F.struct("text", "print")).alias("x")).select("none", "id", "x.*")
+    heads = least_text.join(lends, (F.col("none") == F.col("next_none")) & (F.col("id") == F.col("next_id")))
+    heads = heads.select("for_none", "for_id", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("print").alias("next_print"))
+    parts_of = F.when(F.col("for_none"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    heads = heads.withColumn("for_spread", F.explode(parts_of))
+    both = hashed.join(heads, (F.col("none") == F.col("for_none")) & (F.col("id") == F.col("for_id")) & (F.col("spread") == F.col("for_spread")))
     n_chars = F.length("text").cast("long")
     half = (n_chars / 2).cast("int")
-    both = both.withColumn("n_chars", n_chars).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n_chars - half).cast("int")), F.substring("head", F.lit(1), half)))
-    both = both.withColumn("edited_hashes", subset_hashes(band_terms("edited", terms))).withColumn("edited_fingerprint", fingerprint(F.col("edited_hashes"), F.col("edited")))
-    return both.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
-
-
-def _repeats(plain: DataFrame) -> bool:
-    n, distinct = plain.agg(F.count("*"), F.count_distinct("key")).first()
-    return n != distinct
+    edited = F.concat(F.substring("text", F.lit(1), (n_chars - half).cast("int")), F.substring("head", F.lit(1), half))
+    both = both.withColumn("n_chars", n_chars).withColumn("edited", edited).drop("head", "text")
+    both = _printed(both, "edited", terms, "edited_print")
+    return both.select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("print")).alias("fingerprint"),
+        as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )

@@ -233,7 +233,7 @@ def test_bitmap_bound_never_excludes_a_link():
             continue
         assert set(jaccard.signatures(a, jaccard.Bands(85, 100)).tolist()) & set(jaccard.signatures(b, jaccard.Bands(85, 100)).tolist())
         if a.tobytes() != b.tobytes():
-            edges = jaccard._forest(np.array([1, 2]), np.array([len(a), len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)], np.array([1, 2]), set(), 85, 100)
+            edges = jaccard._forest(np.array([len(a), len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)], np.array([1, 2]), 85, 100)
             assert edges
 
 
@@ -246,6 +246,7 @@ def test_components(spark):
 
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 64)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 24))
     x = [(centres[i % 12] + rng.normal(scale=0.22, size=24)).astype(np.float32).tolist() for i in range(300)]
@@ -366,8 +367,11 @@ def test_katz(spark, docs, monkeypatch, shard):
         left = 1 / (contexts[h] + 1) if bare else 1 - sum(d2[min(c, k + 1)] * c for c in seen.values()) / contexts[h]
         return left / (1 - sum(map(p1, seen))) * p1(w)
 
-    h = max(contexts, key=contexts.get)
-    assert math.isclose(sum(p2(h, w) for w in one) + p2(h, b"unseen"), 1, rel_tol=1e-9)
+    assert math.isclose(sum(map(p1, one)) + p1(b"unseen"), 1, rel_tol=1e-9)
+    mass = 1 - unknown
+    for h, seen in followers.items():  # every context: its followers, all other words by the backoff, and the unknown one
+        rest = p2(h, b"unseen") / unknown
+        assert math.isclose(sum(p2(h, w) for w in seen) + rest * (mass - sum(map(p1, seen)) + unknown), 1, rel_tol=1e-9)
     for r in katz.score_documents(every).collect():
         t = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(one[w] > 0 for w in t), n)
@@ -380,25 +384,59 @@ def test_katz_edges(docs, nothing):
     assert katz.score_documents(docs).count() == docs.count()
 
 
-def test_imatch(docs, nothing):
-    got = imatch.edited_fingerprints(docs, 0.05, 0.6).collect()
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    ids = sorted(texts, reverse=True)
-    assert len(got) == docs.count()
-    by_text = collections.defaultdict(set)
-    for r in got:
-        t = texts[r["doc_id"]]
-        following = texts[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+def brute_imatch(texts, least, most):
+    """Fingerprints as sets of terms for each subset, by plain Python over the terms' hashes (xxhash with Spark's seed)."""
+    import xxhash
+
+    term = lambda w: xxhash.xxh64(w.encode(), 42).intdigest()
+    words = {t: {term(w) for w in re.split(r"[^\p{L}\p{N}]+".replace("\\p{L}\\p{N}", "\\w"), t.lower().replace("_", " ")) if w} for t in set(texts)}
+    seen = collections.Counter(w for t in texts for w in words[t])
+    n = len(texts)
+    lexicon = {w for w, c in seen.items() if max(2, least * n) <= c <= most * n}
+
+    def printed(text):
+        own = {term(w) for w in re.split(r"[\W_]+", text.lower()) if w} & lexicon
+        signed = [w - (1 << 64) if w >> 63 else w for w in own]
+        return text if not own else [frozenset(t for t in signed if t % m < b) for m, b in imatch.subsets()]
+
+    def alike(a, b):
+        if isinstance(a, str) or isinstance(b, str):
+            return float(a == b)
+        some = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in some) / len(some) if some else 1.0
+
+    return printed, alike
+
+
+def test_imatch(spark, docs, nothing):
+    """Edited texts, fingerprints (equal exactly where all subsets' terms are) and both likenesses against plain Python."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-(1 << 63), "w1 w2 w3 own id"), ((1 << 63) - 1, "the highest w5 w6 id"), (None, "w7 w8 w9 null id"), (None, "another null id w3")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    least, most = 0.05, 0.6
+    printed, alike = brute_imatch([t or "" for _, t in rows], least, most)
+    got = imatch.edited_fingerprints(table, least, most).collect()
+    assert len(got) == len(rows)
+    by_id = collections.defaultdict(list)
+    for i, t in rows:
+        by_id[i].append(t or "")
+    order = sorted((i for i in by_id if i is not None), reverse=True) + [None]
+    want = collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        following = min(by_id[order[(order.index(i) + 1) % len(order)]])
         half = len(t) // 2
         edited = t[: len(t) - half] + following[:half]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if edited == t:
-            assert r["near_edited"] == 1
-        by_text[t].add(r["fingerprint"])
-    assert all(len(v) == 1 for v in by_text.values()) and len({x for v in by_text.values() for x in v}) > 20
-    assert imatch.edited_fingerprints(nothing).count() == 0
-    assert "fingerprint" in imatch.fingerprints(docs, 0.05, 0.6).columns
+        mine, other = printed(t), printed(edited)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(alike(mine, other), 9), round(alike(mine, printed(following)), 9)] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(docs, least, most).collect()}
+    again, _ = brute_imatch([t or "" for i, t in rows[: docs.count()]], least, most)
+    plain = {i: str(again(t or "")) for i, t in rows[: docs.count()]}
+    for i, a in prints.items():
+        for j, b in prints.items():
+            assert (a == b) == (plain[i] == plain[j])
+    assert all(len(p) == 16 * imatch.SUBSETS or p.startswith("text:") for p in prints.values()) and len(set(prints.values())) > 20
+    assert imatch.edited_fingerprints(nothing).count() == 0 and imatch.fingerprints(nothing).count() == 0
 
 
 def test_pipeline_stages(spark, docs):
