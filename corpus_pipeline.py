@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.llm import language
 from quillon.llm.bpe import bpe_encode
 from quillon.llm.common import Stored
-from quillon.llm.jaccard import shingle_components
+from quillon.llm.jaccard import shingle_groups
 from quillon.llm.lines import dedup_lines
 from quillon.llm.mixing import mix
 
@@ -38,10 +38,23 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five words at 0.8; the least doc_id of each group stays."""
-    groups = shingle_components(docs, words=5, num=80, den=100)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    """N-gram Jaccard join on five words at 0.8; one row of each group stays.
+
+    The row of the least doc_id (null ids come last; then the least hash of the
+    text, then the least row), whatever repeats. Rows without words have no group
+    and all stay.
+    """
+    groups = shingle_groups(docs, words=5, num=80, den=100)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    least = groups.filter("shingle_group is not null").groupBy("shingle_group").agg(F.min(order).alias("least"))
+    kept = least.select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"), F.lit(True).alias("one"))
+    alone = groups.filter("shingle_group is null").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.lit(False).alias("one")).distinct()
+    wanted = Stored(kept.unionByName(alone), "kept-documents").read()
+    match = (F.xxhash64("text") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    found = docs.join(wanted, match)
+    # rows that agree in doc_id and text are one group: the least of them by its other columns
+    first = found.filter("one").groupBy("kept_key", "kept_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return first.unionByName(found.filter("NOT one").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,13 +76,16 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: The first stage is a fitted model, which SQL cannot express; tests hold the stages against brute force.
+#: The first stage is a fitted model, which SQL cannot express; tests/llm hold every stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``, each one's result written as Parquet and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = Stored(stage(spark, docs, sf_dir), f"stage-{name}").read()
+        written = Stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.drop()
+        docs, before = written.read(), written
     return docs
