@@ -40,11 +40,11 @@ def applies_when(on: Column, all_: Column, any_: Column, none: Column) -> Column
 
 
 @query("flt_applies_when", "checks", """
-WITH flags AS (SELECT o_orderkey AS run, o_orderkey % 2 = 0 AS py, o_orderkey % 3 = 0 AS web, o_orderkey % 5 = 0 AS docker FROM orders WHERE o_orderkey < 30)
-SELECT run, check_id FROM checks CROSS JOIN flags
-WHERE check_id < 200 AND (check_id % 2 <> 0 OR py) AND (check_id % 3 <> 0 OR web OR docker) AND (check_id % 7 <> 0 OR NOT docker)""")
+WITH flags AS (SELECT o_orderkey % 2 = 0 AS py, o_orderkey % 3 = 0 AS web, o_orderkey % 5 = 0 AS docker, count(*) AS n FROM orders GROUP BY 1, 2, 3)
+SELECT check_id, sum(n)::BIGINT AS n_runs FROM checks CROSS JOIN flags
+WHERE (check_id % 2 <> 0 OR py) AND (check_id % 3 <> 0 OR web OR docker) AND (check_id % 7 <> 0 OR NOT docker) GROUP BY check_id""")
 def flt_applies_when(spark, sf_dir):
-    """All checks against all runs. A run's flags are one of few profiles, so each check is tried once a profile; only applicable pairs are made for the runs."""
+    """For each check the number of runs, of all, that it applies to. A run's flags are one of few profiles, so each check is tried once a profile."""
     k, c = F.col("o_orderkey"), F.col("check_id")
     on = F.array_compact(F.array(F.when(k % 2 == 0, "py"), F.when(k % 3 == 0, "web"), F.when(k % 5 == 0, "docker")))
     runs = V.table(spark, sf_dir, "orders").select(k.alias("run"), on.alias("on"))
@@ -52,8 +52,9 @@ def flt_applies_when(spark, sf_dir):
     rules = V.checks(spark, sf_dir).select(
         "check_id", F.when(c % 2 == 0, F.array(F.lit("py"))).otherwise(none).alias("all"), F.when(c % 3 == 0, F.array(F.lit("web"), F.lit("docker"))).otherwise(none).alias("any"), F.when(c % 7 == 0, F.array(F.lit("docker"))).otherwise(none).alias("none"),
     )
-    applies = rules.crossJoin(F.broadcast(runs.select("on").distinct())).filter(applies_when(F.col("on"), F.col("all"), F.col("any"), F.col("none"))).select("on", "check_id")
-    return runs.repartition("run").join(F.broadcast(applies), "on").select("run", "check_id")
+    profiles = runs.groupBy("on").agg(F.count("*").alias("n"))  # at most eight
+    applies = rules.crossJoin(F.broadcast(profiles)).filter(applies_when(F.col("on"), F.col("all"), F.col("any"), F.col("none")))
+    return applies.groupBy("check_id").agg(F.sum("n").alias("n_runs"))
 
 
 @query("flt_applicable_checks", "checks", "SELECT check_id, metric, severity FROM checks WHERE NOT retired AND (check_id % 3 <> 0 OR severity <> 'info')")
@@ -196,7 +197,7 @@ def flt_url_policy(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", url_allowed(F.col("url"), ("m.ththth.example.net", "shth.example.org")).alias("allowed"), F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"))
 
 
-@query("flt_indexable", "files", f"SELECT path FROM files WHERE NOT {_VENDORED_SQL} AND NOT {_GENERATED_SQL} AND (language NOT IN ('json', 'yaml') OR size <= 2000)")
+@query("flt_indexable", "files", f"SELECT path FROM files WHERE NOT {_VENDORED_SQL} AND NOT {_GENERATED_SQL} AND (language NOT IN ('json', 'yaml') OR size <= 64000)")
 def flt_indexable(spark, sf_dir):
     rows = V.files(spark, sf_dir).filter(~vendored(F.col("path")) & ~generated(F.col("path"), F.col("text")))
     return rows.filter(~F.col("language").isin("json", "yaml") | (F.col("size") <= LARGEST_DATA_FILE)).select("path")

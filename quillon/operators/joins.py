@@ -34,7 +34,7 @@ def count_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 @query("join_range_overlap", "findings", """SELECT a.run, a.check_id, count(*) AS n_changed FROM (SELECT run, check_id, path_no AS path, start_line AS s, start_line + 10 AS e FROM findings) a
-JOIN (SELECT o_orderkey % 50 AS path, o_custkey % 97 + 1 AS s, o_custkey % 97 + 1 + o_orderkey % 30 AS e FROM orders WHERE o_orderkey % 20 = 0) c ON a.path = c.path AND a.s <= c.e AND c.s <= a.e GROUP BY 1, 2""")
+JOIN (SELECT o_orderkey % 50 AS path, o_custkey % 97 + 1 AS s, o_custkey % 97 + 1 + o_orderkey % 30 AS e FROM orders) c ON a.path = c.path AND a.s <= c.e AND c.s <= a.e GROUP BY 1, 2""")
 def join_range_overlap(spark, sf_dir):
     cited = V.findings(spark, sf_dir).select("run", "check_id", F.col("path_no").cast("long").alias("path"), F.col("start_line").cast("long").alias("start"), (F.col("start_line") + 10).cast("long").alias("end"))
     start = F.col("o_custkey") % 97 + 1
@@ -67,7 +67,7 @@ def join_prefix_detect(spark, sf_dir):
     return prefix_join(V.files(spark, sf_dir).select(F.col("path").alias("name")), F.broadcast(prefixes)).select("name", "prefix")
 
 
-@query("join_semi_unconfirmed", "findings", "SELECT run, check_id FROM findings f WHERE verdict = 'fail' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey % 50 = f.path_no AND o.o_orderstatus = 'P' AND o.o_orderkey % 7 = 0 AND o.o_orderkey < 200)")
+@query("join_semi_unconfirmed", "findings", "SELECT run, check_id FROM findings f WHERE verdict = 'fail' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey % 50 = f.path_no AND o.o_orderstatus = 'P')")
 def join_semi_unconfirmed(spark, sf_dir):
     """Resolved issues none of whose cited files was touched."""
     touched = V.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select((F.col("o_orderkey") % 50).cast("int").alias("path_no")).distinct()

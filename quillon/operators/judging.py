@@ -102,7 +102,7 @@ def mechanical(citations: DataFrame, files: DataFrame, seen: DataFrame, span: in
 
 
 @query("ver_mechanical", "", """WITH f AS (SELECT conv_id AS path, count(*) AS n_lines FROM conversations GROUP BY 1),
-c AS (SELECT o_orderkey AS result, o_custkey % 150 AS path, o_orderkey % 4 AS s, o_orderkey % 4 + o_custkey % 3 AS e FROM orders WHERE o_orderkey < 4000),
+c AS (SELECT o_orderkey AS result, o_custkey % 150 AS path, o_orderkey % 4 AS s, o_orderkey % 4 + o_custkey % 3 AS e FROM orders),
 seen AS (SELECT conv_id AS path, turn + 1 AS line FROM conversations WHERE (conv_id + turn) % 9 <> 0)
 SELECT result, coalesce(n_lines IS NOT NULL AND s >= 1 AND s <= e AND e <= n_lines, false) AND NOT EXISTS (
     SELECT 1 FROM (SELECT unnest(range(s, e + 1)) AS line) x WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.path = c.path AND seen.line = x.line)) AS ok

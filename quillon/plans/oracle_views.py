@@ -43,7 +43,7 @@ SELECT doc_id, path, generate_subscripts(parts, 1)::INTEGER AS line_no, unnest(p
 FROM (SELECT doc_id, path, string_split_regex(text, '\r\n|\n|\r') AS parts FROM files)""",
     "edges": """
 SELECT DISTINCT o_custkey % 40 AS src, o_orderkey * 7 % 40 AS dst FROM orders
-WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey % 13 = 0 AND o_custkey % 40 <> o_orderkey * 7 % 40""",
+WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey % 40 <> o_orderkey * 7 % 40""",
 }
 NEEDS = {"findings": ["judged"], "attempts": ["judged"], "lines": ["files"]}
 

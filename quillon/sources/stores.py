@@ -23,7 +23,7 @@ def profile_files(files: DataFrame, largest: int = 2_000_000) -> DataFrame:
     return files.select("path", "size", F.when(~large, F.sha2("text", 256)).alias("sha256"), F.when(large, 0).otherwise(F.size(E.split_lines(F.col("text")))).cast("int").alias("loc"), (~large & binary).alias("is_binary"), large.alias("too_large")).withColumn("readable", ~F.col("is_binary") & ~F.col("too_large"))
 
 
-@query("src_file_profile", "files", r"""SELECT path, size, CASE WHEN size <= 20000 THEN sha256(text) END AS sha256, CASE WHEN size > 20000 THEN 0 ELSE len(string_split_regex(text, '\r\n|\n|\r')) END::INTEGER AS loc, false AS is_binary, size > 20000 AS too_large, size <= 20000 AS readable FROM files""")
+@query("src_file_profile", "files", r"""SELECT path, size, CASE WHEN size <= 2000000 THEN sha256(text) END AS sha256, CASE WHEN size > 2000000 THEN 0 ELSE len(string_split_regex(text, '\r\n|\n|\r')) END::INTEGER AS loc, false AS is_binary, size > 2000000 AS too_large, size <= 2000000 AS readable FROM files""")
 def src_file_profile(spark, sf_dir):
     return profile_files(V.files(spark, sf_dir))
 
