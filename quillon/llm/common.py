@@ -9,9 +9,8 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -81,8 +80,9 @@ class Stored:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+    def drop(self, part: str = "") -> None:
+        """Delete the table, or one of its folders."""
+        remove(self.spark, f"{self.path}/{part}" if part else self.path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -116,11 +116,11 @@ def parts(total: float, each: float, least: int = 1) -> int:
 
 #: Letters of one section of a long text.
 SECTION = 1 << 18
-_SPACE = re.compile(f"[\\t-\\r {WIDE_SPACE}]")
+_SPACE = re.compile(f"(?<=[^\\t-\\r {WIDE_SPACE}])[\\t-\\r {WIDE_SPACE}]")
 
 
 def sections(text: str) -> Iterator[str]:
-    """The text in parts of about ``SECTION`` letters; each but the first begins with white space."""
+    """The text in parts of about ``SECTION`` letters; each but the first begins with a whole run of white space."""
     at = 0
     while len(text) - at > SECTION:
         space = _SPACE.search(text, at + SECTION)
@@ -132,18 +132,22 @@ def sections(text: str) -> Iterator[str]:
 
 
 class BoundedCache(dict):
-    """A dict for strings and bytes that ``trim`` empties once its entries hold more than ``most`` bytes."""
+    """A dict by strings, of values no larger than their keys, that ``trim`` empties once its entries hold more than ``most`` bytes."""
 
-    #: What an entry takes besides its key and value.
-    ENTRY = 110
+    #: What an entry takes besides its letters, and a letter in key and value.
+    ENTRY, LETTER = 200, 4
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.held = most, 0
 
-    def put(self, key: str | bytes, value: str | bytes | tuple) -> None:
+    def put(self, key: str | bytes, value: object) -> None:
         self[key] = value
-        self.held += getsizeof(key) + getsizeof(value) + self.ENTRY
+        self.held += self.ENTRY + self.LETTER * len(key)
+
+    def put_all(self, keys: list, values: Iterable) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.held += self.ENTRY * len(keys) + self.LETTER * sum(map(len, keys))
 
     def trim(self) -> None:
         if self.held > self.most:

@@ -58,6 +58,8 @@ SPARE_PARTS = 3
 BLOCK = 4096
 #: Bytes that a Python worker's cache of word hashes may hold.
 WORD_BYTES = 64 << 20
+#: Sets that a Python worker keeps in mind, so as not to send them again.
+SEEN = 500_000
 #: Words of a text that are looked up at a time.
 RUN = 1 << 16
 
@@ -184,14 +186,15 @@ def _tiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), BoundedCache(WORD_BYTES)
+        bands, seen = Bands(num, den), set()
         for batch in batches:
             sigs, names, loads = [], [], []
-            seen.trim()
+            if len(seen) > SEEN:
+                seen.clear()
             for text in batch["text"]:
                 s = shingle_set(text.as_py() or "", words)
                 if len(s) and (name := set_id(s)) not in seen:
-                    seen.put(name, 0)
+                    seen.add(name)
                     sigs.append(signatures(s, bands))
                     names.append(np.full(len(sigs[-1]), name, np.int64))
                     loads.append(np.full(len(sigs[-1]), -(-len(s) // LOAD), np.int32))

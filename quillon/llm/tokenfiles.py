@@ -1,42 +1,48 @@
-"""Token-ID output: Arrow stream files of equal-length sequences and masks.
+"""Token-ID output: Arrow files of equal-length sequences and masks.
 
 The ids of all documents, each with an end id, form one stream in ascending
 doc_id order. It is dealt out to shards by ranges of doc_id; each shard is one
 Arrow IPC file whose columns ``ids`` (in the smallest type that holds the
-vocabulary) and ``mask`` (bits) are fixed-size lists of ``length`` entries, so sequence i of a file lies at a computed place and is read
-from the memory map without copying. The last sequence of a shard is padded with
-zeros, and its mask says so.
+vocabulary) and ``mask`` (bits) are fixed-size lists of ``length`` entries, so
+sequence i of a file lies at a computed place and is read from the memory map
+without copying. The last sequence of a shard is padded with zeros, and its mask
+says so. A second, small Arrow file beside it says where each document lies, so a
+folder is read back from its files alone.
 
 Files are written under a temporary name and then renamed, with contents that
-depend on the rows alone, so a task that is run again gives the same file.
+depend on the rows alone, so a task that is run again gives the same files.
 
-Edge cases: null or empty text gives the end id alone; rows with equal doc_id
-follow each other by text; null doc_ids come first; an empty table gives no files.
+Edge cases: null or empty text gives the end id alone; texts of any length are
+read whole, in sections; rows with equal doc_id follow each other by a hash of
+their texts, so that null doc_ids, which come first, spread over shards; an empty
+table gives no files; further columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WIDE_SPACE, Stored, bounded_batches, filesystem, new_folder, parts, text_bytes
+from quillon.llm.common import WIDE_SPACE, BoundedCache, bounded_batches, filesystem, new_folder, parts, sections, text_bytes
 
 #: Text bytes of one shard.
 SHARD_BYTES = 32 << 20
-#: Sequences in one record batch of a file.
-BATCH_SEQUENCES = 512
-#: Chunks whose ids a Python worker keeps.
-CACHED_CHUNKS = 900_000
-CACHED_PIECES = 400_000
+#: Sequences, and documents, in one record batch of a file.
+BATCH_SEQUENCES, BATCH_DOCUMENTS = 512, 8192
+#: Bytes that a Python worker's caches of chunks and of pieces may hold.
+CHUNK_BYTES, PIECE_BYTES = 176 << 20, 32 << 20
+
+#: Letters of texts that are encoded together.
+GROUP = 1 << 16
 
 _S = r"\t\n\x0b\x0c\r " + WIDE_SPACE
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -72,45 +78,96 @@ class ChunkedEncoder:
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(names.values()) + 1, np.int64)  # a byte-level token has a letter for each byte
         self.widths[list(names.values())] = list(map(len, names))
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
+        # chunks that follow one space, without it; and pieces, and all other chunks, as they are
+        self.spaced, self.pieces = BoundedCache(CHUNK_BYTES), BoundedCache(PIECE_BYTES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known_pieces) > CACHED_PIECES:
-            self.known_pieces.clear()
-        pieces = self.known_pieces
-        cut = {c: [c] if c[:1] == " " and c[1:].isalpha() else _PIECE.findall(c) for c in chunks}
+    def _learn_words(self, words: set[str]) -> None:
+        """New words of letters alone, each after a space: one text for the tokenizer."""
+        if not words:
+            return
+        words = list(words)
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype=self.type)
+        ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
+        cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.type.itemsize
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        self.spaced.put_all(words, [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)])
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks, with the space before them."""
+        self.pieces.trim()
+        spaced, pieces = self.spaced, self.pieces
+        cut = {c: _PIECE.findall(c) for c in chunks}
         new = {p for found in cut.values() for p in found if p not in pieces}
-        spaced = [p for p in new if p[:1] == " " and p[1:].isalpha()]
-        if spaced:
-            found = self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, dtype=self.type)
-            ends = np.cumsum([len(p.encode()) for p in spaced])
-            cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.type.itemsize
-            raw = ids.tobytes()
-            pieces.update(zip(spaced, (raw[i:j] for i, j in itertools.pairwise([0, *cuts.tolist()])), strict=True))
-        other = list(new.difference(spaced))
-        pieces.update(zip(other, self._ids(other), strict=True))
-        self.known.update((c, b"".join([pieces[p] for p in found])) for c, found in cut.items())
+        words = {p[1:] for p in new if p[:1] == " " and p[1:].isalpha()}
+        self._learn_words({w for w in words if w not in spaced})
+        other = [p for p in new if not (p[:1] == " " and p[1:] in words)]
+        pieces.put_all(other, self._ids(other))
+        return {c: b"".join([spaced[p[1:]] if p[:1] == " " and p[1:] in words else pieces[p] for p in found]) for c, found in cut.items()}
+
+    def _group(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts of texts; what is new in any of them is learned at once."""
+        self.spaced.trim()
+        get, plain, new, odd = self.spaced.get, [], set(), set()
+        for part in parts:
+            chunks = part.split(" ")
+            if "" in chunks[1:]:  # runs of white space
+                chunks = _CHUNK.findall(part)
+                plain.append((chunks, None))
+                odd.update(chunks)
+                continue
+            # one space between runs: each but the first follows it
+            first, chunks = chunks[0], chunks[1:]
+            found = list(map(get, chunks))
+            if None in found:
+                new.update(c for c, ids in zip(chunks, found, strict=True) if ids is None)
+                found = None
+            if first:
+                odd.add(first)
+            plain.append(((first, chunks), found))
+        words = set(filter(str.isalpha, new))
+        self._learn_words(words)
+        known = self._learn({" " + c for c in new - words} | odd)
+        rest = list(new - words)
+        self.spaced.put_all(rest, [known[" " + chunk] for chunk in rest])
+        out = []
+        for chunks, found in plain:
+            if isinstance(chunks, tuple):
+                first, chunks = chunks
+                ids = b"".join(map(self.spaced.__getitem__, chunks) if found is None else found)
+                out.append(known[first] + ids if first else ids)
+            else:
+                out.append(b"".join([known[c] for c in chunks]))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of ``type`` for each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, rows, held = [], [], 0
+
+        def flush() -> None:
+            for row, ids in zip(rows, self._group(waiting), strict=True):
+                out[row].append(ids)
+
+        for row, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                out[row].append(self._ids([text])[0])
+                continue
+            for part in sections(text):
+                waiting.append(part)
+                rows.append(row)
+                held += len(part)
+                if held >= GROUP:
+                    flush()
+                    waiting, rows, held = [], [], 0
+        flush()
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str) -> bytes:
-        """Little-endian ids of ``type``."""
-        if any(t in text for t in self.added):
-            return self._ids([text])[0]
-        chunks = text.split(" ")
-        if "" in chunks:
-            chunks = _CHUNK.findall(text)
-        else:  # one space between runs: each but the first begins with it
-            chunks = [chunks[0], *map(" ".__add__, chunks[1:])]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        new = {c for c in chunks if c not in self.known}
-        if new:
-            self._learn(new)
-        return b"".join([self.known[c] for c in chunks])
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, ChunkedEncoder] = {}
@@ -131,26 +188,39 @@ def sequence_schema(length: int, ids: np.dtype) -> pa.Schema:
     return pa.schema([(name, pa.list_(pa.field("item", kind, nullable=False), length)) for name, kind in (("ids", pa.from_numpy_dtype(ids)), ("mask", pa.bool_()))])
 
 
+_DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64())])
+
+
 class SequenceWriter:
-    """Writes one shard; ``add`` takes ids as bytes and gives their place in it."""
+    """Writes one shard: ``add`` takes a document's ids as bytes and gives their place in it."""
 
-    def __init__(self, fs: pafs.FileSystem, path: str, length: int, ids: np.dtype):
-        self.fs, self.path, self.length, self.type, self.schema = fs, path, length, ids, sequence_schema(length, ids)
+    def __init__(self, fs: pafs.FileSystem, path: str, documents: str, length: int, ids: np.dtype):
+        self.fs, self.length, self.type, self.schema = fs, length, ids, sequence_schema(length, ids)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.temporary = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
-        self.sink = fs.open_output_stream(self.temporary)
-        self.writer = pa.ipc.new_file(self.sink, self.schema)
-        self.waiting, self.held, self.n = [], 0, 0
-
-    def add(self, ids: bytes) -> int:
-        at = self.n
-        self.n += len(ids) // self.type.itemsize
+        attempt = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
+        self.paths = [(f"{p}.{attempt}.tmp", p) for p in (documents, path)]
+        self.sinks = [fs.open_output_stream(temporary) for temporary, _ in self.paths]
+        self.documents, self.writer = (pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (_DOCUMENTS, self.schema), strict=True))
+        self.waiting, self.held, self.n, self.rows = [], 0, 0, []
+
+    def add(self, ids: bytes, doc_id: int | None = None) -> int:
+        at, n = self.n, len(ids) // self.type.itemsize
+        self.n += n
+        self.rows.append((doc_id, at, n))
+        if len(self.rows) >= BATCH_DOCUMENTS:
+            self._flush_rows()
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= self.type.itemsize * self.length * BATCH_SEQUENCES:
             self._flush(False)
         return at
 
+    def _flush_rows(self) -> None:
+        if self.rows:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), _DOCUMENTS, strict=True)]
+            self.documents.write_batch(pa.RecordBatch.from_arrays(columns, schema=_DOCUMENTS))
+        self.rows = []
+
     def _flush(self, last: bool) -> None:
         flat = np.frombuffer(b"".join(self.waiting), dtype=self.type)
         unit = self.length * BATCH_SEQUENCES
@@ -170,10 +240,12 @@ class SequenceWriter:
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
+        self._flush_rows()
         self._flush(True)
-        self.writer.close()
-        self.sink.close()
-        self.fs.move(self.temporary, self.path)
+        for writer, sink, (temporary, path) in zip((self.documents, self.writer), self.sinks, self.paths, strict=True):
+            writer.close()
+            sink.close()
+            self.fs.move(temporary, path)
 
 
 class SequenceFile:
@@ -211,8 +283,12 @@ def _name(shard: int) -> str:
     return f"tokens-{shard:08d}.arrow"
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = 2048) -> DataFrame:
-    """Write the files; the manifest (doc_id, shard, at, n_tokens) tells where each document lies."""
+def _documents_name(shard: int) -> str:
+    return f"documents-{shard:08d}.arrow"
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, length: int = 2048) -> int:
+    """Write the files of all documents into ``folder``; how many ids they hold."""
     bounded_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,50 +298,80 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         end = np.array([end_id], coder.type).tobytes()
         for batch in batches:
             if writer is None:
-                writer = SequenceWriter(fs, f"{root}/{_name(shard)}", length, coder.type)
-            at, n = [], []
-            for text in batch["text"].to_pylist():
-                ids = coder.encode(text or "") + end
-                at.append(writer.add(ids))
-                n.append(len(ids) // coder.type.itemsize)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "shard": pa.array([shard] * len(n), pa.int32()), "at": pa.array(at, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
+                writer = SequenceWriter(fs, f"{root}/{_name(shard)}", f"{root}/{_documents_name(shard)}", length, coder.type)
+            found = coder.encode_all([t or "" for t in batch["text"].to_pylist()])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), found, strict=True):
+                writer.add(ids + end, doc_id)
         if writer:
             writer.close()
+            yield pa.RecordBatch.from_pydict({"n": pa.array([writer.n], pa.int64())})
 
     shards = parts(text_bytes(docs), SHARD_BYTES, 4)
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return Stored(ordered.mapInArrow(write, "doc_id long, shard int, at long, n_tokens long"), "token-manifest").read()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key")]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return ordered.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
 
+def shards_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard) of each pair of files in the folder, a task each."""
+    fs, root = filesystem(folder)
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    shards = sorted(int(f.base_name[10:18]) for f in found if re.fullmatch(r"documents-\d{8}\.arrow", f.base_name))
+    if not shards:
+        return spark.createDataFrame([], "shard long")
+    # shards without a row have no file
+    return spark.range(0, shards[-1] + 1, 1, shards[-1] + 1).withColumnRenamed("id", "shard")
 
-def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files.
 
-    ``start`` counts the ids of all documents before. The offsets of the shards
-    are one row a shard, so they stay small beside any input.
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone.
+
+    ``start`` counts the ids of all documents before. What the driver holds is one
+    number a shard, so it stays small beside any input.
     """
-    totals = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
+    shards = shards_of(spark, folder)
+
+    def documents(fs: pafs.FileSystem, root: str, shard: int) -> pa.Table | None:
+        path = f"{root}/{_documents_name(shard)}"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        with fs.open_input_file(path) as source:
+            return pa.ipc.open_file(source).read_all()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        for batch in batches:
+            for shard in batch["shard"].to_pylist():
+                if rows := documents(fs, root, shard):
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n": pa.array([pc.sum(rows["n_tokens"]).as_py()], pa.int64())})
+
     offset, offsets = 0, {}
-    for row in sorted(totals):
+    for row in sorted(shards.mapInArrow(total, "shard long, n long").collect()):
         offsets[row["shard"]] = offset
         offset += row["n"]
 
-    def read(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        shard = table["shard"][0].as_py()
-        file, crcs = SequenceFile(fs, f"{root}/{_name(shard)}"), []
-        for at, n in zip(table["at"].to_pylist(), table["n_tokens"].to_pylist(), strict=True):
-            crc = 0
-            for piece in file.pieces(at, n):
-                crc = zlib.crc32(piece.astype("<u4"), crc)
-            crcs.append(crc)
-        start = pa.array(table["at"].to_numpy() + offsets[shard], pa.int64())
-        return pa.table({"doc_id": table["doc_id"], "start": start, "n_tokens": table["n_tokens"], "ids_crc32": pa.array(crcs, pa.int64())})
-
-    return manifest.groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        for batch in batches:
+            for shard in batch["shard"].to_pylist():
+                rows = documents(fs, root, shard)
+                file = SequenceFile(fs, f"{root}/{_name(shard)}") if rows else None
+                for part in rows.to_batches() if rows else ():
+                    crcs = []
+                    for at, n in zip(part["at"].to_pylist(), part["n_tokens"].to_pylist(), strict=True):
+                        crc = 0
+                        for piece in file.pieces(at, n):
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
+                        crcs.append(crc)
+                    start = pa.array(part["at"].to_numpy() + offsets[shard], pa.int64())
+                    yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "start": start, "n_tokens": part["n_tokens"], "ids_crc32": pa.array(crcs, pa.int64())})
+
+    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 2048, folder: str | None = None) -> DataFrame:
     """Write all documents to the shared folder and read them back."""
     folder = folder or new_folder(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, tokenizer_path, folder, end_id, length), folder)
+    write_tokens(docs, tokenizer_path, folder, end_id, length)
+    return read_tokens(docs.sparkSession, folder)

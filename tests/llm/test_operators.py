@@ -52,34 +52,41 @@ def test_line_dedup(docs, nothing):
 
 
 def test_token_files(spark, docs, nothing):
+    """Rows of null and equal ids follow each other by text hash; the files are read alone."""
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"], r["text"] is not None, r["text"]))
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id here"), (None, None), (5, "five again"), (-(1 << 63), "least")], "doc_id long, text string"))
+    rows = table.withColumn("key", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["key"], r["text"] or ""))
     want, at = [], 0
     for r in rows:
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
         want.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = tokenfiles.token_output(docs, path, length=64)
-    assert by_id(got, "doc_id", "start", "n_tokens", "ids_crc32") == want
+    got = tokenfiles.token_output(table, path, length=64)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     assert tokenfiles.token_output(nothing, path).count() == 0
 
 
 def test_sequences_are_read_in_place(tmp_path):
     import pyarrow.fs as pafs
 
-    fs, path = pafs.LocalFileSystem(), f"{tmp_path}/t.arrow"
-    writer = tokenfiles.SequenceWriter(fs, path, 8, np.dtype("<u2"))
+    fs, path, documents = pafs.LocalFileSystem(), f"{tmp_path}/t.arrow", f"{tmp_path}/d.arrow"
+    writer = tokenfiles.SequenceWriter(fs, path, documents, 8, np.dtype("<u2"))
     ids = np.arange(8 * 1000 + 3).astype("<u2")
-    assert [writer.add(x.tobytes()) for x in np.split(ids, [5, 5, 4000])] == [0, 5, 5, 4000]
+    assert [writer.add(x.tobytes(), i) for i, x in enumerate(np.split(ids, [5, 5, 4000]))] == [0, 5, 5, 4000]
     writer.close()
     file = tokenfiles.SequenceFile(fs, path)
     assert np.concatenate(list(file.pieces(3, 7000))).tolist() == ids[3:7003].tolist()
     last, mask = file.sequence(1000)
     assert last[:3].tolist() == ids[-3:].tolist() and mask.tolist() == [True] * 3 + [False] * 5
     assert not file.sequence(0)[0].flags.owndata
+    import pyarrow as pa
+
+    rows = pa.ipc.open_file(documents).read_all().to_pylist()
+    assert [(r["doc_id"], r["at"], r["n_tokens"]) for r in rows] == [(0, 0, 5), (1, 5, 0), (2, 5, 3995), (3, 4000, 4003)]
 
 
 ODD = ["don't .'s a'b 12abc. x1y2 ...a '' s", "a \nb\n c \n\n d", "a\n", "é́ x", "tab\t\tx \x85 y", " \n x", "x 's 'twas  <|endoftext|> b", "日本語 １２３ ½ 😀a", "İstanbul ΣΑΣ ΌΔΟΣ", "ﬁ Å ẞ", "a" * 3000, "<|startoftext|>Hi", "a\x1cb\x1d c"]
@@ -152,6 +159,12 @@ def test_sections_and_caches_do_not_change_ids(texts, monkeypatch):
     monkeypatch.setattr(bpe_module, "WORD_BYTES", 500)
     small = WordBPE(path)
     assert [small.encode(t or "") for t in texts] == want
+    whole = tokenfiles.ChunkedEncoder(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokenfiles, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(tokenfiles, "PIECE_BYTES", 500)
+    small = tokenfiles.ChunkedEncoder(P.path("byte_bpe_50k.json"))
+    odd = [t or "" for t in texts] + ["a  b   c\n\n  d " * 9, " x  " * 30, "\n \n x\t\ty " * 9, "μg/ml 5 " * 20]
+    assert [small.encode(t) for t in odd] == [np.array(whole.tokenizer.encode(t, add_special_tokens=False).ids, whole.type).tobytes() for t in odd]
     assert list("".join(common.sections(t or "")) for t in texts) == [t or "" for t in texts]
 
 
