@@ -1,28 +1,51 @@
-"""Deterministic rules: facts in, one verdict row a group out, with missing tools told apart."""
+"""Deterministic rules: facts in, one verdict row a run out, with missing tools told apart.
+
+A fact is (run, kind, path, severity, attributes), attributes being JSON. Files of
+a snapshot are facts of the kind ``file`` (attributes text, vendored, unreadable),
+flags and frameworks of a profile facts of the kinds ``flag`` and ``framework``.
+"""
 
 from __future__ import annotations
 
+import fnmatch
+import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as E
+from quillon.functions import fixed
 from quillon.plans import views as V
+from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
 
-_RULES: dict[str, tuple[Callable, dict]] = {}
 _NAME = re.compile(r"^[a-z]+\.[a-z_]+$")
 
 
-def rule(name: str, **defaults) -> Callable:
-    """Register ``(facts, params) -> outcome`` as ``family.name``; names are unique."""
+@dataclass(frozen=True)
+class Rule:
+    """``outcome``: (facts, **params) to (run, verdict, reason) of the runs it has facts for; ``empty``: verdict and reason of the others."""
+
+    outcome: Callable[..., DataFrame]
+    tools: tuple[str, ...]
+    empty: tuple[str, str | None]
+    defaults: dict
+
+
+_RULES: dict[str, Rule] = {}
+
+
+def rule(name: str, *tools: str, empty: tuple[str, str | None] = ("pass", None), **defaults) -> Callable:
+    """Register ``(facts, **params) -> outcomes`` as ``family.name``, which depends on ``tools``; names are unique."""
     if not _NAME.match(name) or name in _RULES:
         raise ValueError(f"bad or duplicate rule name {name}")
 
     def register(function: Callable) -> Callable:
-        _RULES[name] = (function, defaults)
+        _RULES[name] = Rule(function, tools, empty, defaults)
         return function
 
     return register
@@ -32,27 +55,60 @@ def rule_names() -> list[str]:
     return sorted(_RULES)
 
 
-def run_rule(name: str, facts: DataFrame, runs: DataFrame, params: dict | None = None, tool: str | None = None, tool_runs: DataFrame | None = None) -> DataFrame:
-    """(run, rule, verdict, reason) for every run; unknown rules, bad parameters and missing tools give rows, not errors.
+def _valid(value: object, default: object) -> bool:
+    number = isinstance(default, (int, float)) and isinstance(value, (int, float))
+    both = isinstance(default, (list, tuple)) and isinstance(value, (list, tuple))
+    return (number and not isinstance(value, bool)) or both or type(value) is type(default)
 
-    ``facts`` has run and kind besides what the rule reads; ``tool_runs`` has (run, tool, tool_status).
+
+def last_tool_runs(tool_runs: DataFrame) -> DataFrame:
+    """(run, tool, tool_status): the last record of each, by ``ord`` where there is one."""
+    if "ord" not in tool_runs.columns:
+        return tool_runs.select("run", "tool", "tool_status").distinct()
+    return tool_runs.groupBy("run", "tool").agg(F.max_by("tool_status", "ord").alias("tool_status"))
+
+
+def run_rule(name: str, facts: DataFrame, runs: DataFrame, params: dict | None = None, tool_runs: DataFrame | None = None) -> DataFrame:
+    """(run, rule, verdict, reason) for every run; unknown rules, bad parameters, broken rules and missing tools give rows, not errors.
+
+    ``tool_runs`` has (run, tool, tool_status) and perhaps ord. A skipped tool
+    makes a rule not applicable, one that failed or has no record makes it unknown.
     """
     lost = lambda reason: runs.select("run", F.lit(name).alias("rule"), F.lit("unknown").alias("verdict"), F.lit(reason).alias("reason"))
     if name not in _RULES:
         return lost("rule_unknown")
-    function, defaults = _RULES[name]
-    if set(params or {}) - set(defaults) or any(not isinstance(v, type(defaults[k])) for k, v in (params or {}).items()):
+    of = _RULES[name]
+    if set(params or {}) - set(of.defaults) or any(not _valid(v, of.defaults[k]) for k, v in (params or {}).items()):
         return lost("params_invalid")
-    found = function(facts, **(defaults | (params or {}))).withColumn("seen", F.lit(True))
-    out = runs.join(found, "run", "left").withColumn("verdict", F.coalesce("verdict", F.lit(_EMPTY.get(name, "not_applicable")))).withColumn("reason", F.lit(None).cast("string"))
-    if tool and tool_runs is not None:
-        state = tool_runs.filter(F.col("tool") == tool).select("run", "tool_status")
-        out = out.join(state, "run", "left")
-        out = out.withColumn("reason", F.when(F.col("tool_status").isNull(), "tool_not_run").when(F.col("tool_status") == "skipped", "tool_skipped").when(F.col("tool_status") != "ok", "tool_failed"))
-        out = out.withColumn("verdict", F.when(F.col("tool_status") == "skipped", "not_applicable").when(F.col("reason").isNotNull(), "unknown").otherwise(F.col("verdict")))
+    try:
+        found = of.outcome(facts, **(of.defaults | (params or {}))).select("run", "verdict", "reason")
+    except (PySparkException, ValueError, TypeError, KeyError, re.error):
+        return lost("rule_error")
+    out = runs.select("run").join(found, "run", "left")
+    out = out.withColumn("reason", F.when(F.col("verdict").isNull(), F.lit(of.empty[1])).otherwise(F.col("reason"))).withColumn("verdict", F.coalesce("verdict", F.lit(of.empty[0])))
+    if of.tools and tool_runs is not None:
+        states = last_tool_runs(tool_runs).filter(F.col("tool").isin(*of.tools)).groupBy("run").agg(*(F.max(F.when(F.col("tool") == t, F.col("tool_status"))).alias(f"state{i}") for i, t in enumerate(of.tools)))
+        out = _with_tools(name, out.join(states, "run", "left"), len(of.tools))
     return out.select("run", F.lit(name).alias("rule"), "verdict", "reason")
 
 
+def _with_tools(name: str, out: DataFrame, n: int) -> DataFrame:
+    """Verdicts and reasons after the states of the rule's tools."""
+    states = [F.col(f"state{i}") for i in range(n)]
+    lost = [F.when(s.isNull(), "tool_not_run").when(s.isin("error", "timeout"), F.concat(F.lit("tool_"), s)) for s in states]
+    if name == "observability.present":  # one of two extractors is enough
+        gone = F.when(lost[0].isNotNull() & lost[1].isNotNull(), "tool_error")
+    elif name == "tests.coverage_configured":  # only what CI steps might have shown is missing
+        gone = F.when(F.col("verdict") != "pass", lost[0])
+    else:
+        gone = F.coalesce(*lost)
+    skipped = states[0] == "skipped" if n == 1 and name != "tests.coverage_configured" else F.lit(False)
+    out = out.withColumn("gone", gone).withColumn("skipped", F.coalesce(skipped, F.lit(False)))
+    reason = F.when(F.col("gone").isNotNull(), F.col("gone")).when(F.col("skipped"), "tool_skipped").otherwise(F.col("reason"))
+    verdict = F.when(F.col("gone").isNotNull(), "unknown").when(F.col("skipped"), "not_applicable").otherwise(F.col("verdict"))
+    return out.select("run", verdict.alias("verdict"), reason.alias("reason"))
+
+
 def band(part: Column, whole: Column, passes: float, partial: float, low_is_good: bool = True) -> Column:
     """Three bands of a ratio; not applicable without a whole. Compared as products, so nothing is divided."""
     p, q = (part < passes * whole, part < partial * whole) if low_is_good else (part >= passes * whole, part >= partial * whole)
@@ -80,83 +136,289 @@ def coverage(values: Column, required: tuple[str, ...]) -> Column:
     return F.when(n == len(required), "pass").when(n > 0, "partial").otherwise("fail")
 
 
+def attr(key: str) -> Column:
+    """An attribute as text; null if it is missing."""
+    return F.get_json_object("attributes", f"$.{key}")
+
+
+def flag(key: str) -> Column:
+    return F.coalesce(attr(key) == "true", F.lit(False))
+
+
+def number(key: str) -> Column:
+    return F.coalesce(F.expr(f"try_cast(get_json_object(attributes, '$.{key}') AS BIGINT)"), F.lit(0))
+
+
+def items(key: str) -> Column:
+    """An attribute that is a list of texts; empty if it is missing."""
+    return F.coalesce(F.from_json(attr(key), "array<string>"), F.array().cast("array<string>"))
+
+
 def _of(facts: DataFrame, *kinds: str) -> DataFrame:
     return facts.filter(F.col("kind").isin(*kinds))
 
 
-def _by_run(facts: DataFrame, verdict: Column) -> DataFrame:
-    return facts.groupBy("run").agg(verdict.alias("verdict"))
+def _by_run(facts: DataFrame, verdict: Column, reason: Column | None = None) -> DataFrame:
+    """An outcome a run, by aggregates over its facts."""
+    return facts.groupBy("run").agg(verdict.alias("verdict"), (F.lit(None).cast("string") if reason is None else reason).alias("reason"))
+
+
+def _pass_if(ok: Column) -> Column:
+    return F.when(ok, "pass").otherwise("fail")
 
 
-def _none_found(kind: str, most: int = 0) -> Callable:
-    return lambda facts, **p: _by_run(_of(facts, kind), F.when(F.count("*") <= p.get("most", most), "pass").otherwise("fail"))
+def matches_any(text: Column, names: tuple[str, ...], glob: bool = False) -> Column:
+    """Whether a module is one of the names or lies below one; or, with ``glob``, whether a text fits one of the patterns."""
+    if not names:
+        return F.lit(False)
+    if glob:
+        return F.coalesce(text.rlike("|".join("^" + fnmatch.translate(n).replace(r"\Z", "$").replace(r"\z", "$") for n in names)), F.lit(False))
+    return F.coalesce(text.rlike("^(" + "|".join(map(re.escape, names)) + r")([./].*)?$"), F.lit(False))
 
 
-def _exists(kind: str) -> Callable:
-    return lambda facts, **p: _by_run(_of(facts, kind), F.lit("pass"))
+def path_matches(path: Column, globs: tuple[str, ...]) -> Column:
+    return path.rlike("|".join(E.glob_regex(g) for g in globs)) if globs else F.lit(False)
 
 
-def _globs(facts: DataFrame, globs: list) -> DataFrame:
-    pattern = "|".join(E.glob_regex(g) for g in globs) or "(?!)"
-    return _by_run(_of(facts, "file"), F.when(F.bool_or(F.col("path").rlike(pattern)), "pass").otherwise("fail"))
+@rule("secrets.none_found", "gitleaks", exclude_globs=())
+def _secrets(facts, exclude_globs):
+    rows = _of(facts, "secret").filter(~F.coalesce(path_matches(F.col("path"), exclude_globs), F.lit(False)))
+    return _by_run(rows, F.lit("fail"))
 
 
-# What a run without any fact of the rule's kinds gets, if that isn't not_applicable.
-_EMPTY = {n: "pass" for n in ("secrets.none_found", "vulns.max_severity", "sast.max_severity", "iac.max_severity", "ci.actionlint_clean", "docker.hadolint_errors", "imports.no_cycles", "size.max_file_loc")}
-_EMPTY |= {n: "fail" for n in ("tests.present", "ci.present", "ci.stages", "ci.runs_tests", "files.any_exists", "data.migrations_present", "docs.api_spec", "docs.architecture", "observability.present", "imports.any_of", "tests.coverage_configured", "docker.healthcheck")}
+@rule("vulns.max_severity", "osv-scanner", fail_at="high", partial_at="medium")
+def _vulns(facts, fail_at, partial_at):
+    return _by_run(_of(facts, "vuln_dependency"), worst(F.col("severity"), fail_at, partial_at))
 
 
-@rule("secrets.none_found", exclude=[])
-def _secrets(facts, exclude):
-    rows = _of(facts, "secret")
-    return _by_run(rows.filter(~F.col("path").rlike("|".join(map(E.glob_regex, exclude)))) if exclude else rows, F.lit("fail"))
+@rule("sast.max_severity", "semgrep", fail_at="high", partial_at="medium", exclude_rule_globs=())
+def _sast(facts, fail_at, partial_at, exclude_rule_globs):
+    rows = _of(facts, "sast_finding").filter(~matches_any(attr("rule_id"), exclude_rule_globs, glob=True))
+    return _by_run(rows, worst(F.col("severity"), fail_at, partial_at))
 
 
-for _family, _kind in (("vulns", "vuln_dependency"), ("sast", "sast_finding")):
-    rule(f"{_family}.max_severity", fail_at="high", partial_at="medium")(lambda facts, fail_at, partial_at, kind=_kind: _by_run(_of(facts, kind), worst(F.col("severity"), fail_at, partial_at)))
+@rule("iac.max_severity", "checkov", fail_at="high", unknown_severity_fail_count=5)
+def _iac(facts, fail_at, unknown_severity_fail_count):
+    """Unknown if nothing was found but some files could not be parsed."""
+    found = F.count_if(F.col("kind") == "iac_finding")
+    severe = F.count_if((F.col("kind") == "iac_finding") & (E.severity_rank(F.col("severity")) >= E.SEVERITIES.index(fail_at)))
+    unrated = F.count_if((F.col("kind") == "iac_finding") & F.col("severity").isNull())
+    verdict = F.when(found == 0, "unknown").when((severe > 0) | (unrated >= unknown_severity_fail_count), "fail").otherwise("partial")
+    return _by_run(_of(facts, "iac_finding", "iac_parse_error"), verdict, F.when(found == 0, "iac_unparsed"))
 
 
-@rule("iac.max_severity", fail_at="high", partial_at="medium", unrated=5)
-def _iac(facts, fail_at, partial_at, unrated):
-    found, parse = F.col("kind") == "iac_finding", F.col("kind") == "iac_parse_error"
-    many = F.count_if(found & F.col("severity").isNull()) >= unrated
-    nothing = (F.count_if(parse) > 0) & (F.count_if(found) == 0)
-    return _by_run(_of(facts, "iac_finding", "iac_parse_error"), F.when(nothing, "unknown").when(many, "fail").otherwise(worst(F.col("severity"), fail_at, partial_at)))
+def _any_file(facts: DataFrame, globs: tuple[str, ...]) -> DataFrame:
+    return _by_run(_of(facts, "file").filter(path_matches(F.col("path"), globs)), F.lit("pass"))
 
 
-rule("files.any_exists", globs=[])(_globs)
-rule("data.migrations_present", globs=["**/migrations/**", "**/alembic/**"])(_globs)
-rule("docs.architecture", globs=["**/ARCHITECTURE.md", "**/adr/**", "docs/architecture*"])(_globs)
-rule("docs.api_spec", globs=["**/openapi.{json,yaml,yml}", "**/swagger.{json,yaml,yml}"])(_globs)
-rule("tests.coverage_configured", globs=["**/.coveragerc", "**/codecov.yml", "**/jest.config.*"])(_globs)
-rule("size.max_file_loc", limit=800, most=3)(lambda facts, limit, most: _by_run(_of(facts, "file_metrics"), offenders(F.col("loc") > limit, most)))
-rule("complexity.ccn_ratio", limit=10, passes=0.05, partial=0.15)(lambda facts, limit, passes, partial: _by_run(_of(facts, "function_metrics"), band(F.count_if(F.col("n") > limit), F.count("*"), passes, partial)))
-rule("ast.debug_output_ratio", passes=0.1, partial=0.3)(lambda facts, passes, partial: _by_run(_of(facts, "print_call", "log_call"), band(F.count_if(F.col("kind") == "print_call"), F.count("*"), passes, partial)))
-rule("tests.ratio", passes=0.5, partial=0.2)(lambda facts, passes, partial: _by_run(_of(facts, "file_metrics"), band(F.sum(F.when(F.col("ok"), F.col("loc")).otherwise(0)), F.sum(F.when(~F.col("ok"), F.col("loc")).otherwise(0)), passes, partial, False)))
-rule("docs.docstring_ratio", passes=0.6, partial=0.3)(lambda facts, passes, partial: _by_run(_of(facts, "file_metrics"), band(F.sum("documented"), F.sum("n"), passes, partial, False)))
-rule("imports.any_of", prefixes=[])(lambda facts, prefixes: _by_run(_of(facts, "import_edge"), F.when(F.bool_or(F.col("name").rlike("^(" + "|".join(map(re.escape, prefixes)) + ")([./]|$)")), "pass").otherwise("fail")))
-rule("observability.present", names=["health", "metrics", "ready"])(lambda facts, names: _by_run(_of(facts, "import_edge", "route"), F.when(F.bool_or(F.element_at(F.split("name", "[/.]"), -1).isin(*names)), "pass").otherwise("fail")))
-rule("tests.present", least=1)(lambda facts, least: _by_run(_of(facts, "test_file"), F.when(F.count("*") >= least, "pass").otherwise("fail")))
-rule("ci.present")(_exists("ci_workflow"))
-rule("ci.stages", required=["lint", "test", "build"])(lambda facts, required: _by_run(_of(facts, "ci_step"), coverage(F.col("name"), tuple(required))))
-rule("ci.runs_tests")(lambda facts: _by_run(_of(facts, "ci_step"), F.when(F.bool_or(F.col("name") == "test"), "pass").otherwise("fail")))
-rule("ci.actionlint_clean", most=0)(_none_found("actionlint_finding"))
-rule("ci.permissions_restricted")(lambda facts: _by_run(_of(facts, "ci_workflow"), all_some_none(F.col("ok"))))
-rule("ci.actions_pinned", most=0)(lambda facts, most: _by_run(_of(facts, "ci_step"), F.when(F.count_if(F.col("name").contains("@") & ~F.col("name").rlike(r"@[0-9a-f]{40}$")) <= most, "pass").otherwise("fail")))
-for _name in ("docker.non_root", "docker.pinned_base", "docker.multistage"):
-    rule(_name)(lambda facts: _by_run(_of(facts, "dockerfile"), all_some_none(F.col("ok"))))
-rule("docker.healthcheck")(lambda facts: _by_run(_of(facts, "dockerfile", "deploy_config"), F.when(F.bool_or(F.col("ok")), "pass").otherwise("fail")))
-rule("docker.hadolint_errors", most=0)(lambda facts, most: _by_run(_of(facts, "hadolint_finding").filter("severity = 'high'"), F.when(F.count("*") <= most, "pass").otherwise("fail")))
-rule("deploy.resource_limits")(lambda facts: _by_run(_of(facts, "deploy_config"), all_some_none(F.col("ok"))))
-rule("deps.lockfile_present")(lambda facts: _by_run(_of(facts, "manifest"), F.when(F.bool_and(F.col("ok")), "pass").otherwise("fail")))
+rule("files.any_exists", empty=("fail", None), globs=())(_any_file)
+rule("data.migrations_present", empty=("fail", None), globs=fixed.MIGRATION_GLOBS)(_any_file)
+rule("docs.architecture", empty=("fail", None), globs=fixed.ARCHITECTURE_GLOBS)(_any_file)
 
 
-@rule("imports.no_cycles")
+@rule("docs.api_spec", empty=("fail", None), globs=fixed.SPEC_GLOBS)
+def _api_spec(facts, globs):
+    """A specification, a framework that serves one, or a package that makes one."""
+    name = F.lower(attr("name"))
+    made = name.rlike("^(" + "|".join(map(re.escape, fixed.AUTODOC_PACKAGES)) + ")") | name.isin(*fixed.AUTODOC_FRAMEWORKS)
+    hit = (F.col("kind") == "file") & path_matches(F.col("path"), globs)
+    hit = hit | (F.col("kind") == "framework") & name.isin(*fixed.AUTODOC_FRAMEWORKS) | (F.col("kind") == "dependency") & made
+    return _by_run(_of(facts, "file", "framework", "dependency").filter(hit), F.lit("pass"))
+
+
+@rule("size.max_file_loc", "ast:metrics", empty=("not_applicable", "no_source_code"), threshold=1000, partial_max_offenders=2)
+def _file_size(facts, threshold, partial_max_offenders):
+    return _by_run(_of(facts, "file_metrics").filter(~flag("is_generated")), offenders(number("loc") > threshold, partial_max_offenders))
+
+
+@rule("complexity.ccn_ratio", "lizard", empty=("not_applicable", "no_functions"), ccn=15, pass_below=0.03, partial_below=0.08)
+def _complexity(facts, ccn, pass_below, partial_below):
+    return _by_run(_of(facts, "function_metrics"), band(F.count_if(number("ccn") > ccn), F.count("*"), pass_below, partial_below))
+
+
+@rule("ast.debug_output_ratio", "ast:logging", empty=("not_applicable", "no_output_calls"), pass_below=0.05, partial_below=0.2)
+def _debug_output(facts, pass_below, partial_below):
+    rows = _of(facts, "print_call", "log_call").filter(~flag("in_test"))
+    return _by_run(rows, band(F.count_if(F.col("kind") == "print_call"), F.count("*"), pass_below, partial_below))
+
+
+@rule("tests.ratio", "ast:metrics", empty=("not_applicable", "no_source_code"), pass_at=0.3, partial_at=0.1)
+def _test_ratio(facts, pass_at, partial_at):
+    rows = _of(facts, "file_metrics").filter(~flag("is_generated"))
+    test, source = (F.sum(F.when(flag("is_test") == v, number("loc")).otherwise(0)) for v in (True, False))
+    return _by_run(rows, band(test, source, pass_at, partial_at, False), F.when(source == 0, "no_source_code"))
+
+
+@rule("docs.docstring_ratio", "ast:metrics", empty=("not_applicable", "no_public_functions"), pass_at=0.6, partial_at=0.3)
+def _docstrings(facts, pass_at, partial_at):
+    rows = _of(facts, "file_metrics").filter(~flag("is_test") & ~flag("is_generated"))
+    documented, public = F.sum(number("documented_functions")), F.sum(number("public_functions"))
+    return _by_run(rows, band(documented, public, pass_at, partial_at, False), F.when(public == 0, "no_public_functions"))
+
+
+@rule("imports.any_of", "ast:imports", empty=("not_applicable", "no_imports"), modules=fixed.LOGGING_MODULES)
+def _imports_any(facts, modules):
+    return _by_run(_of(facts, "import_edge"), _pass_if(F.bool_or(matches_any(attr("to_module"), modules))))
+
+
+@rule("imports.no_cycles", "ast:imports", empty=("not_applicable", "language_not_supported"))
 def _cycles(facts):
+    """Cycles of two or more modules among internal edges; only for Python, JavaScript and TypeScript."""
     from quillon.operators.graph import cyclic_nodes
 
-    edges = _of(facts, "import_edge").select("run", F.regexp_replace("path", "/index$", "").alias("src"), F.regexp_replace("name", "/index$", "").alias("dst"))
-    return cyclic_nodes(edges, "run").groupBy("run").agg(F.lit("fail").alias("verdict"))
+    judged = _of(facts, "flag").filter(attr("name").isin("lang_python", "lang_js_ts")).select("run").distinct()
+    node = lambda key: F.regexp_replace(attr(key), "/index$", "")
+    edges = _of(facts, "import_edge").filter(flag("internal")).select("run", node("from_module").alias("src"), node("to_module").alias("dst"))
+    edges = edges.filter("src <> '' AND dst <> ''").join(judged, "run", "left_semi")
+    cyclic = cyclic_nodes(edges, "run").select("run").distinct().withColumn("verdict", F.lit("fail"))
+    return judged.join(cyclic, "run", "left").select("run", F.coalesce("verdict", F.lit("pass")).alias("verdict"), F.lit(None).cast("string").alias("reason"))
+
+
+@rule("observability.present", "ast:imports", "ast:routes", empty=("fail", None), modules=fixed.TELEMETRY_MODULES, route_patterns=fixed.HEALTH_ROUTES)
+def _observability(facts, modules, route_patterns):
+    """A telemetry import, or a route whose path or last segment is one of health, readiness or metrics."""
+    route = F.regexp_replace(F.coalesce(attr("path"), F.lit("")), "/+$", "")
+    whole, tail = F.when(route == "", "/").otherwise(route), F.concat(F.lit("/"), F.element_at(F.split(route, "/"), -1))
+    served = (F.col("kind") == "route") & (matches_any(whole, route_patterns, glob=True) | matches_any(tail, route_patterns, glob=True))
+    imported = (F.col("kind") == "import_edge") & matches_any(attr("to_module"), modules)
+    return _by_run(_of(facts, "import_edge", "route").filter(served | imported), F.lit("pass"))
+
+
+@rule("tests.present", "ast:tests", empty=("fail", None), min_test_files=1)
+def _tests_present(facts, min_test_files):
+    return _by_run(_of(facts, "test_file"), _pass_if(F.count("*") >= min_test_files))
+
+
+@rule("tests.coverage_configured", "ast:ci", empty=("fail", None))
+def _coverage_configured(facts):
+    """A coverage file, coverage settings in a file that holds them, or a CI step that measures or uploads coverage."""
+    settings = F.lit(False)
+    for glob, pattern in reversed(fixed.COVERAGE_CONTENT):  # the first glob that fits a path decides
+        settings = F.when(path_matches(F.col("path"), (glob,)), F.coalesce(attr("text").rlike(pattern), F.lit(False))).otherwise(settings)
+    own = (F.col("kind") == "file") & ~flag("vendored") & ~flag("unreadable")
+    step = F.concat_ws("\n", F.coalesce(attr("run"), F.lit("")), F.coalesce(attr("uses"), F.lit(""))).rlike(fixed.COVERAGE_STEP)
+    hit = own & (path_matches(F.col("path"), fixed.COVERAGE_FILES) | settings) | (F.col("kind") == "ci_step") & step
+    return _by_run(_of(facts, "file", "ci_step").filter(hit), F.lit("pass"))
+
+
+@rule("ci.present", "ast:ci", empty=("fail", None))
+def _ci_present(facts):
+    return _by_run(_of(facts, "ci_workflow"), F.lit("pass"))
+
+
+def step_kinds() -> Column:
+    """All kinds that a step's command or action fits, and the kind it was given."""
+    text = F.concat_ws("\n", F.coalesce(attr("run"), F.lit("")), F.coalesce(attr("uses"), F.lit("")))
+    return F.array_compact(F.array(F.coalesce(attr("run_kind"), F.lit("other")), *(F.when(text.rlike(p), k) for k, p in fixed.STEP_KINDS)))
+
+
+def _of_ci(facts: DataFrame, system: str | None = None) -> DataFrame:
+    """Workflows and steps (of one system) of the runs that have a workflow."""
+    rows = _of(facts, "ci_workflow", "ci_step")
+    rows = rows.filter(attr("system") == system) if system else rows
+    return rows.join(rows.filter("kind = 'ci_workflow'").select("run").distinct(), "run", "left_semi")
+
+
+def first_steps(facts: DataFrame) -> DataFrame:
+    """(run, stage, path, ord): the first step of each stage, by ``ord``."""
+    rows = _of_ci(facts).filter("kind = 'ci_step'").withColumn("stage", F.explode(F.array_distinct(step_kinds())))
+    return rows.groupBy("run", "stage").agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord"))
+
+
+@rule("ci.stages", "ast:ci", empty=("not_applicable", "no_ci"), required=("build", "lint", "test"))
+def _ci_stages(facts, required):
+    rows = _of_ci(facts)
+    kinds = F.when(F.col("kind") == "ci_step", F.array_intersect(step_kinds(), F.array(*map(F.lit, required))))
+    return _by_run(rows.withColumn("stage", F.explode_outer(kinds)), coverage(F.col("stage"), tuple(required)))
+
+
+@rule("ci.runs_tests", "ast:ci", empty=("not_applicable", "no_ci"))
+def _runs_tests(facts):
+    return _by_run(_of_ci(facts), _pass_if(F.bool_or((F.col("kind") == "ci_step") & F.array_contains(step_kinds(), "test"))))
+
+
+@rule("ci.actionlint_clean", "actionlint", max_errors=0)
+def _actionlint(facts, max_errors):
+    return _by_run(_of(facts, "actionlint_finding"), _pass_if(F.count("*") <= max_errors))
+
+
+def restricted() -> Column:
+    """A workflow's token permissions are set and no job has all of them."""
+    jobs, of = items("jobs"), F.coalesce(F.from_json(attr("job_permissions"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    none = F.exists(jobs, lambda j: F.coalesce(F.try_element_at(of, j) == "write-all", F.lit(False)))
+    top = attr("permissions")
+    every = (F.size(jobs) > 0) & F.forall(jobs, lambda j: F.try_element_at(of, j).isNotNull())
+    return ~none & (F.coalesce(top != "write-all", F.lit(False)) | every)
+
+
+@rule("ci.permissions_restricted", "ast:ci", empty=("not_applicable", "no_github_workflows"))
+def _permissions(facts):
+    rows = _of_ci(facts, "github_actions").filter("kind = 'ci_workflow'")
+    return _by_run(rows, _pass_if(F.bool_and(restricted())))
+
+
+def pinned_action(uses: Column) -> Column:
+    """Local actions, images, and references to a commit of 40 hex digits."""
+    return uses.startswith("./") | uses.startswith("docker://") | uses.rlike("@[0-9a-f]{40}$")
+
+
+@rule("ci.actions_pinned", "ast:ci", empty=("not_applicable", "no_github_workflows"), allow_owners=("actions", "github"))
+def _actions_pinned(facts, allow_owners):
+    uses = attr("uses")
+    owner = F.lower(F.element_at(F.split(uses, "/"), 1))
+    loose = (F.col("kind") == "ci_step") & (uses != "") & ~owner.isin(*(o.lower() for o in allow_owners)) & ~pinned_action(uses)
+    return _by_run(_of_ci(facts, "github_actions"), _pass_if(F.count_if(F.coalesce(loose, F.lit(False))) == 0))
+
+
+_NO_DOCKERFILE = ("not_applicable", "no_dockerfile")
+
+
+def non_root() -> Column:
+    """The last stage's user is set, and is not root by name or number."""
+    name = F.element_at(F.split(F.trim(F.coalesce(attr("user"), F.lit(""))), ":"), 1)
+    return (F.trim(F.coalesce(attr("user"), F.lit(""))) != "") & ~name.isin("root", "0")
+
+
+def pinned_image(image: Column) -> Column:
+    """A digest or a tag other than latest; images named by variables, and scratch, count as pinned."""
+    last = F.element_at(F.split(image, "/"), -1)
+    return image.contains("$") | (image == "scratch") | image.contains("@") | (last.contains(":") & (F.element_at(F.split(last, ":"), -1) != "latest"))
+
+
+@rule("docker.non_root", "ast:docker", empty=_NO_DOCKERFILE)
+def _non_root(facts):
+    return _by_run(_of(facts, "dockerfile"), all_some_none(non_root()))
+
+
+@rule("docker.pinned_base", "ast:docker", empty=_NO_DOCKERFILE)
+def _pinned_base(facts):
+    return _by_run(_of(facts, "dockerfile"), _pass_if(F.bool_and(F.forall(items("external_bases"), pinned_image))))
+
+
+@rule("docker.multistage", "ast:docker", empty=_NO_DOCKERFILE)
+def _multistage(facts):
+    return _by_run(_of(facts, "dockerfile"), all_some_none(number("stages") > 1))
+
+
+@rule("docker.healthcheck", "ast:docker", "ast:deploy", empty=("not_applicable", "no_container_config"))
+def _healthcheck(facts):
+    probed = flag("has_healthcheck") | (F.col("kind") == "deploy_config") & (flag("has_liveness") | flag("has_readiness"))
+    return _by_run(_of(facts, "dockerfile", "deploy_config"), _pass_if(F.bool_or(probed)))
+
+
+@rule("docker.hadolint_errors", "hadolint", max_errors=0)
+def _hadolint(facts, max_errors):
+    return _by_run(_of(facts, "hadolint_finding").filter("severity = 'high'"), _pass_if(F.count("*") <= max_errors))
+
+
+@rule("deploy.resource_limits", "ast:deploy", empty=("not_applicable", "no_deploy_config"))
+def _limits(facts):
+    return _by_run(_of(facts, "deploy_config"), all_some_none(flag("has_limits")))
+
+
+@rule("deps.lockfile_present", "ast:manifests", empty=("not_applicable", "no_manifests"))
+def _lockfiles(facts):
+    return _by_run(_of(facts, "manifest"), _pass_if(F.bool_and(flag("has_lockfile"))))
 
 
 def _order_rows(spark, sf_dir):
@@ -203,7 +465,7 @@ def rule_set_coverage(spark, sf_dir):
 
 @query("topk_complexity", "files", "SELECT language, path, size FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY size DESC, path) AS rn FROM files) WHERE rn <= 3")
 def topk_complexity(spark, sf_dir):
-    """The three largest of each language: a heap of three a task, not a sorted window."""
+    """The three largest of each language, by a window whose row limit Spark applies before the exchange too."""
     top = V.files(spark, sf_dir).withColumn("rn", F.row_number().over(_largest()))
     return top.filter("rn <= 3").select("language", "path", "size")
 
@@ -212,3 +474,133 @@ def _largest():
     from pyspark.sql import Window
 
     return Window.partitionBy("language").orderBy(F.desc("size"), "path")
+
+
+# Facts of eight example runs: all tools ran and found nothing, were skipped, left no record, timed out; then runs with facts.
+_FACT = "kind string, path string, severity string, attributes string"
+
+
+def _f(kind: str, at: str | None = None, /, severity: str | None = None, **attributes) -> dict:
+    return {"kind": kind, "path": at, "severity": severity, "attributes": json.dumps(attributes)}
+
+
+_SHA = "0123456789abcdef0123456789abcdef01234567"
+_GOOD = [
+    _f("flag", name="lang_python"), _f("file", "README.md"), _f("file", "db/migrations/001.sql"), _f("file", "docs/architecture.md"), _f("file", "api/openapi.yaml"), _f("file", ".coveragerc"),
+    _f("vuln_dependency", severity="low"), _f("sast_finding", severity="info", rule_id="a.b"), _f("file_metrics", loc=1000, public_functions=5, documented_functions=3),
+    _f("file_metrics", loc=300, is_test=True, public_functions=9), _f("file_metrics", loc=9000, is_generated=True), _f("function_metrics", ccn=15), _f("import_edge", from_module="a", to_module="logging.handlers", internal=False),
+    _f("import_edge", from_module="a", to_module="b", internal=True), _f("import_edge", from_module="b", to_module="c", internal=True), _f("manifest", has_lockfile=True), _f("log_call"), _f("print_call", in_test=True),
+    _f("route", path="/api/v1/health/"), _f("test_file"), _f("ci_workflow", system="github_actions", permissions="read-all", jobs=["x"], job_permissions={"x": None}),
+    _f("ci_step", system="github_actions", run="ruff check . && pytest", run_kind="test", uses=None), _f("ci_step", system="github_actions", run="docker build .", run_kind="build"),
+    _f("ci_step", system="github_actions", uses=f"o/a@{_SHA}"), _f("ci_step", system="github_actions", uses="actions/checkout@v4"), _f("ci_step", system="github_actions", uses="./local"), _f("ci_step", system="github_actions", uses="docker://x:1"),
+    _f("dockerfile", user="app:app", stages=2, external_bases=["python:3", "$BASE", "x@sha256:1", "scratch", "r:5000/y:1"], has_healthcheck=True), _f("hadolint_finding", severity="medium"), _f("deploy_config", has_limits=True),
+]
+_BAD = [
+    _f("flag", name="lang_js_ts"), _f("secret", "src/a.py"), _f("vuln_dependency", severity="critical"), _f("sast_finding", severity="high", rule_id="x"), *[_f("file_metrics", loc=1001, public_functions=10, documented_functions=2)] * 3,
+    _f("file_metrics", loc=100, is_test=True), _f("function_metrics", ccn=16), _f("import_edge", from_module="a/index", to_module="b", internal=True), _f("import_edge", from_module="b", to_module="a", internal=True),
+    _f("manifest", has_lockfile=True), _f("manifest", has_lockfile=False), _f("print_call"), _f("log_call", in_test=True), _f("route", path="/items"), _f("ci_workflow", system="github_actions", permissions="read-all", jobs=["x"], job_permissions={"x": "write-all"}),
+    _f("ci_step", system="github_actions", run="echo hi", uses=None), _f("ci_step", system="github_actions", uses="o/a@v1"), _f("actionlint_finding"), _f("dockerfile", user="root:app", stages=1, external_bases=["python"], has_healthcheck=False),
+    _f("hadolint_finding", severity="high"), _f("iac_finding", severity="high"), _f("deploy_config", has_limits=False, has_healthcheck=False),
+]
+_MIXED = [
+    _f("flag", name="lang_go"), _f("file", "package.json", text='{"jest": {"collectCoverage": true}}'), _f("vuln_dependency", severity="medium"), _f("vuln_dependency"), _f("sast_finding", severity="medium", rule_id="x"), _f("file_metrics", loc=1001, public_functions=10, documented_functions=3),
+    _f("file_metrics", loc=101, is_test=True), *[_f("function_metrics", ccn=1)] * 19, _f("function_metrics", ccn=99), _f("import_edge", from_module="a", to_module="a", internal=True), *[_f("log_call")] * 9, _f("print_call"), _f("dependency", name="Swashbuckle.AspNetCore"),
+    _f("import_edge", from_module="a", to_module="@opentelemetry/api", internal=False), _f("ci_workflow", system="gitlab_ci"), _f("ci_step", system="gitlab_ci", run="npm run lint", run_kind="lint"),
+    _f("dockerfile", user="app", stages=1, external_bases=["a:latest"]), _f("dockerfile", user="0", stages=3, external_bases=[]), _f("deploy_config", has_limits=True, has_readiness=True), _f("deploy_config", has_limits=False), *[_f("iac_finding")] * 4,
+]
+_ODD = [
+    _f("flag", name="lang_python"), _f("file", "vendor/x/.coveragerc", vendored=True), _f("file", "setup.cfg", text="[coverage:run]", unreadable=True), _f("framework", name="fastapi"), _f("vuln_dependency"), _f("sast_finding"), _f("file_metrics", loc=5, is_test=True),
+    _f("import_edge", from_module="a", to_module="loggingx", internal=False), _f("ci_workflow", system="github_actions", jobs=["x", "y"], job_permissions={"x": "read", "y": "read"}), _f("ci_step", system="github_actions", run="go test ./... -coverprofile c.out", run_kind="other"),
+    _f("iac_parse_error", "a.tf"), *[_f("actionlint_finding")] * 2,
+]
+_UNRATED = [*[_f("iac_finding")] * 5, _f("iac_parse_error", "a.tf")]
+_TOOLS = tuple(sorted({t for r in _RULES.values() for t in r.tools}))
+_RUNS = [(f, [{"tool": t, "tool_status": s, "ord": k} for t in _TOOLS for k, s in enumerate(states)]) for f, states in (([], ("error", "ok")), ([], ("skipped",)), ([], ()), ([], ("ok", "timeout")), (_GOOD, ("ok",)), (_BAD, ("ok",)), (_MIXED, ("ok",)), (_ODD, ("ok",)), (_UNRATED, ("ok",)))]
+
+# What each rule says of the nine runs, by hand: P pass, H partial, F fail, N not applicable, U unknown; and why a rule may not apply.
+_SAYS = {
+    "secrets.none_found": ("PNUUPFPPP", None),
+    "vulns.max_severity": ("PNUUPFHPP", None),
+    "sast.max_severity": ("PNUUPFHPP", None),
+    "iac.max_severity": ("PNUUPFHUF", None),
+    "files.any_exists": ("FFFFPFFFF", None),
+    "data.migrations_present": ("FFFFPFFFF", None),
+    "docs.architecture": ("FFFFPFFFF", None),
+    "docs.api_spec": ("FFFFPFPPF", None),
+    "size.max_file_loc": ("NNUUPFHPN", "no_source_code"),
+    "complexity.ccn_ratio": ("NNUUPFHNN", "no_functions"),
+    "ast.debug_output_ratio": ("NNUUPFHNN", "no_output_calls"),
+    "tests.ratio": ("NNUUPFHNN", "no_source_code"),
+    "docs.docstring_ratio": ("NNUUPFHNN", "no_public_functions"),
+    "imports.any_of": ("NNUUPFFFN", "no_imports"),
+    "imports.no_cycles": ("NNUUPFNPN", "language_not_supported"),
+    "observability.present": ("FFUUPFPFF", None),
+    "tests.present": ("FNUUPFFFF", None),
+    "tests.coverage_configured": ("FFUUPFPPF", None),
+    "ci.present": ("FNUUPPPPF", None),
+    "ci.stages": ("NNUUPFHHN", "no_ci"),
+    "ci.runs_tests": ("NNUUPFFPN", "no_ci"),
+    "ci.actionlint_clean": ("PNUUPFPFP", None),
+    "ci.permissions_restricted": ("NNUUPFNPN", "no_github_workflows"),
+    "ci.actions_pinned": ("NNUUPFNPN", "no_github_workflows"),
+    "docker.non_root": ("NNUUPFHNN", "no_dockerfile"),
+    "docker.pinned_base": ("NNUUPFFNN", "no_dockerfile"),
+    "docker.multistage": ("NNUUPFHNN", "no_dockerfile"),
+    "docker.healthcheck": ("NNUUPFPNN", "no_container_config"),
+    "docker.hadolint_errors": ("PNUUPFPPP", None),
+    "deploy.resource_limits": ("NNUUPFHNN", "no_deploy_config"),
+    "deps.lockfile_present": ("NNUUPFNNN", "no_manifests"),
+}
+_VERDICT = {"P": "pass", "H": "partial", "F": "fail", "N": "not_applicable", "U": "unknown"}
+_FAMILIES = {
+    "rule_scanners": ("secrets", "vulns", "sast", "iac", "complexity", "ci.actionlint_clean", "docker.hadolint_errors"),
+    "rule_files": ("files", "data", "docs", "size", "ast", "tests"),
+    "rule_imports": ("imports", "observability", "deps"),
+    "rule_ci": ("ci.present", "ci.stages", "ci.runs_tests", "ci.permissions_restricted", "ci.actions_pinned"),
+    "rule_docker": ("docker.non_root", "docker.pinned_base", "docker.multistage", "docker.healthcheck", "deploy"),
+}
+
+
+def _of_family(names: tuple[str, ...]) -> list[str]:
+    return [n for n in _SAYS if n in names or n.split(".")[0] in names and n not in ("ci.actionlint_clean", "docker.hadolint_errors")]
+
+
+def _expected(names: list[str]):
+    for name in names:
+        says, none = _SAYS[name]
+        for run, letter in enumerate(says):
+            reason = none if letter == "N" else "iac_unparsed" if letter == "U" and run > 3 else None
+            if run == 1 and letter == "N" and name != "docker.healthcheck":
+                reason = "tool_skipped"
+            if run in (2, 3) and letter == "U":
+                reason = "tool_error" if name == "observability.present" else ("tool_not_run", "tool_timeout")[run - 2]
+            yield run, name, _VERDICT[letter], reason
+
+
+def example_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, facts (in the order of ``ord``) and tool runs of the nine examples, one for each part."""
+    rows = cases(spark, sf_dir, _RUNS, f"facts array<struct<{_FACT.replace(' string', ':string')}>>, tools array<struct<tool:string, tool_status:string, ord:int>>")
+    runs = rows.select(F.col("id").alias("run"))
+    facts = rows.select(F.col("id").alias("run"), F.posexplode("facts").alias("ord", "f")).select("run", "ord", "f.*")
+    return runs, facts, rows.select(F.col("id").alias("run"), F.inline("tools"))
+
+
+def _register(key: str, names: list[str]) -> None:
+    @query(key, "", cases_sql(len(_RUNS), "VARCHAR rule, VARCHAR verdict, VARCHAR reason", _expected(names)))
+    def outcomes(spark, sf_dir):
+        runs, facts, tools = example_runs(spark, sf_dir)
+        out = None
+        for name in names:
+            one = run_rule(name, facts, runs, {"globs": ("README*",)} if name == "files.any_exists" else None, tools)
+            out = one if out is None else out.unionByName(one)
+        return out.withColumnRenamed("run", "id")
+
+
+for _key, _names in _FAMILIES.items():
+    _register(_key, _of_family(_names))
+
+
+@query("rule_first_steps", "", cases_sql(len(_RUNS), "VARCHAR stage, INTEGER ord", [(4, "test", 21), (4, "lint", 21), (4, "build", 22), (4, "other", 23), (5, "other", 17), (6, "lint", 41), (7, "other", 9), (7, "test", 9)]))
+def rule_first_steps(spark, sf_dir):
+    """The first step of each CI stage, in the order of the facts."""
+    return first_steps(example_runs(spark, sf_dir)[1]).select(F.col("run").alias("id"), "stage", "ord")

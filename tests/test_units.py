@@ -89,15 +89,17 @@ def test_globs(spark, glob, yes, no):
 
 
 def test_rule_registry(spark):
-    assert len(rules.rule_names()) == 31
-    schema = "run int, kind string, path string, name string, severity string, loc int, n int, documented int, ok boolean"
-    facts = spark.createDataFrame([(1, "vuln_dependency", None, "x", "medium", 0, 0, 0, None), (1, "vuln_dependency", None, "y", None, 0, 0, 0, None), (2, "vuln_dependency", None, "x", "high", 0, 0, 0, None)], schema)
+    assert len(rules.rule_names()) == 31 and set(rules._SAYS) == set(rules.rule_names())
+    facts = spark.createDataFrame([(1, "vuln_dependency", None, "medium", "{}"), (1, "vuln_dependency", None, None, "{}"), (2, "vuln_dependency", None, "high", "{}")], "run int, kind string, path string, severity string, attributes string")
     runs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "run int")
-    tools = spark.createDataFrame([(1, "osv", "ok"), (2, "osv", "timeout"), (3, "osv", "skipped")], "run int, tool string, tool_status string")
-    got = {r["run"]: (r["verdict"], r["reason"]) for r in rules.run_rule("vulns.max_severity", facts, runs, tool="osv", tool_runs=tools).collect()}
-    assert got == {1: ("partial", None), 2: ("unknown", "tool_failed"), 3: ("not_applicable", "tool_skipped"), 4: ("unknown", "tool_not_run")}
+    tools = spark.createDataFrame([(1, "osv-scanner", "ok"), (2, "osv-scanner", "timeout"), (3, "osv-scanner", "skipped")], "run int, tool string, tool_status string")
+    got = {r["run"]: (r["verdict"], r["reason"]) for r in rules.run_rule("vulns.max_severity", facts, runs, tool_runs=tools).collect()}
+    assert got == {1: ("partial", None), 2: ("unknown", "tool_timeout"), 3: ("not_applicable", "tool_skipped"), 4: ("unknown", "tool_not_run")}
     assert {r["reason"] for r in rules.run_rule("no.such", facts, runs).collect()} == {"rule_unknown"}
     assert {r["reason"] for r in rules.run_rule("vulns.max_severity", facts, runs, {"fail_at": 3}).collect()} == {"params_invalid"}
+    assert {r["reason"] for r in rules.run_rule("vulns.max_severity", facts, runs, {"fail_at": "worst"}).collect()} == {"rule_error"}
+    assert {r["reason"] for r in rules.run_rule("ci.present", runs, runs).collect()} == {"rule_error"}
+    assert [r["verdict"] for r in rules.run_rule("size.max_file_loc", facts, runs, {"threshold": 5}).collect()] == ["not_applicable"] * 4
     for name in rules.rule_names():
         assert rules.run_rule(name, facts.limit(0), runs).count() == 4, name
 
