@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as E
+from quillon.functions import fixed
 from quillon.plans import views as V
+from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
 
-# Folders of vendored code, of fixtures, of tests and of build output.
-VENDOR_DIRS = ("vendor", "node_modules", "third_party", "site-packages")
-FIXTURE_DIRS = ("fixtures", "testdata")
-TEST_DIRS = ("test", "tests")
-BUILD_DIRS = ("build", "dist", "out")
-TEST_PATH = r"(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(spec|test)\.[a-z]+$"
-GENERATED_PATH = r"(^|/)(build|dist|out)/|\.min\.js$|(^|/)(package-lock\.json|poetry\.lock)$"
 LARGEST_DATA_FILE = 64_000
 SOURCE_LANGUAGES = ("python", "typescript", "csharp", "go", "java")
 
@@ -68,14 +65,18 @@ def _dirs(path: Column) -> Column:
 
 
 def vendored(path: Column) -> Column:
-    """Below a vendor folder, or below a fixture folder that is itself below a test folder."""
+    """Below a folder of vendored code or test data, or below a fixture folder that is itself below a test folder."""
     dirs = _dirs(path)
-    first = lambda names: F.array_min(F.filter(F.transform(dirs, lambda d, i: F.when(d.isin(*names), i)), lambda i: i.isNotNull()))
-    last = lambda names: F.array_max(F.filter(F.transform(dirs, lambda d, i: F.when(d.isin(*names), i)), lambda i: i.isNotNull()))
-    return F.arrays_overlap(dirs, F.array(*map(F.lit, VENDOR_DIRS))) | F.coalesce(last(FIXTURE_DIRS) > first(TEST_DIRS), F.lit(False))
+    at = lambda names: F.filter(F.transform(dirs, lambda d, i: F.when(d.isin(*names), i)), lambda i: i.isNotNull())
+    known = F.arrays_overlap(dirs, F.array(*map(F.lit, (*fixed.VENDOR_DIRS, *fixed.DATA_DIRS))))
+    return known | F.coalesce(F.array_max(at(fixed.FIXTURE_DIRS)) > F.array_min(at(fixed.TEST_DIRS)), F.lit(False))
+
+
+def _one_of(names: tuple[str, ...]) -> str:
+    return "(" + "|".join(map(re.escape, names)) + ")"
 
 
-_VENDORED_SQL = r"(regexp_matches('/' || path, '/(vendor|node_modules|third_party|site-packages)/') OR regexp_matches('/' || path, '/(test|tests)/(.*/)?(fixtures|testdata)/'))"
+_VENDORED_SQL = f"(regexp_matches('/' || path, '/{_one_of((*fixed.VENDOR_DIRS, *fixed.DATA_DIRS))}/') OR regexp_matches('/' || path, '/{_one_of(fixed.TEST_DIRS)}/(.*/)?{_one_of(fixed.FIXTURE_DIRS)}/'))"
 
 
 @query("flt_vendored_path", "files", f"SELECT path, {_VENDORED_SQL} AS vendored FROM files")
@@ -83,12 +84,21 @@ def flt_vendored_path(spark, sf_dir):
     return V.files(spark, sf_dir).select("path", vendored(F.col("path")).alias("vendored"))
 
 
+GENERATED_PATH = rf"(^|/){_one_of(fixed.BUILD_DIRS)}/|{_one_of(fixed.GENERATED_SUFFIXES)}$|(^|/){_one_of(fixed.LOCKFILES)}$"
+
+
 def generated(path: Column, text: Column) -> Column:
-    """By path, or by a marker in the first 1024 characters."""
-    return path.rlike(GENERATED_PATH) | F.substring(text, 1, 1024).rlike(r"(?i)do not edit|generated by|@generated")
+    """A lockfile, a suffix or folder of build output, or a marker in the first 1024 characters."""
+    return path.rlike(GENERATED_PATH) | F.coalesce(F.substring(text, 1, 1024).rlike(fixed.GENERATED_MARKER), F.lit(False))
 
 
-_GENERATED_SQL = rf"(regexp_matches(path, '{GENERATED_PATH}') OR regexp_matches(substr(text, 1, 1024), '(?i)do not edit|generated by|@generated'))"
+def test_path(path: Column) -> Column:
+    return path.rlike(fixed.TEST_PATH)
+
+
+test_path.__test__ = False
+
+_GENERATED_SQL = f"(regexp_matches(path, '{GENERATED_PATH}') OR coalesce(regexp_matches(substr(text, 1, 1024), '{fixed.GENERATED_MARKER}'), false))"
 
 
 @query("flt_generated", "files", f"SELECT path, {_GENERATED_SQL} AS generated FROM files")
@@ -106,9 +116,9 @@ def flt_source_files(spark, sf_dir):
     return source_files(V.files(spark, sf_dir)).select("path", "language")
 
 
-@query("flt_test_path", "files", rf"SELECT path FROM files WHERE regexp_matches(path, '{TEST_PATH}')")
+@query("flt_test_path", "files", rf"SELECT path FROM files WHERE regexp_matches(path, '{fixed.TEST_PATH}')")
 def flt_test_path(spark, sf_dir):
-    return V.files(spark, sf_dir).filter(F.col("path").rlike(TEST_PATH)).select("path")
+    return V.files(spark, sf_dir).filter(test_path(F.col("path"))).select("path")
 
 
 @query("flt_glob", "files", r"""SELECT path, regexp_matches(path, '^src/([^/]+/)*mod[^/]*\.(py|ts)$') AS sources, regexp_matches(path, '^([^/]+/)*test_[^/]*$') AS tests,
@@ -204,18 +214,135 @@ def flt_indexable(spark, sf_dir):
 
 
 def project_facts(facts: DataFrame, evidence: DataFrame, files: DataFrame) -> DataFrame:
-    """Facts that are secrets, have no evidence in code, or have some outside vendored files."""
+    """Facts that are secrets or attempted injections, have no evidence in code, or have some outside vendored files."""
     where = evidence.join(files.select("path", vendored(F.col("path")).alias("vendored")), "path")
     own = where.groupBy("fact_id").agg(F.bool_or(~F.col("vendored")).alias("own"))
-    return facts.join(own, "fact_id", "left").filter((F.col("kind") == "secret") | F.coalesce("own", F.lit(True))).drop("own")
+    return facts.join(own, "fact_id", "left").filter(F.col("kind").isin("secret", "injection_attempt") | F.coalesce("own", F.lit(True))).drop("own")
 
 
 @query("flt_project_facts", "files", f"""
-WITH facts AS (SELECT doc_id AS fact_id, CASE WHEN doc_id % 9 = 0 THEN 'secret' ELSE 'route' END AS kind FROM documents),
+WITH facts AS (SELECT doc_id AS fact_id, CASE WHEN doc_id % 9 = 0 THEN 'secret' WHEN doc_id % 10 = 0 THEN 'injection_attempt' ELSE 'route' END AS kind FROM documents),
 own AS (SELECT f.fact_id, bool_or(NOT {_VENDORED_SQL}) AS own FROM facts f JOIN files d ON d.doc_id = f.fact_id OR d.doc_id = f.fact_id + 1 WHERE f.fact_id % 4 <> 0 GROUP BY f.fact_id)
-SELECT f.fact_id, f.kind FROM facts f LEFT JOIN own ON own.fact_id = f.fact_id WHERE f.kind = 'secret' OR coalesce(own.own, true)""")
+SELECT f.fact_id, f.kind FROM facts f LEFT JOIN own ON own.fact_id = f.fact_id WHERE f.kind IN ('secret', 'injection_attempt') OR coalesce(own.own, true)""")
 def flt_project_facts(spark, sf_dir):
     files = V.files(spark, sf_dir).select("doc_id", "path")
-    facts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 9 == 0, "secret").otherwise("route").alias("kind"))
+    facts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 9 == 0, "secret").when(F.col("doc_id") % 10 == 0, "injection_attempt").otherwise("route").alias("kind"))
     evidence = files.select(F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("fact_id"), "path").filter("fact_id % 4 <> 0")
     return project_facts(facts, evidence.join(facts, "fact_id", "left_semi"), files)
+
+
+# Paths and the first line of each file; by hand: vendored, generated, test, language, type of documentation.
+_PATHS = [
+    ("src/app/main.py", "x = 1", False, False, False, "python", None),
+    ("node_modules/a/index.js", "", True, False, False, "javascript", None),
+    ("web/.venv/lib/x.pyi", "", True, False, False, "python", None),
+    ("tests/fixtures/a.go", "", True, False, True, "go", None),
+    ("fixtures/a.rs", "", False, False, False, "rust", None),
+    ("fixtures/tests/a.rb", "", False, False, True, "ruby", None),
+    ("src/__snapshots__/x.ts", "", True, False, False, "typescript", None),
+    ("Pods/x.swift", "", True, False, False, "swift", None),
+    ("dist/app.css", "", False, True, False, "css", None),
+    ("a/b.min.js", "", False, True, False, "javascript", None),
+    ("proto/x_pb2.py", "", False, True, False, "python", None),
+    ("uv.lock", "", False, True, False, None, None),
+    ("api/go.sum", "", False, True, False, None, None),
+    ("a/client.ts", "// This file is auto-generated by a tool", False, True, False, "typescript", None),
+    ("a/model.go", "// Code generated by protoc. DO NOT EDIT.", False, True, False, "go", None),
+    ("a/id.py", "# id is auto-generated by the database", False, False, False, "python", None),
+    ("a/0002.py", "# Generated by Django 4.2", False, True, False, "python", None),
+    ("pkg/x_test.go", "", False, False, True, "go", None),
+    ("a/App.spec.tsx", "", False, False, True, "typescript", None),
+    ("src/test/java/A.java", "", False, False, True, "java", None),
+    ("a/OrderTests.cs", "", False, False, True, "csharp", None),
+    ("test_util.py", "", False, False, True, "python", None),
+    ("a/contest.py", "", False, False, False, "python", None),
+    ("Dockerfile", "", False, False, False, "dockerfile", None),
+    ("a/Dockerfile.dev", "", False, False, False, "dockerfile", None),
+    ("a/web.Dockerfile", "", False, False, False, "dockerfile", None),
+    ("Containerfile", "", False, False, False, "dockerfile", None),
+    ("x/Makefile", "", False, False, False, "make", None),
+    ("x/A.KT", "", False, False, False, "kotlin", None),
+    ("LICENSE", "", False, False, False, None, None),
+    ("README.md", "", False, False, False, "markdown", "readme"),
+    ("docs/adr/0001.md", "", False, False, False, "markdown", "adr"),
+    ("docs/ARCHITECTURE-v2.rst", "", False, False, False, None, "architecture"),
+    ("api/openapi.v1.yaml", "", False, False, False, "yaml", "openapi"),
+    ("CONTRIBUTING", "", False, False, False, None, "contributing"),
+    ("a/CHANGES.txt", "", False, False, False, None, "changelog"),
+    ("notes/readme-old.md", "", False, False, False, "markdown", None),
+]
+
+
+@query("flt_path_classes", "", cases_sql(len(_PATHS), "VARCHAR path, BOOLEAN vendored, BOOLEAN generated, BOOLEAN test, VARCHAR language, VARCHAR doc_type", [(k, p, *rest) for k, (p, _, *rest) in enumerate(_PATHS)]))
+def flt_path_classes(spark, sf_dir):
+    """Every class of every path, by the full tables of names."""
+    from quillon.operators.extract import doc_type
+    from quillon.sources.stores import language_of
+
+    rows = cases(spark, sf_dir, [(p, t) for p, t, *_ in _PATHS], "path string, text string")
+    path = F.col("path")
+    return rows.select("id", "path", vendored(path).alias("vendored"), generated(path, F.col("text")).alias("generated"), test_path(path).alias("test"), language_of(path).alias("language"), doc_type(path).alias("doc_type"))
+
+
+def action_pinned(uses: Column) -> Column:
+    """Local actions, images, and references to a commit of 40 hex digits."""
+    return uses.startswith("./") | uses.startswith("docker://") | uses.rlike("@[0-9a-f]{40}$")
+
+
+def key_valid(kind: str, value: Column) -> Column:
+    """Whether a name may be one of a stored thing of that kind."""
+    return value.rlike(fixed.KEY_PATTERNS[kind].replace("$", r"\z"))
+
+
+_KEYS = [
+    ("run_id", "run-1_A", True), ("run_id", "", False), ("run_id", "a/b", False), ("run_id", "a" * 65, False), ("run_id", "x\n", False), ("artifact", "report.json", True), ("artifact", ".hidden", False), ("checkpoint", "evaluate/security", True),
+    ("checkpoint", "a/b/c", False), ("checkpoint", "Facts", False), ("namespace", "embed", True), ("namespace", "a-b", False), ("cache_key", "m:1.2_x-", True), ("cache_key", "a b", False), ("key_id", "0123abcd", True), ("key_id", "0123ABCD", False),
+]
+
+
+@query("flt_key_valid", "", cases_sql(len(_KEYS), "VARCHAR kind, BOOLEAN valid", [(k, kind, ok) for k, (kind, _, ok) in enumerate(_KEYS)]))
+def flt_key_valid(spark, sf_dir):
+    valid = F.lit(False)
+    for kind in fixed.KEY_PATTERNS:
+        valid = F.when(F.col("kind") == kind, key_valid(kind, F.col("value"))).otherwise(valid)
+    return cases(spark, sf_dir, [(kind, value) for kind, value, _ in _KEYS], "kind string, value string").select("id", "kind", valid.alias("valid"))
+
+
+_USES = [("actions/checkout@v4", False), ("./.github/actions/x", True), ("docker://alpine:3", True), ("docker://x@sha", True), ("o/r@" + "a" * 40, True), ("o/r@" + "a" * 39, False), ("o/r/sub@main", False)]
+
+
+@query("flt_action_pinned", "", cases_sql(len(_USES), "VARCHAR uses, BOOLEAN pinned", [(k, *row) for k, row in enumerate(_USES)]))
+def flt_action_pinned(spark, sf_dir):
+    return cases(spark, sf_dir, [(u,) for u, _ in _USES], "uses string").select("id", "uses", action_pinned(F.col("uses")).alias("pinned"))
+
+
+def user_not_root(user: Column) -> Column:
+    """A user is set, and the part before a colon is not root by name or number."""
+    name = F.trim(F.coalesce(user, F.lit("")))
+    return (name != "") & ~F.element_at(F.split(name, ":"), 1).isin("root", "0")
+
+
+_USERS = [(None, False), ("", False), (" app ", True), ("root", False), ("0:0", False), ("root:app", False), ("1000:0", True), ("rooter", True)]
+
+
+@query("flt_non_root", "", cases_sql(len(_USERS), "VARCHAR user, BOOLEAN non_root", [(k, *row) for k, row in enumerate(_USERS)]))
+def flt_non_root(spark, sf_dir):
+    return cases(spark, sf_dir, [(u,) for u, _ in _USERS], "user string").select("id", "user", user_not_root(F.col("user")).alias("non_root"))
+
+
+def fact_path(evidence: Column, attributes: Column) -> Column:
+    """The file a fact is about: its first evidence in code, else the attribute file, manifest or path; null if none is a text."""
+    first = F.try_element_at(F.filter(evidence, lambda e: e["kind"] == "code"), F.lit(1))["path"]
+    named = [F.when(F.get_json_object(attributes, f"$.{k}") != "", F.get_json_object(attributes, f"$.{k}")) for k in ("file", "manifest", "path")]
+    return F.coalesce(first, *named)
+
+
+_FACTS = [
+    ([("scan", None), ("code", "a.py"), ("code", "b.py")], '{"path": "c"}', "a.py"), ([("scan", None)], '{"manifest": "m.toml", "path": "p"}', "m.toml"), ([], '{"file": "f", "manifest": "m"}', "f"), ([], '{"file": "", "path": "p"}', "p"), ([], "{}", None),
+]
+
+
+@query("flt_fact_path", "", cases_sql(len(_FACTS), "VARCHAR path", [(k, row[2]) for k, row in enumerate(_FACTS)]))
+def flt_fact_path(spark, sf_dir):
+    rows = cases(spark, sf_dir, [row[:2] for row in _FACTS], "evidence array<struct<kind:string,path:string>>, attributes string")
+    return rows.select("id", fact_path(F.col("evidence"), F.col("attributes")).alias("path"))

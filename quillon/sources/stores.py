@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as E
+from quillon.functions import fixed
 from quillon.plans import views as V
 from quillon.registry import query
 
@@ -45,9 +46,10 @@ def src_lines(spark, sf_dir):
 
 
 def language_of(path: Column) -> Column:
-    """By name, then Dockerfile forms, then suffix."""
+    """By name, then Dockerfile forms, then suffix; null if unknown."""
     name = F.element_at(F.split(path, "/"), -1)
-    return F.when(name == "Makefile", "make").when(name.rlike(r"^Dockerfile(\..*)?$|\.dockerfile$"), "dockerfile").otherwise(E.choose(F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1)), V.LANGUAGES))
+    suffix = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+    return F.coalesce(E.choose(name, fixed.NAME_LANGUAGES), F.when(name.rlike(r"^Dockerfile\.|.\.Dockerfile$"), "dockerfile"), E.choose(suffix, fixed.SUFFIX_LANGUAGES))
 
 
 @query("src_language", "files", r"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'dockerfile' WHEN doc_id % 14 = 0 THEN 'make' ELSE language END AS language FROM files""")
