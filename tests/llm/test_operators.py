@@ -97,7 +97,7 @@ def test_encoders_equal_the_library(texts, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    own = WordBPE(P.path(name)) if name.startswith("word") else tokenfiles.ChunkedEncoder(P.path(name))
+    own = WordBPE(P.path(name)) if name.startswith("word") else tokenfiles.PieceEncoder(P.path(name))
     for s in [x or "" for x in texts if len(x or "") < 5000] + ODD:
         ids = t.encode(s, add_special_tokens=False).ids
         if name.startswith("word"):
@@ -159,10 +159,9 @@ def test_sections_and_caches_do_not_change_ids(texts, monkeypatch):
     monkeypatch.setattr(bpe_module, "WORD_BYTES", 500)
     small = WordBPE(path)
     assert [small.encode(t or "") for t in texts] == want
-    whole = tokenfiles.ChunkedEncoder(P.path("byte_bpe_50k.json"))
-    monkeypatch.setattr(tokenfiles, "CHUNK_BYTES", 500)
+    whole = tokenfiles.PieceEncoder(P.path("byte_bpe_50k.json"))
     monkeypatch.setattr(tokenfiles, "PIECE_BYTES", 500)
-    small = tokenfiles.ChunkedEncoder(P.path("byte_bpe_50k.json"))
+    small = tokenfiles.PieceEncoder(P.path("byte_bpe_50k.json"))
     odd = [t or "" for t in texts] + ["a  b   c\n\n  d " * 9, " x  " * 30, "\n \n x\t\ty " * 9, "μg/ml 5 " * 20]
     assert [small.encode(t) for t in odd] == [np.array(whole.tokenizer.encode(t, add_special_tokens=False).ids, whole.type).tobytes() for t in odd]
     assert list("".join(common.sections(t or "")) for t in texts) == [t or "" for t in texts]
@@ -452,15 +451,3 @@ def test_imatch(spark, docs, nothing):
     assert imatch.edited_fingerprints(nothing).count() == 0 and imatch.fingerprints(nothing).count() == 0
 
 
-def test_pipeline_stages(spark, docs):
-    import corpus_pipeline
-
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    now = plain
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, now, "")
-        if name != "encode":
-            assert out.columns == plain.columns, name
-        now = spark.createDataFrame(out.collect(), out.schema)
-    assert {"ids", "n_tokens", "decoded"} <= set(now.columns) and now.count() > 10
-    assert not {0, 1, 2} & {r["doc_id"] for r in now.collect()}
