@@ -32,9 +32,11 @@ all other columns play no part and pass through.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +45,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import bounded_batches, sections
-from quillon.llm.sampling import fold, hashed, sample
+from quillon.llm.sampling import fold, hashed, sample_condition
 
 #: The bound on the labelled documents that are fitted.
-SAMPLE_DOCUMENTS = 4000
+SAMPLE_DOCUMENTS = 2400
 #: The rejection where the documents held back have no wrong prediction, and the highest one.
 FLOOR, CEILING = 0.35, 0.9
 BITS, DIMS = 15, 16
 BUCKETS = 1 << BITS
 #: Spans of a training document at most.
 SPANS = 6
-BATCH, RATE, MOMENTUM, EPOCHS, PATIENCE, LEAST_STEPS, ENOUGH = 64, 4.0, 0.9, 60, 6, 40, 2e-3
+BATCH, RATE, MOMENTUM, EPOCHS, PATIENCE, LEAST_STEPS, ENOUGH = 64, 4.0, 0.9, 40, 3, 40, 2e-3
 #: Letters that are hashed at a time.
 GROUP = 1 << 18
 UNKNOWN = "und"
 
 _OPEN, _CLOSE = 60, 62
-_A, _C = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_A, _C = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
 @cache
@@ -74,43 +76,47 @@ def normal(text: str) -> str:
 
 
 def _buckets(h: np.ndarray, salt: int) -> np.ndarray:
-    return (((h ^ np.uint64(salt * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) * _C) >> np.uint64(64 - BITS)).astype(np.int64)
+    return ((h ^ np.uint32(salt * 0x85EBCA6B & 0xFFFFFFFF)) * _C) >> np.uint32(32 - BITS)
 
 
-def subwords(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For an array of code points: where each word begins, and the word number and bucket of each subword."""
+def subwords(codes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """For an array of code points: where each word begins; and for each kind of subword the words, in order, and the buckets."""
     kind = _kinds()[codes]
-    at = np.arange(len(codes))
     wordly = kind > 0
-    first = wordly & ~np.concatenate(([False], wordly[:-1]))
-    run = np.maximum.accumulate(np.where(first, at, -1)) if len(codes) else at
-    letter = np.maximum.accumulate(np.where(kind == 1, at, -1)) if len(codes) else at
-    inside = wordly & (letter >= run) & (run >= 0)  # marks before a run's first letter are none of its word
-    begins = inside & ~np.concatenate(([False], inside[:-1]))
+    inside = wordly
+    if (kind == 2).any():  # marks before a run's first letter are none of its word
+        at = np.arange(len(codes))
+        first = wordly & ~np.concatenate(([False], wordly[:-1]))
+        run = np.maximum.accumulate(np.where(first, at, -1))
+        letter = np.maximum.accumulate(np.where(kind == 1, at, -1))
+        inside = wordly & (letter >= run) & (run >= 0)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return starts, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = np.cumsum(begins)[inside] - 1
-    marked = np.zeros(len(word) + 2 * len(starts), np.uint64)
-    owner = np.zeros(len(marked), np.int64)
-    place = np.arange(len(word)) + 2 * word + 1
-    marked[place], owner[place] = codes[inside], word
-    sizes = np.bincount(word)
-    heads = np.concatenate(([0], np.cumsum(sizes + 2)[:-1]))
-    tails = heads + sizes + 1
-    marked[heads], marked[tails], owner[heads], owner[tails] = _OPEN, _CLOSE, np.arange(len(starts)), np.arange(len(starts))
-    words, found = [], []
+        return starts, []
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    sizes = np.flatnonzero(ends) + 1 - starts
+    # each word between marks of its beginning and end
+    heads = np.cumsum(sizes + 2) - sizes - 2
+    number = np.arange(len(starts), dtype=np.int32)
+    owner = np.repeat(number, sizes + 2)
+    marked = np.empty(len(owner), np.uint32)
+    letters = np.ones(len(owner), bool)
+    letters[heads] = letters[heads + sizes + 1] = False
+    marked[heads], marked[heads + sizes + 1] = _OPEN, _CLOSE
+    marked[letters] = codes[inside]
+    out = []
     h = marked
     for n in (2, 3, 4):
         h = h[:-1] * _A + marked[n - 1 :]
         whole = owner[: len(h)] == owner[n - 1 :]
-        words.append(owner[: len(h)][whole])
-        found.append(_buckets(h[whole], n))
-    spot = (np.arange(len(marked)) - heads[owner]).astype(np.uint64)
-    each = (marked + (spot << np.uint64(21))) * _C
-    words.append(np.arange(len(starts)))
-    found.append(_buckets(np.add.reduceat(each ^ (each >> np.uint64(29)), heads), 9))
-    return starts, np.concatenate(words), np.concatenate(found)
+        out.append((owner[: len(h)][whole], _buckets(h[whole], n)))
+    spot = np.arange(len(marked), dtype=np.uint32) - np.repeat(heads.astype(np.uint32), sizes + 2)
+    each = (marked + spot * _A) * _C
+    out.append((number, _buckets(np.add.reduceat(each ^ (each >> np.uint32(15)), heads, dtype=np.uint32), 9)))
+    return starts, out
 
 
 def _codes(text: str) -> np.ndarray:
@@ -135,13 +141,16 @@ class LanguageModel:
     def _sums(self, texts: list[str]) -> np.ndarray:
         """For each text the sum of its subwords' logits, and in the last column their number."""
         out = np.zeros((len(texts), len(self.labels) + 1))
-        codes = _codes("\n".join(texts))
         ends = np.cumsum([len(t) + 1 for t in texts])
-        starts, word, bucket = subwords(codes)
-        owner = np.searchsorted(ends, starts, side="right")[word]
-        for k in range(len(self.labels)):
-            out[:, k] = np.bincount(owner, self.table[:, k][bucket], len(texts))
-        out[:, -1] = np.bincount(owner, minlength=len(texts))
+        starts, found = subwords(_codes("\n".join(texts)))
+        firsts = np.searchsorted(starts, np.concatenate(([0], ends[:-1])))  # each text's first word
+        for word, bucket in found:
+            cuts = np.searchsorted(word, firsts)
+            n = np.diff(np.append(cuts, len(word)))
+            some = n > 0
+            if some.any():
+                out[some, :-1] += np.add.reduceat(self.table[bucket], cuts[some], axis=0)
+                out[:, -1] += n
         return out
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
@@ -184,7 +193,7 @@ def spans(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndar
     """Buckets and their counts, for consecutive spans of the text that together hold each of its words once."""
     counts: list[np.ndarray] = []
     found = [subwords(_codes(normal(part))) for part in sections(text)]
-    n = sum(len(starts) for starts, _, _ in found)
+    n = sum(len(starts) for starts, _ in found)
     if not n:
         return []
     ends = []
@@ -193,10 +202,11 @@ def spans(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndar
     ends = [*(e for e in ends if e < n), n]
     counts = [np.zeros(BUCKETS, np.int64) for _ in ends]
     before = 0
-    for starts, word, bucket in found:
-        span = np.searchsorted(ends, word + before, side="right")
-        for k in np.unique(span).tolist():
-            counts[k] += np.bincount(bucket[span == k], minlength=BUCKETS)
+    for starts, kinds in found:
+        for word, bucket in kinds:
+            cuts = np.searchsorted(word + before, [0, *ends])
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                counts[k] += np.bincount(bucket[i:j], minlength=BUCKETS)
         before += len(starts)
     return [(np.flatnonzero(c), c[c > 0]) for c in counts]
 
@@ -205,7 +215,7 @@ class _Rows:
     """Sparse rows of shares of buckets."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.at = [b.astype(np.int32) for b, _ in rows]
+        self.at = [b.astype(np.uint16) for b, _ in rows]
         self.share = [(c / c.sum()).astype(np.float32) for _, c in rows]
 
     def __len__(self) -> int:
@@ -274,7 +284,7 @@ def fit(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int =
         if not len(hx):
             continue
         loss = -np.log(_softmax(logits(hx))[np.arange(len(hy)), hy] + 1e-30).mean()
-        if loss < best - 1e-4:
+        if loss < best - 5e-4:
             best, left, kept = loss, PATIENCE, (table.copy(), weights.copy(), bias.copy())
         else:
             left -= 1
@@ -317,10 +327,9 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, most: int = SAMPLE_DOC
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    each, chosen = -(-most // len(counts)), None
-    for lang, n in sorted(counts.items()):
-        part = sample(rows.filter(F.col("lang") == lang), "doc_id", each, n, seed)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    each = -(-most // len(counts))
+    # of every language about as many, in one pass
+    chosen = rows.filter(reduce(or_, (sample_condition("doc_id", each, n, seed) & (F.col("lang") == lang) for lang, n in sorted(counts.items()))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +338,7 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, most: int = SAMPLE_DOC
                 every = spans(text.as_py(), np.random.default_rng([seed, draw]))
                 sizes = np.array([len(b) for b, _ in every], np.int64)
                 flat = np.concatenate([np.stack(s).astype(np.uint32).ravel() for s in every]) if every else np.zeros(0, np.uint32)
-                found.append((sizes.tobytes(), flat.tobytes()))
+                found.append((sizes.tobytes(), zlib.compress(flat.tobytes(), 1)))
             columns = list(zip(*found, strict=True)) if found else [(), ()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang": batch["lang"], "sizes": pa.array(columns[0], pa.binary()), "flat": pa.array(columns[1], pa.binary())})
 
@@ -337,9 +346,9 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, most: int = SAMPLE_DOC
     got = drawn.mapInArrow(cut, "doc_id long, lang string, sizes binary, flat binary").collect()
     ready = []
     for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["sizes"], r["flat"])):
-        flat, at, every = np.frombuffer(r["flat"], np.uint32), 0, []
+        flat, at, every = np.frombuffer(zlib.decompress(r["flat"]), np.uint32), 0, []
         for n in np.frombuffer(r["sizes"], np.int64).tolist():
-            every.append((flat[at : at + n], flat[at + n : at + 2 * n]))
+            every.append((flat[at : at + n].astype(np.uint16), flat[at + n : at + 2 * n].copy()))
             at += 2 * n
         ready.append((r["lang"], every))
     return fit(ready, seed)

@@ -23,8 +23,11 @@ def in_fold(column: str, folds: int, held: int) -> Column:
     return F.coalesce(fold(column, folds) == F.lit(held), F.lit(False))
 
 
+def sample_condition(column: str, most: int, total: int, seed: int) -> Column:
+    """True for about ``most`` of the ``total`` rows (all, if there are no more), chosen by a hash of the id; equal ids go together."""
+    return F.lit(True) if total <= most else hashed(column, seed) < int(_SPAN * most / total)
+
+
 def sample(rows: DataFrame, column: str, most: int, total: int, seed: int) -> DataFrame:
-    """About ``most`` of the ``total`` rows (all, if there are no more), chosen by a hash of the id; equal ids go together."""
-    if total <= most:
-        return rows
-    return rows.filter(hashed(column, seed) < int(_SPAN * most / total))
+    """The rows for which ``sample_condition`` holds."""
+    return rows.filter(sample_condition(column, most, total, seed))
