@@ -355,7 +355,7 @@ def _bigram_tables(blocks: DataFrame, owners: Owners) -> DataFrame:
             keys[at : at + size] = np.repeat(hs, x[1]) * len(words) + ws[x[3]]
             n[at : at + size] = x[4]
             at += size
-            asked.append((block, _steps(hs), _steps(ws)))
+            asked.append((block, _steps(hs), x[1], _steps(ws)))
         del got, h_of, w_of
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -370,8 +370,11 @@ def _bigram_tables(blocks: DataFrame, owners: Owners) -> DataFrame:
         n_r = np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3)[: K + 2]
         rows, at = [(shard, -1, (contexts, words, small(np.bincount(h, minlength=len(contexts))), small(w), small(c[seen])))], 0
         c = small(c)
-        for (block, hs, ws), size in zip(asked, sizes, strict=True):
-            rows.append((shard, block, (hs, ws, c[of[at : at + size]])))
+        for (block, hs, runs, ws), size in zip(asked, sizes, strict=True):
+            mine = c[of[at : at + size]]
+            runs = runs.astype(np.int64)
+            missed = np.add.reduceat((mine == 0).astype(np.int64), np.cumsum(runs) - runs) > 0  # contexts that back off somewhere in the block
+            rows.append((shard, block, (hs, np.packbits(missed), ws, mine)))
             at += size
         out = _rows(rows)
         del rows, c, of, asked
@@ -442,9 +445,9 @@ def _weights(tables: DataFrame, counted: DataFrame, unigrams: Unigrams, d: np.nd
         rows = [(shard, -1, (contexts, c_h, bare, weight))]
         c_w, c_h = small(c_w), small(c_h)
         for block, data in got.items():
-            hs, ws, seen = _unpack(data.as_py())
+            hs, missed, ws, seen = _unpack(data.as_py())
             hs, ws = np.cumsum(hs, dtype=np.int64), np.cumsum(ws, dtype=np.int64)
-            rows.append((shard, block, (c_h[hs], bare[hs], weight[hs], c_w[ws], seen)))
+            rows.append((shard, block, (c_h[hs], np.packbits(bare[hs]), missed, weight[hs][np.unpackbits(missed, count=len(hs)) > 0], c_w[ws], seen)))
         out = _rows(rows)
         del got, by_shard, h, c, w
         release()
@@ -514,10 +517,11 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, held_out: Co
         del pairs
         count, value = np.zeros(len(b.words), np.int64), np.empty(len(h))
         for shard, mine in owners(b.words, h, w):
-            c_h, bare, weight, c_w, c = _unpack(by_shard.pop(shard).as_py())
+            c_h, bare, missed, weights_, c_w, c = _unpack(by_shard.pop(shard).as_py())
             hs, at = np.unique(h[mine], return_inverse=True)
             ws, w_at = np.unique(w[mine], return_inverse=True)
-            c_h, bare, weight = c_h.astype(np.int64), bare.copy(), weight.copy()
+            c_h, bare, weight = c_h.astype(np.int64), np.unpackbits(bare, count=len(hs)) > 0, np.zeros(len(hs))
+            weight[np.unpackbits(missed, count=len(hs)) > 0] = weights_
             for k in np.flatnonzero(owners.split(b.words[hs]) > 1).tolist():
                 c_h[k], bare[k], weight[k] = split.get(int(b.words[hs[k]]), (0, True, 0.0))
             count[ws] = c_w
