@@ -17,7 +17,7 @@ hash of the whole text as its fingerprint, and is alike (1) only to equal texts;
 texts of any length are read whole; rows with equal doc_id share the next
 document, which is the least text of the next id; with a single id, the next
 document is the document itself; null doc_ids are one id, the last one, whose
-rows are spread by their texts; every number is an id like any other; an empty
+rows stay where they are; every number is an id like any other; an empty
 table stays empty; ``fingerprints`` replaces a column named fingerprint, all other
 columns pass through; ``edited_fingerprints`` reads doc_id and text alone.
 """
@@ -36,8 +36,6 @@ LEAST_SHARE, MOST_SHARE = 0.01, 0.2
 #: How many subsets there are that keep one term in so many.
 RATES = {2: 4, 4: 4, 8: 4, 16: 4, 32: 8, 64: 8}
 SUBSETS = sum(RATES.values())
-#: Parts that the rows of a null doc_id are spread over.
-SPREAD = 64
 #: Ids of one range when finding the next document.
 RANGE_IDS = 100_000
 _NONE = "-" * 16
@@ -148,24 +146,32 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     one exchange); what the next document lends to the edit moves once more.
     """
     terms = Stored(lexicon(docs, least, most), "lexicon").read()
-    text = F.coalesce("text", F.lit(""))
-    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(SPREAD))).otherwise(0).cast("int")
-    plain = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), spread.alias("spread"), text.alias("text"))
+    plain = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = plain.groupBy("none", "id").agg(F.max((F.length("text") / 2).cast("int")).alias("half"), F.count("*").alias("rows"))
     ids = Stored(ids, "ids").read()
-    following = next_ids(ids.select("none", "id"))
-    lends = ids.join(following, ["none", "id"]).select(F.col("none").alias("for_none"), F.col("id").alias("for_id"), "half", "next_none", "next_id")
-    lends = Stored(lends, "next-documents").read()
-
-    hashed = _printed(plain, "text", terms, "print").repartition("none", "id", "spread")
-    least_text = hashed.select("none", "id", "text", "print")
-    if not ids.filter("rows > 1").isEmpty():
-        least_text = least_text.groupBy("none", "id").agg(F.min(F.struct("text", "print")).alias("x")).select("none", "id", "x.*")
-    heads = least_text.join(lends, (F.col("none") == F.col("next_none")) & (F.col("id") == F.col("next_id")))
-    heads = heads.select("for_none", "for_id", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("print").alias("next_print"))
-    parts_of = F.when(F.col("for_none"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    heads = heads.withColumn("for_spread", F.explode(parts_of))
-    both = hashed.join(heads, (F.col("none") == F.col("for_none")) & (F.col("id") == F.col("for_id")) & (F.col("spread") == F.col("for_spread")))
+    lends = ids.join(next_ids(ids.select("none", "id")), ["none", "id"])
+    lends = Stored(lends.select(F.col("none").alias("for_none"), F.col("id").alias("for_id"), "half", "next_none", "next_id"), "next-documents").read()
+    lent = lambda rows: rows.select("for_id", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("print").alias("next_print"))
+
+    hashed = _printed(plain.filter(~F.col("none")), "text", terms, "print").repartition("id")
+    least_text = hashed.select("id", "text", "print")
+    if not ids.filter("rows > 1 AND NOT none").isEmpty():
+        least_text = least_text.groupBy("id").agg(F.min(F.struct("text", "print")).alias("x")).select("id", "x.*")
+    heads = lent(least_text.join(lends.filter("NOT for_none AND NOT next_none"), F.col("id") == F.col("next_id")))
+    nulls = ids.filter("none").isEmpty()
+    if not nulls:  # all of them follow and are followed by one document each, whose row goes to all tasks
+        unnamed = _printed(plain.filter("none"), "text", terms, "print")
+        least_null = unnamed.agg(F.min(F.struct("text", "print")).alias("x")).select("x.*")
+        heads = heads.unionByName(lent(lends.filter("NOT for_none AND next_none").crossJoin(F.broadcast(least_null))))
+        after = lends.filter("for_none").first()
+        following = least_null
+        if not after["next_none"]:
+            first = _printed(plain.filter(~F.col("none") & (F.col("id") == after["next_id"])), "text", terms, "print")
+            following = first.agg(F.min(F.struct("text", "print")).alias("x")).select("x.*")
+        of_null = lent(following.withColumn("for_id", F.lit(0).cast("long")).withColumn("half", F.lit(after["half"])))
+    both = hashed.join(heads, F.col("id") == F.col("for_id"))
+    if not nulls:
+        both = both.unionByName(unnamed.crossJoin(F.broadcast(of_null)))
     n_chars = F.length("text").cast("long")
     half = (n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n_chars - half).cast("int")), F.substring("head", F.lit(1), half))
