@@ -38,8 +38,8 @@ from quillon.llm.common import WIDE_SPACE, BoundedCache, bounded_batches, filesy
 SHARD_BYTES = 32 << 20
 #: Sequences, and documents, in one record batch of a file.
 BATCH_SEQUENCES, BATCH_DOCUMENTS = 512, 8192
-#: Bytes that a Python worker's caches of chunks and of pieces may hold.
-CHUNK_BYTES, PIECE_BYTES = 176 << 20, 32 << 20
+#: Bytes that a Python worker's cache of pieces may hold, and new words that go to the tokenizer together.
+PIECE_BYTES, TOGETHER = 176 << 20, 2000
 
 #: Letters of texts that are encoded together.
 GROUP = 1 << 16
@@ -48,7 +48,6 @@ _S = r"\t\n\x0b\x0c\r " + WIDE_SPACE
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: ASCII but for letters, spaces and ', and blocks of other signs without a letter or space; letters of any script are left out, as a pre-token may go on after them.
 _SIGN = r"\x00-\x08\x0e-\x1f!-&(-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2064\u20a0-\u20c0\u2190-\u2bff\u3001-\u3003\u3008-\u301f\uff01-\uff20"
-_CHUNK = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Letters before a plain sign, signs and digits before a letter, and whatever is left of a run.
 _PIECE = re.compile(rf" ?[{_L}]++(?=[\x00-\x26\x28-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[{_SIGN}]+(?=[{_L}{_S}]|\Z)| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
@@ -58,15 +57,14 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-class ChunkedEncoder:
-    """The tokenizer's ids, with those of each chunk of text kept.
+class PieceEncoder:
+    """The tokenizer's ids, with those of each piece of text kept.
 
-    A chunk is a run without white space and the one space before it, or a run
-    of white space. Byte-level pre-tokens never reach over a chunk's end, so the
-    ids of a text are those of its chunks, one after another. A new chunk is cut
-    into pieces where pre-tokens end in any context, and new pieces of letters
-    after a space go to the tokenizer as one text, told apart by their bytes.
-    Texts that hold one of the added tokens go to it whole.
+    A text is cut into pieces where byte-level pre-tokens end in any context, so
+    its ids are those of its pieces, one after another; most pieces are a word
+    and the space before it. New pieces of letters after a space go to the
+    tokenizer as one text, told apart by their bytes. Texts that hold one of the
+    added tokens go to it whole.
     """
 
     def __init__(self, path: str):
@@ -78,70 +76,39 @@ class ChunkedEncoder:
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(names.values()) + 1, np.int64)  # a byte-level token has a letter for each byte
         self.widths[list(names.values())] = list(map(len, names))
-        # chunks that follow one space, without it; and pieces, and all other chunks, as they are
-        self.spaced, self.pieces = BoundedCache(CHUNK_BYTES), BoundedCache(PIECE_BYTES)
+        self.known = BoundedCache(PIECE_BYTES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: set[str]) -> None:
-        """New words of letters alone, each after a space: one text for the tokenizer."""
-        if not words:
-            return
-        words = list(words)
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, dtype=self.type)
-        ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
-        cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.type.itemsize
-        raw, cuts = ids.tobytes(), cuts.tolist()
-        self.spaced.put_all(words, [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)])
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks, with the space before them."""
-        self.pieces.trim()
-        spaced, pieces = self.spaced, self.pieces
-        cut = {c: _PIECE.findall(c) for c in chunks}
-        new = {p for found in cut.values() for p in found if p not in pieces}
-        words = {p[1:] for p in new if p[:1] == " " and p[1:].isalpha()}
-        self._learn_words({w for w in words if w not in spaced})
-        other = [p for p in new if not (p[:1] == " " and p[1:] in words)]
-        pieces.put_all(other, self._ids(other))
-        return {c: b"".join([spaced[p[1:]] if p[:1] == " " and p[1:] in words else pieces[p] for p in found]) for c, found in cut.items()}
+    def _learn(self, new: set[str]) -> None:
+        words = [p for p in new if p[:1] == " " and p[1:].isalpha()]
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype=self.type)
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
+            cuts = ((np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.type.itemsize).tolist()
+            raw = ids.tobytes()
+            self.known.put_all(part, [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)])
+        other = list(new.difference(words))
+        self.known.put_all(other, self._ids(other))
 
     def _group(self, parts: list[str]) -> list[bytes]:
         """The ids of parts of texts; what is new in any of them is learned at once."""
-        self.spaced.trim()
-        get, plain, new, odd = self.spaced.get, [], set(), set()
+        self.known.trim()
+        get, cut, new = self.known.get, [], set()
         for part in parts:
-            chunks = part.split(" ")
-            if "" in chunks[1:]:  # runs of white space
-                chunks = _CHUNK.findall(part)
-                plain.append((chunks, None))
-                odd.update(chunks)
-                continue
-            # one space between runs: each but the first follows it
-            first, chunks = chunks[0], chunks[1:]
-            found = list(map(get, chunks))
+            pieces = _PIECE.findall(part)
+            found = list(map(get, pieces))
             if None in found:
-                new.update(c for c, ids in zip(chunks, found, strict=True) if ids is None)
+                new.update(p for p, ids in zip(pieces, found, strict=True) if ids is None)
                 found = None
-            if first:
-                odd.add(first)
-            plain.append(((first, chunks), found))
-        words = set(filter(str.isalpha, new))
-        self._learn_words(words)
-        known = self._learn({" " + c for c in new - words} | odd)
-        rest = list(new - words)
-        self.spaced.put_all(rest, [known[" " + chunk] for chunk in rest])
-        out = []
-        for chunks, found in plain:
-            if isinstance(chunks, tuple):
-                first, chunks = chunks
-                ids = b"".join(map(self.spaced.__getitem__, chunks) if found is None else found)
-                out.append(known[first] + ids if first else ids)
-            else:
-                out.append(b"".join([known[c] for c in chunks]))
-        return out
+            cut.append((pieces, found))
+        if new:
+            self._learn(new)
+        known = self.known.__getitem__
+        return [b"".join(map(known, pieces) if found is None else found) for pieces, found in cut]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of ``type`` for each text."""
@@ -170,16 +137,16 @@ class ChunkedEncoder:
         return self.encode_all([text])[0]
 
 
-_ENCODERS: dict[str, ChunkedEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkedEncoder:
+def encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker."""
     if path not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = ChunkedEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
