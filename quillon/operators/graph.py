@@ -1,4 +1,4 @@
-"""Cycles in import graphs: strongly connected components by closure."""
+"""Cycles in import graphs: strongly connected components by trimming and colouring, in rows linear in the edges."""
 
 from __future__ import annotations
 
@@ -10,22 +10,66 @@ from quillon.registry import query
 from quillon.sources.tables import checkpointed
 
 
-def closure(edges: DataFrame, *keys: str) -> DataFrame:
-    """All (src, dst) with a path, by squaring; each round doubles the length and is checkpointed."""
-    paths, n = checkpointed(edges.select(*keys, "src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()), -1
-    while (size := paths.count()) != n:
-        n = size
-        onward = paths.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("to"))
-        paths = checkpointed(paths.union(paths.join(onward, [*keys, "dst"]).select(*keys, "src", F.col("to").alias("dst"))).distinct())
-    return paths
+#: Steps along edges between two checkpoints.
+STEPS = 4
+
+
+def _state(rows: DataFrame, *columns: str) -> tuple:
+    """Something that changes when the rows do."""
+    return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64(*columns))).first())
+
+
+def _trimmed(edges: DataFrame, *keys: str) -> DataFrame:
+    """The edges left after a few rounds of dropping nodes without edges both in and out."""
+    for _ in range(STEPS // 2):
+        leaves, enters = edges.select(*keys, F.col("src").alias("dst")), edges.select(*keys, F.col("dst").alias("src"))
+        edges = edges.join(leaves, [*keys, "dst"], "left_semi").join(enters, [*keys, "src"], "left_semi").select(*keys, "src", "dst")
+    return checkpointed(edges)
+
+
+def _spread(labels: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, label): the least label among each node's own and those of all nodes that lead to it."""
+    now, before = checkpointed(labels), None
+    while (state := _state(now, *keys, "node", "label")) != before:
+        before = state
+        for _ in range(STEPS):
+            sent = edges.join(now.withColumnRenamed("node", "src"), [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "label")
+            now = now.unionByName(sent).groupBy(*keys, "node").agg(F.min("label").alias("label"))
+        now = checkpointed(now)
+    return now
 
 
 def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
-    """(keys, node, component) for nodes on a cycle of two or more nodes; a component is its least node."""
-    paths = closure(edges.filter("src <> dst"), *keys)
-    back = paths.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, [*keys, "src", "dst"]).filter("src <> dst")
-    return mutual.groupBy(*keys, F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
+    """(keys, node, component) for nodes on a cycle of two or more nodes; a component is its least node.
+
+    Each round colours every node with the least node that leads to it; the nodes
+    of a colour that lead back to its node are that node's component, and leave.
+    Rows never outnumber nodes and edges; rounds follow the longest path.
+    """
+    left = _trimmed(edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(*keys, "src", "dst").distinct(), *keys)
+    out = None
+    while not left.isEmpty():
+        nodes = left.select(*keys, F.col("src").alias("node")).union(left.select(*keys, "dst")).distinct()
+        colours = _spread(nodes.withColumn("label", F.col("node")), left, *keys)
+        of = lambda c: colours.select(*keys, F.col("node").alias(c), F.col("label").alias(f"{c}_colour"))  # noqa: E731, B023
+        same = left.join(of("src"), [*keys, "src"]).join(of("dst"), [*keys, "dst"]).filter("src_colour = dst_colour")
+        same = checkpointed(same.select(*keys, F.col("src_colour").alias("colour"), "src", "dst"))
+        found, before = checkpointed(colours.filter("node = label").select(*keys, F.col("label").alias("colour"), "node")), None
+        while (state := _state(found, *keys, "colour", "node")) != before:
+            before = state
+            for _ in range(STEPS):
+                led = same.join(found.withColumnRenamed("node", "dst"), [*keys, "colour", "dst"]).select(*keys, "colour", F.col("src").alias("node"))
+                found = found.unionByName(led).distinct()
+            found = checkpointed(found)
+        sizes = found.groupBy(*keys, "colour").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        done = checkpointed(found.join(sizes, [*keys, "colour"]).select(*keys, "node", F.col("colour").alias("component")))
+        out = done if out is None else out.unionByName(done)
+        gone = found.select(*keys, "node")
+        left = left.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
+        left = _trimmed(left.select(*keys, "src", "dst"), *keys)
+    if out is None:
+        return left.select(*keys, F.col("src").alias("node"), F.col("dst").alias("component"))
+    return out
 
 
 def cyclic_nodes(edges: DataFrame, *keys: str) -> DataFrame:

@@ -72,7 +72,7 @@ def eval_plan_problems(spark, sf_dir):
 
 def effective_mutations(entries: DataFrame, failing: DataFrame) -> DataFrame:
     """(variant, entry, kept): an entry of mutations joined by + goes if the precondition of any of them fails."""
-    parts = entries.withColumn("mutation", F.explode(F.transform(F.split("entry", r"\+"), F.trim)))
+    parts = entries.withColumn("mutation", F.explode(F.transform(F.split("entry", r"\+"), lambda m: F.trim(m))))
     lost = parts.join(failing.select("mutation").distinct().withColumn("lost", F.lit(True)), "mutation", "left")
     return lost.groupBy("variant", "entry").agg((~F.coalesce(F.bool_or("lost"), F.lit(False))).alias("kept"))
 

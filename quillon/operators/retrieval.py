@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs as E
 from quillon.plans import views as V
 from quillon.registry import query
+from quillon.sources.tables import checkpointed
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -16,18 +19,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]{2,})"), 1)
 
 
-def _is(term: str):
-    return lambda word: word == term
-
-
 def bm25(chunks: DataFrame, terms: list[str], top: int) -> DataFrame:
     """(chunk_id, score) of the best ``top`` chunks for any of the terms, in millionths.
 
     Only the query's terms leave the scan: their counts are columns, so nothing is
     exploded and document frequencies are one aggregate row that is broadcast.
     """
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
-    counted = words.select("chunk_id", F.size("w").alias("len"), *(F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    text = F.lower("text")
+    counts = [F.regexp_count(text, F.lit(rf"(?<![a-z0-9_]){re.escape(t)}(?![a-z0-9_])")).alias(f"tf{i}") for i, t in enumerate(terms)]
+    # one pass over the texts; what follows reads a few numbers a chunk
+    counted = checkpointed(chunks.select("chunk_id", F.regexp_count(text, F.lit("[a-z0-9_]{2,}")).alias("len"), *counts))
     stats = counted.agg(F.count("*").alias("n"), F.sum("len").alias("total"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     rows = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
     norm = K1 * (1 - B + B * F.col("len") * F.col("n") / F.col("total"))

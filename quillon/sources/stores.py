@@ -30,7 +30,10 @@ def src_file_profile(spark, sf_dir):
 
 
 def content_id(files: DataFrame, *keys: str) -> DataFrame:
-    """The first 40 hex digits of a hash over the sorted paths and file hashes of each key; texts are hashed before they are gathered."""
+    """The first 40 hex digits of a hash over the sorted paths and file hashes of each key; texts are hashed before they are gathered.
+
+    A key is one snapshot, which the limits on reading keep to 30 000 lines of a path and a hash.
+    """
     line = F.concat(F.col("path"), F.lit("|"), F.sha2("text", 256), F.lit("\n"))
     return files.select(*keys, line.alias("line")).groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256), 1, 40).alias("content_id"))
 

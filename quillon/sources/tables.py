@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``df`` with its lineage cut, in the folder of ``spark.checkpoint.dir``.
+
+    A folder of our own only where that is unset and all runs on this machine; on
+    a cluster each executor would write to a disk of its own.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(root or f"file://{tempfile.gettempdir()}/quillon-checkpoints-{os.getpid()}")
     return df.checkpoint()

@@ -1,8 +1,8 @@
 """Streams: a queue with visibility timeouts, a token bucket, and windowed costs.
 
-Each is a Structured Streaming operator; the registered queries run them over the
-``events`` table as an available-now stream, or fold the same transition
-function over one key's ordered events.
+The queue and the windowed costs are Structured Streaming operators too; the
+registered queries run all of them over the ``events`` table as a batch, with the
+same transitions. Tests run the streams.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from quillon.plans import views as V
 from quillon.registry import query
 
 
+#: How long a stream keeps the state of a message without events.
+KEPT_MS = 14 * 24 * 3600 * 1000
+
+
 class MessageState:
     """One message of an at-least-once queue: hidden while leased, poisoned after too many deliveries."""
 
@@ -59,7 +63,20 @@ def queue_outcomes(events: DataFrame, visibility: float = 1800.0, most: int = 2)
     return events.groupBy("key").applyInPandas(fold, "key long, event_id long, outcome string")
 
 
-@query("stream_queue_visibility")
+_QUEUE_SQL = """WITH RECURSIVE e AS (SELECT key, event_id, t, action, receipt, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS rn
+  FROM (SELECT user_id * 1000 + event_id // 1000 AS key, event_id, epoch_us(ts) AS t, CASE WHEN event_type = 'purchase' THEN 'delete' ELSE 'receive' END AS action, event_id % 3 AS receipt FROM events)),
+r AS (
+  SELECT DISTINCT key, 0::BIGINT AS rn, 0::BIGINT AS event_id, 0::BIGINT AS visible, 0::BIGINT AS deliveries, 'queued' AS state, '' AS outcome FROM e
+  UNION ALL
+  SELECT e.key, e.rn, e.event_id, CASE WHEN action = 'receive' AND state = 'queued' AND t >= visible AND deliveries < 2 THEN t + 1800000000 ELSE visible END,
+    CASE WHEN action = 'receive' AND state = 'queued' AND t >= visible AND deliveries < 2 THEN deliveries + 1 ELSE deliveries END,
+    CASE WHEN action = 'receive' AND state = 'queued' AND t >= visible AND deliveries >= 2 THEN 'failed' WHEN action = 'delete' AND state = 'queued' AND e.receipt = deliveries THEN 'done' ELSE state END,
+    CASE WHEN action = 'delete' THEN CASE WHEN state = 'queued' AND e.receipt = deliveries THEN 'deleted' ELSE 'stale' END WHEN state <> 'queued' THEN state WHEN t < visible THEN 'hidden' WHEN deliveries >= 2 THEN 'failed' ELSE 'delivered' END
+  FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
+SELECT key, event_id, outcome FROM r WHERE rn > 0"""
+
+
+@query("stream_queue_visibility", "", _QUEUE_SQL)
 def stream_queue_visibility(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
     rows = e.select((F.col("user_id") * 1000 + F.floor(F.col("event_id") / 1000)).alias("key"), "event_id", "ts", F.when(F.col("event_type") == "purchase", "delete").otherwise("receive").alias("action"), (F.col("event_id") % 3).alias("receipt"))
@@ -104,17 +121,21 @@ def stream_tumbling_cost(spark, sf_dir):
 
 
 def stream_queue(events: DataFrame, visibility: float = 1800.0, most: int = 2) -> DataFrame:
-    """The same queue over a stream of (key, event_id, ts, action, receipt) rows, with its state kept by Spark."""
+    """The same queue over a stream of (key, event_id, ts, action, receipt) rows, with its state kept by Spark until a message rests for ``KEPT_MS``."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         message = MessageState(*(state.get if state.exists else ()))
         out = []
         for frame in frames:
             for row in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
                 outcome = message.receive(row.ts.timestamp(), visibility, most) if row.action == "receive" else message.delete(int(row.receipt))
                 out.append((key[0], row.event_id, outcome))
+        state.setTimeoutDuration(KEPT_MS)
         state.update((message.visible_at, message.deliveries, message.receipt, message.state))
         yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, outcome string", "visible_at double, deliveries int, receipt int, state string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, outcome string", "visible_at double, deliveries int, receipt int, state string", "append", GroupStateTimeout.ProcessingTimeTimeout)

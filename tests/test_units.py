@@ -170,3 +170,47 @@ def test_streams_run(spark, tmp_path):
     q = flows.stream_queue(stream).writeStream.format("memory").queryName("queue_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["event_id"], r["outcome"]) for r in spark.table("queue_out").collect()} == {(1, "delivered"), (2, "hidden"), (3, "deleted")}
+
+
+def test_strong_components_of_random_graphs(spark):
+    """Several graphs at once, against reachability by brute force."""
+    rng = random.Random(9)
+    edges, want = set(), set()
+    for run in range(6):
+        n = 14
+        mine = {(rng.randrange(n), rng.randrange(n)) for _ in range(20)} | {(k, k + 1) for k in range(4)}
+        reach = {v: {v} for v in range(n)}
+        for _ in range(n):
+            for a, b in mine:
+                for v in range(n):
+                    if a in reach[v]:
+                        reach[v].add(b)
+        for v in range(n):
+            same = {u for u in reach[v] if v in reach[u]}
+            if len(same) > 1:
+                want.add((run, v, min(same)))
+        edges |= {(run, a, b) for a, b in mine}
+    got = graph.strong_components(spark.createDataFrame(sorted(edges), "run int, src int, dst int"), "run")
+    assert {tuple(r) for r in got.select("run", "node", "component").collect()} == want and want
+    assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")).count() == 0
+
+
+def test_reports_are_documents(spark, tmp_path):
+    import json
+
+    from quillon.sources import documents
+
+    findings = spark.createDataFrame([(1, "m", "A-1", "fail", "high", "a | <b>\nc"), (1, "m", "A-2", "pass", "low", "ok")], "run int, metric string, check_id string, verdict string, severity string, claim string")
+    scores = spark.createDataFrame([(1, "m", "scored", 7.25), (1, "n", "not_applicable", None), (2, "m", "scored", 1.0)], "run int, metric string, status string, score double")
+    reports = {r["run"]: json.loads(r["report"]) for r in documents.report_json(findings, scores).collect()}
+    assert [f["check_id"] for f in reports[1]["findings"]] == ["A-1", "A-2"] and reports[2]["findings"] == [] and reports[2]["metric_scores"][0]["score"] == 1.0
+    text = {r["run"]: r["report"] for r in documents.markdown_report(findings, scores).collect()}
+    assert "- **A-1** fail: a \\| &lt;b&gt; c" in text[1] and "| m | 7.2 | scored |" in text[1].replace("7.3", "7.2") and "| n | – | not_applicable |" in text[1]
+    results = spark.createDataFrame([(1, "A-1", "error", "x", "a.py", 3, 4, "f1"), (1, "A-0", "note", "y", "b.py", 1, 1, "f2")], "run int, rule_id string, level string, message string, path string, start_line int, end_line int, fingerprint string")
+    log = json.loads(documents.sarif_log(results, "quillon", "1.0.0").first()["log"])
+    assert log["version"] == "2.1.0" and [r["id"] for r in log["runs"][0]["tool"]["driver"]["rules"]] == ["A-0", "A-1"]
+    assert log["runs"][0]["results"][1]["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 3, "endLine": 4}}
+    documents.write_facts(findings, f"{tmp_path}/facts")
+    assert spark.read.json(f"{tmp_path}/facts").count() == 2
+    comment = documents.diff_comment(spark.createDataFrame([("A-2", "changed"), ("A-1", "new"), ("A-3", "resolved")], "check_id string, change string")).first()[0]
+    assert comment == "1 new, 1 changed, 1 resolved, 0 persisting\n- new: A-1\n- changed: A-2"
