@@ -153,14 +153,15 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
     lends = Stored(lends.select(F.col("none").alias("for_none"), F.col("id").alias("for_id"), "half", "next_none", "next_id"), "next-documents").read()
     lent = lambda rows: rows.select("for_id", F.substring("text", F.lit(1), F.col("half")).alias("head"), F.col("print").alias("next_print"))
 
-    hashed = _printed(plain.filter(~F.col("none")), "text", terms, "print").repartition("id")
+    # the same columns on both sides of the join, so that they read one exchange
+    hashed = _printed(plain.filter(~F.col("none")).select("id", "text"), "text", terms, "print").repartition("id")
     least_text = hashed.select("id", "text", "print")
     if not ids.filter("rows > 1 AND NOT none").isEmpty():
         least_text = least_text.groupBy("id").agg(F.min(F.struct("text", "print")).alias("x")).select("id", "x.*")
     heads = lent(least_text.join(lends.filter("NOT for_none AND NOT next_none"), F.col("id") == F.col("next_id")))
     nulls = ids.filter("none").isEmpty()
     if not nulls:  # all of them follow and are followed by one document each, whose row goes to all tasks
-        unnamed = _printed(plain.filter("none"), "text", terms, "print")
+        unnamed = _printed(plain.filter("none").select("id", "text"), "text", terms, "print")
         least_null = unnamed.agg(F.min(F.struct("text", "print")).alias("x")).select("x.*")
         heads = heads.unionByName(lent(lends.filter("NOT for_none AND next_none").crossJoin(F.broadcast(least_null))))
         after = lends.filter("for_none").first()
@@ -169,9 +170,9 @@ def edited_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float
             first = _printed(plain.filter(~F.col("none") & (F.col("id") == after["next_id"])), "text", terms, "print")
             following = first.agg(F.min(F.struct("text", "print")).alias("x")).select("x.*")
         of_null = lent(following.withColumn("for_id", F.lit(0).cast("long")).withColumn("half", F.lit(after["half"])))
-    both = hashed.join(heads, F.col("id") == F.col("for_id"))
+    both = hashed.join(heads, F.col("id") == F.col("for_id")).withColumn("none", F.lit(False))
     if not nulls:
-        both = both.unionByName(unnamed.crossJoin(F.broadcast(of_null)))
+        both = both.unionByName(unnamed.crossJoin(F.broadcast(of_null)).withColumn("none", F.lit(True)))
     n_chars = F.length("text").cast("long")
     half = (n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n_chars - half).cast("int")), F.substring("head", F.lit(1), half))
