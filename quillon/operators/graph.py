@@ -1,7 +1,11 @@
-"""Cycles in import graphs: strongly connected components by trimming and colouring, in rows linear in the edges."""
+"""Cycles in import graphs: strongly connected components, of small graphs in one task each, of large ones by colouring, in rows linear in the edges."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from quillon.registry import query
 from quillon.sources.tables import checkpointed
 
 
+#: Edges of a graph that one task may hold.
+LOCAL_EDGES = 500_000
 #: Steps along edges between two checkpoints.
 STEPS = 4
 
@@ -39,14 +45,68 @@ def _spread(labels: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
     return now
 
 
+def _walk(starts: list, follow: dict, seen: set) -> Iterator[list]:
+    """From each start the nodes not seen before, in the order in which a depth-first walk leaves them."""
+    for start in starts:
+        if start in seen:
+            continue
+        seen.add(start)
+        left, stack = [], [(start, iter(follow.get(start, ())))]
+        while stack:
+            node, onward = stack[-1]
+            for then in onward:
+                if then not in seen:
+                    seen.add(then)
+                    stack.append((then, iter(follow.get(then, ()))))
+                    break
+            else:
+                stack.pop()
+                left.append(node)
+        yield left
+
+
+def _components(frame: pd.DataFrame) -> pd.DataFrame:
+    """(node, component) of one graph's edges, by two walks."""
+    forward, back = defaultdict(list), defaultdict(list)
+    for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+        forward[a].append(b)
+        back[b].append(a)
+    order = [node for tree in _walk(sorted(forward), forward, set()) for node in tree]
+    found = [tree for tree in _walk(order[::-1], back, set()) if len(tree) > 1]
+    return pd.DataFrame([(node, min(tree)) for tree in found for node in tree], columns=["node", "component"])
+
+
 def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
     """(keys, node, component) for nodes on a cycle of two or more nodes; a component is its least node.
 
+    Graphs whose edges are counted to be no more than ``LOCAL_EDGES`` for any keys
+    are each walked in one task; larger ones are coloured by joins.
+    """
+    plain = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(*keys, "src", "dst").distinct()
+    largest = plain.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > LOCAL_EDGES:
+        return _coloured(plain, *keys)
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        out = _components(frame)
+        for at, key in enumerate(keys):
+            out.insert(at, key, frame[key].iloc[0])
+        return out
+
+    grouped = plain.groupBy(*keys) if keys else plain.groupBy(F.lit(0).alias("all"))
+    return grouped.applyInPandas(walk, f"{named}{', ' * bool(keys)}node {kinds['src']}, component {kinds['src']}")
+
+
+def _coloured(edges: DataFrame, *keys: str) -> DataFrame:
+    """The same by joins alone.
+
     Each round colours every node with the least node that leads to it; the nodes
     of a colour that lead back to its node are that node's component, and leave.
     Rows never outnumber nodes and edges; rounds follow the longest path.
     """
-    left = _trimmed(edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(*keys, "src", "dst").distinct(), *keys)
+    left = _trimmed(edges, *keys)
     out = None
     while not left.isEmpty():
         nodes = left.select(*keys, F.col("src").alias("node")).union(left.select(*keys, "dst")).distinct()

@@ -172,12 +172,14 @@ def test_streams_run(spark, tmp_path):
     assert {(r["event_id"], r["outcome"]) for r in spark.table("queue_out").collect()} == {(1, "delivered"), (2, "hidden"), (3, "deleted")}
 
 
-def test_strong_components_of_random_graphs(spark):
-    """Several graphs at once, against reachability by brute force."""
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_strong_components_of_random_graphs(spark, monkeypatch, local):
+    """Several graphs at once, against reachability by brute force; in one task each, and by joins."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     rng = random.Random(9)
     edges, want = set(), set()
-    for run in range(6):
-        n = 14
+    for run in range(4):
+        n = 12
         mine = {(rng.randrange(n), rng.randrange(n)) for _ in range(20)} | {(k, k + 1) for k in range(4)}
         reach = {v: {v} for v in range(n)}
         for _ in range(n):
