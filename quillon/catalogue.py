@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.operators import code, configs, costs, evalstats, extract, filters, graph, joins, judging, manifests, profiles, records, reports, retrieval, rules, scanners, scoring, texts, tools, windows  # noqa: F401
+from quillon.operators import code, configs, costs, evalstats, extract, facts, filters, graph, joins, judging, manifests, profile, profiles, records, reports, retrieval, rules, scanners, scoring, texts, tools, windows  # noqa: F401
 from quillon.registry import ORACLES, QUERIES  # noqa: F401
 from quillon.sources import documents, stores  # noqa: F401
 from quillon.streaming import flows  # noqa: F401

@@ -188,3 +188,30 @@ KEY_PATTERNS = {
     "cache_key": r"^[A-Za-z0-9:_.-]{1,256}$",
     "key_id": r"^[a-f0-9]{8,64}$",
 }
+
+# What names of modules and packages show, by prefix and without regard to capitals.
+HTTP_FRAMEWORKS = {
+    "fastapi": ("fastapi",), "flask": ("flask",), "django": ("django",), "starlette": ("starlette",), "aiohttp-server": ("aiohttp.web",), "express": ("express",), "nestjs": ("@nestjs/core", "@nestjs/common"), "koa": ("koa",), "fastify": ("fastify",),
+    "nextjs": ("next",), "aspnetcore": ("microsoft.aspnetcore",), "spring": ("org.springframework", "spring-boot-starter-web", "spring-web"), "gin": ("github.com/gin-gonic/gin",), "echo": ("github.com/labstack/echo",), "fiber": ("github.com/gofiber/fiber",),
+}
+DATA_LIBRARIES = {
+    "sqlalchemy": ("sqlalchemy", "sqlmodel"), "django-orm": ("django.db",), "psycopg": ("psycopg", "psycopg2", "asyncpg"), "mysql": ("pymysql", "mysqlclient", "mysql.connector", "mysql2"), "sqlite": ("sqlite3", "aiosqlite"),
+    "mongodb": ("pymongo", "motor", "mongoengine", "mongoose", "mongodb"), "peewee": ("peewee", "tortoise"), "prisma": ("@prisma/client", "prisma"), "typeorm": ("typeorm",), "sequelize": ("sequelize",), "knex": ("knex", "drizzle-orm", "pg"),
+    "efcore": ("microsoft.entityframeworkcore", "dapper", "npgsql"), "jpa": ("spring-boot-starter-data-jpa", "org.hibernate", "jakarta.persistence", "java.sql"), "go-sql": ("database/sql", "gorm.io/gorm", "github.com/jmoiron/sqlx", "github.com/jackc/pgx"),
+}
+MESSAGING = {
+    "celery": ("celery",), "kafka": ("kafka", "confluent_kafka", "aiokafka", "kafkajs", "confluent.kafka", "spring-kafka"), "rabbitmq": ("pika", "aio_pika", "kombu", "amqplib", "rabbitmq.client", "spring-rabbit"),
+    "azure-servicebus": ("azure.servicebus", "@azure/service-bus", "azure.messaging.servicebus"), "nats": ("nats",), "bullmq": ("bullmq", "bull"), "masstransit": ("masstransit", "nservicebus"),
+}
+OUTBOUND_HTTP = ("requests", "httpx", "aiohttp", "urllib3", "axios", "node-fetch", "got", "undici", "ky", "system.net.http", "okhttp3", "org.springframework.web.client", "net/http")
+OUTBOUND_TEXT = {"javascript": r"\bfetch\(\s*[`'\"h]", "typescript": r"\bfetch\(\s*[`'\"h]", "csharp": r"\bnew\s+HttpClient\b|IHttpClientFactory"}
+PACKAGE_MANAGERS = (
+    ("uv", r"(^|/)uv\.lock$"), ("poetry", r"(^|/)poetry\.lock$"), ("pdm", r"(^|/)pdm\.lock$"), ("pipenv", r"(^|/)Pipfile(\.lock)?$"), ("pip", r"(^|/)requirements[^/]*\.txt$"), ("npm", r"(^|/)package-lock\.json$"), ("yarn", r"(^|/)yarn\.lock$"),
+    ("pnpm", r"(^|/)pnpm-lock\.yaml$"), ("bun", r"(^|/)bun\.lockb?$"), ("go-modules", r"(^|/)go\.mod$"), ("cargo", r"(^|/)Cargo\.toml$"), ("maven", r"(^|/)pom\.xml$"), ("gradle", r"(^|/)build\.gradle(\.kts)?$"), ("nuget", r"\.(cs|fs|vb)proj$"),
+    ("bundler", r"(^|/)Gemfile$"), ("composer", r"(^|/)composer\.json$"),
+)
+IAC_FILES = r"\.tf$|\.tf\.json$|\.bicep$|(^|/)azuredeploy[^/]*\.json$|(^|/)Pulumi\.ya?ml$|(^|/)(cloudformation|cfn)/[^/]+\.(ya?ml|json)$|\.cfn\.(ya?ml|json)$|(^|/)template\.ya?ml$"
+K8S_MARKERS = r"(^|/)(Chart\.yaml|kustomization\.ya?ml|helmfile\.ya?ml)$"
+ENTRYPOINTS = r"^(src/)?(\w+/)?(main|app|server|wsgi|asgi|manage)\.py$|^(src/)?(index|server|main|app)\.[jt]s$|(^|/)Program\.cs$|(^|/)main\.go$|Application\.(java|kt)$"
+LANGUAGE_FLAGS = {"lang_python": ("python",), "lang_js_ts": ("javascript", "typescript"), "lang_dotnet": ("csharp",), "lang_java": ("java", "kotlin", "scala"), "lang_go": ("go",)}
+CODE_LANGUAGES = ("python", "javascript", "typescript", "java", "kotlin", "scala", "go", "csharp", "ruby", "php", "rust", "c", "cpp", "swift")
