@@ -130,3 +130,41 @@ def chunk_windows(files: DataFrame, size: int = 60, step: int = 50) -> DataFrame
 SELECT path, (k * 20 + 1)::INTEGER AS start, least(k * 20 + 25, n)::INTEGER AS "end" FROM (SELECT path, n, unnest(range(0, greatest(0, ceil((n - 25) / 20.0)::INTEGER) + 1)) AS k FROM f)""")
 def chunk_windows_query(spark, sf_dir):
     return chunk_windows(V.files(spark, sf_dir), 25, 20)
+
+
+def pooled(ranked: DataFrame, top: int, keep: Column) -> DataFrame:
+    """The best ``top`` of a ranked list (chunk_id, score) that pass a filter, from a pool that is cut before the filter: 500, or more than six times ``top``."""
+    pool = ranked.orderBy(F.desc("score"), "chunk_id").limit(max(6 * top, 500))
+    return pool.filter(keep).orderBy(F.desc("score"), "chunk_id").limit(top)
+
+
+@query("ret_pool", "", _BM25.rstrip() + """, pool AS (SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 500) SELECT chunk_id, score FROM pool WHERE chunk_id % 3 = 0 ORDER BY score DESC, chunk_id LIMIT 20""")
+def ret_pool(spark, sf_dir):
+    """A search below a path: the filter comes after the ranking."""
+    return pooled(bm25(_chunks(spark, sf_dir), ["the", "token", "license"], 500), 20, F.col("chunk_id") % 3 == 0)
+
+
+def with_preview(hits: DataFrame, chunks: DataFrame, lines: int = 3) -> DataFrame:
+    """Hits with the first lines of their chunks that aren't blank."""
+    first = F.slice(F.filter(E.split_lines(F.col("text")), lambda x: F.trim(x) != ""), 1, lines)
+    return hits.join(chunks, "chunk_id").select(*hits.columns, F.array_join(first, "\n").alias("preview"))
+
+
+@query("ret_preview", "", _BM25.rstrip() + r""", top AS (SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40)
+SELECT chunk_id, score, array_to_string(list_filter(string_split_regex(text, '\r\n|\n|\r'), lambda x: trim(x) <> '')[1:3], chr(10)) AS preview FROM top JOIN documents ON doc_id = chunk_id""")
+def ret_preview(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return with_preview(bm25(chunks, ["the", "token", "license"], 40), chunks)
+
+
+INDEX_TABLES = ("chunks", "vectors", "symbols", "meta")
+
+
+def write_index(folder: str, **tables: DataFrame) -> None:
+    """The four tables of an index as Parquet below a folder."""
+    for name in INDEX_TABLES:
+        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_index(spark, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES}

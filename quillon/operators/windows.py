@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import exprs as E
 from quillon.plans import views as V
+from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
 
 
@@ -37,8 +39,6 @@ SELECT run, place, path, ord FROM (SELECT *, row_number() OVER (PARTITION BY run
 
 @query("win_round_robin", "checks findings", _ROUND)
 def win_round_robin(spark, sf_dir):
-    from quillon.functions import exprs as E
-
     rows = V.findings(spark, sf_dir).join(V.checks(spark, sf_dir), "check_id")
     return round_robin(rows.select("run", F.col("check_id").alias("ord"), F.col("path_no").alias("path"), E.severity_rank(F.col("severity")).alias("tier")), 100)
 
@@ -119,3 +119,33 @@ def set_schema_drift(spark, sf_dir):
     kept = n.filter("n_nationkey % 5 <> 0").select("n_name", F.when(F.col("n_nationkey") % 5 == 2, "old").otherwise(F.sha1("n_name")).alias("h"))
     drift = changed_keys(code, kept, "n_name", "h")
     return drift.select(F.col("n_name").alias("name"), F.when(F.col("change") == "removed", "missing").when(F.col("change") == "added", "unexpected").otherwise("changed").alias("drift"))
+
+
+def patch_ranges(diffs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, path, start, end): runs of added lines of unified diffs (keys, text), by numbers of the new files; deleted files have none."""
+    lines = diffs.select(*keys, F.posexplode(E.split_lines(F.col("text"))).alias("pos", "line"))
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    header, target = F.col("line").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@"), F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]+)", 1)
+    # a line that begins like a file's header is one only outside the lines that its hunk counts
+    size = F.coalesce(F.expr("try_cast(nullif(regexp_extract(line, '^@@ -[0-9]+(?:,[0-9]+)? \\\\+[0-9]+(?:,([0-9]+))? @@', 1), '') AS INT)"), F.lit(1))
+    first = F.expr("try_cast(regexp_extract(line, '^@@ -[0-9]+(?:,[0-9]+)? \\\\+([0-9]+)', 1) AS INT)")
+    marked = lines.withColumn("hunk", F.last(F.when(header, F.struct("pos", first.alias("first"), size.alias("size"))), ignorenulls=True).over(order))
+    inside = Window.partitionBy(*keys, "hunk.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("line").startswith("+") | F.col("line").startswith(" ") | (F.col("line") == "")
+    counted = marked.withColumn("before", F.when(F.col("hunk").isNotNull(), F.coalesce(F.count_if(new & ~header).over(inside), F.lit(0))))
+    within = F.col("hunk").isNotNull() & ~header & (F.col("before") < F.col("hunk.size"))
+    named = counted.withColumn("path", F.last(F.when(~F.coalesce(within, F.lit(False)) & F.col("line").startswith("+++ "), target), ignorenulls=True).over(order))
+    added = named.filter(within & F.col("line").startswith("+") & (F.col("path") != "/dev/null"))
+    return islands(added.select(*keys, "path", (F.col("hunk.first") + F.col("before")).cast("long").alias("line")), [*keys, "path"], "line")
+
+
+_PATCHES = [
+    ("diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,5 @@\n a\n+b\n+c\n d\n-e\n+f\n@@ -20 +22,2 @@ def g():\n z\n+++ odd\n",),
+    ("--- /dev/null\n+++ b/new/y.js\n@@ -0,0 +1,2 @@\n+1\n+2\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n--- a/z\n+++ b/z\n@@ -5,2 +5,2 @@\n-p\n+q\n r\n",),
+    ("",),
+]
+
+
+@query("win_patch_ranges", "", cases_sql(len(_PATCHES), "VARCHAR path, BIGINT start, BIGINT end", [(0, "x.py", 2, 3), (0, "x.py", 5, 5), (0, "x.py", 23, 23), (1, "new/y.js", 1, 2), (1, "z", 5, 5)]))
+def win_patch_ranges(spark, sf_dir):
+    return patch_ranges(cases(spark, sf_dir, _PATCHES, "text string").drop("case"), "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,3 +107,38 @@ def store_quota(spark, sf_dir):
     state = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "running").otherwise("done")
     jobs = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", state.alias("state"))
     return quota(jobs, F.lit("2024-01-30").cast("timestamp"), 4, 2)
+
+
+def _artifact(spark: SparkSession, root: str, run: str, name: str):
+    """The Hadoop file system and path of a run's artifact; names are checked, so that none leads out of its folder."""
+    for kind, value in (("run_id", run), ("artifact", name)):
+        if not re.fullmatch(fixed.KEY_PATTERNS[kind], value):
+            raise ValueError(f"invalid {kind}: {value!r}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{run}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def put_artifact(spark: SparkSession, root: str, run: str, name: str, data: bytes) -> None:
+    """Store bytes under a run; they appear whole or not at all."""
+    fs, path = _artifact(spark, root, run, name)
+    part = path.suffix(".part")
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(path, False)
+    fs.rename(part, path)
+
+
+def get_artifact(spark: SparkSession, root: str, run: str, name: str) -> bytes | None:
+    """The bytes, or None if there are none."""
+    fs, path = _artifact(spark, root, run, name)
+    if not fs.exists(path):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path.toString()).select("content").first()[0])
+
+
+def list_artifacts(spark: SparkSession, root: str, run: str) -> list[str]:
+    """The names of a run's artifacts, in order."""
+    fs, path = _artifact(spark, root, run, "x")
+    folder = path.getParent()
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if not s.getPath().getName().endswith(".part")) if fs.exists(folder) else []

@@ -216,3 +216,20 @@ def test_reports_are_documents(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/facts").count() == 2
     comment = documents.diff_comment(spark.createDataFrame([("A-2", "changed"), ("A-1", "new"), ("A-3", "resolved")], "check_id string, change string")).first()[0]
     assert comment == "1 new, 1 changed, 1 resolved, 0 persisting\n- new: A-1\n- changed: A-2"
+
+
+def test_artifacts_and_index(spark, tmp_path):
+    from quillon.sources import stores
+
+    root = f"file://{tmp_path}/artifacts"
+    assert stores.get_artifact(spark, root, "run-1", "a.json") is None and stores.list_artifacts(spark, root, "run-1") == []
+    stores.put_artifact(spark, root, "run-1", "a.json", b"\x00\xff1")
+    stores.put_artifact(spark, root, "run-1", "a.json", b"\x00\xff2")
+    assert stores.get_artifact(spark, root, "run-1", "a.json") == b"\x00\xff2" and stores.list_artifacts(spark, root, "run-1") == ["a.json"]
+    with pytest.raises(ValueError):
+        stores.put_artifact(spark, root, "../x", "a", b"")
+    with pytest.raises(ValueError):
+        stores.get_artifact(spark, root, "run-1", "../../x")
+    one = spark.range(3)
+    retrieval.write_index(f"{tmp_path}/index", chunks=one, vectors=one, symbols=one, meta=one)
+    assert {k: v.count() for k, v in retrieval.read_index(spark, f"{tmp_path}/index").items()} == {"chunks": 3, "vectors": 3, "symbols": 3, "meta": 3}
