@@ -121,7 +121,10 @@ def stream_tumbling_cost(spark, sf_dir):
 
 
 def stream_queue(events: DataFrame, visibility: float = 1800.0, most: int = 2) -> DataFrame:
-    """The same queue over a stream of (key, event_id, ts, action, receipt) rows, with its state kept by Spark until a message rests for ``KEPT_MS``."""
+    """The same queue over a stream of (key, event_id, ts, action, receipt) rows, with its state kept by Spark.
+
+    Rows more than an hour behind the newest are late and left out; a message's state goes once event time is ``KEPT_MS`` past its last event.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -129,13 +132,15 @@ def stream_queue(events: DataFrame, visibility: float = 1800.0, most: int = 2) -
             state.remove()
             return
         message = MessageState(*(state.get if state.exists else ()))
-        out = []
+        out, last = [], 0.0
         for frame in frames:
             for row in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
+                last = max(last, row.ts.timestamp())
                 outcome = message.receive(row.ts.timestamp(), visibility, most) if row.action == "receive" else message.delete(int(row.receipt))
                 out.append((key[0], row.event_id, outcome))
-        state.setTimeoutDuration(KEPT_MS)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + KEPT_MS)
         state.update((message.visible_at, message.deliveries, message.receipt, message.state))
         yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, outcome string", "visible_at double, deliveries int, receipt int, state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = events.withWatermark("ts", "1 hour")
+    return marked.groupBy("key").applyInPandasWithState(step, "key long, event_id long, outcome string", "visible_at double, deliveries int, receipt int, state string", "append", GroupStateTimeout.EventTimeTimeout)
