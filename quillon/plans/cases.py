@@ -21,7 +21,8 @@ def cases(spark: SparkSession, sf_dir: str, inputs: Sequence[tuple], schema: str
     n = len(inputs)
     known = spark.createDataFrame([(k, *row) for k, row in enumerate(inputs)], f"case int, {schema}")
     ids = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % n).cast("int").alias("case"))
-    return ids.join(F.broadcast(known), "case")  # the inputs of one module
+    # a row here stands for a whole file or run, so few rows are spread over all cores
+    return ids.repartition(max(1, spark.sparkContext.defaultParallelism), "id").join(F.broadcast(known), "case")  # the inputs of one module
 
 
 def literal(value: object) -> str:

@@ -30,7 +30,7 @@ def rubric_checks(files: DataFrame) -> DataFrame:
         from quillon.operators.rules import rule_names
 
         try:
-            data = yaml.safe_load(text)
+            data = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
         except yaml.YAMLError:
             data = None
         if not isinstance(data, dict):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans import views as V
@@ -50,17 +50,23 @@ class MessageState:
 def queue_outcomes(events: DataFrame, visibility: float = 1800.0, most: int = 2) -> DataFrame:
     """(key, event_id, outcome) of (key, event_id, ts, action, receipt) rows in order of (ts, event_id) by key.
 
-    A key's events are one message's life, which the delivery limit keeps short.
+    A key's events are one message's life, which the delivery limit keeps short;
+    they are folded as an array, with ``MessageState``'s transitions as columns.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        message, out = MessageState(), []
-        for row in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-            at = row.ts.timestamp()
-            out.append(message.receive(at, visibility, most) if row.action == "receive" else message.delete(int(row.receipt)))
-        return frame.sort_values(["ts", "event_id"]).assign(outcome=out)[["key", "event_id", "outcome"]]
-
-    return events.groupBy("key").applyInPandas(fold, "key long, event_id long, outcome string")
+    event = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", (F.col("action") == "receive").alias("receive"), F.col("receipt").cast("long").alias("receipt"))
+    lives = events.groupBy("key").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    start = F.struct(F.lit(0).cast("long").alias("visible"), F.lit(0).cast("long").alias("deliveries"), F.lit("queued").alias("state"), F.array().cast("array<struct<event_id:bigint,outcome:string>>").alias("out"))
+
+    def step(now: Column, e: Column) -> Column:
+        live, due, left = now["state"] == "queued", e["t"] >= now["visible"], now["deliveries"] < most
+        delivered, failed, deleted = e["receive"] & live & due & left, e["receive"] & live & due & ~left, ~e["receive"] & live & (e["receipt"] == now["deliveries"])
+        outcome = F.when(deleted, "deleted").when(~e["receive"], "stale").when(~live, now["state"]).when(~due, "hidden").when(failed, "failed").otherwise("delivered")
+        return F.struct(
+            F.when(delivered, e["t"] + int(visibility * 1e6)).otherwise(now["visible"]).alias("visible"), (now["deliveries"] + F.when(delivered, 1).otherwise(0)).alias("deliveries"),
+            F.when(failed, "failed").when(deleted, "done").otherwise(now["state"]).alias("state"), F.concat(now["out"], F.array(F.struct(e["event_id"].alias("event_id"), outcome.alias("outcome")))).alias("out"),
+        )
+
+    return lives.select("key", F.inline(F.aggregate("events", start, step, lambda now: now["out"])))
 
 
 _QUEUE_SQL = """WITH RECURSIVE e AS (SELECT key, event_id, t, action, receipt, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS rn
