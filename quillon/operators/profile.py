@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import exprs as E
 from quillon.functions import fixed
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
