@@ -34,7 +34,7 @@ from quillon.llm.common import Stored, fresh, parts
 #: The band: shares of all documents that a term must be in, and may be in at the most.
 LEAST_SHARE, MOST_SHARE = 0.01, 0.2
 #: How many subsets there are that keep one term in so many.
-RATES = {2: 4, 4: 4, 8: 4, 16: 4, 32: 8, 64: 8}
+RATES = {2: 2, 4: 2, 8: 2, 16: 2, 32: 8, 64: 8, 128: 8}
 SUBSETS = sum(RATES.values())
 #: Ids of one range when finding the next document.
 RANGE_IDS = 100_000
