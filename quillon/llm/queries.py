@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import language, toxicity
 from quillon.llm.bpe import bpe_encode
+from quillon.llm.funnels import MINUTE, Funnel, funnel_report, report_sql
 from quillon.llm.imatch import edited_fingerprints
 from quillon.llm.jaccard import shingle_components
 from quillon.llm.katz import score_documents
@@ -175,6 +176,20 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The funnels of op12; all steps lie within five minutes of the first.
+FUNNELS = (
+    Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+)
+
+
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each funnel and client, the attempts that reach each step, and the quarter's wait for it."""
+    clicks = _table(spark, sf_dir, "clicks")
+    return funnel_report(clicks, FUNNELS, "client_id", "kind", "arrived_at", within=5 * MINUTE, percent=25)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
@@ -186,6 +201,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_imatch": op10_imatch,
+    "op12_funnels": op12_funnels,
 }
 
-ORACLES = {"op1_line_dedup": _LINES_SQL, "op8_mixing": _MIX_SQL}
+ORACLES = {
+    "op1_line_dedup": _LINES_SQL,
+    "op8_mixing": _MIX_SQL,
+    "op12_funnels": report_sql("clicks", FUNNELS, "client_id", "kind", "arrived_at", 5 * MINUTE, 25),
+}
