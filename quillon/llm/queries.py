@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import language, toxicity
 from quillon.llm.bpe import bpe_encode
+from quillon.llm.chat import chat_digests, written_chats
 from quillon.llm.funnels import MINUTE, Funnel, funnel_report, report_sql
 from quillon.llm.imatch import edited_fingerprints
 from quillon.llm.jaccard import shingle_components
@@ -176,6 +177,41 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A conversation beside those of the table; its texts hold control strings of the template.
+EXTRA_TURNS = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and written, and what is read back from the files."""
+    return chat_digests(written_chats(_table(spark, sf_dir, "conversations"), extra=EXTRA_TURNS))
+
+
+_CHAT_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+placed AS (
+    SELECT *, row_number() OVER w AS pos,
+           coalesce(last_value(CASE WHEN r IN ('system', 'user', 'assistant') THEN r END IGNORE NULLS)
+                    OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS state
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, r, t)),
+sized AS (
+    SELECT *,
+           length(regexp_replace(t, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>|<</END>>', '\0.', 'g')) AS n_text,
+           length(regexp_replace(r, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>|<</END>>', '\0.', 'g')) AS n_role,
+           CASE WHEN state IN ('start', 'assistant') AND r IN ('system', 'user') THEN 3 ELSE 0 END AS n_lead,
+           state || '>' || r NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS bad
+    FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY pos) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       sum(n_lead + n_text + CASE r WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 1 + 5
+                                    ELSE 8 + n_role + 9 + 8 END)::BIGINT AS formatted_chars,
+       count(*) FILTER (bad) AS n_out_of_order
+FROM sized GROUP BY conv_id
+"""
+
+
 #: The funnels of op12; all steps lie within five minutes of the first.
 FUNNELS = (
     Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
@@ -201,11 +237,13 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_imatch": op10_imatch,
+    "op11_chat_format": op11_chat_format,
     "op12_funnels": op12_funnels,
 }
 
 ORACLES = {
     "op1_line_dedup": _LINES_SQL,
     "op8_mixing": _MIX_SQL,
+    "op11_chat_format": _CHAT_SQL,
     "op12_funnels": report_sql("clicks", FUNNELS, "client_id", "kind", "arrived_at", 5 * MINUTE, 25),
 }
