@@ -12,6 +12,7 @@ from quillon.llm.funnels import MINUTE, Funnel, funnel_report, report_sql
 from quillon.llm.imatch import edited_fingerprints
 from quillon.llm.jaccard import shingle_components
 from quillon.llm.katz import score_documents
+from quillon.llm.lexical import ranked_search
 from quillon.llm.lines import dedup_lines
 from quillon.llm.mixing import mix
 from quillon.llm.sampling import in_fold
@@ -226,6 +227,38 @@ def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel_report(clicks, FUNNELS, "client_id", "kind", "arrived_at", within=5 * MINUTE, percent=25)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+_SEARCH_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+asked AS (SELECT row_number() OVER () AS iid, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+words AS (
+    SELECT rid, doc_id, unnest(regexp_extract_all({fold}, '{term}')) AS term FROM docs),
+sized AS (SELECT rid, doc_id, count(*) AS n FROM words GROUP BY rid, doc_id),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+tfs AS (SELECT rid, term, count(*) AS tf FROM words GROUP BY rid, term),
+weighed AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tfs, corpus GROUP BY term, n_docs),
+wanted AS (
+    SELECT iid, term, count(*) AS c FROM (SELECT iid, unnest(regexp_extract_all({fold}, '{term}')) AS term FROM asked)
+    GROUP BY iid, term),
+scored AS (
+    SELECT iid, rid, doc_id,
+           sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM wanted JOIN weighed USING (term) JOIN tfs USING (term) JOIN sized USING (rid), corpus GROUP BY iid, rid, doc_id),
+ranked AS (
+    SELECT *, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id ASC NULLS LAST))::INTEGER AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN asked USING (iid) WHERE rank <= 10
+""".replace("{fold}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace(
+    "{term}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
@@ -239,6 +272,7 @@ QUERIES = {
     "op10_imatch": op10_imatch,
     "op11_chat_format": op11_chat_format,
     "op12_funnels": op12_funnels,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES = {
@@ -246,4 +280,5 @@ ORACLES = {
     "op8_mixing": _MIX_SQL,
     "op11_chat_format": _CHAT_SQL,
     "op12_funnels": report_sql("clicks", FUNNELS, "client_id", "kind", "arrived_at", 5 * MINUTE, 25),
+    "op13_ranked_search": _SEARCH_SQL,
 }
