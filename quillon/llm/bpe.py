@@ -32,8 +32,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +71,50 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Unicode(NamedTuple):
+    """What the tokenizers library takes for letters, digits and spaces, and small letters that Python doesn't know of."""
+
+    classes: dict[str, str]
+    small: dict[int, str]
+
+
+@cache
+def library_unicode(path: str) -> Unicode:
+    """The library's Unicode, by asking the file's own split and normalizer; tables differ from library to library.
+
+    Each character that any table here calls a letter or digit is shown to the split
+    between two others: a letter joins the one before it, a digit stands alone, a sign
+    joins the one after it. Characters that Python's tables don't hold are normalized.
+    """
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    every = "".join(map(chr, [*range(128, 0xD800), *range(0xE000, 0x110000)]))
+    asked = sorted({*regex.findall(r"[\p{L}\p{N}]", every), *(c for c in every if unicodedata.category(c)[0] in "LN")})
+    spans = {s for _, s in library.pre_tokenizer.pre_tokenize_str("".join(f"a{c}_\n" for c in asked))}
+    letters = [c for i, c in enumerate(asked) if (4 * i, 4 * i + 2) in spans]
+    digits = [c for i, c in enumerate(asked) if (4 * i + 1, 4 * i + 2) in spans]
+    unknown = [c for c in every if unicodedata.category(c) == "Cn"]
+    normal = library.normalizer.normalize_str("-".join(unknown)).split("-")
+    small = {ord(c): n for c, n in zip(unknown, normal, strict=True) if c != n}
+    return Unicode({r"\p{L}": "A-Za-z" + ranges(letters), r"\p{N}": "0-9" + ranges(digits), r"\s": "\t-\r " + WIDE_SPACE}, small)
+
+
+def ranges(letters: list[str]) -> str:
+    """Sorted characters as the ranges of a character class."""
+    codes = np.array([ord(c) for c in letters])
+    if not len(codes):
+        return ""
+    cuts = np.flatnonzero(np.diff(codes) > 1)
+    pairs = zip(codes[np.append(0, cuts + 1)].tolist(), codes[np.append(cuts, len(codes) - 1)].tolist(), strict=True)
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in pairs)
+
+
 class WordBPE:
     """Encodes and decodes with a word-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: Unicode | None = None):
+        known = known or library_unicode(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -86,7 +129,12 @@ class WordBPE:
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.decimals = pa.array(range(len(self.names)), pa.int32()).cast(pa.string())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        for name, own in known.classes.items():
+            pattern = pattern.replace(name, own)
+        self.words = re.compile(pattern)
+        self.small = known.small
+        self.large = re.compile(f"[{''.join(map(chr, self.small))}]") if self.small else None
         added = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
         self.cut = regex.compile(f"({added})") if added else None
         alphabet = byte_alphabet()
@@ -174,10 +222,11 @@ class WordBPE:
             self.known_words.put(word, ids)
         return ids
 
-    @staticmethod
-    def normalized(text: str) -> str:
+    def normalized(self, text: str) -> str:
         if text.isascii():
             return text.lower()
+        if self.large and self.large.search(text):
+            text = text.translate(self.small)
         # lower case letter by letter: a capital sigma has one form everywhere
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
@@ -227,10 +276,10 @@ class WordBPE:
 _CODERS: dict[str, WordBPE] = {}
 
 
-def coder(path: str) -> WordBPE:
+def coder(path: str, known: Unicode) -> WordBPE:
     """The coder of this Python worker."""
     if path not in _CODERS:
-        _CODERS[path] = WordBPE(path)
+        _CODERS[path] = WordBPE(path, known)
     return _CODERS[path]
 
 
@@ -248,6 +297,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, texts_too: bool = True) ->
     No shuffle: every document is encoded where it is read.
     """
     bounded_batches(docs.sparkSession)
+    known = library_unicode(tokenizer_path)
     new = {"n_tokens": T.LongType()}
     if texts_too:
         new |= {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
@@ -269,7 +319,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, texts_too: bool = True) ->
             yield first, found
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(tokenizer_path)
+        bpe = coder(tokenizer_path, known)
         for batch in batches:
             for first, found in grouped(bpe, batch):
                 sizes = np.array(list(map(len, found)), np.int64) // bpe.type.itemsize
