@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import bounded_batches, sections
-from quillon.llm.sampling import fold, hashed, sample_condition
+from quillon.llm.sampling import distinct_rows, fold, hashed, sample_condition
 
 #: The bound on the labelled documents that are fitted.
 SAMPLE_DOCUMENTS = 2400
@@ -323,13 +323,13 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, most: int = SAMPLE_DOC
     """Fit on training documents: labelled, and crc32(doc_id as text) mod ``folds`` not ``held``."""
     bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold("doc_id", folds).eqNullSafe(F.lit(held))).select("doc_id", "text", "lang")
-    # a row a language
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # a row a language; a row that repeats counts, and is drawn, once
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct_rows("doc_id", "text").alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     each = -(-most // len(counts))
     # of every language about as many, in one pass
-    chosen = rows.filter(reduce(or_, (sample_condition("doc_id", each, n, seed) & (F.col("lang") == lang) for lang, n in sorted(counts.items()))))
+    chosen = rows.filter(reduce(or_, (sample_condition("doc_id", each, n, seed, "text") & (F.col("lang") == lang) for lang, n in sorted(counts.items()))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +342,7 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, most: int = SAMPLE_DOC
             columns = list(zip(*found, strict=True)) if found else [(), ()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang": batch["lang"], "sizes": pa.array(columns[0], pa.binary()), "flat": pa.array(columns[1], pa.binary())})
 
-    drawn = chosen.select("doc_id", "lang", "text", hashed("doc_id", seed + 1).alias("draw"))
+    drawn = chosen.dropDuplicates(["doc_id", "text", "lang"]).select("doc_id", "lang", "text", hashed("doc_id", seed + 1, "text").alias("draw"))
     got = drawn.mapInArrow(cut, "doc_id long, lang string, sizes binary, flat binary").collect()
     ready = []
     for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["sizes"], r["flat"])):

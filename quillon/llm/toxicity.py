@@ -293,6 +293,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, see
     chosen = [sample(known.filter(F.col("toxic") == toxic), "doc_id", most, counts.get(toxic, 0), seed).withColumn("weight", F.lit(max(1.0, counts.get(toxic, 0) / most))) for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     # about SAMPLE_TOXIC + SAMPLE_CLEAN ids at the most, so this side of the join may be broadcast
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    # an id that many rows share stands for one text, so that ids bound the rows
+    picked = picked.groupBy("doc_id", "toxic", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = Stored(picked.withColumn("part", (hashed("doc_id", seed + 1) % PARTS).cast("int")), "toxicity-rows").read()
     lexicons = learn_lexicons(rows)
 
