@@ -76,8 +76,8 @@ def _entries(docs: DataFrame, shards: int, buckets: int, min_chars: int) -> Data
 
 
 def _bucket(docs: DataFrame, buckets: int):
-    by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
-    return F.pmod(by, F.lit(buckets)).cast("int").alias("bucket")
+    """By id and text, so that rows that share an id, or have none, lie apart."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(buckets)).cast("int").alias("bucket")
 
 
 _ARRAYS = ("sizes", "bits", "fingerprints", "counts", "more")
