@@ -43,7 +43,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import BoundedCache, Stored, bounded_batches
@@ -201,12 +201,12 @@ def _tiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sigs).view(np.int64), "set_id": np.concatenate(names), "own": np.concatenate(loads)})
 
-    entries = docs.select("text").mapInArrow(emit, "sig long, set_id long, own int").repartition("sig").distinct()
-    same = Window.partitionBy("sig")
-    held = entries.withColumn("size", F.count("*").over(same)).filter("size > 1")
-    # the parity of well mixed hashes stands for the members
-    named = held.withColumn("tile", F.xxhash64("size", F.bit_xor(F.xxhash64(F.lit(600), "set_id")).over(same)))
-    return named.select("tile", F.sum("own").over(same).alias("load"), "set_id", "own").distinct()
+    entries = docs.select("text").mapInArrow(emit, "sig long, set_id long, own int").distinct()
+    # the parity of well mixed hashes stands for the members; a signature of any number of sets is summed up before it travels
+    parity = F.bit_xor(F.xxhash64(F.lit(600), "set_id"))
+    sums = entries.groupBy("sig").agg(F.count("*").alias("size"), parity.alias("parity"), F.sum("own").alias("load")).filter("size > 1")
+    held = entries.join(sums.select("sig", F.xxhash64("size", "parity").alias("tile"), "load"), "sig")
+    return held.select("tile", "load", "set_id", "own").distinct()
 
 
 def _closest(n: np.ndarray, rows: np.ndarray, labels: np.ndarray, num: int, den: int, sure: bool = False, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
