@@ -165,6 +165,53 @@ PUBLIC_FUNCTIONS = {
     "kotlin": r"^\s*(?:public\s+)?fun\s+\w+",
 }
 
+# Dependency manifests: names of files, formats, and where dependencies lie: type, keys (None: any), whether for development.
+MANIFEST_NAMES = ("package.json", "go.mod", "Cargo.toml", "Gemfile", "composer.json", "pom.xml", "Pipfile")
+MANIFEST_PATTERNS = {"pyproject": r"^pyproject\.toml$", "requirements": r"^requirements.*\.txt$", "csproj": r"\.csproj$"}
+MANIFEST_FORMS = {"pyproject": "toml", "Cargo.toml": "toml", "Pipfile": "toml", "package.json": "json", "composer.json": "json"}
+DEPENDENCY_PLACES = (
+    ("pyproject", ("project", "dependencies", "[]"), False),
+    ("pyproject", ("project", "optional-dependencies", None, "[]"), True),
+    ("pyproject", ("dependency-groups", None, "[]"), True),
+    ("pyproject", ("tool", "poetry", "dependencies", None), False),
+    ("pyproject", ("tool", "poetry", "dev-dependencies", None), True),
+    ("package.json", ("dependencies", None), False),
+    ("package.json", ("devDependencies", None), True),
+    ("composer.json", ("require", None), False),
+    ("Cargo.toml", ("dependencies", None), False),
+    ("Pipfile", ("packages", None), False),
+)
+# A requirement: its name and, behind extras and up to a marker, its version.
+REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?([^;]*)"
+# Manifests that lines or tags make up: the name and, if there, the version.
+DEPENDENCY_PATTERNS = {
+    "go.mod": r"(?m)^\s*(?:require\s+)?([\w.\-]+(?:/[\w.\-]+)+)\s+(v[\w.\-+]+)",
+    "csproj": r'<PackageReference\s+Include="([^"]+)"(?:\s+Version="([^"]*)")?',
+    "pom.xml": r"<artifactId>([^<]+)</artifactId>\s*(?:<version>([^<]*)</version>)?",
+    "Gemfile": r"""(?m)^\s*gem\s+['"]([^'"]+)['"](?:\s*,\s*['"]([^'"]+)['"])?""",
+}
+
+# CI systems by path; keys that hold a step's command, the first that is set; commands in scripts of Jenkins.
+CI_PATHS = (
+    ("github_actions", r"^\.github/workflows/.*\.ya?ml$"),
+    ("gitlab_ci", r"^\.gitlab-ci\.yml$"),
+    ("azure_pipelines", r"azure-pipelines\.ya?ml$|^\.azure-pipelines/"),
+    ("circleci", r"^\.circleci/config\.yml$"),
+    ("jenkins", r"(^|/)Jenkinsfile$"),
+)
+STEP_COMMANDS = ("script", "bash", "pwsh", "powershell")
+JENKINS_STEP = r"""\b(?:sh|bat|pwsh)\s*\(?\s*(['"]{1,3})(.+?)\1"""
+RUN_CHARS = 500
+
+# Deployment: files of compose, keys that limit a service, and where the containers of a workload lie.
+COMPOSE_FILES = r"(^|/)(docker-)?compose[\w.-]*\.ya?ml$"
+SERVICE_LIMITS = ("mem_limit", "cpus", "pids_limit")
+CONTAINERS = {
+    "Pod": ("spec", "containers", "[]"),
+    "CronJob": ("spec", "jobTemplate", "spec", "template", "spec", "containers", "[]"),
+    None: ("spec", "template", "spec", "containers", "[]"),
+}
+
 # Lockfiles of manifest types.
 MANIFEST_LOCKS = {
     "pyproject": ("uv.lock", "poetry.lock", "pdm.lock", "Pipfile.lock"),
