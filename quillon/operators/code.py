@@ -40,6 +40,36 @@ def _python(files: DataFrame, read: Callable[[ast.Module, str, str], Iterator[tu
     return rows.mapInPandas(parse, f"{schema}, {columns}")
 
 
+def _parsed(files: DataFrame, name: str) -> DataFrame:
+    """(keys, path, and the columns) of one of ``READERS``: from the files, or from what ``python_facts`` has of them."""
+    read, columns = READERS[name]
+    if "reader" not in files.columns:
+        return _python(files, read, columns)
+    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    keys = [c for c in files.columns if c not in ("reader", "text", "language", *_wide())]
+    return files.filter(F.col("reader") == name).select(*keys, *(F.col(f"{name}_{c}").alias(c) for c in names))
+
+
+def _wide() -> dict[str, str]:
+    """The columns of all readers, each under its reader's name."""
+    columns = ((name, *c.strip().split(" ", 1)) for name, (_, columns) in READERS.items() for c in columns.split(","))
+    return {f"{name}_{c}": kind for name, c, kind in columns}
+
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """What all of ``READERS`` find, by one parse of each Python file: (keys, path, reader, and the columns of all readers)."""
+    wide = list(_wide())
+
+    def read(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
+        for name, (own, columns) in READERS.items():
+            at = [f"{name}_{c.strip().split(' ')[0]}" for c in columns.split(",")]
+            for row in own(tree, path, text):
+                values = dict(zip(at, row, strict=True))
+                yield name, *(values.get(c) for c in wide)
+
+    return _python(files, read, "reader string, " + ", ".join(f"{c} {kind}" for c, kind in _wide().items()))
+
+
 def module_name(path: Column) -> Column:
     """The dotted name of a Python file; a leading src folder and a final __init__ are no part of it."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "^src/", ""), "/", "."), r"\.?__init__$", "")
@@ -57,7 +87,7 @@ def _imports(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
             n += 1
 
 
-def python_imports(files: DataFrame) -> DataFrame:
+def python_imports(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """import_edge rows (keys, path, from_module, to_module, internal, line), one for each file and target.
 
     Relative imports are resolved against the package; ``from package import
@@ -66,7 +96,7 @@ def python_imports(files: DataFrame) -> DataFrame:
     """
     keys = [c for c in files.columns if c not in ("path", "text", "language")]
     modules = files.filter(F.col("path").endswith(".py")).select(*keys, module_name(F.col("path")).alias("module")).filter("module <> ''").distinct()
-    found = _python(files, _imports, "n int, level int, base string, names array<string>, line int").withColumn("from_module", module_name(F.col("path")))
+    found = _parsed(files if parsed is None else parsed, "imports").withColumn("from_module", module_name(F.col("path")))
     parts = F.when(F.col("from_module") == "", F.array().cast("array<string>")).otherwise(F.split("from_module", r"\."))
     package = F.when(F.col("path").rlike(r"(^|/)__init__\.py$"), F.size(parts)).otherwise(F.size(parts) - 1)  # parts of the file's package
     above = package - (F.col("level") - 1)
@@ -112,7 +142,7 @@ def _routes(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
 
 def python_routes(files: DataFrame) -> DataFrame:
     """route rows of decorators, with the router's prefix, and of Django's lists."""
-    return _python(files, _routes, "method string, route string, handler string, line int")
+    return _parsed(files, "routes")
 
 
 def pattern_routes(files: DataFrame) -> DataFrame:
@@ -141,7 +171,7 @@ def _tests(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
 
 def python_tests(files: DataFrame) -> DataFrame:
     """test_file rows of files on test paths."""
-    return _python(files.filter(test_path(F.col("path"))), _tests, "framework string, tests int, asserts int, line int")
+    return _parsed(files.filter(test_path(F.col("path"))), "tests")
 
 
 def pattern_tests(files: DataFrame) -> DataFrame:
@@ -167,7 +197,7 @@ def _calls(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
 
 def python_calls(files: DataFrame) -> DataFrame:
     """print_call and log_call rows."""
-    return _python(files, _calls, "kind string, level string, line int")
+    return _parsed(files, "calls")
 
 
 def pattern_calls(lines: DataFrame) -> DataFrame:
@@ -179,6 +209,54 @@ def pattern_calls(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", kind).filter("kind IS NOT NULL")
 
 
+def _metrics(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
+    """Functions of a module and of its classes that are public by name, and those of them with a docstring."""
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
+    owners = [tree, *(n for n in tree.body if isinstance(n, ast.ClassDef))]
+    public = [f for owner in owners for f in owner.body if isinstance(f, kinds) and f.name[0] != "_"]
+    yield len(public), sum(ast.get_docstring(f) is not None for f in public)
+
+
+#: What is read of a Python file, and its columns.
+READERS: dict[str, tuple[Callable[[ast.Module, str, str], Iterator[tuple]], str]] = {
+    "imports": (_imports, "n int, level int, base string, names array<string>, line int"),
+    "routes": (_routes, "method string, route string, handler string, line int"),
+    "tests": (_tests, "framework string, tests int, asserts int, line int"),
+    "calls": (_calls, "kind string, level string, line int"),
+    "metrics": (_metrics, "public int, documented int"),
+}
+
+
+def source_metrics(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """file_metrics rows (keys, path, language, loc, is_test, is_generated, public_functions, documented_functions).
+
+    ``files`` is (keys, path, language, text, loc, generated). Python's functions are
+    counted by its parser; for other languages a public definition is a line, and it is
+    documented if the last line before it that isn't blank ends or begins a comment.
+    """
+    keys = [c for c in files.columns if c not in ("path", "language", "text", "loc", "generated")]
+    own = files.filter(F.col("language").isin(*fixed.CODE_LANGUAGES))
+    by_tree = _parsed(own.filter("language = 'python'").select(*keys, "path", "text") if parsed is None else parsed, "metrics")
+    by_tree = by_tree.select(*keys, "path", "public", "documented")
+    pattern = F.lit(None).cast("string")
+    for language, public in fixed.PUBLIC_FUNCTIONS.items():
+        pattern = F.when(F.col("language") == language, public).otherwise(pattern)
+    numbered = lambda x, i: F.struct(i.alias("n"), F.trim(x).alias("line"), x.alias("raw"))
+    filled = F.filter(F.transform(E.split_lines(F.col("text")), numbered), lambda x: x["line"] != "")
+    lines = own.withColumn("pattern", pattern).filter("pattern IS NOT NULL").withColumn("filled", filled)
+    hit = F.transform("filled", lambda x, i: F.struct(F.regexp_like(x["raw"], F.col("pattern")).alias("public"), F.get("filled", i - 1)["line"].alias("before")))
+    hits = F.filter(hit, lambda x: x["public"])
+    told = F.filter(hits, lambda x: F.coalesce(x["before"].endswith("*/") | x["before"].startswith("//"), F.lit(False)))
+    by_line = lines.select(*keys, "path", F.size(hits).alias("public"), F.size(told).alias("documented"))
+    counts = by_tree.unionByName(by_line)
+    out = own.join(counts, [*keys, "path"], "left")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return out.select(
+        *keys, "path", "language", F.col("loc").cast("long").alias("loc"), test_path(F.col("path")).alias("is_test"), F.col("generated").alias("is_generated"),
+        whole("public").alias("public_functions"), whole("documented").alias("documented_functions"),
+    )
+
+
 def _symbols(tree: ast.Module, path: str, text: str) -> Iterator[tuple]:
     def below(node: ast.AST, outer: str, in_class: bool) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):

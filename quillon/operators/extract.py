@@ -171,19 +171,20 @@ def fact_file_metrics(spark, sf_dir):
 
 
 def dockerfiles(files: DataFrame) -> DataFrame:
-    """(path, stages, user, healthcheck, bases): the last stage's user and health check; bases are neither aliases nor scratch."""
+    """(keys, path, stages, user, healthcheck, bases): the last stage's user and health check; bases are neither aliases nor scratch."""
+    keys = [*(c for c in files.columns if c not in ("path", "text")), "path"]
     text = F.regexp_replace(F.regexp_replace("text", r"\\\r?\n", " "), r"(?m)^\s*#.*\n?", "")
-    rows = files.select("path", F.posexplode(E.split_lines(text))).withColumn("word", F.upper(F.regexp_extract("col", r"^\s*(\w+)", 1))).withColumn("rest", F.regexp_extract("col", r"^\s*\w+\s+(.*)$", 1))
-    order = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = files.select(*keys, F.posexplode(E.split_lines(text))).withColumn("word", F.upper(F.regexp_extract("col", r"^\s*(\w+)", 1))).withColumn("rest", F.regexp_extract("col", r"^\s*\w+\s+(.*)$", 1))
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     staged = rows.withColumn("stage", F.count_if(F.col("word") == "FROM").over(order))
     base, alias = F.regexp_extract("rest", r"^(?:--\S+\s+)*(\S+)", 1), F.lower(F.regexp_extract("rest", r"(?i)\sas\s+(\S+)", 1))
-    each = staged.groupBy("path", "stage").agg(
+    each = staged.groupBy(*keys, "stage").agg(
         F.max(F.when(F.col("word") == "USER", F.struct("pos", "rest")))["rest"].alias("user"), F.coalesce(F.bool_or((F.col("word") == "HEALTHCHECK") & (F.upper("rest") != "NONE")), F.lit(False)).alias("healthcheck"),
         F.max(F.when(F.col("word") == "FROM", base)).alias("base"), F.max(F.when(F.col("word") == "FROM", alias)).alias("alias"),
     ).filter("stage > 0")
-    out = each.groupBy("path").agg(F.max("stage").alias("stages"), F.max(F.struct("stage", "user", "healthcheck")).alias("x"), F.array_sort(F.collect_set("base")).alias("b"), F.collect_set("alias").alias("a"))
+    out = each.groupBy(*keys).agg(F.max("stage").alias("stages"), F.max(F.struct("stage", "user", "healthcheck")).alias("x"), F.array_sort(F.collect_set("base")).alias("b"), F.collect_set("alias").alias("a"))
     bases = F.filter("b", lambda v: ~F.array_contains("a", F.lower(v)) & (v != "scratch"))
-    return out.select("path", "stages", F.col("x.user").alias("user"), F.col("x.healthcheck").alias("healthcheck"), F.array_join(bases, ",").alias("bases"))
+    return out.select(*keys, "stages", F.col("x.user").alias("user"), F.col("x.healthcheck").alias("healthcheck"), F.array_join(bases, ",").alias("bases"))
 
 
 @query("fact_dockerfile", "files", """SELECT path, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS stages, CASE WHEN doc_id % 3 = 0 THEN 'app' END AS "user", doc_id % 5 = 0 AS healthcheck,

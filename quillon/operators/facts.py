@@ -1,55 +1,149 @@
-"""Facts of all extractors in one table: a registry by source, names of facts by hash, and a state for each source."""
+"""Facts of all extractors in one table: a registry by source, names of facts by hash, and a state for each source.
+
+A fact is (keys, fact_id, source, kind, path, line, severity, attributes), the
+attributes as JSON with the names and types of its kind in
+``fixed.FACT_ATTRIBUTES``, which the rules read.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import exprs as E
+from quillon.functions import fixed
 from quillon.operators import code, configs, manifests, texts
-from quillon.operators.extract import dockerfiles, doc_type
+from quillon.operators.extract import doc_type, dockerfiles, injections
+from quillon.operators.filters import generated, test_path, vendored
 from quillon.plans import views as V
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
-
-#: By source: the kind of its facts, and the rows (keys, path, …) that it finds in files (keys, path, text).
-EXTRACTORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {}
-
-
-def extractor(source: str, kind: str) -> Callable:
+from quillon.sources.stores import language_of
+from quillon.sources.tables import checkpointed
+
+#: By source: what it finds in files, as rows (keys, path, attributes and perhaps line) by kind.
+EXTRACTORS: dict[str, Callable[[Files], dict[str, DataFrame]]] = {}
+
+
+class Files:
+    """The files of snapshots as extractors see them: readable ones, none of others' code.
+
+    ``all`` is (keys, path, language, size, loc, generated, text), ``source`` the code
+    among them that isn't generated; Python files are parsed once, for all who ask.
+    """
+
+    def __init__(self, files: DataFrame, largest: int = 2_000_000):
+        self.keys = [c for c in files.columns if c not in ("path", "text")]
+        size = F.octet_length("text")
+        known = files.filter(~vendored(F.col("path")) & (size <= largest) & (F.instr(F.substring("text", 1, 8192), "\0") == 0))
+        self.all = known.select(
+            *self.keys, "path", language_of(F.col("path")).alias("language"), size.alias("size"), F.size(E.split_lines(F.col("text"))).alias("loc"),
+            generated(F.col("path"), F.col("text")).alias("generated"), "text",
+        )
+        self.code = self.all.filter(F.col("language").isin(*fixed.CODE_LANGUAGES))
+        self.source = self.code.filter("NOT generated")
+        self._parsed: DataFrame | None = None
+
+    def plain(self, rows: DataFrame | None = None) -> DataFrame:
+        """(keys, path, text)."""
+        return (self.all if rows is None else rows).select(*self.keys, "path", "text")
+
+    def named(self) -> DataFrame:
+        """(keys, path, language, text) of source code."""
+        return self.source.select(*self.keys, "path", "language", "text")
+
+    def python(self, with_generated: bool = False) -> DataFrame:
+        """What all readers find in Python files."""
+        if self._parsed is None:
+            mine = self.code.filter("language = 'python'").select(*self.keys, "path", "text", "generated")
+            self._parsed = checkpointed(code.python_facts(mine))
+        rows = self._parsed if with_generated else self._parsed.filter("NOT generated")
+        return rows.drop("generated")
+
+
+def extractor(source: str) -> Callable:
     """Register an extractor; sources are unique."""
     if source in EXTRACTORS:
         raise ValueError(f"duplicate extractor {source}")
 
-    def register(function: Callable[[DataFrame], DataFrame]) -> Callable:
-        EXTRACTORS[source] = (kind, function)
+    def register(function: Callable[[Files], dict[str, DataFrame]]) -> Callable:
+        EXTRACTORS[source] = function
         return function
 
     return register
 
 
-extractor("ast:imports", "import_edge")(lambda files: code.python_imports(files))
-extractor("re:imports", "import_edge")(lambda files: texts.js_edges(files.filter(F.col("path").rlike(r"\.[cm]?[jt]sx?$"))))
-extractor("ast:manifests", "manifest")(lambda files: manifests.manifests(files))
-extractor("ast:ci", "ci_step")(lambda files: configs.ci_steps(files))
-extractor("ast:deploy", "deploy_config")(lambda files: configs.deploy_configs(files))
-extractor("ast:routes", "route")(lambda files: code.python_routes(files))
-extractor("ast:tests", "test_file")(lambda files: code.python_tests(files))
-extractor("ast:logging", "call")(lambda files: code.python_calls(files).withColumnRenamed("kind", "call"))
-extractor("fs:docs", "doc_file")(lambda files: files.drop("text").withColumn("type", doc_type(F.col("path"))).filter("type IS NOT NULL"))
+@extractor("ast:imports")
+def _imports(files: Files) -> dict[str, DataFrame]:
+    own = files.plain(files.source.filter("language = 'python'"))
+    script = files.plain(files.source.filter("language IN ('javascript', 'typescript')"))
+    found = code.python_imports(own, files.python())
+    return {"import_edge": found.unionByName(texts.js_edges(script), allowMissingColumns=True)}
 
 
-@extractor("ast:docker", "dockerfile")
-def _docker(files: DataFrame) -> DataFrame:
-    """One repository's Dockerfiles are told apart by path, so keys go into it and come out again."""
-    keys = [c for c in files.columns if c not in ("path", "text")]
-    mine = files.filter(F.col("path").rlike(r"(^|/)Dockerfile(\.[^/]*)?$|\.Dockerfile$"))
-    joined = mine.select(F.to_json(F.struct(*keys, "path")).alias("path"), "text")
-    found = dockerfiles(joined)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys, "path").schema.fields)
-    return found.withColumn("k", F.from_json("path", kinds)).drop("path").select("k.*", *[c for c in found.columns if c != "path"])
+@extractor("ast:manifests")
+def _manifests(files: Files) -> dict[str, DataFrame]:
+    return {"manifest": manifests.manifests(files.plain()), "dependency": manifests.dependencies(files.plain())}
+
+
+@extractor("ast:ci")
+def _ci(files: Files) -> dict[str, DataFrame]:
+    return {"ci_workflow": configs.ci_workflows(files.plain()), "ci_step": configs.ci_steps(files.plain())}
+
+
+@extractor("ast:docker")
+def _docker(files: Files) -> dict[str, DataFrame]:
+    found = dockerfiles(files.plain(files.all.filter("language = 'dockerfile'")))
+    bases = F.filter(F.split("bases", ","), lambda b: b != "")
+    return {"dockerfile": found.withColumns({"external_bases": bases, "has_healthcheck": F.col("healthcheck")})}
+
+
+@extractor("ast:deploy")
+def _deploy(files: Files) -> dict[str, DataFrame]:
+    return {"deploy_config": configs.deploy_configs(files.plain(files.all.filter("language = 'yaml'"))).withColumnRenamed("kind", "config")}
+
+
+@extractor("ast:routes")
+def _routes(files: Files) -> dict[str, DataFrame]:
+    found = code.python_routes(files.python()).unionByName(code.pattern_routes(files.named()), allowMissingColumns=True)
+    return {"route": found}
+
+
+@extractor("ast:tests")
+def _tests(files: Files) -> dict[str, DataFrame]:
+    return {"test_file": code.python_tests(files.python()).unionByName(code.pattern_tests(files.named()))}
+
+
+@extractor("ast:logging")
+def _calls(files: Files) -> dict[str, DataFrame]:
+    lines = files.named().select(*files.keys, "path", "language", F.posexplode(E.split_lines(F.col("text"))).alias("pos", "text_line"))
+    lines = lines.select(*files.keys, "path", "language", (F.col("pos") + 1).alias("line_no"), F.col("text_line").alias("line"))
+    others = code.pattern_calls(lines).select(*files.keys, "path", "kind", F.col("line_no").alias("line"))
+    found = code.python_calls(files.python()).unionByName(others, allowMissingColumns=True)
+    found = found.withColumnRenamed("kind", "call").withColumn("in_test", test_path(F.col("path")))
+    return {kind: found.filter(F.col("call") == kind).drop("call") for kind in ("print_call", "log_call")}
+
+
+@extractor("ast:metrics")
+def _metrics(files: Files) -> dict[str, DataFrame]:
+    return {"file_metrics": code.source_metrics(files.code.drop("size"), files.python(with_generated=True))}
+
+
+@extractor("fs:docs")
+def _docs(files: Files) -> dict[str, DataFrame]:
+    return {"doc_file": files.all.select(*files.keys, "path", doc_type(F.col("path")).alias("type")).filter("type IS NOT NULL")}
+
+
+@extractor("fs:injection")
+def _injections(files: Files) -> dict[str, DataFrame]:
+    own = files.all.filter("NOT generated")
+    lines = own.select(*files.keys, "path", "size", F.posexplode(E.split_lines(F.col("text"))).alias("pos", "line"))
+    found = injections(lines.withColumn("line_no", F.col("pos") + 1), keys=tuple(files.keys))
+    return {"injection_attempt": found.withColumnRenamed("line_no", "line")}
 
 
 def fact_id(source: Column, kind: Column, attributes: Column, path: Column) -> Column:
@@ -58,24 +152,44 @@ def fact_id(source: Column, kind: Column, attributes: Column, path: Column) -> C
     return F.concat(kind, F.lit(":"), F.substring(F.sha1(payload), 1, 12))
 
 
+def as_facts(rows: DataFrame, source: str, kind: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, path, perhaps line and severity, and all attributes of the kind) as facts."""
+    wanted = fixed.FACT_ATTRIBUTES[kind]
+    if missing := set(wanted) - set(rows.columns) - {"path"}:
+        raise ValueError(f"{source} gives {kind} without {', '.join(sorted(missing))}")
+    # a route's path is an attribute of the fact, beside the path of its file
+    named = {n: F.col("route") if (kind, n) == ("route", "path") else F.col(n) for n in wanted}
+    attributes = F.struct(*(c.cast(wanted[n]).alias(n) for n, c in named.items())) if named else F.lit("{}")
+    text = F.to_json(attributes, {"ignoreNullFields": "false"}) if named else attributes
+    more = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in (("line", "int"), ("severity", "string"))]
+    return rows.select(*keys, F.lit(source).alias("source"), F.lit(kind).alias("kind"), "path", *more, text.alias("attributes"))
+
+
 def run_extractors(files: DataFrame, sources: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """(keys, fact_id, source, kind, path, attributes) of all sources, and each source's state; one that can't be planned is an error, not a failure of the others."""
+    """Facts of all sources over ``files`` (keys, path, text), and each source's state: ok, or what is wrong with its plan.
+
+    Keys may have any names, also those of attributes. A source that can't be planned
+    doesn't stop the others.
+    """
     keys = [c for c in files.columns if c not in ("path", "text")]
-    out, states = None, {}
+    inner = [f"key{i}_" for i in range(len(keys))]
+    seen = Files(files.select(*(F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)), "path", "text"))
+    out, states = [], {}
     for source in sources or sorted(EXTRACTORS):
-        kind, find = EXTRACTORS[source]
         try:
-            rows = find(files)
-            rest = [c for c in sorted(rows.columns) if c not in (*keys, "path")]
-            one = rows.select(*keys, F.lit(source).alias("source"), F.lit(kind).alias("kind"), "path", F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("attributes"))
-        except (PySparkException, ValueError, KeyError, TypeError):
-            states[source] = "error"
+            found = [as_facts(rows, source, kind, inner) for kind, rows in EXTRACTORS[source](seen).items()]
+        except (PySparkException, ValueError, KeyError, TypeError) as wrong:
+            states[source] = f"error: {wrong}".splitlines()[0]
             continue
         states[source] = "ok"
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = files.limit(0).select(*keys, F.lit("").alias("source"), F.lit("").alias("kind"), "path", F.lit("").alias("attributes"))
-    return out.withColumn("fact_id", fact_id(F.col("source"), F.col("kind"), F.col("attributes"), F.col("path"))), states
+        out += found
+    if not out:
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("kind", "string"), ("line", "int"), ("severity", "string"), ("attributes", "string"))]
+        out = [seen.all.limit(0).select(*inner, "path", *empty)]
+    facts = reduce(DataFrame.unionByName, out)
+    facts = facts.withColumn("fact_id", fact_id(F.col("source"), F.col("kind"), F.col("attributes"), F.col("path")))
+    kept = [F.col(i).alias(k) for k, i in zip(keys, inner, strict=True)]
+    return facts.select(*kept, *(c for c in facts.columns if c not in inner)), states
 
 
 _REPO = [
@@ -88,8 +202,9 @@ _REPO = [
     ([("Dockerfile", "FROM x AS y\nFROM y\n"), ("a/Dockerfile.dev", "FROM z"), ("broken.py", "def (")],),
 ]
 _COUNTS = [
-    (0, "ast:imports", "import_edge", 2), (0, "re:imports", "import_edge", 2), (0, "ast:manifests", "manifest", 1), (0, "ast:ci", "ci_step", 2), (0, "ast:deploy", "deploy_config", 2), (0, "ast:routes", "route", 1), (0, "ast:tests", "test_file", 1),
-    (0, "ast:logging", "call", 2), (0, "ast:docker", "dockerfile", 1), (0, "fs:docs", "doc_file", 2), (1, "ast:docker", "dockerfile", 2),
+    (0, "ast:imports", "import_edge", 4), (0, "ast:manifests", "manifest", 1), (0, "ast:manifests", "dependency", 1), (0, "ast:ci", "ci_workflow", 1), (0, "ast:ci", "ci_step", 2),
+    (0, "ast:deploy", "deploy_config", 2), (0, "ast:routes", "route", 1), (0, "ast:tests", "test_file", 1), (0, "ast:logging", "log_call", 1), (0, "ast:logging", "print_call", 1),
+    (0, "ast:docker", "dockerfile", 1), (0, "ast:metrics", "file_metrics", 5), (0, "fs:docs", "doc_file", 2), (1, "ast:docker", "dockerfile", 2), (1, "ast:metrics", "file_metrics", 1),
 ]
 
 

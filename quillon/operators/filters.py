@@ -146,19 +146,26 @@ def flt_pinned_image(spark, sf_dir):
     return V.table(spark, sf_dir, "supplier").select(image.alias("image")).withColumn("pinned", pinned_image(F.col("image")))
 
 
-def restricted_workflow(top: Column, jobs: Column) -> Column:
-    """Permissions at the top or in every job, and no job that writes all; ``jobs`` maps a job to its permissions."""
-    given = F.map_values(jobs)
-    return (top.isNotNull() | ((F.size(given) > 0) & F.forall(given, lambda p: p.isNotNull()))) & ~F.exists(given, lambda p: F.coalesce(p == "write-all", F.lit(False)))
+def restricted_workflow(top: Column, jobs: Column, given: Column) -> Column:
+    """No job writes all, and the permissions at the top are set and not to write all, or every job has its own.
 
+    ``given`` maps jobs to their permissions.
+    """
+    given = F.coalesce(given, F.create_map().cast("map<string,string>"))
+    own = F.transform(jobs, lambda j: F.try_element_at(given, j))
+    none = ~F.exists(own, lambda p: F.coalesce(p == "write-all", F.lit(False)))
+    every = (F.size(jobs) > 0) & F.forall(own, lambda p: p.isNotNull())
+    return none & (F.coalesce(top != "write-all", F.lit(False)) | every)
 
-@query("flt_workflow_restricted", "", """SELECT o_orderkey AS id, (t OR (a IS NOT NULL AND b IS NOT NULL)) AND coalesce(a <> 'write-all', true) AND coalesce(b <> 'write-all', true) AS restricted
-FROM (SELECT o_orderkey, o_orderkey % 3 = 0 AS t, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'write-all' ELSE 'read' END AS a, CASE WHEN o_custkey % 2 = 0 THEN 'read' END AS b FROM orders)""")
+
+@query("flt_workflow_restricted", "", """SELECT o_orderkey AS id, coalesce(a, '') <> 'write-all' AND coalesce(b, '') <> 'write-all' AND (coalesce(t, 'write-all') <> 'write-all' OR (a IS NOT NULL AND b IS NOT NULL)) AS restricted
+FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write-all' END AS t, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'write-all' ELSE 'read' END AS a, CASE WHEN o_custkey % 2 = 0 THEN 'read' END AS b FROM orders)""")
 def flt_workflow_restricted(spark, sf_dir):
     k = F.col("o_orderkey")
     a = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, "write-all").otherwise("read")
-    jobs = F.create_map(F.lit("build"), a, F.lit("test"), F.when(F.col("o_custkey") % 2 == 0, "read"))
-    return V.table(spark, sf_dir, "orders").select(k.alias("id"), restricted_workflow(F.when(k % 3 == 0, "read"), jobs).alias("restricted"))
+    given = F.create_map(F.lit("build"), a, F.lit("test"), F.when(F.col("o_custkey") % 2 == 0, "read"))
+    top, jobs = F.when(k % 3 == 0, "read").when(k % 3 == 1, "write-all"), F.array(F.lit("build"), F.lit("test"))
+    return V.table(spark, sf_dir, "orders").select(k.alias("id"), restricted_workflow(top, jobs, given).alias("restricted"))
 
 
 def search_findings(rows: DataFrame, needle: str, verdicts, severities, limit: int) -> DataFrame:

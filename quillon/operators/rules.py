@@ -1,8 +1,13 @@
 """Deterministic rules: facts in, one verdict row a run out, with missing tools told apart.
 
-A fact is (run, kind, path, severity, attributes), attributes being JSON. Files of
-a snapshot are facts of the kind ``file`` (attributes text, vendored, unreadable),
+A fact is (run, kind, path, severity, attributes), attributes being JSON with the
+names and types that ``fixed.FACT_ATTRIBUTES`` gives its kind. Files of a
+snapshot are facts of the kind ``file`` (attributes text, vendored, unreadable),
 flags and frameworks of a profile facts of the kinds ``flag`` and ``framework``.
+
+A rule says which facts it is about and what follows from them, as aggregates
+over conditions. So any number of rules are one grouped scan of the facts, whose
+attributes are parsed once; only cycles of imports are looked for apart.
 """
 
 from __future__ import annotations
@@ -10,8 +15,10 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -19,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs as E
 from quillon.functions import fixed
+from quillon.operators.filters import action_pinned, pinned_image, restricted_workflow, user_not_root
 from quillon.plans import views as V
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
@@ -26,26 +34,44 @@ from quillon.registry import query
 _NAME = re.compile(r"^[a-z]+\.[a-z_]+$")
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What facts say: ``about`` holds for the facts that count; verdict and reason are aggregates over a run's facts.
+
+    A run has an outcome if ``found`` holds: by default if it has any fact that counts.
+    ``hits`` are the facts that the verdict points to: by default those that count.
+    Facts that ``lacks`` holds for make the verdict unknown.
+    """
+
+    about: Column
+    verdict: Column
+    reason: Column | None = None
+    found: Column | None = None
+    hits: Column | None = None
+    lacks: Column | None = None
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``outcome``: (facts, **params) to (run, verdict, reason) of the runs it has facts for; ``empty``: verdict and reason of the others."""
+    """``outcome``: params to an ``Outcome``, or (facts, **params) to (run, verdict, reason) if ``apart``; ``empty``: verdict and reason of runs without one."""
 
-    outcome: Callable[..., DataFrame]
+    outcome: Callable
     tools: tuple[str, ...]
     empty: tuple[str, str | None]
     defaults: dict
+    apart: bool = False
 
 
 _RULES: dict[str, Rule] = {}
 
 
-def rule(name: str, *tools: str, empty: tuple[str, str | None] = ("pass", None), **defaults) -> Callable:
-    """Register ``(facts, **params) -> outcomes`` as ``family.name``, which depends on ``tools``; names are unique."""
+def rule(name: str, *tools: str, empty: tuple[str, str | None] = ("pass", None), apart: bool = False, **defaults) -> Callable:
+    """Register an outcome as ``family.name``, which depends on ``tools``; names are unique."""
     if not _NAME.match(name) or name in _RULES:
         raise ValueError(f"bad or duplicate rule name {name}")
 
     def register(function: Callable) -> Callable:
-        _RULES[name] = Rule(function, tools, empty, defaults)
+        _RULES[name] = Rule(function, tools, empty, defaults, apart)
         return function
 
     return register
@@ -68,45 +94,117 @@ def last_tool_runs(tool_runs: DataFrame) -> DataFrame:
     return tool_runs.groupBy("run", "tool").agg(F.max_by("tool_status", "ord").alias("tool_status"))
 
 
-def run_rule(name: str, facts: DataFrame, runs: DataFrame, params: dict | None = None, tool_runs: DataFrame | None = None) -> DataFrame:
-    """(run, rule, verdict, reason) for every run; unknown rules, bad parameters, broken rules and missing tools give rows, not errors.
+#: All attributes of all kinds, as one schema; a name has one type whatever the kind.
+_ATTRIBUTES = ", ".join(f"`{n}` {t}" for n, t in sorted({(n, t) for kind in fixed.FACT_ATTRIBUTES.values() for n, t in kind.items()}))
 
-    ``tool_runs`` has (run, tool, tool_status) and perhaps ord. A skipped tool
-    makes a rule not applicable, one that failed or has no record makes it unknown.
+
+def typed(facts: DataFrame) -> DataFrame:
+    """Facts with their attributes parsed as ``a``; what isn't JSON, or of another type, is null."""
+    return facts.select("run", "kind", "path", "severity", F.from_json("attributes", _ATTRIBUTES).alias("a"))
+
+
+VERDICTS = "run, rule, verdict, reason, n_facts, place"
+
+
+def run_rules(
+    chosen: Mapping[str, dict | None], facts: DataFrame, runs: DataFrame, tool_runs: DataFrame | None = None
+) -> DataFrame:
+    """(run, rule, verdict, reason, n_facts, place) of every run and rule, by one grouped scan of the facts.
+
+    ``chosen`` has the rules' parameters by name. Unknown rules, bad parameters, broken
+    rules and missing tools give rows, not errors. ``n_facts`` counts the facts that a
+    verdict points to, ``place`` is the first of their paths. ``tool_runs`` has (run,
+    tool, tool_status) and perhaps ord: a skipped tool makes a rule not applicable, one
+    that failed or has no record makes it unknown.
     """
-    lost = lambda reason: runs.select("run", F.lit(name).alias("rule"), F.lit("unknown").alias("verdict"), F.lit(reason).alias("reason"))
-    if name not in _RULES:
-        return lost("rule_unknown")
-    of = _RULES[name]
-    if set(params or {}) - set(of.defaults) or any(not _valid(v, of.defaults[k]) for k, v in (params or {}).items()):
-        return lost("params_invalid")
+    lost, ready, apart = [], {}, {}
     try:
-        found = of.outcome(facts, **(of.defaults | (params or {}))).select("run", "verdict", "reason")
-    except (PySparkException, ValueError, TypeError, KeyError, re.error):
-        return lost("rule_error")
-    out = runs.select("run").join(found, "run", "left")
-    out = out.withColumn("reason", F.when(F.col("verdict").isNull(), F.lit(of.empty[1])).otherwise(F.col("reason"))).withColumn("verdict", F.coalesce("verdict", F.lit(of.empty[0])))
-    if of.tools and tool_runs is not None:
-        states = last_tool_runs(tool_runs).filter(F.col("tool").isin(*of.tools)).groupBy("run").agg(*(F.max(F.when(F.col("tool") == t, F.col("tool_status"))).alias(f"state{i}") for i, t in enumerate(of.tools)))
-        out = _with_tools(name, out.join(states, "run", "left"), len(of.tools))
-    return out.select("run", F.lit(name).alias("rule"), "verdict", "reason")
-
-
-def _with_tools(name: str, out: DataFrame, n: int) -> DataFrame:
-    """Verdicts and reasons after the states of the rule's tools."""
-    states = [F.col(f"state{i}") for i in range(n)]
+        rows = typed(facts)
+    except PySparkException:
+        rows = None
+    for name, params in chosen.items():
+        of = _RULES.get(name)
+        if not of:
+            lost.append((name, "rule_unknown"))
+        elif set(params or {}) - set(of.defaults) or any(not _valid(v, of.defaults[k]) for k, v in (params or {}).items()):
+            lost.append((name, "params_invalid"))
+        elif rows is None:
+            lost.append((name, "rule_error"))
+        else:
+            try:
+                if of.apart:
+                    apart[name] = of.outcome(rows, **(of.defaults | (params or {}))).select("run", "verdict", "reason")
+                else:
+                    ready[name] = of.outcome(**(of.defaults | (params or {})))
+            except (PySparkException, ValueError, TypeError, KeyError, re.error):
+                lost.append((name, "rule_error"))
+    out = _judged(ready, rows, runs, tool_runs) if ready else None
+    for name, found in apart.items():
+        one = runs.select("run").join(found, "run", "left").withColumns({"found": F.col("verdict").isNotNull(), "n_facts": F.lit(0).cast("long"), "place": F.lit(None).cast("string")})
+        one = _concluded([name], one.select("run", F.struct("found", "verdict", "reason", "n_facts", "place").alias("r0")), runs, tool_runs)
+        out = one if out is None else out.unionByName(one)
+    if lost:
+        names = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(r).alias("reason")) for n, r in lost))).alias("x")
+        gone = runs.select("run", names).select("run", "x.rule", F.lit("unknown").alias("verdict"), "x.reason", F.lit(0).cast("long").alias("n_facts"), F.lit(None).cast("string").alias("place"))
+        out = gone if out is None else out.unionByName(gone)
+    return out
+
+
+def run_rule(name: str, facts: DataFrame, runs: DataFrame, params: dict | None = None, tool_runs: DataFrame | None = None) -> DataFrame:
+    """(run, rule, verdict, reason) of one rule for every run."""
+    return run_rules({name: params}, facts, runs, tool_runs).select("run", "rule", "verdict", "reason")
+
+
+def _judged(ready: dict[str, Outcome], rows: DataFrame, runs: DataFrame, tool_runs: DataFrame | None) -> DataFrame:
+    """All outcomes as one aggregate: a struct for each rule, then a row for each."""
+    columns = []
+    for i, o in enumerate(ready.values()):
+        hits = o.about if o.hits is None else o.hits
+        lacks = F.lit(False) if o.lacks is None else F.coalesce(F.bool_or(o.about & o.lacks), F.lit(False))
+        reason = F.lit(None).cast("string") if o.reason is None else o.reason
+        columns.append(
+            F.struct(
+                (F.count_if(o.about) > 0 if o.found is None else o.found).alias("found"),
+                F.when(lacks, "unknown").otherwise(o.verdict).alias("verdict"), F.when(lacks, "attribute_missing").otherwise(reason).alias("reason"),
+                F.count_if(hits).alias("n_facts"), F.min(F.when(hits, F.col("path"))).alias("place"),
+            ).alias(f"r{i}")
+        )
+    found = rows.groupBy("run").agg(*columns)
+    return _concluded(list(ready), runs.select("run").join(found, "run", "left"), runs, tool_runs)
+
+
+def _concluded(names: list[str], found: DataFrame, runs: DataFrame, tool_runs: DataFrame | None) -> DataFrame:
+    """Verdicts of runs without an outcome, and of rules whose tools are missing; a row for each run and rule."""
+    tools = sorted({t for n in names for t in _RULES[n].tools}) if tool_runs is not None else []
+    if tools:
+        states = last_tool_runs(tool_runs).filter(F.col("tool").isin(*tools)).groupBy("run")
+        states = states.agg(*(F.max(F.when(F.col("tool") == t, F.col("tool_status"))).alias(f"state{i}") for i, t in enumerate(tools)))
+        found = found.join(states, "run", "left")
+    said = []
+    for i, name in enumerate(names):
+        of, r = _RULES[name], f"r{i}"
+        has = F.coalesce(F.col(f"{r}.found"), F.lit(False))
+        verdict, reason = (F.when(has, F.col(f"{r}.{c}")).otherwise(F.lit(e)) for c, e in zip(("verdict", "reason"), of.empty, strict=True))
+        if tools and of.tools:
+            verdict, reason = _with_tools(name, verdict, reason, [F.col(f"state{tools.index(t)}") for t in of.tools])
+        said.append(F.struct(F.lit(name).alias("rule"), verdict.alias("verdict"), reason.alias("reason"), F.when(has, F.col(f"{r}.n_facts")).otherwise(0).alias("n_facts"), F.when(has, F.col(f"{r}.place")).alias("place")))
+    return found.select("run", F.inline(F.array(*said)))
+
+
+def _with_tools(name: str, verdict: Column, reason: Column, states: list[Column]) -> tuple[Column, Column]:
+    """Verdict and reason after the states of the rule's tools."""
     lost = [F.when(s.isNull(), "tool_not_run").when(s.isin("error", "timeout"), F.concat(F.lit("tool_"), s)) for s in states]
     if name == "observability.present":  # one of two extractors is enough
         gone = F.when(lost[0].isNotNull() & lost[1].isNotNull(), "tool_error")
     elif name == "tests.coverage_configured":  # only what CI steps might have shown is missing
-        gone = F.when(F.col("verdict") != "pass", lost[0])
+        gone = F.when(verdict != "pass", lost[0])
     else:
         gone = F.coalesce(*lost)
-    skipped = states[0] == "skipped" if n == 1 and name != "tests.coverage_configured" else F.lit(False)
-    out = out.withColumn("gone", gone).withColumn("skipped", F.coalesce(skipped, F.lit(False)))
-    reason = F.when(F.col("gone").isNotNull(), F.col("gone")).when(F.col("skipped"), "tool_skipped").otherwise(F.col("reason"))
-    verdict = F.when(F.col("gone").isNotNull(), "unknown").when(F.col("skipped"), "not_applicable").otherwise(F.col("verdict"))
-    return out.select("run", verdict.alias("verdict"), reason.alias("reason"))
+    skipped = F.coalesce(states[0] == "skipped", F.lit(False)) if len(states) == 1 and name != "tests.coverage_configured" else F.lit(False)
+    return (
+        F.when(gone.isNotNull(), "unknown").when(skipped, "not_applicable").otherwise(verdict),
+        F.when(gone.isNotNull(), gone).when(skipped, "tool_skipped").otherwise(reason),
+    )
 
 
 def band(part: Column, whole: Column, passes: float, partial: float, low_is_good: bool = True) -> Column:
@@ -137,34 +235,43 @@ def coverage(values: Column, required: tuple[str, ...]) -> Column:
 
 
 def attr(key: str) -> Column:
-    """An attribute as text; null if it is missing."""
-    return F.get_json_object("attributes", f"$.{key}")
+    """An attribute; null if it is missing."""
+    return F.col(f"a.{key}")
 
 
 def flag(key: str) -> Column:
-    return F.coalesce(attr(key) == "true", F.lit(False))
+    return F.coalesce(attr(key), F.lit(False))
 
 
 def number(key: str) -> Column:
-    return F.coalesce(F.expr(f"try_cast(get_json_object(attributes, '$.{key}') AS BIGINT)"), F.lit(0))
+    return F.coalesce(attr(key), F.lit(0).cast("long"))
 
 
 def items(key: str) -> Column:
     """An attribute that is a list of texts; empty if it is missing."""
-    return F.coalesce(F.from_json(attr(key), "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(attr(key), F.array().cast("array<string>"))
+
+
+def _kind(*kinds: str) -> Column:
+    return F.col("kind").isin(*kinds)
 
 
-def _of(facts: DataFrame, *kinds: str) -> DataFrame:
-    return facts.filter(F.col("kind").isin(*kinds))
+def _sum(about: Column, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(about, value)), F.lit(0))
 
 
-def _by_run(facts: DataFrame, verdict: Column, reason: Column | None = None) -> DataFrame:
-    """An outcome a run, by aggregates over its facts."""
-    return facts.groupBy("run").agg(verdict.alias("verdict"), (F.lit(None).cast("string") if reason is None else reason).alias("reason"))
+def _only(about: Column, ok: Column) -> Column:
+    """A condition on the facts that count; null for the others."""
+    return F.when(about, ok)
 
 
 def _pass_if(ok: Column) -> Column:
-    return F.when(ok, "pass").otherwise("fail")
+    return F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail")
+
+
+def _any(about: Column) -> Outcome:
+    """Any such fact is enough."""
+    return Outcome(F.coalesce(about, F.lit(False)), F.lit("pass"))
 
 
 def matches_any(text: Column, names: tuple[str, ...], glob: bool = False) -> Column:
@@ -177,38 +284,42 @@ def matches_any(text: Column, names: tuple[str, ...], glob: bool = False) -> Col
 
 
 def path_matches(path: Column, globs: tuple[str, ...]) -> Column:
-    return path.rlike("|".join(E.glob_regex(g) for g in globs)) if globs else F.lit(False)
+    return F.coalesce(path.rlike("|".join(E.glob_regex(g) for g in globs)), F.lit(False)) if globs else F.lit(False)
 
 
 @rule("secrets.none_found", "gitleaks", exclude_globs=())
-def _secrets(facts, exclude_globs):
-    rows = _of(facts, "secret").filter(~F.coalesce(path_matches(F.col("path"), exclude_globs), F.lit(False)))
-    return _by_run(rows, F.lit("fail"))
+def _secrets(exclude_globs):
+    return Outcome(_kind("secret") & ~path_matches(F.col("path"), exclude_globs), F.lit("fail"))
+
+
+def _severe(about: Column, fail_at: str, partial_at: str) -> Outcome:
+    least = E.severity_rank(F.col("severity")) >= E.SEVERITIES.index(partial_at)
+    return Outcome(about, worst(F.when(about, F.col("severity")), fail_at, partial_at), hits=about & F.coalesce(least, F.lit(False)))
 
 
 @rule("vulns.max_severity", "osv-scanner", fail_at="high", partial_at="medium")
-def _vulns(facts, fail_at, partial_at):
-    return _by_run(_of(facts, "vuln_dependency"), worst(F.col("severity"), fail_at, partial_at))
+def _vulns(fail_at, partial_at):
+    return _severe(_kind("vuln_dependency"), fail_at, partial_at)
 
 
 @rule("sast.max_severity", "semgrep", fail_at="high", partial_at="medium", exclude_rule_globs=())
-def _sast(facts, fail_at, partial_at, exclude_rule_globs):
-    rows = _of(facts, "sast_finding").filter(~matches_any(attr("rule_id"), exclude_rule_globs, glob=True))
-    return _by_run(rows, worst(F.col("severity"), fail_at, partial_at))
+def _sast(fail_at, partial_at, exclude_rule_globs):
+    return _severe(_kind("sast_finding") & ~matches_any(attr("rule_id"), exclude_rule_globs, glob=True), fail_at, partial_at)
 
 
 @rule("iac.max_severity", "checkov", fail_at="high", unknown_severity_fail_count=5)
-def _iac(facts, fail_at, unknown_severity_fail_count):
+def _iac(fail_at, unknown_severity_fail_count):
     """Unknown if nothing was found but some files could not be parsed."""
-    found = F.count_if(F.col("kind") == "iac_finding")
-    severe = F.count_if((F.col("kind") == "iac_finding") & (E.severity_rank(F.col("severity")) >= E.SEVERITIES.index(fail_at)))
-    unrated = F.count_if((F.col("kind") == "iac_finding") & F.col("severity").isNull())
+    finding = _kind("iac_finding")
+    found = F.count_if(finding)
+    severe = F.count_if(finding & (E.severity_rank(F.col("severity")) >= E.SEVERITIES.index(fail_at)))
+    unrated = F.count_if(finding & F.col("severity").isNull())
     verdict = F.when(found == 0, "unknown").when((severe > 0) | (unrated >= unknown_severity_fail_count), "fail").otherwise("partial")
-    return _by_run(_of(facts, "iac_finding", "iac_parse_error"), verdict, F.when(found == 0, "iac_unparsed"))
+    return Outcome(_kind("iac_finding", "iac_parse_error"), verdict, F.when(found == 0, "iac_unparsed"))
 
 
-def _any_file(facts: DataFrame, globs: tuple[str, ...]) -> DataFrame:
-    return _by_run(_of(facts, "file").filter(path_matches(F.col("path"), globs)), F.lit("pass"))
+def _any_file(globs):
+    return _any(_kind("file") & path_matches(F.col("path"), globs))
 
 
 rule("files.any_exists", empty=("fail", None), globs=())(_any_file)
@@ -217,93 +328,97 @@ rule("docs.architecture", empty=("fail", None), globs=fixed.ARCHITECTURE_GLOBS)(
 
 
 @rule("docs.api_spec", empty=("fail", None), globs=fixed.SPEC_GLOBS)
-def _api_spec(facts, globs):
+def _api_spec(globs):
     """A specification, a framework that serves one, or a package that makes one."""
     name = F.lower(attr("name"))
     made = name.rlike("^(" + "|".join(map(re.escape, fixed.AUTODOC_PACKAGES)) + ")") | name.isin(*fixed.AUTODOC_FRAMEWORKS)
-    hit = (F.col("kind") == "file") & path_matches(F.col("path"), globs)
-    hit = hit | (F.col("kind") == "framework") & name.isin(*fixed.AUTODOC_FRAMEWORKS) | (F.col("kind") == "dependency") & made
-    return _by_run(_of(facts, "file", "framework", "dependency").filter(hit), F.lit("pass"))
+    return _any(_kind("file") & path_matches(F.col("path"), globs) | _kind("framework") & name.isin(*fixed.AUTODOC_FRAMEWORKS) | _kind("dependency") & made)
 
 
 @rule("size.max_file_loc", "ast:metrics", empty=("not_applicable", "no_source_code"), threshold=1000, partial_max_offenders=2)
-def _file_size(facts, threshold, partial_max_offenders):
-    return _by_run(_of(facts, "file_metrics").filter(~flag("is_generated")), offenders(number("loc") > threshold, partial_max_offenders))
+def _file_size(threshold, partial_max_offenders):
+    about = _kind("file_metrics") & ~flag("is_generated")
+    long = about & (number("loc") > threshold)
+    return Outcome(about, offenders(long, partial_max_offenders), hits=long)
 
 
 @rule("complexity.ccn_ratio", "lizard", empty=("not_applicable", "no_functions"), ccn=15, pass_below=0.03, partial_below=0.08)
-def _complexity(facts, ccn, pass_below, partial_below):
-    return _by_run(_of(facts, "function_metrics"), band(F.count_if(number("ccn") > ccn), F.count("*"), pass_below, partial_below))
+def _complexity(ccn, pass_below, partial_below):
+    about = _kind("function_metrics")
+    complex_ = about & (number("ccn") > ccn)
+    return Outcome(about, band(F.count_if(complex_), F.count_if(about), pass_below, partial_below), hits=complex_)
 
 
 @rule("ast.debug_output_ratio", "ast:logging", empty=("not_applicable", "no_output_calls"), pass_below=0.05, partial_below=0.2)
-def _debug_output(facts, pass_below, partial_below):
-    rows = _of(facts, "print_call", "log_call").filter(~flag("in_test"))
-    return _by_run(rows, band(F.count_if(F.col("kind") == "print_call"), F.count("*"), pass_below, partial_below))
+def _debug_output(pass_below, partial_below):
+    about = _kind("print_call", "log_call") & ~flag("in_test")
+    printed = about & _kind("print_call")
+    return Outcome(about, band(F.count_if(printed), F.count_if(about), pass_below, partial_below), hits=printed)
 
 
 @rule("tests.ratio", "ast:metrics", empty=("not_applicable", "no_source_code"), pass_at=0.3, partial_at=0.1)
-def _test_ratio(facts, pass_at, partial_at):
-    rows = _of(facts, "file_metrics").filter(~flag("is_generated"))
-    test, source = (F.sum(F.when(flag("is_test") == v, number("loc")).otherwise(0)) for v in (True, False))
-    return _by_run(rows, band(test, source, pass_at, partial_at, False), F.when(source == 0, "no_source_code"))
+def _test_ratio(pass_at, partial_at):
+    about = _kind("file_metrics") & ~flag("is_generated")
+    test, source = (_sum(about & (flag("is_test") == v), number("loc")) for v in (True, False))
+    return Outcome(about, band(test, source, pass_at, partial_at, False), F.when(source == 0, "no_source_code"))
 
 
 @rule("docs.docstring_ratio", "ast:metrics", empty=("not_applicable", "no_public_functions"), pass_at=0.6, partial_at=0.3)
-def _docstrings(facts, pass_at, partial_at):
-    rows = _of(facts, "file_metrics").filter(~flag("is_test") & ~flag("is_generated"))
-    documented, public = F.sum(number("documented_functions")), F.sum(number("public_functions"))
-    return _by_run(rows, band(documented, public, pass_at, partial_at, False), F.when(public == 0, "no_public_functions"))
+def _docstrings(pass_at, partial_at):
+    about = _kind("file_metrics") & ~flag("is_test") & ~flag("is_generated")
+    documented, public = _sum(about, number("documented_functions")), _sum(about, number("public_functions"))
+    return Outcome(about, band(documented, public, pass_at, partial_at, False), F.when(public == 0, "no_public_functions"), hits=about & (number("documented_functions") < number("public_functions")))
 
 
 @rule("imports.any_of", "ast:imports", empty=("not_applicable", "no_imports"), modules=fixed.LOGGING_MODULES)
-def _imports_any(facts, modules):
-    return _by_run(_of(facts, "import_edge"), _pass_if(F.bool_or(matches_any(attr("to_module"), modules))))
+def _imports_any(modules):
+    about = _kind("import_edge")
+    ok = matches_any(attr("to_module"), modules)
+    return Outcome(about, _pass_if(F.bool_or(_only(about, ok))), hits=about & ok)
 
 
-@rule("imports.no_cycles", "ast:imports", empty=("not_applicable", "language_not_supported"))
+@rule("imports.no_cycles", "ast:imports", empty=("not_applicable", "language_not_supported"), apart=True)
 def _cycles(facts):
     """Cycles of two or more modules among internal edges; only for Python, JavaScript and TypeScript."""
     from quillon.operators.graph import cyclic_nodes
 
-    judged = _of(facts, "flag").filter(attr("name").isin("lang_python", "lang_js_ts")).select("run").distinct()
+    judged = facts.filter(_kind("flag") & attr("name").isin("lang_python", "lang_js_ts")).select("run").distinct()
     node = lambda key: F.regexp_replace(attr(key), "/index$", "")
-    edges = _of(facts, "import_edge").filter(flag("internal")).select("run", node("from_module").alias("src"), node("to_module").alias("dst"))
+    edges = facts.filter(_kind("import_edge") & flag("internal")).select("run", node("from_module").alias("src"), node("to_module").alias("dst"))
     edges = edges.filter("src <> '' AND dst <> ''").join(judged, "run", "left_semi")
     cyclic = cyclic_nodes(edges, "run").select("run").distinct().withColumn("verdict", F.lit("fail"))
     return judged.join(cyclic, "run", "left").select("run", F.coalesce("verdict", F.lit("pass")).alias("verdict"), F.lit(None).cast("string").alias("reason"))
 
 
 @rule("observability.present", "ast:imports", "ast:routes", empty=("fail", None), modules=fixed.TELEMETRY_MODULES, route_patterns=fixed.HEALTH_ROUTES)
-def _observability(facts, modules, route_patterns):
+def _observability(modules, route_patterns):
     """A telemetry import, or a route whose path or last segment is one of health, readiness or metrics."""
     route = F.regexp_replace(F.coalesce(attr("path"), F.lit("")), "/+$", "")
     whole, tail = F.when(route == "", "/").otherwise(route), F.concat(F.lit("/"), F.element_at(F.split(route, "/"), -1))
-    served = (F.col("kind") == "route") & (matches_any(whole, route_patterns, glob=True) | matches_any(tail, route_patterns, glob=True))
-    imported = (F.col("kind") == "import_edge") & matches_any(attr("to_module"), modules)
-    return _by_run(_of(facts, "import_edge", "route").filter(served | imported), F.lit("pass"))
+    served = _kind("route") & (matches_any(whole, route_patterns, glob=True) | matches_any(tail, route_patterns, glob=True))
+    return _any(served | _kind("import_edge") & matches_any(attr("to_module"), modules))
 
 
 @rule("tests.present", "ast:tests", empty=("fail", None), min_test_files=1)
-def _tests_present(facts, min_test_files):
-    return _by_run(_of(facts, "test_file"), _pass_if(F.count("*") >= min_test_files))
+def _tests_present(min_test_files):
+    about = _kind("test_file")
+    return Outcome(about, _pass_if(F.count_if(about) >= min_test_files))
 
 
 @rule("tests.coverage_configured", "ast:ci", empty=("fail", None))
-def _coverage_configured(facts):
+def _coverage_configured():
     """A coverage file, coverage settings in a file that holds them, or a CI step that measures or uploads coverage."""
     settings = F.lit(False)
     for glob, pattern in reversed(fixed.COVERAGE_CONTENT):  # the first glob that fits a path decides
         settings = F.when(path_matches(F.col("path"), (glob,)), F.coalesce(attr("text").rlike(pattern), F.lit(False))).otherwise(settings)
-    own = (F.col("kind") == "file") & ~flag("vendored") & ~flag("unreadable")
+    own = _kind("file") & ~flag("vendored") & ~flag("unreadable")
     step = F.concat_ws("\n", F.coalesce(attr("run"), F.lit("")), F.coalesce(attr("uses"), F.lit(""))).rlike(fixed.COVERAGE_STEP)
-    hit = own & (path_matches(F.col("path"), fixed.COVERAGE_FILES) | settings) | (F.col("kind") == "ci_step") & step
-    return _by_run(_of(facts, "file", "ci_step").filter(hit), F.lit("pass"))
+    return _any(own & (path_matches(F.col("path"), fixed.COVERAGE_FILES) | settings) | _kind("ci_step") & step)
 
 
 @rule("ci.present", "ast:ci", empty=("fail", None))
-def _ci_present(facts):
-    return _by_run(_of(facts, "ci_workflow"), F.lit("pass"))
+def _ci_present():
+    return _any(_kind("ci_workflow"))
 
 
 def step_kinds() -> Column:
@@ -312,113 +427,102 @@ def step_kinds() -> Column:
     return F.array_compact(F.array(F.coalesce(attr("run_kind"), F.lit("other")), *(F.when(text.rlike(p), k) for k, p in fixed.STEP_KINDS)))
 
 
-def _of_ci(facts: DataFrame, system: str | None = None) -> DataFrame:
-    """Workflows and steps (of one system) of the runs that have a workflow."""
-    rows = _of(facts, "ci_workflow", "ci_step")
-    rows = rows.filter(attr("system") == system) if system else rows
-    return rows.join(rows.filter("kind = 'ci_workflow'").select("run").distinct(), "run", "left_semi")
+def _in_ci(kind: str, system: str | None = None) -> Column:
+    return _kind(kind) & F.coalesce(attr("system") == system, F.lit(False)) if system else _kind(kind)
 
 
 def first_steps(facts: DataFrame) -> DataFrame:
-    """(run, stage, path, ord): the first step of each stage, by ``ord``."""
-    rows = _of_ci(facts).filter("kind = 'ci_step'").withColumn("stage", F.explode(F.array_distinct(step_kinds())))
-    return rows.groupBy("run", "stage").agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord"))
+    """(run, stage, path, ord): the first step of each stage, by ``ord``, of the runs that have a workflow."""
+    rows = facts.withColumn("a", F.from_json("attributes", _ATTRIBUTES))
+    steps = rows.filter(_kind("ci_step")).withColumn("stage", F.explode(F.array_distinct(step_kinds())))
+    steps = steps.join(rows.filter(_kind("ci_workflow")).select("run").distinct(), "run", "left_semi")
+    return steps.groupBy("run", "stage").agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord"))
 
 
 @rule("ci.stages", "ast:ci", empty=("not_applicable", "no_ci"), required=("build", "lint", "test"))
-def _ci_stages(facts, required):
-    rows = _of_ci(facts)
-    kinds = F.when(F.col("kind") == "ci_step", F.array_intersect(step_kinds(), F.array(*map(F.lit, required))))
-    return _by_run(rows.withColumn("stage", F.explode_outer(kinds)), coverage(F.col("stage"), tuple(required)))
+def _ci_stages(required):
+    step = _kind("ci_step")
+    has = [F.coalesce(F.bool_or(_only(step, F.array_contains(step_kinds(), r))), F.lit(False)) for r in required]
+    verdict = F.when(reduce(and_, has, F.lit(True)), "pass").when(reduce(or_, has, F.lit(False)), "partial").otherwise("fail")
+    return Outcome(step, verdict, found=F.count_if(_kind("ci_workflow")) > 0)
 
 
 @rule("ci.runs_tests", "ast:ci", empty=("not_applicable", "no_ci"))
-def _runs_tests(facts):
-    return _by_run(_of_ci(facts), _pass_if(F.bool_or((F.col("kind") == "ci_step") & F.array_contains(step_kinds(), "test"))))
+def _runs_tests():
+    step = _kind("ci_step")
+    test = F.array_contains(step_kinds(), "test")
+    return Outcome(step, _pass_if(F.bool_or(_only(step, test))), found=F.count_if(_kind("ci_workflow")) > 0, hits=step & _only(step, test))
 
 
 @rule("ci.actionlint_clean", "actionlint", max_errors=0)
-def _actionlint(facts, max_errors):
-    return _by_run(_of(facts, "actionlint_finding"), _pass_if(F.count("*") <= max_errors))
-
-
-def restricted() -> Column:
-    """A workflow's token permissions are set and no job has all of them."""
-    jobs, of = items("jobs"), F.coalesce(F.from_json(attr("job_permissions"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    none = F.exists(jobs, lambda j: F.coalesce(F.try_element_at(of, j) == "write-all", F.lit(False)))
-    top = attr("permissions")
-    every = (F.size(jobs) > 0) & F.forall(jobs, lambda j: F.try_element_at(of, j).isNotNull())
-    return ~none & (F.coalesce(top != "write-all", F.lit(False)) | every)
+def _actionlint(max_errors):
+    about = _kind("actionlint_finding")
+    return Outcome(about, _pass_if(F.count_if(about) <= max_errors))
 
 
 @rule("ci.permissions_restricted", "ast:ci", empty=("not_applicable", "no_github_workflows"))
-def _permissions(facts):
-    rows = _of_ci(facts, "github_actions").filter("kind = 'ci_workflow'")
-    return _by_run(rows, _pass_if(F.bool_and(restricted())))
-
-
-def pinned_action(uses: Column) -> Column:
-    """Local actions, images, and references to a commit of 40 hex digits."""
-    return uses.startswith("./") | uses.startswith("docker://") | uses.rlike("@[0-9a-f]{40}$")
+def _permissions():
+    about = _in_ci("ci_workflow", "github_actions")
+    ok = restricted_workflow(attr("permissions"), items("jobs"), attr("job_permissions"))
+    return Outcome(about, _pass_if(F.bool_and(_only(about, ok))), hits=about & ~ok)
 
 
 @rule("ci.actions_pinned", "ast:ci", empty=("not_applicable", "no_github_workflows"), allow_owners=("actions", "github"))
-def _actions_pinned(facts, allow_owners):
+def _actions_pinned(allow_owners):
     uses = attr("uses")
     owner = F.lower(F.element_at(F.split(uses, "/"), 1))
-    loose = (F.col("kind") == "ci_step") & (uses != "") & ~owner.isin(*(o.lower() for o in allow_owners)) & ~pinned_action(uses)
-    return _by_run(_of_ci(facts, "github_actions"), _pass_if(F.count_if(F.coalesce(loose, F.lit(False))) == 0))
+    loose = _in_ci("ci_step", "github_actions") & F.coalesce((uses != "") & ~owner.isin(*(o.lower() for o in allow_owners)) & ~action_pinned(uses), F.lit(False))
+    return Outcome(loose, _pass_if(F.count_if(loose) == 0), found=F.count_if(_in_ci("ci_workflow", "github_actions")) > 0)
 
 
 _NO_DOCKERFILE = ("not_applicable", "no_dockerfile")
 
 
-def non_root() -> Column:
-    """The last stage's user is set, and is not root by name or number."""
-    name = F.element_at(F.split(F.trim(F.coalesce(attr("user"), F.lit(""))), ":"), 1)
-    return (F.trim(F.coalesce(attr("user"), F.lit(""))) != "") & ~name.isin("root", "0")
-
-
-def pinned_image(image: Column) -> Column:
-    """A digest or a tag other than latest; images named by variables, and scratch, count as pinned."""
-    last = F.element_at(F.split(image, "/"), -1)
-    return image.contains("$") | (image == "scratch") | image.contains("@") | (last.contains(":") & (F.element_at(F.split(last, ":"), -1) != "latest"))
+def _dockerfiles(judge: Callable[[Column], Column], ok: Column, needs: str | None = None) -> Outcome:
+    about = _kind("dockerfile")
+    return Outcome(about, judge(_only(about, ok)), hits=about & ~F.coalesce(ok, F.lit(False)), lacks=attr(needs).isNull() if needs else None)
 
 
 @rule("docker.non_root", "ast:docker", empty=_NO_DOCKERFILE)
-def _non_root(facts):
-    return _by_run(_of(facts, "dockerfile"), all_some_none(non_root()))
+def _non_root():
+    return _dockerfiles(all_some_none, user_not_root(attr("user")))
 
 
 @rule("docker.pinned_base", "ast:docker", empty=_NO_DOCKERFILE)
-def _pinned_base(facts):
-    return _by_run(_of(facts, "dockerfile"), _pass_if(F.bool_and(F.forall(items("external_bases"), pinned_image))))
+def _pinned_base():
+    return _dockerfiles(lambda ok: _pass_if(F.bool_and(ok)), F.forall(items("external_bases"), pinned_image), "external_bases")
 
 
 @rule("docker.multistage", "ast:docker", empty=_NO_DOCKERFILE)
-def _multistage(facts):
-    return _by_run(_of(facts, "dockerfile"), all_some_none(number("stages") > 1))
+def _multistage():
+    return _dockerfiles(all_some_none, number("stages") > 1, "stages")
 
 
 @rule("docker.healthcheck", "ast:docker", "ast:deploy", empty=("not_applicable", "no_container_config"))
-def _healthcheck(facts):
-    probed = flag("has_healthcheck") | (F.col("kind") == "deploy_config") & (flag("has_liveness") | flag("has_readiness"))
-    return _by_run(_of(facts, "dockerfile", "deploy_config"), _pass_if(F.bool_or(probed)))
+def _healthcheck():
+    about = _kind("dockerfile", "deploy_config")
+    probed = about & (flag("has_healthcheck") | _kind("deploy_config") & (flag("has_liveness") | flag("has_readiness")))
+    some = F.count_if(probed) > 0
+    silent = F.count_if(_kind("dockerfile") & attr("has_healthcheck").isNull()) > 0
+    return Outcome(about, F.when(some, "pass").when(silent, "unknown").otherwise("fail"), F.when(~some & silent, "attribute_missing"), hits=probed)
 
 
 @rule("docker.hadolint_errors", "hadolint", max_errors=0)
-def _hadolint(facts, max_errors):
-    return _by_run(_of(facts, "hadolint_finding").filter("severity = 'high'"), _pass_if(F.count("*") <= max_errors))
+def _hadolint(max_errors):
+    about = _kind("hadolint_finding") & F.coalesce(F.col("severity") == "high", F.lit(False))
+    return Outcome(about, _pass_if(F.count_if(about) <= max_errors))
 
 
 @rule("deploy.resource_limits", "ast:deploy", empty=("not_applicable", "no_deploy_config"))
-def _limits(facts):
-    return _by_run(_of(facts, "deploy_config"), all_some_none(flag("has_limits")))
+def _limits():
+    about = _kind("deploy_config")
+    return Outcome(about, all_some_none(_only(about, flag("has_limits"))), hits=about & ~flag("has_limits"), lacks=attr("has_limits").isNull())
 
 
 @rule("deps.lockfile_present", "ast:manifests", empty=("not_applicable", "no_manifests"))
-def _lockfiles(facts):
-    return _by_run(_of(facts, "manifest"), _pass_if(F.bool_and(flag("has_lockfile"))))
+def _lockfiles():
+    about = _kind("manifest")
+    return Outcome(about, _pass_if(F.bool_and(_only(about, flag("has_lockfile")))), hits=about & ~flag("has_lockfile"), lacks=attr("has_lockfile").isNull())
 
 
 def _order_rows(spark, sf_dir):
@@ -589,11 +693,8 @@ def _register(key: str, names: list[str]) -> None:
     @query(key, "", cases_sql(len(_RUNS), "VARCHAR rule, VARCHAR verdict, VARCHAR reason", _expected(names)))
     def outcomes(spark, sf_dir):
         runs, facts, tools = example_runs(spark, sf_dir)
-        out = None
-        for name in names:
-            one = run_rule(name, facts, runs, {"globs": ("README*",)} if name == "files.any_exists" else None, tools)
-            out = one if out is None else out.unionByName(one)
-        return out.withColumnRenamed("run", "id")
+        chosen = {n: {"globs": ("README*",)} if n == "files.any_exists" else None for n in names}
+        return run_rules(chosen, facts, runs, tools).select(F.col("run").alias("id"), "rule", "verdict", "reason")
 
 
 for _key, _names in _FAMILIES.items():
