@@ -226,6 +226,11 @@ FACT_ATTRIBUTES = {
     "function_metrics": {"name": "string", "ccn": "long"},
 }
 
+# What a profile reads of a fact, by kind.
+PROFILE_NAMES = {
+    "dependency": "name", "import_edge": "to_module", "deploy_config": "config", "ci_workflow": "system", "ci_step": "run_kind", "test_file": "framework",
+}
+
 # CI systems by path; keys that hold a step's command, the first that is set; commands in scripts of Jenkins.
 CI_PATHS = (
     ("github_actions", r"^\.github/workflows/.*\.ya?ml$"),

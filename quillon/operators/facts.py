@@ -23,7 +23,7 @@ from quillon.plans import views as V
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
 from quillon.sources.stores import language_of
-from quillon.sources.tables import checkpointed
+from quillon.sources.tables import stored
 
 #: By source: what it finds in files, as rows (keys, path, attributes and perhaps line) by kind.
 EXTRACTORS: dict[str, Callable[[Files], dict[str, DataFrame]]] = {}
@@ -32,18 +32,21 @@ EXTRACTORS: dict[str, Callable[[Files], dict[str, DataFrame]]] = {}
 class Files:
     """The files of snapshots as extractors see them: readable ones, none of others' code.
 
-    ``all`` is (keys, path, language, size, loc, generated, text), ``source`` the code
-    among them that isn't generated; Python files are parsed once, for all who ask.
+    ``all`` is (keys, path, language, size, loc, generated, text), stored once, so that
+    each extractor reads the files of its languages and the columns that it needs;
+    ``source`` is the code among them that isn't generated. Python files are parsed
+    once, for all who ask.
     """
 
     def __init__(self, files: DataFrame, largest: int = 2_000_000):
         self.keys = [c for c in files.columns if c not in ("path", "text")]
         size = F.octet_length("text")
         known = files.filter(~vendored(F.col("path")) & (size <= largest) & (F.instr(F.substring("text", 1, 8192), "\0") == 0))
-        self.all = known.select(
+        known = known.select(
             *self.keys, "path", language_of(F.col("path")).alias("language"), size.alias("size"), F.size(E.split_lines(F.col("text"))).alias("loc"),
             generated(F.col("path"), F.col("text")).alias("generated"), "text",
         )
+        self.all = stored(known)
         self.code = self.all.filter(F.col("language").isin(*fixed.CODE_LANGUAGES))
         self.source = self.code.filter("NOT generated")
         self._parsed: DataFrame | None = None
@@ -60,7 +63,7 @@ class Files:
         """What all readers find in Python files."""
         if self._parsed is None:
             mine = self.code.filter("language = 'python'").select(*self.keys, "path", "text", "generated")
-            self._parsed = checkpointed(code.python_facts(mine))
+            self._parsed = stored(code.python_facts(mine))
         rows = self._parsed if with_generated else self._parsed.filter("NOT generated")
         return rows.drop("generated")
 
@@ -92,7 +95,8 @@ def _manifests(files: Files) -> dict[str, DataFrame]:
 
 @extractor("ast:ci")
 def _ci(files: Files) -> dict[str, DataFrame]:
-    return {"ci_workflow": configs.ci_workflows(files.plain()), "ci_step": configs.ci_steps(files.plain())}
+    ci = configs.ci_files(files.plain(files.all.filter(configs.ci_system(F.col("path")).isNotNull())), keep=stored)
+    return {"ci_workflow": configs.ci_workflows(ci), "ci_step": configs.ci_steps(ci)}
 
 
 @extractor("ast:docker")

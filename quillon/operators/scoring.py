@@ -18,7 +18,7 @@ from quillon.registry import query
 def judged_checks(checks: DataFrame, findings: DataFrame) -> DataFrame:
     """Every active check of every run with its effective verdict; without a finding it is unknown."""
     runs = findings.select("run").distinct()
-    active = checks.filter("NOT retired").crossJoin(F.broadcast(runs))  # one row a run
+    active = checks.filter("NOT retired").crossJoin(runs)
     return active.join(findings, ["run", "check_id"], "left").withColumn("effective", F.coalesce(E.effective_verdict(F.col("verdict"), F.col("status")), F.lit("unknown")))
 
 
@@ -29,7 +29,11 @@ def score_metrics(checks: DataFrame, findings: DataFrame, gate_percent: int = 60
     insufficient evidence; a critical fail caps at 4.0, else a critical partial at
     6.0, and either overrides the gate. With no applicable check: not_applicable.
     """
-    rows = judged_checks(checks, findings)
+    return score_rows(judged_checks(checks, findings), gate_percent)
+
+
+def score_rows(rows: DataFrame, gate_percent: int = 60) -> DataFrame:
+    """``score_metrics`` of checks (run, check_id, metric, severity, w10, effective)."""
     eff, w, critical = F.col("effective"), F.col("w10"), F.col("severity") == "critical"
     scored = eff.isin("pass", "partial", "fail")
     sums = rows.groupBy("run", "metric").agg(

@@ -37,9 +37,26 @@ def documents(text: str | None, form: str) -> list:
     import yaml
 
     try:
-        return READERS[form](text or "")
+        found = READERS[form](text or "")
     except (ValueError, RecursionError, yaml.YAMLError):
         return []
+    return found if _spelled_out(found, len(text or "")) else []
+
+
+def _below(value: object) -> list[tuple[str, object]]:
+    """The keys and values below a node."""
+    if isinstance(value, dict):
+        return [(str(k), v) for k, v in value.items()]
+    return [(ITEM, v) for v in value] if isinstance(value, list) else []
+
+
+def _spelled_out(found: list, most: int) -> bool:
+    """Whether a tree has no more nodes than its text has letters; only aliases that contain themselves, or each other over and over, have."""
+    waiting, n = list(found), 0
+    while waiting and n <= most + len(found):
+        n += 1
+        waiting += [v for _, v in _below(waiting.pop())]
+    return not waiting
 
 
 def _shown(value: object, form: str) -> tuple[str, str | None]:
@@ -66,8 +83,7 @@ def nodes_of(text: str | None, form: str) -> Iterator[tuple]:
             if at:
                 yield doc, n, at, places, *_shown(value, form)
                 n += 1
-            below = [(str(k), v) for k, v in value.items()] if isinstance(value, dict) else [(ITEM, v) for v in value] if isinstance(value, list) else []
-            waiting += [((*at, k), (*places, i), v) for i, (k, v) in reversed(list(enumerate(below)))]
+            waiting += [((*at, k), (*places, i), v) for i, (k, v) in reversed(list(enumerate(_below(value))))]
 
 
 def nodes(files: DataFrame, form: Column) -> DataFrame:
