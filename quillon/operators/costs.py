@@ -53,13 +53,13 @@ def kql_cost_per_run(spark, sf_dir):
 
 
 @query("kql_cost_per_metric", "llm_calls", """SELECT c.metric, c.cost_micro, t.fresh, t.cached, t.output FROM (SELECT metric, sum(cost_micro)::BIGINT AS cost_micro FROM llm_calls WHERE metric IS NOT NULL GROUP BY 1) c
-LEFT JOIN (SELECT metric, sum(tokens_in - tokens_cached)::BIGINT AS fresh, sum(tokens_cached)::BIGINT AS cached, sum(tokens_out)::BIGINT AS output FROM llm_calls WHERE cost_micro > 500 GROUP BY 1) t ON t.metric = c.metric""")
+LEFT JOIN (SELECT metric, sum(tokens_in - tokens_cached)::BIGINT AS fresh, sum(tokens_cached)::BIGINT AS cached, sum(tokens_out)::BIGINT AS output FROM llm_calls GROUP BY 1) t ON t.metric = c.metric""")
 def kql_cost_per_metric(spark, sf_dir):
     """Cost beside tokens pivoted by kind; both sides share one partitioning on metric."""
     calls = V.llm_calls(spark, sf_dir).filter("metric IS NOT NULL")
     cost = calls.groupBy("metric").agg(F.sum("cost_micro").alias("cost_micro"))
     kinds = F.create_map(F.lit("fresh"), F.col("tokens_in") - F.col("tokens_cached"), F.lit("cached"), F.col("tokens_cached"), F.lit("output"), F.col("tokens_out"))
-    tokens = calls.filter("cost_micro > 500").select("metric", F.explode(kinds).alias("kind", "n")).groupBy("metric").pivot("kind", ["fresh", "cached", "output"]).sum("n")
+    tokens = calls.select("metric", F.explode(kinds).alias("kind", "n")).groupBy("metric").pivot("kind", ["fresh", "cached", "output"]).sum("n")
     return cost.join(tokens, "metric", "left")
 
 
@@ -78,10 +78,10 @@ def kql_verifier_outcomes(spark, sf_dir):
 
 
 @query("kql_run_timeline", "llm_calls", """WITH last AS (SELECT run FROM llm_calls ORDER BY ts DESC, id DESC LIMIT 1)
-SELECT id, stage, latency_ms, row_number() OVER (ORDER BY ts, id)::INTEGER AS step FROM llm_calls WHERE run = (SELECT run FROM last) AND day >= DATE '2024-01-25'""")
+SELECT id, stage, latency_ms, row_number() OVER (ORDER BY ts, id)::INTEGER AS step FROM llm_calls WHERE run = (SELECT run FROM last)""")
 def kql_run_timeline(spark, sf_dir):
     """The calls of the latest run, in order."""
     calls = V.llm_calls(spark, sf_dir)
     last = calls.orderBy(F.desc("ts"), F.desc("id")).limit(1).select("run")
-    mine = calls.filter("ts >= TIMESTAMP '2024-01-25'").join(F.broadcast(last), "run")
+    mine = calls.join(F.broadcast(last), "run")
     return mine.select("id", "stage", "latency_ms", F.row_number().over(Window.partitionBy("run").orderBy("ts", "id")).alias("step"))

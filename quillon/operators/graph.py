@@ -79,12 +79,11 @@ def _components(frame: pd.DataFrame) -> pd.DataFrame:
 def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
     """(keys, node, component) for nodes on a cycle of two or more nodes; a component is its least node.
 
-    Graphs whose edges are counted to be no more than ``LOCAL_EDGES`` for any keys
-    are each walked in one task; larger ones are coloured by joins.
+    Many graphs, told apart by keys, are each walked in one task if none has more
+    than ``LOCAL_EDGES`` edges; larger ones, and a single graph, are coloured by joins.
     """
     plain = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(*keys, "src", "dst").distinct()
-    largest = plain.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > LOCAL_EDGES:
+    if not keys or (plain.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > LOCAL_EDGES:
         return _coloured(plain, *keys)
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -95,8 +94,7 @@ def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
             out.insert(at, key, frame[key].iloc[0])
         return out
 
-    grouped = plain.groupBy(*keys) if keys else plain.groupBy(F.lit(0).alias("all"))
-    return grouped.applyInPandas(walk, f"{named}{', ' * bool(keys)}node {kinds['src']}, component {kinds['src']}")
+    return plain.groupBy(*keys).applyInPandas(walk, f"{named}, node {kinds['src']}, component {kinds['src']}")
 
 
 def _coloured(edges: DataFrame, *keys: str) -> DataFrame:

@@ -167,12 +167,12 @@ def recheck_hashes(evidence: DataFrame, snippets: DataFrame) -> DataFrame:
     return evidence.join(now, ["path", "start"], "left").select("result", state.alias("state"))
 
 
-@query("ver_hash_recheck", "lines", """WITH s AS (SELECT path, line_no AS start, sha256(line) AS sha256 FROM lines WHERE line_no <= 3)
+@query("ver_hash_recheck", "lines", """WITH s AS (SELECT path, line_no AS start, sha256(line) AS sha256 FROM lines)
 SELECT o_orderkey AS result, CASE WHEN s.sha256 IS NULL THEN 'gone' WHEN o_orderkey % 4 = 0 THEN 'changed' ELSE 'same' END AS state
 FROM orders o LEFT JOIN (SELECT path, doc_id FROM files) f ON f.doc_id = o_custkey LEFT JOIN s ON s.path = f.path AND s.start = o_orderkey % 5""")
 def ver_hash_recheck(spark, sf_dir):
     paths = V.files(spark, sf_dir).select("doc_id", "path")
-    snippets = V.lines(spark, sf_dir).filter("line_no <= 3").select("path", F.col("line_no").cast("long").alias("start"), F.sha2("line", 256).alias("sha256"))
+    snippets = V.lines(spark, sf_dir).select("path", F.col("line_no").cast("long").alias("start"), F.sha2("line", 256).alias("sha256"))
     o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("result"), F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 5).alias("start"))
     cited = o.join(paths, "doc_id", "left").join(snippets, ["path", "start"], "left")
     evidence = cited.select("result", "path", "start", F.when(F.col("result") % 4 == 0, "other").otherwise(F.col("sha256")).alias("sha256"))
@@ -215,10 +215,10 @@ def absence(hits: Column, read: Column, skipped: Column) -> Column:
     return F.when(hits > 0, "found").when((read == 0) | (skipped > 0), "inconclusive").otherwise("absent")
 
 
-@query("ver_absence", "files", """SELECT split_part(path, '/', 2) AS source, CASE WHEN count(*) FILTER (WHERE size <= 20000 AND regexp_matches(text, 'token = "[0-9a-f]+"')) > 0 THEN 'found' WHEN count(*) FILTER (WHERE size <= 20000) = 0 OR count(*) FILTER (WHERE size > 20000) > 0 THEN 'inconclusive' ELSE 'absent' END AS outcome FROM files GROUP BY 1""")
+@query("ver_absence", "files", """SELECT split_part(path, '/', 2) AS source, CASE WHEN count(*) FILTER (WHERE size <= 2000000 AND regexp_matches(text, 'token = "[0-9a-f]+"')) > 0 THEN 'found' WHEN count(*) FILTER (WHERE size <= 2000000) = 0 OR count(*) FILTER (WHERE size > 2000000) > 0 THEN 'inconclusive' ELSE 'absent' END AS outcome FROM files GROUP BY 1""")
 def ver_absence(spark, sf_dir):
-    """A probe for secrets over the files of each source; those above 20 KB count as unread."""
-    read = F.col("size") <= 20000
+    """A probe for secrets over the files of each source; those above 2 MB count as unread."""
+    read = F.col("size") <= 2_000_000
     rows = V.files(spark, sf_dir).groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("source"))
     sums = rows.agg(F.count_if(read & F.col("text").rlike('token = "[0-9a-f]+"')).alias("hits"), F.count_if(read).alias("read"), F.count_if(~read).alias("skipped"))
     return sums.select("source", absence(F.col("hits"), F.col("read"), F.col("skipped")).alias("outcome"))

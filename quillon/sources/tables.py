@@ -37,14 +37,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/quillon-tables/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read from there, so that later steps read only the columns and rows that they need.
 
     The table goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quillon-tables/{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
