@@ -213,14 +213,15 @@ OSV_SCHEMA = "results array<struct<source struct<path string>, packages array<st
 
 
 def osv_severities(raw: DataFrame) -> DataFrame:
-    """(name, group, severity) of captured scanner JSON: buckets of the score at 9, 7, 4 and above 0, else the best label, else medium."""
-    p = raw.select(F.explode(F.from_json("json", OSV_SCHEMA)["results"]).alias("r")).select(F.explode("r.packages").alias("p"))
-    g = p.select(F.col("p.package.name").alias("name"), F.col("p.vulnerabilities").alias("v"), F.explode("p.groups").alias("g"))
+    """(keys, name, group, severity) of captured scanner JSON: buckets of the score at 9, 7, 4 and above 0, else the best label, else medium."""
+    keys = [c for c in raw.columns if c != "json"]
+    p = raw.select(*keys, F.explode(F.from_json("json", OSV_SCHEMA)["results"]).alias("r")).select(*keys, F.explode("r.packages").alias("p"))
+    g = p.select(*keys, F.col("p.package.name").alias("name"), F.col("p.vulnerabilities").alias("v"), F.explode("p.groups").alias("g"))
     score = F.expr("try_cast(g.max_severity AS DOUBLE)")
     labels = F.transform(F.filter("v", lambda x: F.array_contains("g.ids", x["id"])), lambda x: E.severity_rank(F.when(F.lower(x["database_specific"]["severity"]) == "moderate", "medium").otherwise(F.lower(x["database_specific"]["severity"]))))
     best = F.array_max(labels)
     severity = F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").when(best >= 0, F.element_at(F.array(*map(F.lit, E.SEVERITIES)), best + 1)).otherwise("medium")
-    return g.select("name", F.element_at("g.ids", 1).alias("group"), severity.alias("severity"))
+    return g.select(*keys, "name", F.element_at("g.ids", 1).alias("group"), severity.alias("severity"))
 
 
 @query("fact_osv_severity", "", """SELECT p_name AS name, 'G-' || p_partkey AS "group", CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size / 5.0 >= 9 THEN 'critical' WHEN p_size / 5.0 >= 7 THEN 'high' WHEN p_size / 5.0 >= 4 THEN 'medium' WHEN p_size > 0 THEN 'low' ELSE 'medium' END WHEN p_size % 3 = 1 THEN 'medium' ELSE 'high' END AS severity FROM part""")
