@@ -66,8 +66,8 @@ def assess(files: DataFrame, runs: DataFrame, rubric: list[Check], scanned: Data
     extractors have run on all.
     """
     files = stored(files)
-    found, states = fact_tables.run_extractors(files)
-    found = stored(found.select("run", "kind", "path", "severity", "attributes"))
+    found, states = fact_tables.stored_facts(files)
+    found = found.select("run", "kind", "path", "severity", "attributes")
     every = found.unionByName(profile_facts(files, found))
     every = every.unionByName(scanned) if scanned is not None else every
     state = F.explode(F.array(*(F.struct(F.lit(s).alias("tool"), F.lit("ok" if v == "ok" else "error").alias("tool_status"), F.lit(0).alias("ord")) for s, v in sorted(states.items()))))

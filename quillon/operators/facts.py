@@ -8,8 +8,10 @@ attributes as JSON with the names and types of its kind in
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,31 +171,66 @@ def as_facts(rows: DataFrame, source: str, kind: str, keys: list[str]) -> DataFr
     return rows.select(*keys, F.lit(source).alias("source"), F.lit(kind).alias("kind"), "path", *more, text.alias("attributes"))
 
 
+def _found(source: str, seen: Files, names: dict[str, str]) -> DataFrame:
+    """One source's facts, the keys under the names that they came with."""
+    inner = list(names)
+    facts = reduce(DataFrame.unionByName, (as_facts(rows, source, kind, inner) for kind, rows in EXTRACTORS[source](seen).items()))
+    facts = facts.withColumn("fact_id", fact_id(F.col("source"), F.col("kind"), F.col("attributes"), F.col("path")))
+    return facts.select(*(F.col(i).alias(k) for i, k in names.items()), *(c for c in facts.columns if c not in inner))
+
+
+def _seen(files: DataFrame) -> tuple[Files, dict[str, str]]:
+    """The files under inner names of their keys, so that keys may have any names, also those of attributes."""
+    keys = [c for c in files.columns if c not in ("path", "text")]
+    names = {f"key{i}_": k for i, k in enumerate(keys)}
+    return Files(files.select(*(F.col(k).alias(i) for i, k in names.items()), "path", "text")), names
+
+
+_WRONG = (PySparkException, ValueError, KeyError, TypeError)
+_KINDS = {"source": "string", "kind": "string", "path": "string", "line": "int", "severity": "string", "attributes": "string", "fact_id": "string"}
+
+
+def _none(files: DataFrame) -> DataFrame:
+    keys = [c for c in files.columns if c not in ("path", "text")]
+    return files.limit(0).select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in _KINDS.items()))
+
+
+def stored_facts(files: DataFrame, sources: list[str] | None = None, at_once: int = 4) -> tuple[DataFrame, dict[str, str]]:
+    """As ``run_extractors``, each source's facts being written to the shared folder.
+
+    Sources are planned and run a few at a time, so that the small ones don't wait for
+    each other, and one that fails while it runs doesn't stop the others either.
+    """
+    seen, names = _seen(files)
+    if not sources or any(s in ("ast:imports", "ast:routes", "ast:tests", "ast:logging", "ast:metrics") for s in sources):
+        seen.python()  # before several ask for it
+
+    def store(source: str) -> tuple[str, DataFrame | None, str]:
+        try:
+            return source, stored(_found(source, seen, names)), "ok"
+        except _WRONG as wrong:
+            return source, None, f"error: {wrong}".splitlines()[0]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(files.sparkSession)(store), sources or sorted(EXTRACTORS)))
+    found = [rows for _, rows, _ in done if rows is not None]
+    return reduce(DataFrame.unionByName, found) if found else _none(files), {source: state for source, _, state in done}
+
+
 def run_extractors(files: DataFrame, sources: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Facts of all sources over ``files`` (keys, path, text), and each source's state: ok, or what is wrong with its plan.
 
-    Keys may have any names, also those of attributes. A source that can't be planned
-    doesn't stop the others.
+    A source that can't be planned doesn't stop the others.
     """
-    keys = [c for c in files.columns if c not in ("path", "text")]
-    inner = [f"key{i}_" for i in range(len(keys))]
-    seen = Files(files.select(*(F.col(k).alias(i) for k, i in zip(keys, inner, strict=True)), "path", "text"))
+    seen, names = _seen(files)
     out, states = [], {}
     for source in sources or sorted(EXTRACTORS):
         try:
-            found = [as_facts(rows, source, kind, inner) for kind, rows in EXTRACTORS[source](seen).items()]
-        except (PySparkException, ValueError, KeyError, TypeError) as wrong:
+            out.append(_found(source, seen, names))
+            states[source] = "ok"
+        except _WRONG as wrong:
             states[source] = f"error: {wrong}".splitlines()[0]
-            continue
-        states[source] = "ok"
-        out += found
-    if not out:
-        empty = [F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("kind", "string"), ("line", "int"), ("severity", "string"), ("attributes", "string"))]
-        out = [seen.all.limit(0).select(*inner, "path", *empty)]
-    facts = reduce(DataFrame.unionByName, out)
-    facts = facts.withColumn("fact_id", fact_id(F.col("source"), F.col("kind"), F.col("attributes"), F.col("path")))
-    kept = [F.col(i).alias(k) for k, i in zip(keys, inner, strict=True)]
-    return facts.select(*kept, *(c for c in facts.columns if c not in inner)), states
+    return reduce(DataFrame.unionByName, out) if out else _none(files), states
 
 
 _REPO = [
@@ -216,7 +253,7 @@ _COUNTS = [
 def fact_all_sources(spark, sf_dir):
     """How many different facts each source finds in each repository."""
     files = cases(spark, sf_dir, _REPO, "files array<struct<path:string,text:string>>").select("id", F.inline("files"))
-    return run_extractors(files)[0].groupBy("id", "source", "kind").agg(F.count_distinct("fact_id").alias("n"))
+    return stored_facts(files)[0].groupBy("id", "source", "kind").agg(F.count_distinct("fact_id").alias("n"))
 
 
 @query("fn_fact_id", "", """SELECT p_partkey, 'part:' || substr(sha1('["src", "part", {"name": "' || p_name || '"}, "' || p_brand || '"]'), 1, 12) AS fact_id FROM part""")
