@@ -68,7 +68,7 @@ def assess(files: DataFrame, runs: DataFrame, rubric: list[Check], scanned: Data
     files = stored(files)
     found, states = fact_tables.stored_facts(files)
     found = found.select("run", "kind", "path", "severity", "attributes")
-    every = found.unionByName(profile_facts(files, found))
+    every = found.unionByName(stored(profile_facts(files, found)))  # read by the scan and by the search for cycles
     every = every.unionByName(scanned) if scanned is not None else every
     state = F.explode(F.array(*(F.struct(F.lit(s).alias("tool"), F.lit("ok" if v == "ok" else "error").alias("tool_status"), F.lit(0).alias("ord")) for s, v in sorted(states.items()))))
     ran = runs.select("run", state.alias("t")).select("run", "t.*")
