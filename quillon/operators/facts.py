@@ -21,30 +21,34 @@ from quillon.functions import fixed
 from quillon.operators import code, configs, manifests, texts
 from quillon.operators.extract import doc_type, dockerfiles, injections
 from quillon.operators.filters import generated, test_path, vendored
+from quillon.operators.versions import VERSION, Versions
 from quillon.plans import views as V
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
 from quillon.sources.stores import language_of
-from quillon.sources.tables import stored
+from quillon.sources.tables import sizes_at_run_time, stored
 
-#: By source: what it finds in files, as rows (keys, path, attributes and perhaps line) by kind.
+#: By source: what it finds in files, as rows (path, attributes and perhaps line) by kind. Their key is the version of
+#: the file where they follow from it alone, and the snapshot's keys where they depend on its other files too.
 EXTRACTORS: dict[str, Callable[[Files], dict[str, DataFrame]]] = {}
 
 
 class Files:
     """The files of snapshots as extractors see them: readable ones, none of others' code.
 
-    ``all`` is (keys, path, language, size, loc, generated, text), stored once, so that
-    each extractor reads the files of its languages and the columns that it needs;
+    ``all`` is (version_, path, language, size, loc, generated, text), each version of a
+    file once and stored, so that each extractor reads the files of its languages and
+    the columns that it needs; ``versions`` knows which snapshots hold them.
     ``source`` is the code among them that isn't generated. Python files are parsed
     once, for all who ask.
     """
 
     def __init__(self, files: DataFrame, largest: int = 2_000_000):
-        self.keys = [c for c in files.columns if c not in ("path", "text")]
+        self.keys = [VERSION]
         size = F.octet_length("text")
         known = files.filter(~vendored(F.col("path")) & (size <= largest) & (F.instr(F.substring("text", 1, 8192), "\0") == 0))
-        known = known.select(
+        self.versions = Versions(known, keep=stored)
+        known = self.versions.once.select(
             *self.keys, "path", language_of(F.col("path")).alias("language"), size.alias("size"), F.size(E.split_lines(F.col("text"))).alias("loc"),
             generated(F.col("path"), F.col("text")).alias("generated"), "text",
         )
@@ -84,15 +88,18 @@ def extractor(source: str) -> Callable:
 
 @extractor("ast:imports")
 def _imports(files: Files) -> dict[str, DataFrame]:
-    own = files.plain(files.source.filter("language = 'python'"))
+    back = files.versions.back  # modules are looked up among those of the snapshot
+    own = back(files.source.filter("language = 'python'").select(*files.keys, "path"))
     script = files.plain(files.source.filter("language IN ('javascript', 'typescript')"))
-    found = code.python_imports(own, files.python())
-    return {"import_edge": found.unionByName(texts.js_edges(script), allowMissingColumns=True)}
+    found = code.python_imports(own, back(files.python().filter("reader = 'imports'")))
+    return {"import_edge": found.unionByName(back(texts.js_edges(script)), allowMissingColumns=True)}
 
 
 @extractor("ast:manifests")
 def _manifests(files: Files) -> dict[str, DataFrame]:
-    return {"manifest": manifests.manifests(files.plain()), "dependency": manifests.dependencies(files.plain())}
+    listed = manifests.dependencies(files.plain())
+    paths = files.versions.placed.drop(VERSION)  # a lockfile may lie anywhere in the snapshot
+    return {"manifest": manifests.manifests(paths, files.versions.back(listed)), "dependency": listed}
 
 
 @extractor("ast:ci")
@@ -171,12 +178,21 @@ def as_facts(rows: DataFrame, source: str, kind: str, keys: list[str]) -> DataFr
     return rows.select(*keys, F.lit(source).alias("source"), F.lit(kind).alias("kind"), "path", *more, text.alias("attributes"))
 
 
-def _found(source: str, seen: Files, names: dict[str, str]) -> DataFrame:
-    """One source's facts, the keys under the names that they came with."""
-    inner = list(names)
-    facts = reduce(DataFrame.unionByName, (as_facts(rows, source, kind, inner) for kind, rows in EXTRACTORS[source](seen).items()))
-    facts = facts.withColumn("fact_id", fact_id(F.col("source"), F.col("kind"), F.col("attributes"), F.col("path")))
-    return facts.select(*(F.col(i).alias(k) for i, k in names.items()), *(c for c in facts.columns if c not in inner))
+def _found(source: str, seen: Files, inner: list[str]) -> list[DataFrame]:
+    """One source's facts: those of versions, and those of snapshots."""
+    tables: dict[bool, list[DataFrame]] = {}
+    for kind, rows in EXTRACTORS[source](seen).items():
+        alone = VERSION in rows.columns
+        tables.setdefault(alone, []).append(as_facts(rows, source, kind, [VERSION] if alone else inner))
+    return [reduce(DataFrame.unionByName, t).withColumn("fact_id", fact_id(F.col("source"), F.col("kind"), F.col("attributes"), F.col("path"))) for t in tables.values()]
+
+
+def _placed(found: list[DataFrame], seen: Files, names: dict[str, str]) -> DataFrame:
+    """All facts of all snapshots, the keys under the names that they came with."""
+    alone = [t for t in found if VERSION in t.columns]
+    whole = [t for t in found if VERSION not in t.columns]
+    whole += [seen.versions.back(reduce(DataFrame.unionByName, alone))] if alone else []
+    return reduce(DataFrame.unionByName, whole).select(*(F.col(i).alias(k) for i, k in names.items()), *_KINDS)
 
 
 def _seen(files: DataFrame) -> tuple[Files, dict[str, str]]:
@@ -196,25 +212,26 @@ def _none(files: DataFrame) -> DataFrame:
 
 
 def stored_facts(files: DataFrame, sources: list[str] | None = None, at_once: int = 4) -> tuple[DataFrame, dict[str, str]]:
-    """As ``run_extractors``, each source's facts being written to the shared folder.
+    """As ``run_extractors``, what each source found being written to the shared folder.
 
     Sources are planned and run a few at a time, so that the small ones don't wait for
     each other, and one that fails while it runs doesn't stop the others either.
     """
-    seen, names = _seen(files)
-    if not sources or any(s in ("ast:imports", "ast:routes", "ast:tests", "ast:logging", "ast:metrics") for s in sources):
-        seen.python()  # before several ask for it
+    with sizes_at_run_time(files.sparkSession):
+        seen, names = _seen(files)
+        if not sources or any(s in ("ast:imports", "ast:routes", "ast:tests", "ast:logging", "ast:metrics") for s in sources):
+            seen.python()  # before several ask for it
 
-    def store(source: str) -> tuple[str, DataFrame | None, str]:
-        try:
-            return source, stored(_found(source, seen, names)), "ok"
-        except _WRONG as wrong:
-            return source, None, f"error: {wrong}".splitlines()[0]
+        def store(source: str) -> tuple[str, list[DataFrame], str]:
+            try:
+                return source, [stored(t) for t in _found(source, seen, list(names))], "ok"
+            except _WRONG as wrong:
+                return source, [], f"error: {wrong}".splitlines()[0]
 
-    with ThreadPoolExecutor(at_once) as pool:
-        done = list(pool.map(inheritable_thread_target(files.sparkSession)(store), sources or sorted(EXTRACTORS)))
-    found = [rows for _, rows, _ in done if rows is not None]
-    return reduce(DataFrame.unionByName, found) if found else _none(files), {source: state for source, _, state in done}
+        with ThreadPoolExecutor(at_once) as pool:
+            done = list(pool.map(inheritable_thread_target(files.sparkSession)(store), sources or sorted(EXTRACTORS)))
+    found = [t for _, tables, _ in done for t in tables]
+    return _placed(found, seen, names) if found else _none(files), {source: state for source, _, state in done}
 
 
 def run_extractors(files: DataFrame, sources: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
@@ -226,11 +243,11 @@ def run_extractors(files: DataFrame, sources: list[str] | None = None) -> tuple[
     out, states = [], {}
     for source in sources or sorted(EXTRACTORS):
         try:
-            out.append(_found(source, seen, names))
+            out += _found(source, seen, list(names))
             states[source] = "ok"
         except _WRONG as wrong:
             states[source] = f"error: {wrong}".splitlines()[0]
-    return reduce(DataFrame.unionByName, out) if out else _none(files), states
+    return _placed(out, seen, names) if out else _none(files), states
 
 
 _REPO = [

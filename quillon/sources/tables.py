@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def sizes_at_run_time(spark: SparkSession) -> Iterator[None]:
+    """Within, a join is broadcast by the size that its rows turn out to have, not by that of files.
+
+    Parquet holds repeated values once, so that millions of rows may look small enough
+    to be gathered in the driver.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {c: spark.conf.get(c, None) for c in (static, adaptive)}
+    spark.conf.set(adaptive, before[adaptive] or spark.conf.get(static))
+    spark.conf.set(static, "-1")
+    try:
+        yield
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+
+
 @atexit.register
 def _remove_all() -> None:
     for spark, path in _made:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.operators import configs, trees
+from quillon.operators import configs, facts, trees
+from quillon.sources import tables
 
 _CI = "jobs: {a: {steps: [{run: pytest}, {uses: x/y@v1}]}}"
 _COMPOSE = "services: {a: {mem_limit: 1g}, b: {}}"
@@ -34,3 +35,16 @@ def test_deploy_files_are_parsed_once_a_version(spark, monkeypatch):
     rows = configs.deploy_configs(_files(spark, 9)).groupBy("id").count().collect()
     assert read == [3]  # of 19 files
     assert {r["id"]: r["count"] for r in rows} == {0: 4} | dict.fromkeys(range(1, 9), 2)
+
+
+def test_extractors_see_each_version_once(spark):
+    files = facts.Files(_files(spark, 9))
+    assert files.all.count() == 4 and files.versions.placed.count() == 20  # files without a text aren't read
+
+
+def test_files_say_nothing_of_sizes_while_facts_are_stored(spark):
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(static)
+    with tables.sizes_at_run_time(spark):
+        assert (spark.conf.get(static), spark.conf.get(adaptive)) == ("-1", before)
+    assert (spark.conf.get(static), spark.conf.get(adaptive, None)) == (before, None)
