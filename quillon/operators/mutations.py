@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import assess
+from quillon.operators.versions import Alike
 from quillon.plans import views as V
 from quillon.plans.cases import literal
 from quillon.registry import query
+from quillon.sources.tables import stored
 
 #: The name of the variant that changes nothing.
 BASE = "base"
@@ -93,8 +95,13 @@ def mutated(files: DataFrame, mutations: tuple[Mutation, ...] = MUTATIONS) -> Da
 
 
 def effects(files: DataFrame, rubric: list[assess.Check], mutations: tuple[Mutation, ...] = MUTATIONS) -> DataFrame:
-    """(run, mutation, rule, before, after): verdicts of variants that aren't those of their repositories."""
-    variants = mutated(files, mutations)
+    """(run, mutation, rule, before, after): verdicts of variants that aren't those of their repositories.
+
+    Repositories of the same files have the same effects, so that each is edited and assessed once.
+    """
+    files = stored(files)
+    alike = Alike(files, "run")
+    variants = stored(mutated(alike.first(files), mutations))
     key = F.to_json(F.struct("run", "mutation"))
     runs = variants.select(key.alias("run")).distinct()
     said = assess.assess(variants.select(key.alias("run"), "path", "text"), runs, rubric)
@@ -102,7 +109,8 @@ def effects(files: DataFrame, rubric: list[assess.Check], mutations: tuple[Mutat
     said = said.select(F.from_json("run", kind).alias("k"), "rule", "verdict").select("k.*", "rule", "verdict")
     base = said.filter(F.col("mutation") == BASE).select("run", "rule", F.col("verdict").alias("before"))
     after = said.filter(F.col("mutation") != BASE).withColumnRenamed("verdict", "after")
-    return after.join(base, ["run", "rule"]).filter("before <> after").select("run", "mutation", "rule", "before", "after")
+    changed = after.join(base, ["run", "rule"]).filter("before <> after").select("run", "mutation", "rule", "before", "after")
+    return alike.back(stored(changed))
 
 
 _MAIN = 'import logging\nlog = logging.getLogger()\n\n@app.get("/health")\ndef health():\n    """Doc."""\n    log.info("x")'

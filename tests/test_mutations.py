@@ -29,3 +29,20 @@ def test_names_are_unique_and_expectations_are_of_the_rubric():
 
     assert len({m.name for m in MUTATIONS} | {BASE}) == len(MUTATIONS) + 1 == 18
     assert {r for m in MUTATIONS for r in m.expected} <= {c.rule for c in RUBRIC} and all(m.expected for m in MUTATIONS)
+
+
+def test_repositories_of_the_same_files_are_assessed_once(spark, monkeypatch):
+    rows = [(run, p, t) for run in range(7) for p, t in (("README.md", "x"), ("uv.lock", "" if run < 5 else "x"), ("a.txt", None))]
+    rows += [(run, "a.txt", None) for run in (3, 4)]  # a file more
+    seen = []
+
+    def assessed(files, runs, rubric):
+        seen.append(runs.count())
+        assert files.count() == 3 * 3 + 1 + 3 * 2 + 1
+        return runs.selectExpr("run", "'deps.lockfile_present' AS rule", "if(run LIKE '%base%', 'pass', 'fail') AS verdict")
+
+    monkeypatch.setattr(mutations.assess, "assess", assessed)
+    files = spark.createDataFrame(rows, "run int, path string, text string")
+    got = mutations.effects(files, [], tuple(m for m in MUTATIONS if m.name == "no-lockfile")).collect()
+    assert seen == [2 * 3]  # of 14
+    assert {tuple(r) for r in got} == {(run, "no-lockfile", "deps.lockfile_present", "pass", "fail") for run in range(7)} and len(got) == 7

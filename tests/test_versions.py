@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.operators import configs, facts, trees
+from quillon.operators import configs, facts, trees, versions
 from quillon.sources import tables
 
 _CI = "jobs: {a: {steps: [{run: pytest}, {uses: x/y@v1}]}}"
@@ -48,3 +48,13 @@ def test_files_say_nothing_of_sizes_while_facts_are_stored(spark):
     with tables.sizes_at_run_time(spark):
         assert (spark.conf.get(static), spark.conf.get(adaptive)) == ("-1", before)
     assert (spark.conf.get(static), spark.conf.get(adaptive, None)) == (before, None)
+
+
+def test_keys_of_the_same_rows_are_one_class(spark):
+    rows = [(1, "a", None), (1, "b", "x"), (2, "b", "x"), (2, "a", None), (3, None, "a"), (3, "b", "x"), (4, "a", None), (4, "b", "x"), (4, "b", "x"), (None, "a", "")]
+    rows = spark.createDataFrame(rows, "id int, path string, text string").filter("id IS NOT NULL")
+    alike = versions.Alike(rows, "id")
+    first = alike.first(rows)
+    assert {r["id"] for r in first.collect()} == {1, 3, 4} and first.count() == 7
+    back = alike.back(first.groupBy("id").agg({"path": "count"}).toDF("id", "n")).collect()
+    assert sorted(tuple(r) for r in back) == [(1, 2), (2, 2), (3, 1), (4, 3)]
