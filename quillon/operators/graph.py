@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,36 +65,54 @@ def _walk(starts: list, follow: dict, seen: set) -> Iterator[list]:
         yield left
 
 
-def _components(frame: pd.DataFrame) -> pd.DataFrame:
+def _components(edges: list[tuple]) -> list[tuple]:
     """(node, component) of one graph's edges, by two walks."""
     forward, back = defaultdict(list), defaultdict(list)
-    for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+    for a, b in edges:
         forward[a].append(b)
         back[b].append(a)
     order = [node for tree in _walk(sorted(forward), forward, set()) for node in tree]
     found = [tree for tree in _walk(order[::-1], back, set()) if len(tree) > 1]
-    return pd.DataFrame([(node, min(tree)) for tree in found for node in tree], columns=["node", "component"])
+    return [(node, least) for tree in found for least in [min(tree)] for node in tree]
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, node, component) of graphs whose edges (keys, src, dst) lie one graph behind the other; a graph may go on in the next batch."""
+    now, edges, kinds = None, [], None
+
+    def components() -> Iterator[tuple]:
+        return ((*now, *row) for row in _components(edges)) if len(edges) > 1 else iter(())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+
+    for one in batches:
+        *keys, src, dst = one.schema
+        kinds, out = [*keys, src.with_name("node"), dst.with_name("component").with_type(src.type)], []
+        for *key, a, b in zip(*(c.to_pylist() for c in one.columns), strict=True):
+            if key != now:
+                out += components()
+                now, edges = key, []
+            edges.append((a, b))
+        yield batch(out)
+    if kinds:
+        yield batch(list(components()))
 
 
 def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
     """(keys, node, component) for nodes on a cycle of two or more nodes; a component is its least node.
 
-    Many graphs, told apart by keys, are each walked in one task if none has more
-    than ``LOCAL_EDGES`` edges; larger ones, and a single graph, are coloured by joins.
+    Many graphs, told apart by keys, are each walked in one task, one behind the other,
+    if none has more than ``LOCAL_EDGES`` edges; larger ones, and a single graph, are
+    coloured by joins.
     """
     plain = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(*keys, "src", "dst").distinct()
     if not keys or (plain.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > LOCAL_EDGES:
         return _coloured(plain, *keys)
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        out = _components(frame)
-        for at, key in enumerate(keys):
-            out.insert(at, key, frame[key].iloc[0])
-        return out
-
-    return plain.groupBy(*keys).applyInPandas(walk, f"{named}, node {kinds['src']}, component {kinds['src']}")
+    return plain.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_walked, f"{named}, node {kinds['src']}, component {kinds['src']}")
 
 
 def _coloured(edges: DataFrame, *keys: str) -> DataFrame:

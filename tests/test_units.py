@@ -233,3 +233,15 @@ def test_artifacts_and_index(spark, tmp_path):
     one = spark.range(3)
     retrieval.write_index(f"{tmp_path}/index", chunks=one, vectors=one, symbols=one, meta=one)
     assert {k: v.count() for k, v in retrieval.read_index(spark, f"{tmp_path}/index").items()} == {"chunks": 3, "vectors": 3, "symbols": 3, "meta": 3}
+
+
+def test_graphs_are_walked_one_behind_the_other(spark):
+    rows = [(k, a, b) for k in [*range(40), None] for a, b in ((1, 2), (2, 3), (3, 1), (3, 4), (4, 3), (5, 6))[: 6 if k is None or k % 2 else 2]]
+    edges = spark.createDataFrame([(k, 1 << 60, a, b) for k, a, b in rows], "run long, part long, src int, dst int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # graphs of more rows than a batch
+    try:
+        got = graph.strong_components(edges, "run", "part")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, 1 << 60, n, 1) for k in [*range(1, 40, 2), None] for n in (1, 2, 3, 4)), key=str)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # a call of Python for each graph
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
