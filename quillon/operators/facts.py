@@ -21,7 +21,7 @@ from quillon.functions import fixed
 from quillon.operators import code, configs, manifests, texts
 from quillon.operators.extract import doc_type, dockerfiles, injections
 from quillon.operators.filters import generated, test_path, vendored
-from quillon.operators.versions import VERSION, Versions
+from quillon.operators.versions import VERSION, Versions, once_for_alike
 from quillon.plans import views as V
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
@@ -88,10 +88,12 @@ def extractor(source: str) -> Callable:
 
 @extractor("ast:imports")
 def _imports(files: Files) -> dict[str, DataFrame]:
-    back = files.versions.back  # modules are looked up among those of the snapshot
-    own = back(files.source.filter("language = 'python'").select(*files.keys, "path"))
+    back = files.versions.back
     script = files.plain(files.source.filter("language IN ('javascript', 'typescript')"))
-    found = code.python_imports(own, back(files.python().filter("reader = 'imports'")))
+    own = files.versions.held(files.source.filter("language = 'python'"))
+    parsed = files.python().filter("reader = 'imports'")
+    # modules are looked up among those of the snapshot
+    found = once_for_alike(own, files.versions.keys, lambda first: code.python_imports(first.drop(VERSION), first.join(parsed, ["path", VERSION]).drop(VERSION)))
     return {"import_edge": found.unionByName(back(texts.js_edges(script)), allowMissingColumns=True)}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.operators import configs, facts, trees, versions
+from quillon.operators import code, configs, facts, trees, versions
 from quillon.sources import tables
 
 _CI = "jobs: {a: {steps: [{run: pytest}, {uses: x/y@v1}]}}"
@@ -58,3 +58,16 @@ def test_keys_of_the_same_rows_are_one_class(spark):
     assert {r["id"] for r in first.collect()} == {1, 3, 4} and first.count() == 7
     back = alike.back(first.groupBy("id").agg({"path": "count"}).toDF("id", "n")).collect()
     assert sorted(tuple(r) for r in back) == [(1, 2), (2, 2), (3, 1), (4, 3)]
+
+
+def test_imports_are_looked_up_once_for_the_same_python_files(spark, monkeypatch):
+    rows = [(i, p, t) for i in range(9) for p, t in (("a.py", "import b\nimport os"), ("b.py", "import a" if i < 6 else ""), (f"{i}.md", "x"))]
+    files = spark.createDataFrame(rows, "id int, path string, text string")
+    want = {(i, "a", "b", True) for i in range(9)} | {(i, "a", "os", False) for i in range(9)} | {(i, "b", "a", True) for i in range(6)}
+    seen, edges = [], code._edges
+    monkeypatch.setattr(code, "_edges", lambda files, parsed: seen.append(files.select("id").distinct().count()) or edges(files, parsed))
+    got = code.python_imports(files).collect()
+    monkeypatch.undo()
+    assert seen == [2] and {(r["id"], r["from_module"], r["to_module"], r["internal"]) for r in got} == want
+    found, _ = facts.run_extractors(files, ["ast:imports"])
+    assert found.groupBy("id").count().filter("count = 3").count() == 6 and found.count() == len(want)
