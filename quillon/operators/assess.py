@@ -12,8 +12,9 @@ from quillon.functions import fixed
 from quillon.operators import facts as fact_tables
 from quillon.operators import rules
 from quillon.operators.filters import generated, vendored
-from quillon.operators.profile import profiles
+from quillon.operators.profile import profiles, tells
 from quillon.operators.scoring import overall, score_rows
+from quillon.operators.versions import VERSION, Alike, Versions
 from quillon.plans import views as V
 from quillon.registry import query
 from quillon.sources.stores import language_of
@@ -38,24 +39,30 @@ def profile_facts(files: DataFrame, facts: DataFrame) -> DataFrame:
     """
     path, text = F.col("path"), F.col("text")
     unread = F.coalesce(F.instr(F.substring(text, 1, 8192), "\0") > 0, F.lit(True))
-    known = files.select(
-        "run", "path", language_of(path).alias("language"), F.size(E.split_lines(text)).alias("loc"), "text", vendored(path).alias("vendored"), generated(path, text).alias("generated"), (~unread).alias("readable")
-    )
-    a = rules.typed(facts)
+    versions = Versions(files.select("run", "path", "text"), keep=stored)
+    known = stored(versions.once.select(
+        VERSION, "path", language_of(path).alias("language"), F.size(E.split_lines(text)).alias("loc"), "text", vendored(path).alias("vendored"), generated(path, text).alias("generated"), (~unread).alias("readable")
+    ))
+    read = facts.filter(F.col("kind").isin("route", *fixed.PROFILE_NAMES)).select("run", "kind", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("severity"), "attributes")
+    held = versions.held(known.filter(tells(path, F.col("language"))))
+    rows = held.select("run", F.lit("file").alias("kind"), "path", F.col(VERSION).alias("attributes")).unionByName(read.select("run", "kind", "path", "attributes"))
+    alike = Alike(rows, "run")  # a profile is made once for runs of the same files and facts that it depends on
+    a = rules.typed(alike.first(read))
     name = F.lit(None).cast("string")
     for kind, key in fixed.PROFILE_NAMES.items():
         name = F.when(F.col("kind") == kind, F.col(f"a.{key}")).otherwise(name)
     name = F.when((F.col("kind") == "import_edge") & F.col("a.internal"), F.lit(None)).otherwise(name)
-    found = profiles(known, a.select("run", "kind", name.alias("name")))
-    held = F.when(rules.path_matches(path, tuple(g for g, _ in fixed.COVERAGE_CONTENT)) & ~unread, text)
-    as_fact = lambda kind, path, **attributes: [
-        "run", F.lit(kind).alias("kind"), path.alias("path"), F.lit(None).cast("string").alias("severity"), F.to_json(F.struct(*(c.alias(n) for n, c in attributes.items()))).alias("attributes"),
+    found = profiles(alike.first(held).join(known, ["path", VERSION]).drop(VERSION), a.select("run", "kind", name.alias("name")))
+    settings = F.when(rules.path_matches(path, tuple(g for g, _ in fixed.COVERAGE_CONTENT)) & F.col("readable"), text)
+    as_fact = lambda key, kind, path, **attributes: [
+        key, F.lit(kind).alias("kind"), path.alias("path"), F.lit(None).cast("string").alias("severity"), F.to_json(F.struct(*(c.alias(n) for n, c in attributes.items()))).alias("attributes"),
     ]
     none = F.lit(None).cast("string")
-    listed = known.select(*as_fact("file", path, text=held, vendored=F.col("vendored"), unreadable=~F.col("readable")))
-    on = found.select("run", F.explode(F.map_keys(F.map_filter("flags", lambda k, v: v))).alias("name")).select(*as_fact("flag", none, name=F.col("name")))
-    frameworks = found.select("run", F.explode("frameworks").alias("name")).select(*as_fact("framework", none, name=F.col("name")))
-    return listed.unionByName(on).unionByName(frameworks)
+    listed = versions.back(known.select(*as_fact(VERSION, "file", path, text=settings, vendored=F.col("vendored"), unreadable=~F.col("readable"))))
+    found = stored(found.select("run", "flags", "frameworks"))
+    on = found.select("run", F.explode(F.map_keys(F.map_filter("flags", lambda k, v: v))).alias("name")).select(*as_fact("run", "flag", none, name=F.col("name")))
+    frameworks = found.select("run", F.explode("frameworks").alias("name")).select(*as_fact("run", "framework", none, name=F.col("name")))
+    return listed.unionByName(alike.back(on.unionByName(frameworks)))
 
 
 def assess(files: DataFrame, runs: DataFrame, rubric: list[Check], scanned: DataFrame | None = None, tool_runs: DataFrame | None = None) -> DataFrame:
@@ -70,10 +77,8 @@ def assess(files: DataFrame, runs: DataFrame, rubric: list[Check], scanned: Data
     found = found.select("run", "kind", "path", "severity", "attributes")
     every = found.unionByName(stored(profile_facts(files, found)))  # read by the scan and by the search for cycles
     every = every.unionByName(scanned) if scanned is not None else every
-    state = F.explode(F.array(*(F.struct(F.lit(s).alias("tool"), F.lit("ok" if v == "ok" else "error").alias("tool_status"), F.lit(0).alias("ord")) for s, v in sorted(states.items()))))
-    ran = runs.select("run", state.alias("t")).select("run", "t.*")
-    ran = ran.unionByName(tool_runs) if tool_runs is not None else ran
-    return rules.run_rules({c.rule: c.params for c in rubric}, every, runs, ran)
+    ran = {s: "ok" if v == "ok" else "error" for s, v in states.items()}
+    return rules.run_rules_once({c.rule: c.params for c in rubric}, every, runs, tool_runs, ran)
 
 
 def assessed_scores(verdicts: DataFrame, rubric: list[Check]) -> DataFrame:

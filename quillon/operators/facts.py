@@ -100,8 +100,10 @@ def _imports(files: Files) -> dict[str, DataFrame]:
 @extractor("ast:manifests")
 def _manifests(files: Files) -> dict[str, DataFrame]:
     listed = manifests.dependencies(files.plain())
-    paths = files.versions.placed.drop(VERSION)  # a lockfile may lie anywhere in the snapshot
-    return {"manifest": manifests.manifests(paths, files.versions.back(listed)), "dependency": listed}
+    # a lockfile may lie anywhere in the snapshot
+    own = files.versions.placed.filter(manifests.manifest_type(F.col("path")).isNotNull() | manifests.is_lockfile(F.col("path")))
+    found = once_for_alike(own, files.versions.keys, lambda first: manifests.manifests(first.drop(VERSION), first.join(listed, ["path", VERSION]).drop(VERSION)))
+    return {"manifest": found, "dependency": listed}
 
 
 @extractor("ast:ci")

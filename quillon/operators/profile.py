@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,12 @@ def outbound_call(language: Column, text: Column) -> Column:
     return out
 
 
+def tells(path: Column, language: Column) -> Column:
+    """Whether a profile can depend on a file, as it may on code, and on what is known by its path."""
+    named = reduce(or_, (path.rlike(p) for p in (fixed.K8S_MARKERS, fixed.IAC_FILES, fixed.ENTRYPOINTS, *(p for _, p in fixed.PACKAGE_MANAGERS))))
+    return F.coalesce(language.isin("dockerfile", *fixed.CODE_LANGUAGES, *fixed.OUTBOUND_TEXT, *(n for names in fixed.LANGUAGE_FLAGS.values() for n in names)), F.lit(False)) | named
+
+
 def profiles(files: DataFrame, facts: DataFrame) -> DataFrame:
     """(run, flags, frameworks, package_managers, ci_systems, test_frameworks, entrypoints, languages).
 

@@ -160,3 +160,19 @@ def test_scanned_facts_and_their_tools_join_in(spark):
     }
     scores = {(r.run, r.metric): (r.status, r.tenths) for r in assess.assessed_scores(assess.assess(files, runs, rubric, scanned, tools), rubric).collect()}
     assert scores[1, "s"] == ("scored", 0) and scores[1, "d"] == ("scored", 100) and scores[2, "s"] == ("insufficient_evidence", None)
+
+
+def test_rules_are_asked_once_for_each_set_of_facts(spark, monkeypatch):
+    runs, found, tools = rules.example_runs(spark, "/root/testdata/sf0.001")
+    runs, found, tools = runs.filter("run < 45"), found.filter("run < 45").cache(), tools.filter("run < 45").cache()
+    chosen = {n: {"globs": ["README*"]} if n == "files.any_exists" else None for n in rules.rule_names()} | {"no.such": None}
+    rows = lambda out: sorted(out.select("run", "rule", "verdict", "reason", "n_facts", "place").collect(), key=str)
+    want, asked, run_rules = rows(rules.run_rules(chosen, found, runs, tools)), [], rules.run_rules
+    monkeypatch.setattr(rules, "run_rules", lambda chosen, facts, runs, *rest: asked.append(runs.count()) or run_rules(chosen, facts, runs, *rest))
+    assert rows(rules.run_rules_once(chosen, found, runs, tools)) == want and len(want) == 45 * 32
+    parts = {rules._RULES[n].kinds for n in chosen if n in rules._RULES}
+    assert asked[0] <= 9 * len(parts) + len(parts) + 1  # of five times as many
+    ok = {t: "ok" for t in rules._TOOLS}
+    some = [n for n in rules.rule_names() if n.startswith(("ci.", "docker."))]
+    same = runs.select("run", F.explode(F.array(*map(F.lit, ok))).alias("tool")).withColumn("tool_status", F.lit("ok"))
+    assert rows(rules.run_rules_once(dict.fromkeys(some), found, runs, None, ok)) == rows(run_rules(dict.fromkeys(some), found, runs, same))
