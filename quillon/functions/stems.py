@@ -2,12 +2,15 @@
 
 A measure, the number of times a vowel is followed by a consonant, is asked for by
 patterns; a y is a vowel behind a consonant. Each step is bound to a variable of
-its own, so that no step is computed more than once a word.
+its own, so that no step is computed more than once a word. ``stemmed`` is the same
+for one word, for workers that count words as they read them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,3 +101,49 @@ def stem(word: Column) -> Column:
     for step in _STEPS:
         out = let(out, step)
     return F.when(word.rlike("^[a-z]{3,}$"), F.lower(out)).otherwise(word)
+
+
+_ENDINGS = [(table, sorted({len(x) for x in table}, reverse=True)) for table in (SECOND, THIRD, dict.fromkeys(FOURTH, ""))]
+_LETTERS, _DOUBLE = re.compile("[a-z]{3,}"), re.compile(r"([^aeiouylsz])\1$")
+_IS_ANY, _IS_ONE, _IS_MORE, _HAS_VOWEL, _IS_SHORT = (re.compile(p).search for p in (_ANY, _ONE, _MORE, _VOWEL, _SHORT))
+
+
+def _without(word: str, step: int, measure: Callable[[str], object]) -> str:
+    suffixes, lengths = _ENDINGS[step]
+    for k in lengths:
+        if (suffix := word[-k:]) in suffixes:
+            before = word[: len(word) - len(suffix)]
+            return before + suffixes[suffix] if measure(before) else word
+    return word
+
+
+@lru_cache(1 << 18)
+def stemmed(word: str) -> str:
+    """What ``stem`` gives for a word."""
+    if not _LETTERS.fullmatch(word):
+        return word
+    w = "Y" + word[1:] if word[0] == "y" else word
+    if w.endswith("s") and not w.endswith("ss") or w.endswith("sses"):
+        w = w[:-2] if w.endswith(("sses", "ies")) else w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _IS_ANY(w[:-3]) else w
+    elif w.endswith(("ed", "ing")) and _HAS_VOWEL(short := w[:-2] if w.endswith("ed") else w[:-3]):
+        w = short
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif _DOUBLE.search(w):
+            w = w[:-1]
+        elif _IS_ONE(w) and _IS_SHORT(w):
+            w += "e"
+    if w.endswith("y") and _HAS_VOWEL(w[:-1]):
+        w = w[:-1] + "i"
+    w = _without(_without(w, 0, _IS_ANY), 1, _IS_ANY)
+    if w.endswith(("sion", "tion")):
+        w = w[:-3] if _IS_MORE(w[:-3]) else w
+    else:
+        w = _without(w, 2, _IS_MORE)
+    if w.endswith("e") and (_IS_MORE(short := w[:-1]) or _IS_ONE(short) and not _IS_SHORT(short)):
+        w = short
+    if w.endswith("ll") and _IS_MORE(w):
+        w = w[:-1]
+    return w.lower()

@@ -14,20 +14,27 @@ and one row of statistics.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.stems import stem
+from quillon.functions.stems import stem, stemmed
 from quillon.operators.retrieval import K1, B
 from quillon.plans import views as V
 from quillon.plans.cases import cases, cases_sql
 from quillon.registry import query
-from quillon.sources.tables import new_folder
+from quillon.sources.tables import new_folder, stored
 
 #: Chunks of a window, folders of blocks, and windows that are scored first.
 WINDOW, BUCKETS, FIRST = 1024, 64, 8
+#: Windows of a bucket that one task turns into blocks, and texts that a worker counts before it passes them on.
+RANGE, ROWS = 64, 1000
 
 
 BLOCKS = "term string, window int, highest double, size long, postings array<struct<chunk_id:long,gain:double>>, bucket int"
@@ -42,26 +49,84 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, len, counts) of ``chunks`` (chunk_id, text): the words of each, and its stems with how often they occur.
+
+    A text is read once, and its words are counted where it lies, so that no word is shuffled by itself.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sizes, ends, names, times = [], [0], [], []
+                for text in part["words"].to_pylist():
+                    words = (text or "").split()
+                    tf = Counter(map(stemmed, words))
+                    names += tf.keys()
+                    times += tf.values()
+                    sizes.append(len(words))
+                    ends.append(len(names))
+                pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["term", "tf"])
+                counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                yield pa.RecordBatch.from_pydict({"chunk_id": part["chunk_id"], "len": pa.array(sizes, pa.int64()), "counts": counts})
+
+    # Spark says what a word is, here as in ``terms``
+    words = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ").alias("words")
+    return chunks.select(F.col("chunk_id").cast("long"), words).mapInArrow(count, "chunk_id long, len long, counts array<struct<term:string,tf:long>>")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from postings, those of one stem and window behind each other; the last block of a batch may go on in the next one."""
+    open_: list[pa.RecordBatch] = []
+
+    def done(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        gain, ends = table["gain"].combine_chunks(), np.append(starts[1:], len(table))
+        pairs = pa.StructArray.from_arrays([table["chunk_id"].combine_chunks(), gain], ["chunk_id", "gain"])
+        first = {c: table[c].take(pa.array(starts)).combine_chunks() for c in ("term", "window", "bucket")}
+        postings = pa.ListArray.from_arrays(pa.array(np.append(starts, len(table)), pa.int32()), pairs)
+        return pa.RecordBatch.from_pydict({
+            "term": first["term"], "window": first["window"], "highest": np.maximum.reduceat(gain.to_numpy(), starts), "size": pa.array(ends - starts, pa.int64()),
+            "postings": postings, "bucket": first["bucket"],
+        })
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if open_ and (batch["term"][-1], batch["window"][-1]) == (open_[0]["term"][0], open_[0]["window"][0]):
+            open_.append(batch)
+            continue
+        table = pa.Table.from_batches([*open_, batch]).combine_chunks()
+        term, window = table["term"], table["window"].to_numpy()
+        other = pc.not_equal(term[1:], term[:-1]).to_numpy() | (window[1:] != window[:-1])
+        starts = np.append(0, np.flatnonzero(other) + 1)
+        if len(starts) > 1:
+            yield done(table.slice(0, starts[-1]), starts[:-1])
+        open_ = table.slice(starts[-1]).to_batches()
+    if open_:
+        yield done(pa.Table.from_batches(open_).combine_chunks(), np.zeros(1, np.int64))
+
+
 def write_inverted(chunks: DataFrame, folder: str) -> None:
     """Index ``chunks`` (chunk_id long, text) below a folder. Chunks without words count, and are found by no search."""
-    words = chunks.select("chunk_id", terms(F.col("text")).alias("words"))
-    sizes = words.select("chunk_id", F.size("words").cast("long").alias("len"))
-    stats = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
+    counted = stored(_counted(chunks))
+    stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     stats.write.mode("overwrite").parquet(f"{folder}/stats")
     spark = chunks.sparkSession
     n, total = spark.read.parquet(f"{folder}/stats").first()
     windows = max(1, -(-n // WINDOW))
     place = F.pmod(F.xxhash64("chunk_id"), F.lit(windows)).cast("int")
-    sizes.withColumn("window", place).write.mode("overwrite").parquet(f"{folder}/chunks")
-    counted = words.select("chunk_id", F.size("words").cast("long").alias("len"), F.explode("words").alias("word"))
-    counted = counted.groupBy("chunk_id", "len", "word").agg(F.count("*").alias("tf"))
-    # a word is stemmed once, however many chunks hold it
-    known = counted.select("word").distinct().withColumn("term", stem(F.col("word")))
-    postings = counted.join(known, "word").groupBy("chunk_id", "len", "term").agg(F.sum("tf").alias("tf"))
+    counted.select("chunk_id", "len", place.alias("window")).write.mode("overwrite").parquet(f"{folder}/chunks")
+    postings = counted.select("chunk_id", "len", F.inline("counts"))
+    if not counted.groupBy("chunk_id", "len").count().filter("count > 1").isEmpty():  # texts of one chunk add up
+        postings = postings.groupBy("chunk_id", "len", "term").agg(F.sum("tf").alias("tf"))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") * F.lit(n) / F.lit(max(total, 1))))
-    placed = postings.select(place.alias("window"), "term", F.struct("chunk_id", gain.alias("gain")).alias("posting"))
-    blocks = placed.groupBy("term", "window").agg(F.max("posting.gain").alias("highest"), F.count("*").alias("size"), F.collect_list("posting").alias("postings"))
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "window").sortWithinPartitions("term")
+    placed = postings.select(_bucket(F.col("term")).alias("bucket"), "term", place.alias("window"), "chunk_id", gain.alias("gain"))
+    # the one exchange of postings: a task has whole blocks, and writes files of few buckets
+    dealt = placed.repartition("bucket", F.floor(F.col("window") / RANGE))
+    # one number is sorted far faster than names; two blocks that share it come in parts, which search sums up as well
+    together = F.xxhash64("term").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.col("window").cast("long"))
+    blocks = dealt.sortWithinPartitions(together).mapInArrow(_blocks, BLOCKS)
     blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
     sums = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("bucket", "term").agg(F.sum("size").alias("df"))
     sums.write.mode("overwrite").parquet(f"{folder}/stems")
@@ -81,8 +146,8 @@ class Inverted:
     def wanted(self, text: str) -> DataFrame:
         """(bucket, term, weight) of the stems of a query that any chunk holds; a repeated stem counts once."""
         n = self.table("stats").first()["n"]
-        asked = self.spark.range(1).select(F.explode(terms(F.lit(text))).alias("word")).select(stem(F.col("word")).alias("term")).distinct()
-        names = [r["term"] for r in asked.collect()]  # of one query
+        words = self.spark.range(1).select(terms(F.lit(text))).first()[0]
+        names = sorted(set(map(stemmed, words)))  # of one query
         df = F.col("df")
         weight = F.log((F.lit(n) - df + 0.5) / (df + 0.5) + 1)
         known = self.table("stems").filter(F.col("term").isin(*names)) if names else self.table("stems").limit(0)

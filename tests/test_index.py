@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,45 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     inverted.write_inverted(spark.createDataFrame([], "chunk_id long, text string"), folder)
     assert inverted.Inverted(spark, folder).search("a token", 5).count() == 0
+
+
+def test_words_stemmed_in_workers(spark, chunks):
+    words = sorted({w for _, t in chunks for w in inverted_words(t)} | {"caresses", "ponies", "agreed", "hopping", "filing", "yes", "saying", "relational", "adoption", "controll", "generalizations", "is", "café", "x1"})
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", stems.stem(F.col("w")).alias("s")).collect()
+    assert [(r.w, r.s, stems.stemmed(r.w)) for r in got if r.s != stems.stemmed(r.w)] == []
+    rng = random.Random(1)
+    for w in {"".join(rng.choice("aeiouybcdlstz") for _ in range(rng.randint(3, 6))) + rng.choice([*stems.SECOND, *stems.THIRD, *stems.FOURTH, "ing", "ed", "s", "e"]) for _ in range(4000)}:
+        assert stems.stemmed(w) == Porter(w).stem()
+
+
+def inverted_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_words_are_counted_where_their_text_lies(spark, chunks):
+    counted = inverted._counted(spark.createDataFrame(chunks, "chunk_id long, text string"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r.chunk_id: (r.len, {c.term: c.tf for c in r.counts}) for r in counted.collect()}
+    assert got == {i: (len(inverted_words(t)), dict(Counter(map(stems.stemmed, inverted_words(t))))) for i, t in chunks}
+
+
+def test_blocks_over_several_batches():
+    rows = [("a", 0), ("a", 0), ("a", 0), ("a", 0), ("a", 1), ("b", 1), ("b", 1)]
+    table = [{"bucket": 1, "term": t, "window": w, "chunk_id": i, "gain": float(i)} for i, (t, w) in enumerate(rows)]
+    schema = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("window", pa.int32()), ("chunk_id", pa.int64()), ("gain", pa.float64())])
+    for each in (1, 2, 3, 7):
+        batches = (pa.RecordBatch.from_pylist(table[i : i + each], schema) for i in range(0, len(table), each))
+        got = [(b["term"], b["window"], b["highest"], b["size"], [p["chunk_id"] for p in b["postings"]]) for out in inverted._blocks(batches) for b in out.to_pylist()]
+        assert got == [("a", 0, 3.0, 4, [0, 1, 2, 3]), ("a", 1, 4.0, 1, [4]), ("b", 1, 6.0, 2, [5, 6])]
+
+
+def test_texts_of_one_chunk_add_up(spark, tmp_path):
+    folder = f"file://{tmp_path}/twice"
+    rows = [(1, "token here"), (1, "tokens there"), (2, "token token"), (3, "nothing"), (None, "tokens")]
+    inverted.write_inverted(spark.createDataFrame(rows, "chunk_id long, text string"), folder)
+    got = [tuple(r) for r in inverted.Inverted(spark, folder).search("token", 5).collect()]
+    # five rows of eight words; the term is in chunk 1 twice as one of two words, in 2 twice, in the nameless one once
+    idf, gain = math.log((5 - 3 + 0.5) / (3 + 0.5) + 1), lambda tf, size: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size * 5 / 8))
+    want = {1: gain(2, 2), 2: gain(2, 2), None: gain(1, 1)}
+    assert {i: s for i, s in got} == {i: math.floor(idf * g * 1e6 + 0.5) for i, g in want.items()}
