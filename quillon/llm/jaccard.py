@@ -13,7 +13,7 @@ A tile yields no more pairs than it has members: a spanning forest of its
 surviving pairs, the surest pairs first. Where a pair of a forest fails the
 exact test and its two sets are not linked by other ways either, its tile is
 searched once more between the components found so far, now with the sets
-themselves at hand, so that only pairs that pass the exact test join components.
+themselves at hand of those members whose bitmaps leave it open, so that only pairs that pass the exact test join components.
 Then every surviving pair of the tile lies within one component, or fails the
 exact test; no link between different sets is lost, without any cap on tiles or
 partners.
@@ -62,6 +62,8 @@ WORD_BYTES = 64 << 20
 SEEN = 500_000
 #: Words of a text that are looked up at a time.
 RUN = 1 << 16
+#: Bits of a filter for each wanted text, and the most texts for which there is one (of 16 MB).
+FILTER_BITS, FILTER_TEXTS = 16, 1 << 23
 
 
 class _WordHashes(BoundedCache):
@@ -285,6 +287,23 @@ def _forest(sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, num: int,
     return [(order[u], order[w]) for u, w in edges]
 
 
+def _with_partners(sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, num: int, den: int) -> list[int]:
+    """Indexes of the members that survive the bound with a member of another label."""
+    order = np.argsort(sizes, kind="stable")
+    n, labels, rows, found = sizes[order], labels[order], _folded([maps[i] for i in order]), np.zeros(len(sizes), bool)
+    for u in range(len(n)):
+        hi = np.searchsorted(n, int(n[u]) * den // num, side="right")
+        for at in range(u + 1, hi, BLOCK):
+            v = np.arange(at, min(hi, at + BLOCK))
+            v = v[labels[v] != labels[u]]
+            both = n[v] + n[u]
+            apart = np.bitwise_count(rows[v] ^ rows[u]).sum(axis=1, dtype=np.int64)
+            v = v[(den + num) * (both - apart) >= 2 * num * both]
+            found[v] = True
+            found[u] |= len(v) > 0
+    return order[found].tolist()
+
+
 def _exact_forest(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of indexes: a spanning forest of the links between members of different labels."""
     sizes = np.array(list(map(len, sets)))
@@ -343,6 +362,19 @@ def _candidates(cells: DataFrame, sets: DataFrame, num: int, den: int, labels: D
     return _searched(members, forest)
 
 
+def _undecided(cells: DataFrame, sets: DataFrame, num: int, den: int, labels: DataFrame) -> DataFrame:
+    """(cell, set_id): the members of each cell that may be linked with one of another label, as far as bitmaps tell.
+
+    The others need no arrays; few pairs lie so close to the threshold.
+    """
+
+    def marked(cell: pa.Table) -> list[tuple[int, int]]:
+        return [(i, i) for i in _with_partners(cell["n_shingles"].to_numpy(), cell["bitmap"].to_pylist(), cell["label"].to_numpy(), num, den)]
+
+    members = _labelled(cells.select("cell", "set_id"), labels).join(sets.select("set_id", "n_shingles", "bitmap"), "set_id")
+    return _searched(members, marked).select("cell", F.col("a").alias("set_id"))
+
+
 def _exact_links(cells: DataFrame, arrays: DataFrame, num: int, den: int, labels: DataFrame) -> DataFrame:
     """(a, b): a forest of the links of each cell between the labels it holds."""
 
@@ -397,6 +429,22 @@ def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
 
 
+def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``text_key`` may be one of the wanted ones: all that are, and about one in ``FILTER_BITS`` of the others.
+
+    Few texts are wanted; the others need not be moved to find that out.
+    """
+    n = wanted.count()
+    if n > FILTER_TEXTS:
+        return rows
+    spot = F.pmod(F.xxhash64(F.lit(602), "text_key"), F.lit((n + 1) * FILTER_BITS))
+    bucket, bit = F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot)
+    maps = wanted.select(bucket, bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = rows.select(*rows.columns, bucket, bit.alias("bit")).join(F.broadcast(maps), "bucket")
+    return asked.filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(set_id, shingles) of the wanted sets (set_id, doc_id, text_key), from one document each."""
 
@@ -411,7 +459,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(names, pa.int64()), "shingles": pa.array(raw, pa.binary())})
 
     # by the text's hash first, so that a null doc_id, or one that repeats, is no hot key
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    keyed = _perhaps(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), wanted)
     match = (F.col("text_key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
     found = keyed.join(wanted.select("set_id", F.col("doc_id").alias("wanted_id"), F.col("text_key").alias("wanted_key")), match)
     return found.select("set_id", "text").mapInArrow(take, "set_id long, shingles binary").dropDuplicates(["set_id"])
@@ -439,7 +487,8 @@ def shingle_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         """The arrays of the wanted sets, and of those fetched before."""
         if arrays:
             wanted = wanted.join(_union(arrays).select("set_id"), "set_id", "left_anti")
-        arrays.append(Stored(_arrays(docs, wanted.join(sets.select("set_id", "doc_id", "text_key"), "set_id"), words), "shingle-arrays").read())
+        found = Stored(wanted.join(sets.select("set_id", "doc_id", "text_key"), "set_id"), "shingle-wanted").read()
+        arrays.append(Stored(_arrays(docs, found, words), "shingle-arrays").read())
         return _union(arrays)
 
     def resolve(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -455,7 +504,7 @@ def shingle_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
         again = Stored(found.join(open_, ["a", "b"]).select("cell").distinct(), "shingle-open").read()
         if again.isEmpty():
             return labels
-        members = Stored(cells.join(again, "cell", "left_semi"), "shingle-again").read()
+        members = Stored(_undecided(cells.join(again, "cell", "left_semi"), sets, num, den, labels), "shingle-again").read()
         links.append(Stored(_exact_links(members, fetch(members.select("set_id").distinct()), num, den, labels), "shingle-links").read())
         return Stored(connected_components(_union(links)), "shingle-components").read()
 
